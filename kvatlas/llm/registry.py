@@ -3,12 +3,22 @@
 from __future__ import annotations
 
 from kvatlas.llm.exact_dedup import OP9_SQL, op9_exact_dedup
+from kvatlas.llm.langid import op3_langid
+from kvatlas.llm.media import op1_media
 from kvatlas.llm.mixing import OP4_SQL, op4_mixing
 from kvatlas.llm.packing import op5_packing
+from kvatlas.llm.pii import op7_pii
+from kvatlas.llm.tokens import op2_tokens
+from kvatlas.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op1_media": op1_media,
+    "op2_tokens": op2_tokens,
+    "op3_langid": op3_langid,
     "op4_mixing": op4_mixing,
     "op5_packing": op5_packing,
+    "op7_pii": op7_pii,
+    "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
 }
 ORACLE_SQL = {
