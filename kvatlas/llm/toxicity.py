@@ -1,8 +1,10 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence scores p = sigmoid(bias + sum of the weights of its distinct words),
-a word's weight being its own and those of its first four and five letters, which stand for its stem; the document's score is the noisy-or 1 - product(1 - p). Weights are learned from document labels alone, by
-gradient steps on the log-loss of the noisy-or, and the sentence scores then locate what offends.
+a word's weight being its own and those of its first four and five letters, which stand for its stem. Weights
+aren't negative, so a long sentence can't talk an offending word down. The document's score is the noisy-or
+1 - product(1 - p). Weights are learned from document labels alone, by gradient steps on the log-loss of the
+noisy-or with a small L1 term, and the sentence scores then locate what offends.
 
 The fit uses a bounded sample (parameter ``most_rows``) of labelled rows, picked by a hash of the id, of at most
 ``most_chars`` code points each; its vocabulary is the words of at least ``least_docs`` of these. Texts are
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from kvatlas.llm.langid import fold
 from kvatlas.llm.shared import table
 
-MOST_ROWS, MOST_CHARS, LEAST_DOCS, STEPS, RATE, DECAY, FIRST_BIAS = 5000, 20_000, 4, 80, 0.1, 1e-2, -7.0
+MOST_ROWS, MOST_CHARS, LEAST_DOCS, STEPS, RATE, LASSO, FIRST_BIAS = 5000, 20_000, 4, 100, 0.1, 1e-5, -7.0
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -104,8 +106,7 @@ def fit(texts: list[str], labels: list[int], least_docs: int = LEAST_DOCS, steps
     sent_of = np.array([k for k, s in enumerate(s for _, own in bags for s in own) for _ in s], np.int64)
     word_of = np.array([w for _, own in bags for s in own for w in s], np.int64)
     y = np.array(labels, float)
-    # both labels weigh the same
-    weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / len(y)
+    weight = np.full(len(y), 1.0 / len(y))
     w, bias = np.zeros(len(words)), FIRST_BIAS
     m, v = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
     # start from the words' smoothed log-odds, which the bags' gradient then sharpens
@@ -121,10 +122,10 @@ def fit(texts: list[str], labels: list[int], least_docs: int = LEAST_DOCS, steps
         doc = np.clip(-np.expm1(log_none), 1e-9, 1 - 1e-9)
         # d loss / d z of a sentence: p if the label is 0, and -p (1 - P) / P if it is 1
         up = (weight * np.where(y == 1, -(1 - doc) / doc, 1.0))[doc_of] * p
-        grad = np.concatenate((np.bincount(word_of, weights=up[sent_of], minlength=len(words)) + DECAY * w / max(1, len(words)), [up.sum()]))
+        grad = np.concatenate((np.bincount(word_of, weights=up[sent_of], minlength=len(words)) + np.full(len(words), LASSO), [up.sum()]))
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-        w, bias = w - step[:-1], bias - step[-1]
+        w, bias = np.maximum(w - step[:-1], 0), bias - step[-1]  # words add evidence and never take it away
     return Model({words[i]: float(x) for i, x in enumerate(w) if abs(x) > 0.05}, float(bias))
 
 
