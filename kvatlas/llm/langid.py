@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,29 +125,44 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     return fit([t for own in kept.values() for t in own], [y for y, own in kept.items() for _ in own]) if kept else None
 
 
+def _languages(texts: list[str | None], model: Model | None) -> list[tuple[str, float]]:
+    import regex
+
+    letter = regex.compile(_LETTER)
+    out = [(UNKNOWN, 0.0)] * len(texts)
+    known = [i for i, t in enumerate(texts) if model is not None and t is not None and letter.search(t)]
+    for a in range(0, len(known), 64):
+        part = known[a : a + 64]
+        s = np.clip((model.scores([texts[i] for i in part]) + 1) / 2, 0, 1)
+        for i, b, row in zip(part, s.argmax(1), s, strict=True):
+            out[i] = (model.languages[b], float(row[b] / max(row.sum(), 1.0)))
+    return out
+
+
 def predicted(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score."""
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import regex
-
-        letter = regex.compile(_LETTER)
         for batch in batches:
-            texts = batch["text"].tolist()
-            lang, value = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            known = [i for i, t in enumerate(texts) if model is not None and t is not None and letter.search(t)]
-            for a in range(0, len(known), 64):
-                part = known[a : a + 64]
-                s = np.clip((model.scores([texts[i] for i in part]) + 1) / 2, 0, 1)
-                best = s.argmax(1)
-                for i, b, row in zip(part, best, s, strict=True):
-                    lang[i], value[i] = model.languages[b], row[b] / max(row.sum(), 1.0)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "lang_pred": lang, "score": value})
+            found = _languages(batch["text"].tolist(), model)
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "lang_pred": [x for x, _ in found], "score": [s for _, s in found]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInPandas(score, "doc_id long, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: Model | None, least_score: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is known with ``least_score`` at least; all columns pass untouched."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            found = _languages(texts, model)
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def fold(id_col: str, parts: int, part: int) -> Column:
     """Whether crc32 of the id as text leaves the remainder ``part``."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == part, F.lit(False))

@@ -119,7 +119,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
     taken = taken.groupBy("_id", "_source", "_size").agg(F.sum("_copies").alias("_copies"))
     source, text = settings.get("source_col", "source"), settings.get("text_col", "text")
     same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    order = Window.partitionBy(id_col, source, "_words").orderBy(F.lit(1))
+    order = Window.partitionBy(id_col, source, "_words").orderBy(F.xxhash64(text))
     joined = docs.withColumn("_words", word_count(text)).join(taken, same)
     # a repeated row takes its turn: the first gets the odd copy
     n = F.count(F.lit(1)).over(Window.partitionBy(id_col, source, "_words"))
