@@ -221,8 +221,8 @@ def _lookup(table: tuple[bytes, bytes]) -> np.ndarray:
     return found
 
 
-def _segments(scans: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All scans' bytes without stuffing and markers; where each segment starts; segments of each scan."""
+def _segments(scans: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All scans' bytes without stuffing and markers; where each segment starts and ends; segments of each scan."""
     data = np.frombuffer(b"".join(s + b"\xff\xd0" for s in scans) + b"\x00" * 8, np.uint8)
     ff = np.flatnonzero(data[:-1] == 0xFF)
     follows = data[ff + 1]
@@ -234,7 +234,7 @@ def _segments(scans: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     scan_end = np.cumsum([len(s) + 2 for s in scans])
     per_scan = np.diff(np.searchsorted(marks, scan_end), prepend=0)
     starts = np.concatenate(([0], place[marks + 2][:-1]))
-    return data[keep], starts, per_scan
+    return data[keep], starts, place[marks], per_scan
 
 
 def decode(images: list[Image]) -> list[dict[int, np.ndarray]]:
@@ -253,7 +253,7 @@ def decode(images: list[Image]) -> list[dict[int, np.ndarray]]:
 
 
 def _decode_alike(images: list[Image], shape: tuple, restart: int, huffman: dict, out: list[dict[int, np.ndarray]]) -> None:
-    data, starts, per_scan = _segments([m.scan for m in images])
+    data, starts, ends, per_scan = _segments([m.scan for m in images])
     window = np.zeros(len(data), np.uint32)
     padded = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint32)
     for k in range(4):
@@ -330,6 +330,8 @@ def _decode_alike(images: list[Image], shape: tuple, restart: int, huffman: dict
                     position[live[done]] = p[done]
                     on = ~done
                     live, k, p, r = live[on], k[on], p[on], r[on]
+    if (position > ends[order] * 8).any():
+        raise ValueError("a scan ends early")
     for i, o in enumerate(out):
         for c, n in per_mcu.items():
             o[c] = result[c][base[i] * n : base[i + 1] * n]
