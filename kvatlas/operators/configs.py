@@ -210,3 +210,36 @@ def not_allowed(kv: DataFrame, allowed: DataFrame) -> DataFrame:
 def required_but_absent(kv: DataFrame, allowed: DataFrame) -> DataFrame:
     """Tags of ``allowed`` that no row of ``kv`` has."""
     return allowed.select("tag").join(kv.select("tag").distinct(), "tag", "left_anti")
+
+
+def list_values(kv: DataFrame) -> DataFrame:
+    """config_id, tag, value with lists taken apart: their elements, and the numbers of lists inside them.
+
+    A list inside a list without numbers stands as its JSON text. ``kv`` has variants in ``value``.
+    """
+    items = F.coalesce(F.try_variant_get("value", "$", "array<variant>"), F.array("value"))
+    rows = kv.select("config_id", "tag", F.explode(items).alias("item"))
+    numbers = F.filter(F.coalesce(F.try_variant_get("item", "$", "array<variant>"), F.array().cast("array<variant>")), lambda x: values.kind(x) == "number")
+    own = F.when(F.size(numbers) > 0, F.transform(numbers, values.canonical)).otherwise(F.array(values.canonical(F.col("item"))))
+    return rows.select("config_id", "tag", F.explode(own).alias("value"))
+
+
+def analysis_summary(analysis: DataFrame) -> DataFrame:
+    """One row: parameters, those with several values, and those that are mostly absent."""
+    per = analysis.groupBy("tag").agg(
+        F.sum((~F.col("absent")).cast("int")).alias("different"),
+        F.sum("n").alias("n"),
+        F.coalesce(F.sum(F.when(F.col("absent"), F.col("n"))), F.lit(0)).alias("missing"),
+    )
+    return per.agg(
+        F.count(F.lit(1)).alias("parameters"),
+        F.coalesce(F.sum((F.col("different") > 1).cast("long")), F.lit(0)).alias("several_values"),
+        F.coalesce(F.sum((F.col("missing") * 2 > F.col("n")).cast("long")), F.lit(0)).alias("mostly_absent"),
+    )
+
+
+def example_lines(example: DataFrame, width: int = 12) -> DataFrame:
+    """tag, commented, line: the text of an example configuration; commented lines belong after the others."""
+    tail = F.when(F.col("alternatives") != "", F.concat(F.lit("  # "), "alternatives")).otherwise("")
+    head = F.when(F.col("commented"), "# ").otherwise("")
+    return example.select("tag", "commented", "occurrences", F.concat(head, F.rpad("tag", width, " "), F.lit(" = "), "value", tail).alias("line"))

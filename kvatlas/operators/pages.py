@@ -108,6 +108,11 @@ def title_changes(local: DataFrame, remote: DataFrame, limit: int = 20) -> DataF
     return new.distinct().orderBy("title").limit(limit).union(gone.distinct().orderBy("title").limit(limit))
 
 
+def has_changed(local: DataFrame, remote: DataFrame, local_modified: str | None, remote_modified: str | None) -> bool:
+    """Whether titles came or went, or the site's last change differs."""
+    return local_modified != remote_modified or not title_changes(local, remote, 1).isEmpty()
+
+
 def stale(fetched: DataFrame, processed: DataFrame) -> DataFrame:
     """One row ``stale``, from one-row tables with a timestamp ``at``: no time known, or fetched later than processed."""
     both = fetched.agg(F.max("at").alias("fetched")).crossJoin(processed.agg(F.max("at").alias("processed")))

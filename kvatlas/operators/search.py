@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kvatlas.functions import text as T
@@ -30,7 +30,7 @@ def lengths(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.coalesce("text", F.lit(""))))).alias("avgdl"))
 
 
-def bm25(docs: DataFrame, query: str, index: DataFrame | None = None, corpus: DataFrame | None = None) -> DataFrame:
+def bm25(docs: DataFrame | None, query: str, index: DataFrame | None = None, corpus: DataFrame | None = None) -> DataFrame:
     """doc_id, score of the documents with a term of the query (a bag of words)."""
     terms = sorted(set(re.findall(r"[^\W_]+", query.lower())))
     own = (index if index is not None else postings(docs, terms)).where(F.col("term").isin(*terms))
@@ -41,6 +41,17 @@ def bm25(docs: DataFrame, query: str, index: DataFrame | None = None, corpus: Da
     return rows.groupBy("doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
+def write_index(docs: DataFrame, path: str) -> None:
+    """An inverted index: postings ordered by term, so a query's row groups are few, and the corpus's sizes."""
+    postings(docs).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    lengths(docs).write.mode("overwrite").parquet(f"{path}/corpus")
+
+
+def bm25_indexed(spark: SparkSession, path: str, query: str) -> DataFrame:
+    """Like ``bm25``, from a written index; the terms are pushed down to its files."""
+    return bm25(None, query, spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/corpus"))
+
+
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)

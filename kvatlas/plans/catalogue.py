@@ -128,6 +128,28 @@ def example_config(spark, folder):
     return C.example_config(C.parameter_values(config_kv(spark, folder), table(spark, folder, "orders")))
 
 
+@query(f"""{ANALYSIS}, p as (select tag, count(*) filter (where not absent) d, sum(n) n, coalesce(sum(n) filter (where absent), 0) m from an group by 1)
+select count(*) parameters, (count(*) filter (where d > 1))::bigint several_values, (count(*) filter (where m * 2 > n))::bigint mostly_absent from p""")
+def param_summary(spark, folder):
+    return C.analysis_summary(C.parameter_values(config_kv(spark, folder), table(spark, folder, "orders")))
+
+
+@query("""with b as (select l_orderkey, unnest([l_linenumber, l_quantity::int]) v from lineitem) select l_orderkey config_id, 'basket' tag, v::varchar "value", count(*) n from b group by 1, 3""")
+def list_values(spark, folder):
+    lines = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.array("l_linenumber", F.col("l_quantity").cast("int"))).alias("b"))
+    kv = lines.select(F.col("l_orderkey").alias("config_id"), F.lit("basket").alias("tag"), F.parse_json(F.to_json("b")).alias("value"))
+    return C.list_values(kv).groupBy("config_id", "tag", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""{ANALYSIS}, r as (select *, row_number() over (partition by tag order by n desc, absent, value) rn, row_number() over (partition by tag, absent order by n desc, value) rv from an),
+e as (select tag, min(case when not absent and rv = 1 then value end) v, bool_or(absent and rn = 1) commented,
+  coalesce(string_agg(case when not absent and rv > 1 then value || ' (' || n || 'x)' end, ', ' order by rv), '') alt from r group by 1)
+select tag, commented, case when commented then '# ' else '' end || rpad(tag, 12, ' ') || ' = ' || v || case when alt <> '' then '  # ' || alt else '' end line from e""")
+def example_lines(spark, folder):
+    example = C.example_config(C.parameter_values(config_kv(spark, folder), table(spark, folder, "orders")))
+    return C.example_lines(example).select("tag", "commented", "line")
+
+
 @query(f"""with {KV}, a as (select tag, min(value) v from kv where config_id % 2 = 0 group by 1), b as (select tag, max(value) v from kv where config_id % 3 = 1 and tag <> 'Brand#7' group by 1)
 select tag, a.v value_1, b.v value_2, case when b.v is null then 'only_1' when a.v is null then 'only_2' when a.v = b.v then 'common' else 'different' end state
 from a full join b using (tag)""")
@@ -384,6 +406,16 @@ def bm25(spark, folder):
     return S.bm25(_docs(spark, folder), QUESTION)
 
 
+@query()
+def tiered_search(spark, folder):
+    tags = table(spark, folder, "part").select(F.upper("p_name").alias("title"), F.col("p_type").alias("description")).distinct()
+    docs = table(spark, folder, "documents")
+    pages = docs.select(F.concat(F.lit("Doc "), "doc_id").alias("title"), F.col("lang").alias("type"), F.col("text").alias("summary"), F.lit(False).alias("is_file_page"))
+    aliases = spark.createDataFrame([("thing", "RED WIDGET")], "alias string, target string")
+    hits = S.with_entries(rrf_hybrid(spark, folder), docs.select("doc_id", F.concat(F.lit("Doc "), "doc_id").alias("title"), F.col("lang").alias("type")))
+    return S.tiered(QUESTION, tags, pages, aliases, hits.orderBy(F.desc("score"), "doc_id"), type_="en")
+
+
 @query(f"with {DENSE} select doc_id, score from dn")
 def dense_scores(spark, folder):
     return S.dense(_vectors(spark, folder), _first_vector(spark, folder))
