@@ -22,9 +22,11 @@ store and result; extra columns aren't read, so names can't clash.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -35,9 +37,12 @@ from pyspark.sql import functions as F
 from kvatlas.llm.shared import scratch, table
 
 END_ID = 1
-WINDOW, CUT_BITS, LEAST, MOST = 16, 9, 64, 8192
+WINDOW, CUT_BITS, LEAST, MOST = 8, 9, 64, 8192
 WORDS_KEPT = 400_000
 CHUNK, RECIPE = "chunk", "recipe"
+PARTS_SCHEMA = "key binary, doc_id long, n int, width int, body binary, copies long, kind string"
+RECIPES_SCHEMA = "doc_id long, shard int, start_in_shard long, n_tokens long, root binary, digests array<binary>"
+MANIFESTS_SCHEMA = "shard int, n_docs long, n_ids long, root binary"
 
 
 #: Plain words: printable ASCII without apostrophe, and Latin letters that normalising leaves single letters.
@@ -45,14 +50,16 @@ CHUNK, RECIPE = "chunk", "recipe"
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f"
 PLAIN = re.compile(f"[!-&(-~{LETTERS}]+")
 PARTS = re.compile(f"[{LETTERS}]+|[0-9]|[^0-9{LETTERS}]+")
+ENDS = b".,;:!?"
 
 
 def word_encoder(path: str, end_id: int = END_ID):
     """A function from a list of texts to their id arrays, the end id included.
 
-    New words are encoded many at a time. Each of their parts ends in a token with the end-of-word suffix, so
-    the ids are dealt back to the words by counting parts; words whose parts aren't plain go one by one.
+    New words are cut into parts, and new parts are encoded many at a time: each ends in a token with the
+    end-of-word suffix, which tells where its ids end. Words that aren't plain go to the tokenizer one by one.
     """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism here
     from tokenizers import Tokenizer
 
     tokenizer, kept = Tokenizer.from_file(path), {}
@@ -60,42 +67,66 @@ def word_encoder(path: str, end_id: int = END_ID):
     ends_part = np.zeros(max(vocabulary.values()) + 1, bool)
     ends_part[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
+    parts_kept: dict[bytes, bytes] = {}
+
     def one_by_one(words: list[bytes]) -> None:
-        found = tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        found = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         kept.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, found, strict=True))
 
-    def learn(words: list[bytes]) -> None:
-        plain, rest = [], []
+    def learn_parts(parts: list[bytes]) -> bool:
+        texts = [parts[i : i + 512] for i in range(0, len(parts), 512)]
+        for own, e in zip(texts, tokenizer.encode_batch_fast([b" ".join(t).decode() for t in texts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = ((np.flatnonzero(ends_part[ids]) + 1) * 4).tolist()
+            if len(ends) != len(own):
+                return False
+            parts_kept.update(zip(own, map(ids.tobytes().__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+        return True
+
+    def learn(words: set[bytes]) -> None:
+        letters, ended, plain, rest = [], [], [], []
         for w in words:
-            text = w.decode("utf-8", "replace")
-            if PLAIN.fullmatch(text) and "<|" not in text:
-                plain.append((w, text))
+            if w.isalpha():  # ASCII letters
+                letters.append(w)
+            elif w[:-1].isalpha() and w[-1] in ENDS:
+                ended.append(w)
             else:
-                rest.append(w)
+                text = w.decode("utf-8", "replace").lower()
+                if PLAIN.fullmatch(text) and "<|" not in text:
+                    plain.append((w, [p.encode() for p in PARTS.findall(text)]))
+                else:
+                    rest.append(w)
+        low, stems, marks = [w.lower() for w in letters], [w[:-1].lower() for w in ended], [w[-1:] for w in ended]
+        if len(parts_kept) > WORDS_KEPT:
+            parts_kept.clear()
+        if learn_parts(list(set(low).union(stems, marks, *[p for _, p in plain]).difference(parts_kept))):
+            get = parts_kept.__getitem__
+            kept.update(zip(letters, map(get, low), strict=True))
+            kept.update(zip(ended, map(add, map(get, stems), map(get, marks)), strict=True))
+            kept.update((w, b"".join(map(get, parts))) for w, parts in plain)
+        else:
+            rest = list(words)
         one_by_one(rest)
-        for i in range(0, len(plain), 512):
-            own = plain[i : i + 512]
-            ids = np.array(tokenizer.encode(" ".join(t for _, t in own), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(ends_part[ids]) + 1
-            parts = np.cumsum([len(PARTS.findall(t)) for _, t in own])
-            if len(ends) != parts[-1]:
-                one_by_one([w for w, _ in own])
-                continue
-            raw, at = ids.tobytes(), 0
-            for (w, _), end in zip(own, (ends[parts - 1] * 4).tolist(), strict=True):
-                kept[w] = raw[at:end]
-                at = end
+
+    def words_of(text: str | None) -> list[bytes]:
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        # the tokenizer lower-cases too; but a special token's name isn't to be made from capitals
+        return raw.split() if b"<|" in raw else raw.lower().split()
 
     def encode(texts: list[str | None]) -> list[np.ndarray]:
-        split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        words = set().union(*split)
-        new = [w for w in words if w not in kept]
-        if len(kept) + len(new) > WORDS_KEPT:
+        if len(kept) > WORDS_KEPT:
             kept.clear()
-            new = list(words)
+        split = [words_of(t) for t in texts]
+        found = [list(map(kept.get, words)) for words in split]
+        new = {w for words, ids in zip(split, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None}
         learn(new)
         end = np.array([end_id], "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(kept.__getitem__, w)) + end, "<u4") for w in split]
+        out = []
+        for words, ids in zip(split, found, strict=True):
+            if None in ids:
+                ids = [kept[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+            out.append(np.frombuffer(b"".join(ids) + end, "<u4"))
+        return out
 
     return encode
 
@@ -146,7 +177,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
     schema = "kind string, key binary, doc_id long, n int, width int, body binary"
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, squeeze = word_encoder(tokenizer_path, end_id), zstandard.ZstdCompressor(level=3)
+        encode, squeeze = word_encoder(tokenizer_path, end_id), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at : at + 256]
@@ -170,7 +201,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
     first = [F.first(c).alias(c) for c in ("doc_id", "n", "width", "body")]
     rows.groupBy("kind", "key").agg(*first, F.count(F.lit(1)).alias("copies")).write.partitionBy("kind").parquet(f"{path}/parts")
 
-    parts = spark.read.parquet(f"{path}/parts")
+    parts = spark.read.schema(PARTS_SCHEMA).parquet(f"{path}/parts")
     recipes = parts.where(F.col("kind") == RECIPE).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -192,9 +223,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
             start = int(ends.iloc[-1]) if len(ends) else start
 
     ordered = recipes.repartitionByRange(F.col("doc_id").asc_nulls_first(), "key").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "key")
-    ordered.select("doc_id", "n", "body", F.spark_partition_id().alias("shard")).mapInPandas(
-        number, "doc_id long, shard int, start_in_shard long, n_tokens long, root binary, digests array<binary>"
-    ).write.parquet(f"{path}/recipes")
+    ordered.select("doc_id", "n", "body", F.spark_partition_id().alias("shard")).mapInPandas(number, RECIPES_SCHEMA).write.parquet(f"{path}/recipes")
 
     # a shard's documents are one task's rows here too; records are 16 bytes each
     def seal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,10 +236,8 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
         rows = [(s, len(x), ids[s], merkle(x)) for s, x in leaves.items()]
         yield pd.DataFrame(rows, columns=["shard", "n_docs", "n_ids", "root"])
 
-    own = spark.read.parquet(f"{path}/recipes").select("shard", "doc_id", "start_in_shard", "n_tokens", "root")
-    own.repartition("shard").sortWithinPartitions("shard", "start_in_shard").mapInPandas(
-        seal, "shard int, n_docs long, n_ids long, root binary"
-    ).write.parquet(f"{path}/manifests")
+    own = spark.read.schema(RECIPES_SCHEMA).parquet(f"{path}/recipes").select("shard", "doc_id", "start_in_shard", "n_tokens", "root")
+    own.repartition("shard").sortWithinPartitions("shard", "start_in_shard").mapInPandas(seal, MANIFESTS_SCHEMA).write.parquet(f"{path}/manifests")
 
 
 def _record(doc, n: int, root: bytes) -> bytes:
@@ -218,15 +245,15 @@ def _record(doc, n: int, root: bytes) -> bytes:
 
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:
-    stored = spark.read.parquet(f"{path}/parts").where(F.col("kind") == CHUNK)
+    stored = spark.read.schema(PARTS_SCHEMA).parquet(f"{path}/parts").where(F.col("kind") == CHUNK)
     return stored.select(F.col("key").alias("digest"), F.col("n").alias("n_ids"), "width", "body")
 
 
 def recipes(spark: SparkSession, path: str) -> DataFrame:
     """The recipes with ``start``, the ids of all documents before. Only one row a shard meets in one task."""
-    own = spark.read.parquet(f"{path}/recipes")
+    own = spark.read.schema(RECIPES_SCHEMA).parquet(f"{path}/recipes")
     ahead = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    totals = spark.read.parquet(f"{path}/manifests").select("shard", F.coalesce(F.sum("n_ids").over(ahead), F.lit(0)).alias("before"))
+    totals = spark.read.schema(MANIFESTS_SCHEMA).parquet(f"{path}/manifests").select("shard", F.coalesce(F.sum("n_ids").over(ahead), F.lit(0)).alias("before"))
     return own.join(totals, "shard").withColumn("start", F.col("before") + F.col("start_in_shard")).drop("before")
 
 
