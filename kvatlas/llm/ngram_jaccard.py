@@ -10,7 +10,8 @@ Global order: word shingles ordered by a 64-bit hash. The order is cut into frag
 3. Signatures are range-partitioned together with the ids, so even a signature that a third of all documents
    share is spread over tasks. Signatures of up to ``small`` documents give pairs at once, with the number of
    fragments in which a pair agrees, and pairs that agree in too few are dropped (a bound, so no link is lost).
-   Larger ones give one pair with their first document to each other document, and a family.
+   In larger ones, documents that agree with others there in enough fragments at all give one pair each, with
+   the first of them, and a family.
 4. Pairs are verified exactly: shingle sets are cut into ``parts`` fragments, partial overlaps are counted
    fragment by fragment, and summed for each pair.
 5. Links form components. In families that aren't one component yet, documents of different components are
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvatlas.llm.components import components
-from kvatlas.llm.shared import stored, table
+from kvatlas.llm.shared import dropped, stored, table
 from kvatlas.llm.shingles import WordHashes, mix, set_digest, shingle_set
 
 K, NUMERATOR, DENOMINATOR = 5, 80, 100
@@ -55,7 +56,7 @@ class Levels:
         self.fragments = []
         for after in self.starts[1:]:
             d = self.differ(after - 1, (after - 1) * denominator // numerator)
-            self.fragments.append(0 if d == 0 else d + 2 + d // 24)
+            self.fragments.append(0 if d == 0 else d + 2 + d // 8)
 
     def differ(self, n: int, m: int) -> int:
         """The most shingles in which linked sets of n and m shingles differ."""
@@ -68,6 +69,10 @@ class Levels:
         largest = self.starts[level + 1] - 1
         return self.differ(largest, largest * self.denominator // self.numerator)
 
+    def least_agree(self, level: int, empty: int) -> int:
+        """In how many fragments, not empty, a set with ``empty`` empty ones agrees with a partner at least."""
+        return max(1, self.fragments[level] - self.most_differ(level) - empty)
+
 
 def signatures(s: np.ndarray, level: int, levels: Levels) -> tuple[np.ndarray, int]:
     """Signatures of the fragments of one level, the lowest bit telling odd levels; and empty fragments."""
@@ -91,7 +96,8 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def shingled(docs: DataFrame, k: int, levels: Levels, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n, d1, d2 (a digest of the set), level, fragments, empty (of its level), signatures."""
+    """doc_id, n, d1, d2 (a digest of the set), level, fragments, empty (of its level), signatures; and in how many
+    fragments of its level (``need_own``), and of the one below, it agrees with any partner at least."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
@@ -101,14 +107,15 @@ def shingled(docs: DataFrame, k: int, levels: Levels, id_col: str, text_col: str
                 s = shingle_set(text, k, words)
                 level = levels.of(len(s)) if len(s) else 0
                 own, empty = signatures(s, level, levels) if len(s) else (np.empty(0, np.uint64), 0)
-                below = signatures(s, level - 1, levels)[0] if level else own[:0]
-                rows.append((len(s), *set_digest(s), level, levels.fragments[level], empty, _signed(np.concatenate((own, below)))))
-            out = pd.DataFrame(rows, columns=["n", "d1", "d2", "level", "fragments", "empty", "signatures"])
+                below, empty_below = signatures(s, level - 1, levels) if level else (own[:0], 0)
+                need = levels.least_agree(level, empty), levels.least_agree(max(level - 1, 0), empty_below)
+                rows.append((len(s), *set_digest(s), level, levels.fragments[level], empty, *need, _signed(np.concatenate((own, below)))))
+            out = pd.DataFrame(rows, columns=["n", "d1", "d2", "level", "fragments", "empty", "need_own", "need_below", "signatures"])
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
             yield out
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, n long, d1 long, d2 long, level int, fragments int, empty int, signatures array<long>"
+    schema = "doc_id long, n long, d1 long, d2 long, level int, fragments int, empty int, need_own int, need_below int, signatures array<long>"
     return rows.mapInPandas(read, schema)
 
 
@@ -174,7 +181,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int, parts: int, id_col: str, t
                 s = shingle_set(text, k, words)
                 cut = np.searchsorted((s >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1))
                 whole = _signed(s)
-                rows += [(doc, len(s), p, whole[cut[p] : cut[p + 1]]) for p in range(parts) if cut[p] < cut[p + 1]]
+                rows += [(doc, len(s), p, whole[cut[p] : cut[p + 1]]) for p in range(parts) if not p or cut[p] < cut[p + 1]]
             yield pd.DataFrame(rows, columns=["doc_id", "n", "part", "shingles"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id", "left_semi")
@@ -182,12 +189,19 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int, parts: int, id_col: str, t
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """The pairs (a, b) that link: partial overlaps by fragment, summed."""
+    """The pairs (a, b) that link: partial overlaps by fragment, summed.
+
+    The first fragment goes alone. A pair whose overlap there can't be made up for by the sizes of the rest is
+    done with, so whole sets travel for pairs that are likely links only.
+    """
     left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), "part", F.col("shingles").alias("s_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), "part", F.col("shingles").alias("s_b"))
-    partial = pairs.join(left, "a").join(right, ["b", "part"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("s_a", "s_b")).alias("overlap"))
-    both = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("i"))
-    return both.where(F.col("i") * denominator >= (F.col("n_a") + F.col("n_b") - F.col("i")) * numerator).select("a", "b")
+    enough = lambda i: i * denominator >= (F.col("n_a") + F.col("n_b") - i) * numerator
+    first = pairs.join(left.where("part = 0").drop("part"), "a").join(right.where("part = 0").drop("part"), "b")
+    rest = F.least(F.col("n_a") - F.size("s_a"), F.col("n_b") - F.size("s_b"))
+    hopeful = stored(first.where(enough(F.size(F.array_intersect("s_a", "s_b")) + rest)).select("a", "b"), "hopeful")
+    partial = hopeful.join(left, "a").join(right, ["b", "part"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("s_a", "s_b")).alias("overlap"))
+    return partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("i")).where(enough(F.col("i"))).select("a", "b")
 
 
 def _family_links(families: DataFrame, sets: DataFrame, numerator: int, denominator: int, block: int) -> DataFrame:
@@ -247,32 +261,34 @@ def jaccard_components(
 ) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each input row; linked: |intersection| * denominator >= |union| * numerator."""
     levels = Levels(numerator, denominator)
-    read = stored(shingled(docs, k, levels, id_col, text_col), "shingled")
+    whole = stored(shingled(docs, k, levels, id_col, text_col), "shingled")
+    read = stored(whole.drop("signatures"), "facts")
     known = read.where("n > 0 and doc_id is not null")
     classes = stored(
-        known.groupBy("d1", "d2", "n").agg(*[F.max(c).alias(c) for c in ("level", "fragments", "empty")], F.min("doc_id").alias("first")),
+        known.groupBy("d1", "d2", "n").agg(*[F.max(c).alias(c) for c in ("level", "fragments", "empty", "need_own", "need_below")], F.min("doc_id").alias("first")),
         "classes",
     )
     # copies: all but the first document of each class (an id that is first in some class stays)
     of_class = known.select("doc_id", "d1", "d2").join(classes.select("d1", "d2", "first"), ["d1", "d2"])
     copies = of_class.where("doc_id <> first").select("doc_id").distinct().join(classes.select(F.col("first").alias("doc_id")), "doc_id", "left_anti")
-    emitted = known.select("doc_id", "signatures").join(stored(copies, "copies"), "doc_id", "left_anti")
+    emitted = whole.where("n > 0 and doc_id is not null").select("doc_id", "signatures").join(stored(copies, "copies"), "doc_id", "left_anti")
     emitted = emitted.select(F.explode("signatures").alias("signature"), "doc_id")
     ordered = emitted.repartitionByRange("signature", "doc_id").sortWithinPartitions("signature", "doc_id")
     agreeing = stored(ordered.mapInPandas(lambda batches: _agreeing(batches, small), "kind int, a long, b long"), "agreeing")
+    dropped(whole)  # the signatures are the largest table here
 
-    members = agreeing.where("kind = 2").select(F.col("a").alias("signature"), F.col("b").alias("doc_id")).distinct()
-    heads = members.groupBy("signature").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = stored(members, "members").join(stored(heads, "heads").select("signature", "head"), "signature")
-    stars = members.where("head <> doc_id").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
+    members = stored(agreeing.where("kind = 2").select(F.col("a").alias("signature"), F.col("b").alias("doc_id")).distinct(), "members")
+    several = stored(members.groupBy("signature").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("signature"), "several")
+    members = stored(members.join(several, "signature"), "members")
 
     # pairs of small runs, with the fragments in which they agree at even and odd levels
     counted = agreeing.where("kind < 2").groupBy("a", "b").agg(F.sum(1 - F.col("kind")).alias("even"), F.sum("kind").alias("odd"))
     odd = F.col("signature").bitwiseAND(1)
     large = members.groupBy("doc_id").agg(F.sum(1 - odd).alias("even"), F.sum(odd).alias("odd"))
-    facts = classes.groupBy("first").agg(*[F.max(c).alias(c) for c in ("n", "level", "fragments", "empty")], F.count(F.lit(1)).alias("texts"))
+    needs = [F.min(c).alias(c) for c in ("need_own", "need_below")]
+    facts = classes.groupBy("first").agg(*[F.max(c).alias(c) for c in ("n", "level", "fragments", "empty")], *needs, F.count(F.lit(1)).alias("texts"))
     facts = facts.join(large.withColumnRenamed("doc_id", "first"), "first", "left")
-    facts = stored(facts.select("first", "n", "level", "fragments", "empty", "texts", F.coalesce("even", F.lit(0)).alias("even"), F.coalesce("odd", F.lit(0)).alias("odd")), "facts")
+    facts = stored(facts.select("first", "n", "level", "fragments", "empty", "need_own", "need_below", "texts", F.coalesce("even", F.lit(0)).alias("even"), F.coalesce("odd", F.lit(0)).alias("odd")), "facts")
     side = lambda x: facts.select(F.col("first").alias(x), F.struct("n", "level", "fragments", "empty", "texts", "even", "odd").alias(f"f_{x}"))
     lesser = F.when(F.col("f_a.n") <= F.col("f_b.n"), F.col("f_a")).otherwise(F.col("f_b"))
     most = F.floor((F.col("f_a.n") + F.col("f_b.n")) * F.lit(denominator - numerator) / F.lit(denominator + numerator)) + 1
@@ -281,12 +297,20 @@ def jaccard_components(
     fits = (F.least("f_a.n", "f_b.n") * denominator >= F.greatest("f_a.n", "f_b.n") * numerator) & (
         agree >= F.col("lesser.fragments") - most - F.col("lesser.empty")
     )
-    several = (F.col("f_a.texts") > 1) | (F.col("f_b.texts") > 1)  # an id with different texts: no bound holds
-    likely = counted.join(side("a"), "a").join(side("b"), "b").withColumn("lesser", lesser).where(fits | several).select("a", "b")
+    mixed = (F.col("f_a.texts") > 1) | (F.col("f_b.texts") > 1)  # an id with different texts: no bound holds
+    likely = counted.join(side("a"), "a").join(side("b"), "b").withColumn("lesser", lesser).where(fits | mixed).select("a", "b")
+
+    # partners that share no small run agree in large runs only, and in enough of them
+    own = F.col("level") % 2 == odd
+    shared = F.when(odd == 1, F.col("odd")).otherwise(F.col("even"))
+    enough = (shared >= F.when(own, F.col("need_own")).otherwise(F.col("need_below"))) | (F.col("texts") > 1)
+    members = stored(members.join(facts.withColumnRenamed("first", "doc_id"), "doc_id").where(enough).select("signature", "doc_id"), "members")
+    heads = stored(members.groupBy("signature").agg(F.min("doc_id").alias("head")), "heads")
+    stars = members.join(heads, "signature").where("head <> doc_id").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
+    stars = stored(stars, "stars")
 
     pairs = stored(likely.union(stars).distinct(), "pairs")
-    in_family = stored(members.select("doc_id").distinct(), "in_family")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(in_family).distinct()
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     sets = _sets(docs, stored(wanted, "wanted"), k, parts, id_col, text_col)
     linked = components(_verified(pairs, sets, numerator, denominator))
 
