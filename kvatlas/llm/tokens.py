@@ -38,7 +38,7 @@ from kvatlas.llm.shared import scratch, table
 
 END_ID = 1
 WINDOW, CUT_BITS, LEAST, MOST = 8, 9, 64, 8192
-WORDS_KEPT = 400_000
+WORDS_KEPT = 500_000
 CHUNK, RECIPE = "chunk", "recipe"
 PARTS_SCHEMA = "key binary, doc_id long, n int, width int, body binary, copies long, kind string"
 RECIPES_SCHEMA = "doc_id long, shard int, start_in_shard long, n_tokens long, root binary, digests array<binary>"
@@ -67,8 +67,6 @@ def word_encoder(path: str, end_id: int = END_ID):
     ends_part = np.zeros(max(vocabulary.values()) + 1, bool)
     ends_part[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    parts_kept: dict[bytes, bytes] = {}
-
     def one_by_one(words: list[bytes]) -> None:
         found = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         kept.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, found, strict=True))
@@ -80,15 +78,15 @@ def word_encoder(path: str, end_id: int = END_ID):
             ends = ((np.flatnonzero(ends_part[ids]) + 1) * 4).tolist()
             if len(ends) != len(own):
                 return False
-            parts_kept.update(zip(own, map(ids.tobytes().__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+            kept.update(zip(own, map(ids.tobytes().__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
         return True
 
     def learn(words: set[bytes]) -> None:
         letters, ended, plain, rest = [], [], [], []
         for w in words:
-            if w.isalpha():  # ASCII letters
+            if w.isalpha() and w.islower():  # ASCII letters
                 letters.append(w)
-            elif w[:-1].isalpha() and w[-1] in ENDS:
+            elif w[:-1].isalpha() and w[-1] in ENDS and w.islower():
                 ended.append(w)
             else:
                 text = w.decode("utf-8", "replace").lower()
@@ -96,14 +94,12 @@ def word_encoder(path: str, end_id: int = END_ID):
                     plain.append((w, [p.encode() for p in PARTS.findall(text)]))
                 else:
                     rest.append(w)
-        low, stems, marks = [w.lower() for w in letters], [w[:-1].lower() for w in ended], [w[-1:] for w in ended]
-        if len(parts_kept) > WORDS_KEPT:
-            parts_kept.clear()
-        if learn_parts(list(set(low).union(stems, marks, *[p for _, p in plain]).difference(parts_kept))):
-            get = parts_kept.__getitem__
-            kept.update(zip(letters, map(get, low), strict=True))
+        stems, marks = [w[:-1] for w in ended], [w[-1:] for w in ended]
+        # words and parts share one table: a word of letters is its only part
+        if learn_parts(list(set(letters).union(stems, marks, *[p for _, p in plain]).difference(kept))):
+            get = kept.__getitem__
             kept.update(zip(ended, map(add, map(get, stems), map(get, marks)), strict=True))
-            kept.update((w, b"".join(map(get, parts))) for w, parts in plain)
+            kept.update([(w, b"".join(map(get, parts))) for w, parts in plain])
         else:
             rest = list(words)
         one_by_one(rest)
@@ -114,18 +110,15 @@ def word_encoder(path: str, end_id: int = END_ID):
         return raw.split() if b"<|" in raw else raw.lower().split()
 
     def encode(texts: list[str | None]) -> list[np.ndarray]:
-        if len(kept) > WORDS_KEPT:
-            kept.clear()
-        split = [words_of(t) for t in texts]
-        found = [list(map(kept.get, words)) for words in split]
-        new = {w for words, ids in zip(split, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None}
-        learn(new)
+        out: list[np.ndarray] = []
         end = np.array([end_id], "<u4").tobytes()
-        out = []
-        for words, ids in zip(split, found, strict=True):
-            if None in ids:
-                ids = [kept[w] if x is None else x for w, x in zip(words, ids, strict=True)]
-            out.append(np.frombuffer(b"".join(ids) + end, "<u4"))
+        for at in range(0, len(texts), 32):  # few enough for the processor's cache
+            split = [words_of(t) for t in texts[at : at + 32]]
+            words = set().union(*split)
+            if len(kept) > WORDS_KEPT:
+                kept.clear()
+            learn(words.difference(kept))
+            out += [np.frombuffer(b"".join(map(kept.__getitem__, w)) + end, "<u4") for w in split]
         return out
 
     return encode
@@ -133,14 +126,14 @@ def word_encoder(path: str, end_id: int = END_ID):
 
 def cuts(ids: np.ndarray) -> list[int]:
     """Where chunks end: where the rolling hash says so, but none under LEAST or over MOST ids."""
-    h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    roll = np.zeros(len(ids), np.uint64)  # an id that lies k back weighs 3^k: windows slide, so do the hashes
+    h = ids.astype(np.uint32) * np.uint32(0x9E3779B1)
+    h ^= h >> np.uint32(15)
+    roll = np.zeros(len(ids), np.uint32)  # an id that lies k back weighs 3^k: windows slide, so do the hashes
     for k in range(min(WINDOW, len(ids))):
-        roll[k:] += h[: len(h) - k] * np.uint64(3**k)
-    roll *= np.uint64(0xBF58476D1CE4E5B9)
+        roll[k:] += h[: len(h) - k] * np.uint32(3**k)
+    roll *= np.uint32(0x85EBCA6B)
     ends, last = [], 0
-    for c in (np.flatnonzero(roll >> np.uint64(64 - CUT_BITS) == 0) + 1).tolist() + [len(ids)]:
+    for c in (np.flatnonzero(roll >> np.uint32(32 - CUT_BITS) == 0) + 1).tolist() + [len(ids)]:
         while c - last > MOST:
             ends.append(last := last + MOST)
         if c - last >= LEAST:
@@ -179,8 +172,8 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, squeeze = word_encoder(tokenizer_path, end_id), zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
+            for at in range(0, len(batch), 512):
+                part = batch.iloc[at : at + 512]
                 rows, seen = [], set()
                 for doc, ids in zip(part["doc_id"], encode(part["text"].tolist()), strict=True):
                     doc = None if pd.isna(doc) else int(doc)
