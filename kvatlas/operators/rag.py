@@ -134,15 +134,33 @@ def _nearest_block(own: pd.DataFrame, vectors: DataFrame, k: int) -> DataFrame:
             if not len(rows):
                 continue
             v = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
-            d = (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * q @ v.T
-            n, vec = min(k + 8, v.shape[0]), rows["vec_id"].to_numpy()
-            pick = np.argpartition(d, n - 1, axis=1)[:, :n]
-            exact = ((q[:, None, :] - v[pick]) ** 2).sum(-1)  # the few candidates, without cancellation
-            yield pd.DataFrame({"query_id": np.repeat(ids, n), "vec_id": vec[pick].ravel(), "distance": exact.round(6).ravel()})
+            vec = rows["vec_id"].to_numpy()
+            step = max(1, (1 << 21) // len(v))  # queries at a time, so that the matrix of distances stays small
+            for at in range(0, len(q), step):
+                own_at, pick, distance = _k_best(q[at : at + step], v, vec, k)
+                yield pd.DataFrame({"query_id": ids[at + own_at], "vec_id": vec[pick], "distance": distance})
 
     return vectors.select("vec_id", "embedding").mapInPandas(best, "query_id long, vec_id long, distance double")
 
 
+def _k_best(q: np.ndarray, v: np.ndarray, vec: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of q, rows of v, rounded squared distances: for each q its k smallest by (rounded distance, vec).
+
+    Distances by matrix products cancel; so every vector that they can't tell from the k-th is computed exactly.
+    """
+    qq, vv, n, dim = (q * q).sum(1), (v * v).sum(1), min(k, len(v)), q.shape[1]
+    d = qq[:, None] + vv[None, :] - 2 * q @ v.T
+    error = 4 * (dim + 4) * np.finfo(np.float64).eps * (qq + vv.max())
+    limit = np.partition(d, n - 1, axis=1)[:, n - 1] + 2 * error + 2e-6  # equal once rounded: at most 1e-6 apart
+    own, pick = np.nonzero(~(d > limit[:, None]))  # keeps what can't be compared
+    step = max(1, (1 << 21) // dim)
+    exact = np.concatenate([((q[own[i : i + step]] - v[pick[i : i + step]]) ** 2).sum(-1) for i in range(0, len(own), step)]).round(6)
+    order = np.lexsort((vec[pick], exact, own))
+    own, pick, exact = own[order], pick[order], exact[order]
+    first = np.arange(len(own)) - np.searchsorted(own, own) < k
+    return own[first], pick[first], exact[first]
+
+
 def prompts(hits: DataFrame, k: int = 5, template: str = PROMPT) -> DataFrame:
     """query_id, prompt from rows query_id, question, rn, chunk: the first k chunks, parted by empty lines."""
     own = hits.where(F.col("rn") <= k).groupBy("query_id", "question").agg(F.sort_array(F.collect_list(F.struct("rn", "chunk"))).alias("c"))

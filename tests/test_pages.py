@@ -124,6 +124,25 @@ def test_nearest_equals_brute_force(spark):
         assert got[q] == np.argsort(((v - v[q]) ** 2).sum(1), kind="stable")[:3].tolist()
 
 
+def test_nearest_keeps_the_smallest_ids_of_equal_vectors(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(1500, 8)).astype(np.float32)
+    same = rng.permutation(1500)[:400]
+    v[same[:200]] = v[same[0]]
+    v[same[200:]] = v[same[0]] + np.float32(1e-5) * rng.normal(size=(200, 8))  # as near, once rounded
+    order = rng.permutation(1500).tolist()
+    vectors = spark.createDataFrame([(i, v[i].tolist()) for i in order], "vec_id long, embedding array<float>").coalesce(1)
+    own = [int(same[0]), *range(5)]
+    got = {}
+    for r in G.nearest(vectors.where(f"vec_id in ({', '.join(map(str, own))})").selectExpr("vec_id query_id", "embedding"), vectors, 5).orderBy("rn").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    for q in set(own):
+        d = ((v.astype(float) - v[q].astype(float)) ** 2).sum(1).round(6)
+        assert got[q] == np.lexsort((np.arange(1500), d))[:5].tolist()
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "CFG").write_text("A = 1\n")
