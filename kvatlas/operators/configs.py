@@ -134,13 +134,15 @@ def example_config(analysis: DataFrame, min_frequency: int = 1) -> DataFrame:
     A tag that is mostly absent is commented out with its best real value.
     """
     order = Window.partitionBy("tag").orderBy(F.desc("n"), F.asc("absent"), F.asc("value"))
-    real = F.sort_array(F.collect_list(F.when(~F.col("absent"), F.struct((-F.col("n")).alias("less"), "value"))))
-    ranked = analysis.withColumn("rn", F.row_number().over(order))
+    kept = ~F.col("absent") & ((F.col("n") >= min_frequency) | (F.col("rv") == 1))  # rare values aren't collected
+    real = F.sort_array(F.collect_list(F.when(kept, F.struct((-F.col("n")).alias("less"), "value"))))
+    first = Window.partitionBy("tag").orderBy(F.asc("absent"), F.desc("n"), F.asc("value"))
+    ranked = analysis.withColumn("rn", F.row_number().over(order)).withColumn("rv", F.row_number().over(first))
     rows = ranked.groupBy("tag").agg(
         F.sum("n").alias("occurrences"), F.max(F.when(F.col("rn") == 1, F.col("absent"))).alias("commented"), real.alias("real")
     )
     rows = rows.where((F.col("occurrences") >= min_frequency) & (F.size("real") > 0))
-    others = F.filter(F.slice("real", 2, 1000), lambda x: -x["less"] >= min_frequency)
+    others = F.slice("real", 2, F.size("real"))
     return rows.select(
         "tag",
         F.col("real")[0]["value"].alias("value"),

@@ -87,6 +87,16 @@ def test_contexts_may_be_empty(configs):
     assert [(r["context"], r["n"], r["total"]) for r in got] == [("", 1, 1)]
 
 
+def test_example_config_keeps_every_alternative(spark):
+    rows = [("E", f"{i:04}", 3 if i == 7 else 2 if i < 1400 else 1, False) for i in range(2500)] + [("E", "nan", 9, True)]
+    analysis = spark.createDataFrame(rows, "tag string, value string, n long, absent boolean")
+    for least, want in ((1, 2499), (2, 1399), (4, 0)):
+        (r,) = C.example_config(analysis, least).collect()
+        others = r["alternatives"].split(", ") if r["alternatives"] else []
+        assert (r["value"], r["commented"], r["occurrences"]) == ("0007", True, sum(x[2] for x in rows))
+        assert others == [f"{v} ({n}x)" for _, v, n, _ in sorted(rows[:2500], key=lambda x: (-x[2], x[1]))[1:]][:want]
+
+
 def test_literals():
     assert values.filter_literal("1e-5") == 1e-5 and values.filter_literal("true") == "true" and values.filter_literal("3") == 3
     assert values.example_literal("1e-5") == "1e-5" and values.example_literal("true") is True and values.example_literal("2.5") == 2.5
