@@ -104,8 +104,10 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
-    """query_id, vec_id, distance, rn: the k nearest vectors of each query, by squared distance.
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 4096, keys: tuple[str, ...] = ("vec_id",), carried: tuple[str, ...] = ()) -> DataFrame:
+    """query_id, ``keys``, ``carried``, distance, rn: the k nearest vectors of each query, by squared distance.
+
+    Ties go to the smaller ``keys``, which are numbers; ``carried`` are columns of the vectors that come along.
 
     Queries are cut into blocks by a hash; every task of vectors meets one block at a time, computes distances
     as matrix products, and keeps its k best for each query, so no pair beyond these is ever a row.
@@ -117,16 +119,20 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 409
     for b in range(blocks):
         own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "embedding").toPandas()
         if len(own):
-            parts.append(_nearest_block(own, vectors, k))
+            parts.append(_nearest_block(own, vectors, k, keys, carried))
     if not parts:
-        return queries.sparkSession.createDataFrame([], "query_id long, vec_id long, distance double, rn int")
+        return queries.sparkSession.createDataFrame([], f"{_fields(vectors, keys, carried)}, rn int")
     both = parts[0]
     for p in parts[1:]:
         both = both.union(p)
-    return top(both, "query_id", [F.asc("distance"), F.asc("vec_id")], k)
+    return top(both, "query_id", [F.asc("distance"), *map(F.asc, keys)], k)
+
+
+def _fields(vectors: DataFrame, keys: tuple[str, ...], carried: tuple[str, ...]) -> str:
+    return ", ".join(["query_id long", *(f"{c} {t}" for c, t in vectors.select(*keys, *carried).dtypes), "distance double"])
 
 
-def _nearest_block(own: pd.DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def _nearest_block(own: pd.DataFrame, vectors: DataFrame, k: int, keys: tuple[str, ...], carried: tuple[str, ...]) -> DataFrame:
     ids, q = own["query_id"].to_numpy(), np.stack(own["embedding"].to_numpy()).astype(np.float64)
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,16 +140,17 @@ def _nearest_block(own: pd.DataFrame, vectors: DataFrame, k: int) -> DataFrame:
             if not len(rows):
                 continue
             v = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
-            vec = rows["vec_id"].to_numpy()
+            vec = [rows[c].to_numpy() for c in keys]
             step = max(1, (1 << 21) // len(v))  # queries at a time, so that the matrix of distances stays small
             for at in range(0, len(q), step):
                 own_at, pick, distance = _k_best(q[at : at + step], v, vec, k)
-                yield pd.DataFrame({"query_id": ids[at + own_at], "vec_id": vec[pick], "distance": distance})
+                out = rows[[*keys, *carried]].iloc[pick].reset_index(drop=True)
+                yield out.assign(query_id=ids[at + own_at], distance=distance)
 
-    return vectors.select("vec_id", "embedding").mapInPandas(best, "query_id long, vec_id long, distance double")
+    return vectors.select(*keys, *carried, "embedding").mapInPandas(best, _fields(vectors, keys, carried))
 
 
-def _k_best(q: np.ndarray, v: np.ndarray, vec: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _k_best(q: np.ndarray, v: np.ndarray, vec: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of q, rows of v, rounded squared distances: for each q its k smallest by (rounded distance, vec).
 
     Distances by matrix products cancel; so every vector that they can't tell from the k-th is computed exactly.
@@ -155,7 +162,7 @@ def _k_best(q: np.ndarray, v: np.ndarray, vec: np.ndarray, k: int) -> tuple[np.n
     own, pick = np.nonzero(~(d > limit[:, None]))  # keeps what can't be compared
     step = max(1, (1 << 21) // dim)
     exact = np.concatenate([((q[own[i : i + step]] - v[pick[i : i + step]]) ** 2).sum(-1) for i in range(0, len(own), step)]).round(6)
-    order = np.lexsort((vec[pick], exact, own))
+    order = np.lexsort((*(x[pick] for x in reversed(vec)), exact, own))
     own, pick, exact = own[order], pick[order], exact[order]
     first = np.arange(len(own)) - np.searchsorted(own, own) < k
     return own[first], pick[first], exact[first]

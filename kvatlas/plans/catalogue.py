@@ -519,6 +519,16 @@ def prompt_context(spark, folder):
     return G.prompts(rows).select("query_id", F.md5("prompt").alias("digest"))
 
 
+@query()
+def chunk_prompts(spark, folder):
+    """Prompts from the nearest chunks of whole texts, wherever in a text they stand; questions are benchmark items."""
+    questions = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("question"))
+    chunks = G.embedded(G.chunks(_docs(spark, folder)), G.hashing_embedder, "chunk", ["doc_id", "chunk_idx", "chunk"])
+    asked = G.embedded(questions, G.hashing_embedder, "question", ["query_id"])
+    hits = G.nearest(asked, chunks, 5, keys=("doc_id", "chunk_idx"), carried=("chunk",))
+    return G.prompts(hits.join(questions, "query_id"))
+
+
 # --- extension
 
 @query("select date_trunc('hour', ts) start, event_type, count(*) n, round(sum(value), 4) total from events group by 1, 2")

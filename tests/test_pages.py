@@ -143,6 +143,27 @@ def test_nearest_keeps_the_smallest_ids_of_equal_vectors(spark):
         assert got[q] == np.lexsort((np.arange(1500), d))[:5].tolist()
 
 
+def test_prompts_come_from_whole_texts(spark, tmp_path):
+    import numpy as np
+
+    from kvatlas.plans import catalogue
+
+    filler = "\n\n".join(" ".join(f"w{i}x{j}" for j in range(60)) for i in range(30))
+    docs = [(i, filler.replace("x", f"y{i}z")) for i in range(6)] + [(6, filler + "\n\n" + "The cutoff of zinc oxide is 520 eV. " * 27), (7, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    asked = "the cutoff of zinc oxide is"
+    spark.createDataFrame([(0, asked), (1, "w3y2z7 w3y2z8")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r["query_id"]: r["prompt"] for r in catalogue.QUERIES["chunk_prompts"](spark, str(tmp_path)).collect()}
+    parts = [(d, i, c) for d, t in docs for i, c in enumerate(G.split_text(t or "", 1000, 200))]
+    embed = G.hashing_embedder()
+    v = embed([c for _, _, c in parts]).astype(float)
+    for q, question in enumerate((asked, "w3y2z7 w3y2z8")):
+        d = ((v - embed([question])[0].astype(float)) ** 2).sum(1).round(6)
+        best = sorted(range(len(parts)), key=lambda i: (d[i], parts[i][:2]))[:5]
+        assert got[q] == G.PROMPT % ("\n\n".join(parts[i][2] for i in best), question)
+    assert len(filler) > 1000 and "520 eV" in got[0]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "CFG").write_text("A = 1\n")
