@@ -6,8 +6,12 @@ question mark, and its length. Viterbi's best path gives the roles; a turn begin
 marker is cut off, and turns are rendered as ``<|role|>`` blocks. Start, transition and emission probabilities
 are smoothed counts over a bounded sample of transcripts with known roles (parameter ``most_pages``).
 
-The table of conversations is turned into transcripts first: pages of ``PAGE`` turns, so a conversation of any
-length is bounded work, and equal rows are merged before they meet.
+The table of conversations is turned into transcripts first, and equal rows are merged before they meet. Units of
+work are pages of ``PAGE`` turns; a page of more than ``MOST_ROWS`` rows is cut into parts of ``PAGE`` rows by rank, so
+rows that turns don't tell apart are bounded work too. Decoding is exact for the whole conversation: each unit gives
+the best scores from a state of its first line to a state of the next unit's (max-plus matrices), these are combined
+in order, and units are decoded between the states so found. The renderings of a conversation's units, in order of
+page and part, join to the rendering of the whole.
 
 Results for odd input: a null text is an empty line; a null role is ``user`` when a transcript is written and
 isn't learned from; repeated rows count once; turns that tie are ordered by role and text; rows without turn
@@ -23,12 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kvatlas.llm.shared import table
+from kvatlas.llm.shared import stored, table
 
 ROLES, PAGE, MOST_PAGES = ("system", "user", "assistant"), 64, 1000
+MOST_ROWS, BLOCK = 16 * PAGE, 4096  # rows of an undivided page; units whose matrices are combined at once
 #: Names that mark a speaker, by role.
 NAMES = {
     "system": ("system", "instructions", "context", "note"),
@@ -70,20 +75,59 @@ class Model:
     def __init__(self, start, step, marker, question, length) -> None:
         self.start, self.step, self.marker, self.question, self.length = start, step, marker, question, length
 
-    def path(self, seen: list[tuple[int, int, int, int]]) -> list[int]:
-        """Viterbi's best states; ties go to the lower state."""
+    def emit(self, seen: list[tuple[int, int, int, int]]) -> np.ndarray:
         kind, asks, size = (np.array(x) for x in list(zip(*seen, strict=True))[:3])
-        emit = self.marker[:, kind] + self.question[:, asks] + self.length[:, size]
-        best, back = self.start + emit[:, 0], []
+        return self.marker[:, kind] + self.question[:, asks] + self.length[:, size]
+
+    def path(self, seen: list[tuple[int, int, int, int]], first: int | None = None, after: int | None = None) -> list[int]:
+        """Viterbi's best states; ties go to the lower state.
+
+        ``first`` is the first line's state where it is known, ``after`` that of the line behind the last.
+        """
+        emit = self.emit(seen)
+        best, back = (self.start if first is None else np.where(np.arange(len(self.start)) == first, 0.0, -np.inf)) + emit[:, 0], []
         for t in range(1, emit.shape[1]):
             options = best[:, None] + self.step
             back.append(options.argmax(0))
             best = options.max(0) + emit[:, t]
-        out = [int(best.argmax())]
+        out = [int((best if after is None else best + self.step[:, after]).argmax())]
         for b in reversed(back):
             out.append(int(b[out[-1]]))
         return out[::-1]
 
+    def span(self, seen: list[tuple[int, int, int, int]]) -> np.ndarray:
+        """S x (S + 1) best scores from each state of the first line: to each state behind the last line, and to the end."""
+        emit = self.emit(seen)
+        best = np.where(np.eye(len(self.start), dtype=bool), emit[:, 0], -np.inf)
+        for t in range(1, emit.shape[1]):
+            best = (best[:, :, None] + self.step).max(1) + emit[:, t]
+        return np.column_stack([(best[:, :, None] + self.step).max(1), best.max(1)])
+
+
+def joined(spans: list[np.ndarray]) -> np.ndarray:
+    """The span of consecutive spans."""
+    out = spans[-1]
+    for m in reversed(spans[:-1]):
+        out = (m[:, :-1, None] + out[None, :, :]).max(1)
+    return out
+
+
+def firsts(spans: list[np.ndarray], first: int | None, rest: np.ndarray | None, start: np.ndarray) -> list[tuple[int, np.ndarray | None]]:
+    """For consecutive spans: the best first state, and the scores to go behind it (None at the end).
+
+    ``first`` is None at a conversation's start; ``rest`` holds the scores to go behind the last span.
+    """
+    go = [rest]
+    for m in reversed(spans):
+        go.append(m[:, -1] if go[-1] is None else (m[:, :-1] + go[-1]).max(1))
+    go.reverse()
+    out, state = [], int((start + go[0]).argmax()) if first is None else first
+    for i, m in enumerate(spans):
+        out.append((state, go[i + 1]))
+        if go[i + 1] is not None:
+            state = int((m[state, :-1] + go[i + 1]).argmax())
+    return out
+
 
 def fit(pages: list[list[tuple[str, list[str]]]]) -> Model:
     """From pages of (role, lines): smoothed counts."""
@@ -129,8 +173,37 @@ def render(turns: list[tuple[str, str]]) -> str:
     return "".join(f"<|{role}|>\n{text}\n<|end|>\n" for role, text in turns)
 
 
+def piece(transcript: str, model: Model, first: int | None = None, after: int | None = None) -> tuple[list[str], str]:
+    """Roles of the turns that begin in a unit, and its part of the rendering.
+
+    A unit may go on with the turn before it, and the unit after it with its last turn.
+    """
+    lines = transcript.split("\n")
+    seen = [observe(x) for x in lines]
+    roles, out = [], []
+    for i, (line, (_, _, _, start), state) in enumerate(zip(lines, seen, model.path(seen, first, after), strict=True)):
+        if state % 2 == 0:
+            roles.append(ROLES[state // 2])
+            out.append(("<|end|>\n" if i else "") + f"<|{roles[-1]}|>\n{line[start:]}\n")
+        else:
+            out.append(line + "\n")
+    return roles, "".join(out) + ("<|end|>\n" if after is None or after % 2 == 0 else "")
+
+
+def ranked(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``df`` with ``rank``, from 0, within ``by``: by a sort over all tasks and sums of counts, so a hot group is split."""
+    ordered = stored(df.orderBy(*by, *order).withColumn("_i", F.monotonically_increasing_id()), "ranks").withColumn("_run", F.shiftright("_i", 33))
+    runs = ordered.groupBy(*by, "_run").agg(F.min("_i").alias("_least"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_run").alias("_at"), (F.col("_least") - before).alias("_zero"))
+    same = F.col("_run") == F.col("_at")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return ordered.join(runs, same).select(*df.columns, (F.col("_i") - F.col("_zero")).alias("rank"))
+
+
 def transcripts(conversations: DataFrame) -> DataFrame:
-    """conv_id, page, turns: array of (turn, role, line with marker), in order.
+    """conv_id, page, part, turns: array of (turn, role, line with marker), in order.
 
     A conversation has one style of markers, by a hash of its id; one turn in eight has a dash only.
     """
@@ -140,8 +213,18 @@ def transcripts(conversations: DataFrame) -> DataFrame:
     which = F.when(F.col("role") == "system", 0).when(F.col("role") == "assistant", 2).otherwise(1)
     mark = F.when(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(8)) == 0, F.lit("- ")).otherwise(F.element_at(F.element_at(marks, style + 1), which + 1))
     page = F.coalesce(F.floor(F.col("turn") / PAGE), F.lit(0)).cast("long").alias("page")
-    turn = F.struct("turn", "role", F.concat(mark, F.coalesce("text", F.lit(""))).alias("line"))
-    return rows.select("conv_id", page, turn.alias("t")).groupBy("conv_id", "page").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    line = F.concat(mark, F.coalesce("text", F.lit(""))).alias("line")
+    rows = rows.select("conv_id", page, "turn", "role", line)
+    hot = rows.groupBy("conv_id", "page").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_ROWS).select(F.col("conv_id").alias("hot_id"), F.col("page").alias("hot_page"))
+    hot = stored(hot, "hot")
+    own = F.col("conv_id").eqNullSafe(F.col("hot_id")) & (F.col("page") == F.col("hot_page"))
+    parts = rows.withColumn("part", F.lit(0).cast("long"))
+    if not hot.isEmpty():
+        large = ranked(rows.join(F.broadcast(hot), own, "left_semi"), ["conv_id", "page"], ["turn", "role", "line"])
+        small = parts.join(F.broadcast(hot), own, "left_anti")
+        parts = small.unionByName(large.withColumn("part", F.floor(F.col("rank") / PAGE)).drop("rank"))
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "line"))).alias("turns")
+    return parts.groupBy("conv_id", "page", "part").agg(turns)
 
 
 def train(pages: DataFrame, most_pages: int = MOST_PAGES) -> Model:
@@ -149,39 +232,93 @@ def train(pages: DataFrame, most_pages: int = MOST_PAGES) -> Model:
     n = pages.count()
     spot = F.pmod(F.xxhash64("conv_id", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rows = pages.where(spot < min(1.0, 1.1 * most_pages / max(1, n))).limit(most_pages).collect()
-    rows.sort(key=lambda r: (r["conv_id"] is None, r["conv_id"] or 0, r["page"]))
+    rows.sort(key=lambda r: (r["conv_id"] is None, r["conv_id"] or 0, r["page"], r["part"]))
     return fit([[(t["role"], t["line"].split("\n")) for t in r["turns"] if t["role"] in ROLES] for r in rows])
 
 
-def formatted(pages: DataFrame, model: Model) -> DataFrame:
-    """conv_id, page, n_turns, roles, rendered: from ``transcript``, without a look at the true roles."""
+def boundaries(units: DataFrame, model: Model) -> DataFrame:
+    """unit, first, after: states of the first line and of the line behind, for conversations of several units."""
+    count = units.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("conv_id").alias("long_id"))
+    count = stored(count, "long")
+    if count.isEmpty():
+        return units.sparkSession.createDataFrame([], "unit long, first int, after int")
+    own = units.join(count, F.col("conv_id").eqNullSafe(F.col("long_id")), "left_semi")
+    conv = F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("conv")
+
+    def span(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            spans = [model.span([observe(x) for x in t.split("\n")]).tobytes() for t in b["transcript"]]
+            yield b[["conv", "page", "part", "unit"]].assign(span=spans)
+
+    rows = own.select(conv, "page", "part", "unit", "transcript").mapInPandas(span, "conv string, page long, part long, unit long, span binary")
+    spans = stored(ranked(rows, ["conv"], ["page", "part"]).withColumn("block", F.floor(F.col("rank") / BLOCK)), "spans")
+    shape = (len(model.start), len(model.start) + 1)
+    read = lambda x: [np.frombuffer(b).reshape(shape) for b in x]
+
+    def whole(group: pd.DataFrame) -> pd.DataFrame:
+        g = group.sort_values("rank")
+        return g[["conv", "block"]].head(1).assign(span=[joined(read(g["span"])).tobytes()])
+
+    def between(group: pd.DataFrame) -> pd.DataFrame:
+        g = group.sort_values("block")
+        found = firsts(read(g["span"]), None, None, model.start)
+        return g[["conv", "block"]].assign(first=[f for f, _ in found], rest=[None if r is None else r.tobytes() for _, r in found])
+
+    def within(group: pd.DataFrame) -> pd.DataFrame:
+        g = group.sort_values("rank")
+        rest = g["rest"].iloc[0]
+        found = firsts(read(g["span"]), int(g["first"].iloc[0]), None if rest is None else np.frombuffer(rest), model.start)
+        first = [f for f, _ in found]
+        last = None if rest is None else int((read(g["span"].tail(1))[0][first[-1], :-1] + found[-1][1]).argmax())
+        return pd.DataFrame({"unit": g["unit"].to_numpy(), "first": first, "after": pd.array([*first[1:], last], dtype="Int32")})
+
+    blocks = spans.groupBy("conv", "block").applyInPandas(whole, "conv string, block long, span binary")
+    edges = blocks.groupBy("conv").applyInPandas(between, "conv string, block long, first int, rest binary")
+    return spans.join(edges, ["conv", "block"]).groupBy("conv", "block").applyInPandas(within, "unit long, first int, after int")
+
+
+def formatted(units: DataFrame, model: Model) -> DataFrame:
+    """conv_id, page, part, n_turns, roles, rendered: from ``transcript``, without a look at the true roles.
+
+    ``first`` and ``after`` are null where a conversation begins and ends.
+    """
+    state = lambda x: None if pd.isna(x) else int(x)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [parse(t, model) for t in batch["transcript"]]
+            found = [piece(t, model, state(f), state(a)) for t, f, a in zip(batch["transcript"], batch["first"], batch["after"], strict=True)]
             yield pd.DataFrame(
                 {
                     "conv_id": batch["conv_id"].astype("Int64"),
                     "page": batch["page"],
-                    "n_turns": [len(x) for x in found],
-                    "roles": [",".join(r for r, _ in x) for x in found],
-                    "rendered": [render(x) for x in found],
+                    "part": batch["part"],
+                    "n_turns": [len(x) for x, _ in found],
+                    "roles": [",".join(x) for x, _ in found],
+                    "rendered": [x for _, x in found],
                     "true_roles": batch["true_roles"],
                 }
             )
 
-    return pages.mapInPandas(read, "conv_id long, page long, n_turns int, roles string, rendered string, true_roles string")
+    return units.mapInPandas(read, "conv_id long, page long, part long, n_turns int, roles string, rendered string, true_roles string")
 
 
-def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = transcripts(table(spark, sf_dir, "conversations"))
-    model = train(pages)
-    raw = pages.select(
+def decoded(pages: DataFrame, model: Model) -> DataFrame:
+    """``formatted`` of what ``transcripts`` gives, with whole conversations' best paths."""
+    units = pages.select(
+        F.monotonically_increasing_id().alias("unit"),
         "conv_id",
         "page",
+        "part",
         F.array_join(F.transform("turns", lambda t: t["line"]), "\n").alias("transcript"),
         F.array_join(F.transform("turns", lambda t: F.coalesce(t["role"], F.lit("user"))), ",").alias("true_roles"),
     )
-    return formatted(raw, model).select(
-        "conv_id", "page", "n_turns", "roles", (F.col("roles") == F.col("true_roles")).alias("roles_right"), "rendered", F.sha2("rendered", 256).alias("sha256")
+    units = stored(units, "units")
+    return formatted(units.join(boundaries(units, model), "unit", "left"), model)
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = stored(transcripts(table(spark, sf_dir, "conversations")), "pages")
+    rows = decoded(pages, train(pages))
+    return rows.select(
+        "conv_id", "page", "part", "n_turns", "roles", (F.col("roles") == F.col("true_roles")).alias("roles_right"), "rendered", F.sha2("rendered", 256).alias("sha256")
     )

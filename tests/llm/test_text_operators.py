@@ -280,3 +280,29 @@ def test_chat_odd_rows(spark):
     assert got == {(1, 0): 2, (2, 0): 1, (None, 0): 1, (3, 3): 1}
     chat.train(pages)
     assert chat.transcripts(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_chat_decodes_whole_conversations(spark, monkeypatch):
+    """Long conversations, and rows that turns don't tell apart, against Viterbi's path over all their lines."""
+    rng = random.Random(4)
+    say = lambda role: rng.choice(["Why so?", "It is.", "- a dash", "more\nand more\nWhat?", "x" * 80])
+    rows = [(c, t, "user" if t % 2 else "assistant", say(t)) for c, n in ((1, 3), (2, 64), (3, 65), (4, 900)) for t in range(n)]
+    rows += [(None, rng.choice([None, 0, 1, 70]), rng.choice(["user", "assistant", None]), f"{say(0)} {i}") for i in range(3000)]
+    monkeypatch.setattr(chat, "BLOCK", 5)
+    pages = chat.transcripts(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3))
+    units = sorted(pages.collect(), key=lambda r: (r["conv_id"] or 0, r["page"], r["part"]))
+    assert max(len(r["turns"]) for r in units) <= chat.MOST_ROWS and sum(len(r["turns"]) for r in units) == len(set(rows))
+    assert len({(r["page"], r["part"]) for r in units if r["conv_id"] is None}) > 30
+    model = chat.train(pages)
+    got, whole = {}, {}
+    for r in sorted(chat.decoded(pages, model).collect(), key=lambda r: (r["conv_id"] or 0, r["page"], r["part"])):
+        own = got.setdefault(r["conv_id"], ["", []])
+        own[0], own[1] = own[0] + r["rendered"], own[1] + [x for x in r["roles"].split(",") if x]
+    for r in units:
+        whole.setdefault(r["conv_id"], []).extend(r["turns"])
+    assert set(got) == {None, 1, 2, 3, 4}
+    for conv, turns in whole.items():
+        order = [((t["turn"] or 0) // chat.PAGE, t["turn"] is not None, t["turn"] or 0, t["role"] is not None, t["role"] or "", t["line"]) for t in turns]
+        assert order == sorted(order)
+        want = chat.parse("\n".join(t["line"] for t in turns), model)
+        assert got[conv] == [chat.render(want), [r for r, _ in want]]
