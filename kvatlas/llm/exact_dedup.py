@@ -6,12 +6,15 @@
 3. The winners of the salts meet by (digest, text): at most ``salts`` rows a text.
 
 Every stage groups by the whole normalised text beside its digest, so texts are compared in full and a
-clash of digests can't merge two of them. Only digests, lengths and ids travel back to the rows.
+clash of digests can't merge two of them. Only digests, lengths and ids travel back to the rows; groups of more than
+one row in ``HOT`` go back by a broadcast of at most ``HOT`` rows, and their own rows are dealt out by a salt.
 
 Results for odd input: null text counts as empty, and all texts that are empty after normalising form one
 group; a row without id ranks after those with ids; rows that agree in text, length and id tie, and each of
-them counts in ``group_size`` and is marked like the winner; an empty table gives an empty result. Extra
-columns never clash: the input is projected first.
+them counts in ``group_size`` and is marked like the winner (``exact_dedup`` returns one of them, whichever original
+text it has: the texts then differ in white space only and are equally long); long texts are compared whole; an empty
+table gives an empty result. Extra columns never clash: the input is projected first, or its columns are told apart
+by names that it doesn't have.
 """
 
 from __future__ import annotations
@@ -21,61 +24,78 @@ from pyspark.sql import functions as F
 
 from kvatlas.llm.shared import BLANK, stored, table
 
+SALTS, HOT = 64, 1000
+
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"[{BLANK}]+", "")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: one row for each input row."""
-    norm = normalised(F.col(text_col))
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, chars, norm, and digests of norm: with these alone, results travel back without the text."""
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         F.length(F.coalesce(text_col, F.lit(""))).alias("chars"),
-        norm.alias("norm"),
-    ).select(
-        "doc_id",
-        "chars",
-        "norm",
-        F.sha2("norm", 256).alias("sha"),
-        # with the digest these make the key on which results travel back, without the text
-        F.xxhash64("norm").alias("second"),
+        normalised(F.col(text_col)).alias("norm"),
     )
+    return rows.select("doc_id", "chars", "norm", F.sha2("norm", 256).alias("sha"), F.xxhash64("norm").alias("second"))
+
+
+def winners(rows: DataFrame, salts: int = SALTS) -> DataFrame:
+    """sha, second, keep_id, keep_chars, group_size: one row for each different text of ``rows`` (``_keyed``)."""
     best = F.min(F.struct((-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id"))
     salted = (
         rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "chars"), F.lit(salts)))
         .groupBy("sha", "second", "salt", "norm")
         .agg(best.alias("best"), F.count(F.lit(1)).alias("n"))
     )
-    winners = (
+    return (
         salted.groupBy("sha", "second", "norm")
         .agg(F.min("best").alias("best"), F.sum("n").alias("group_size"))
         .select("sha", "second", F.col("best.doc_id").alias("keep_id"), (-F.col("best.less")).alias("keep_chars"), "group_size")
     )
-    return (
-        rows.select("doc_id", "chars", "sha", "second")
-        .join(stored(winners, "exact"), ["sha", "second"])
-        .select(
-            "doc_id",
-            "keep_id",
-            "group_size",
-            (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("keep_chars"))).alias("kept"),
-            F.col("sha").alias("text_sha256"),
-        )
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256: one row for each input row."""
+    rows = _keyed(docs, id_col, text_col)
+    best = stored(winners(rows, salts), "exact")
+    total = best.agg(F.coalesce(F.sum("group_size"), F.lit(0))).head()[0]
+    found = ["keep_id", "keep_chars", "group_size"]
+    hot = best.where(F.col("group_size") > max(total // HOT, 1000)).select("sha", "second", F.struct(*found).alias("hot"))
+    rest = best.select(F.col("sha").alias("at"), F.col("second").alias("at_second"), F.struct(*found).alias("own"))
+    # a row that the broadcast served meets no row of the rest, and a salt spreads such rows
+    at = F.when(F.col("hot").isNull(), F.col("sha")).otherwise(F.concat_ws("-", "sha", F.pmod(F.xxhash64("doc_id", "chars"), F.lit(997))))
+    rows = rows.select("doc_id", "chars", "sha", "second").join(F.broadcast(hot), ["sha", "second"], "left").withColumn("key", at)
+    rows = rows.join(rest, (F.col("key") == F.col("at")) & (F.col("second") == F.col("at_second")), "left").withColumn("best", F.coalesce("hot", "own"))
+    return rows.select(
+        "doc_id",
+        F.col("best.keep_id").alias("keep_id"),
+        F.col("best.group_size").alias("group_size"),
+        (F.col("doc_id").eqNullSafe(F.col("best.keep_id")) & (F.col("chars") == F.col("best.keep_chars"))).alias("kept"),
+        F.col("sha").alias("text_sha256"),
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of identical winning rows, one."""
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns; of equal winning rows, one.
+
+    Rows are told apart by id, length and digests. Repeated rows are merged in their tasks before they meet, and
+    the join with the winners keeps that partitioning.
+    """
     names = docs.columns
-    kept = (
-        exact_groups(docs, id_col, text_col, salts)
-        .where("kept")
-        .select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
+    key = {
+        "no_id": F.col(id_col).isNull(),
+        "id": F.coalesce(F.col(id_col).cast("string"), F.lit("")),
+        "chars": F.length(F.coalesce(text_col, F.lit(""))),
+        "sha": F.sha2(normalised(F.col(text_col)), 256),
+    }
+    own = {k: f"_{k}{'_' * max(map(len, names), default=0)}" for k in key}  # longer than all names
+    rows = docs.select("*", *[c.alias(own[k]) for k, c in key.items()]).dropDuplicates(list(own.values()))
+    best = winners(_keyed(docs, id_col, text_col), salts).select(
+        F.col("keep_id").isNull().alias(own["no_id"]), F.coalesce(F.col("keep_id").cast("string"), F.lit("")).alias(own["id"]), F.col("keep_chars").alias(own["chars"]), F.col("sha").alias(own["sha"])
     )
-    rows = docs.withColumn("_sha", F.sha2(normalised(F.col(text_col)), 256))
-    same = F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha"))
-    return rows.join(kept, same, "left_semi").dropDuplicates([id_col, "_sha"]).select(*names)
+    return rows.join(best, list(own.values()), "left_semi").select(*names)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
