@@ -5,13 +5,15 @@ of distinct grams that two texts share, over the root of the product of their nu
 
 Model: kernel ridge regression, one against the rest, on Nyström features. With landmarks Z the feature map is
 K(x, Z) K(Z, Z)^(-1/2), and the ridge weights are fitted on a bounded sample of labelled texts. K(x, Z) is the
-product of x's presence vector with the landmarks' presence matrix, so the fitted model folds into one matrix
-(grams x languages); scoring is a product of batches of presence vectors with it, over the root of each
-text's number of distinct grams.
+product of x's presence vector with the landmarks' presence matrix, of all grams that any landmark has, so the fitted
+model folds into one matrix (grams x languages) without loss; scoring is a product of batches of presence vectors with
+it, over the root of each text's number of distinct grams. The score is the best language's share of the two best
+languages' values, so it doesn't depend on how many languages there are.
 
-The sample (parameters): about ``per_language`` rows of each of the ``most_languages`` commonest languages,
-picked by a hash of the id, of at most ``most_chars`` code points each. Only the fit uses it; texts are scored
-whole.
+The sample (parameters): about ``per_language`` rows of each language, fewer if there are so many languages that these
+would be more than ``most_rows``, but one at least (of the ``most_rows`` commonest languages); picked by a hash of id and text, of at most ``most_chars`` code points
+each. Every language of the sample can be predicted. Landmarks go round the languages: ``landmarks``, or eight for
+each language, at most ``most_landmarks``. Only the fit uses the sample; texts are scored whole.
 
 Results for odd input: null text, and text without a letter, are ``und`` with score 0; long texts are scored
 whole; repeated rows get the same result; rows without language aren't learned from; without any labelled row
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from kvatlas.llm.shared import table
 
-PER_LANGUAGE, MOST_LANGUAGES, MOST_CHARS, LANDMARKS, RIDGE, GRAMS = 300, 200, 20_000, 160, 1e-2, 40_000
+PER_LANGUAGE, MOST_ROWS, MOST_CHARS, LANDMARKS, MOST_LANDMARKS, RIDGE = 300, 3000, 20_000, 160, 800, 1e-2
 UNKNOWN = "und"
 _LETTER = r"\p{L}"
 
@@ -58,42 +60,49 @@ class Model:
         self.languages, self.codes, self.weights, self.bias = languages, codes, weights, bias
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        """One-against-rest scores, about -1 to 1: a batched matrix product."""
-        presence, norm = np.zeros((len(texts), len(self.codes)), np.float32), np.ones(len(texts))
-        for i, t in enumerate(texts):
-            g = grams(t)
-            norm[i] = np.sqrt(max(1, len(g)))
-            at = np.searchsorted(self.codes, g)
-            at[at == len(self.codes)] = 0
-            presence[i, at[self.codes[at] == g]] = 1
-        return presence @ self.weights / norm[:, None] + self.bias
-
-
-def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE, most_grams: int = GRAMS) -> Model:
-    """Fit on texts in a fixed order; landmarks go round the languages."""
+        """One-against-rest scores, about -1 to 1: a product of the batch's presence matrix with the weights."""
+        sets = [grams(t) for t in texts]
+        norm = np.sqrt([max(1, len(g)) for g in sets])
+        found = np.concatenate(sets)
+        at = np.searchsorted(self.codes, found)
+        at[at == len(self.codes)] = 0
+        here = self.codes[at] == found
+        columns, column = np.unique(at[here], return_inverse=True)
+        presence = np.zeros((len(texts), len(columns)), np.float32)
+        presence[np.repeat(np.arange(len(texts)), [len(g) for g in sets])[here], column] = 1
+        return presence @ self.weights[columns] / norm[:, None] + self.bias
+
+
+def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE, most_landmarks: int = MOST_LANDMARKS) -> Model:
+    """Fit on texts in a fixed order."""
     languages = sorted(set(labels))
     turns: dict[str, int] = {}
     turn = [turns.update({y: turns.get(y, 0) + 1}) or turns[y] for y in labels]
-    chosen = sorted(range(len(texts)), key=lambda i: (turn[i], i))[: max(landmarks, 8 * len(languages))]
+    chosen = sorted(range(len(texts)), key=lambda i: (turn[i], i))[: min(max(landmarks, 8 * len(languages)), most_landmarks)]
     sets = [grams(t) for t in texts]
-    # the presence matrix of the landmarks, over grams of two landmarks at least (the commonest, if too many)
-    codes, count = np.unique(np.concatenate([sets[i] for i in chosen]), return_counts=True)
-    order = np.lexsort((codes, -count))[: min(most_grams, max(1, int((count > 1).sum())))]
-    codes = np.sort(codes[order])
+    # the landmarks' presence matrix by grams: which landmarks have each gram
+    which = np.repeat(np.arange(len(chosen)), [len(sets[i]) for i in chosen])
+    found = np.concatenate([sets[i] for i in chosen])
+    order = np.argsort(found, kind="stable")
+    found, which = found[order], which[order]
+    starts = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1]))) if len(found) else np.empty(0, np.int64)
+    codes, count = found[starts], np.diff(np.append(starts, len(found)))
     norm = np.sqrt([max(1, len(s)) for s in sets])
 
-    def presence(rows: list[int]) -> np.ndarray:
-        out = np.zeros((len(rows), len(codes)), np.float32)
-        for r, i in enumerate(rows):
-            out[r, np.searchsorted(codes, np.intersect1d(codes, sets[i], assume_unique=True))] = 1
-        return out
-
-    z = presence(chosen) / norm[chosen][:, None]
-    values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
+    def shared(s: np.ndarray) -> np.ndarray:
+        """How many grams of ``s`` each landmark has."""
+        at = np.searchsorted(codes, s)
+        at[at == len(codes)] = 0
+        at = at[codes[at] == s] if len(codes) else at[:0]
+        ends = np.cumsum(count[at])
+        rows = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - ends + count[at], count[at])
+        return np.bincount(which[rows], minlength=len(chosen))
+
+    with_landmarks = np.array([shared(s) for s in sets]) / norm[:, None] / norm[chosen][None, :]
+    values, vectors = np.linalg.eigh(with_landmarks[chosen])
     good = values > 1e-6 * values[-1]
     root = vectors[:, good] / np.sqrt(values[good])  # K(Z, Z)^(-1/2), up to a rotation
-    features = np.concatenate([(presence(list(range(a, min(a + 256, len(sets))))) @ z.T) for a in range(0, len(sets), 256)])
-    features = features / norm[:, None] @ root
+    features = with_landmarks @ root
     target = np.where(np.array(labels)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     # each language weighs the same
     weight = np.array([1.0 / labels.count(y) for y in languages])[[languages.index(y) for y in labels]]
@@ -101,23 +110,29 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge:
     mean_x, mean_y = np.average(features, 0, weight), np.average(target, 0, weight)
     x, y = features - mean_x, target - mean_y
     w = np.linalg.solve(x.T @ (x * weight[:, None]) + ridge * len(x) * np.eye(x.shape[1]) * 0.1, x.T @ (y * weight[:, None]))
-    return Model(languages, codes, (z.T @ (root @ w)).astype(np.float32), mean_y - mean_x @ w)
+    of_landmark = root @ w / norm[chosen][:, None]
+    folded = np.add.reduceat(of_landmark[which], starts, axis=0) if len(starts) else np.zeros((0, len(languages)))
+    return Model(languages, codes, folded.astype(np.float32), mean_y - mean_x @ w)
 
 
 def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES, most_chars: int = MOST_CHARS) -> Model | None:
+          per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS, most_chars: int = MOST_CHARS) -> Model | None:
     """Fit on a bounded sample of the rows where ``usable`` holds."""
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.length(text_col).between(1, most_chars)).select(
-        F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("y")
+        F.col(text_col).alias("t"),
+        F.col(lang_col).alias("y"),
+        (F.pmod(F.xxhash64(F.col(id_col).cast("string"), text_col, F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("spot"),
     )
-    counts = rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(most_languages).collect()
+    # repeated rows have one spot, and count once
+    counts = rows.groupBy("y").agg(F.approx_count_distinct("spot").alias("n"), F.min("spot").alias("least")).orderBy(F.desc("n"), "y").limit(most_rows).collect()
     if not counts:
         return None
-    # a threshold on the id's hash keeps about per_language rows of each language, however many there are
-    share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["y"], min(1.0, 1.2 * per_language / r["count"]))]), F.col("y"))
-    spot = F.pmod(F.xxhash64(F.col("i").cast("string"), F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(spot < F.coalesce(share, F.lit(0.0))).limit(2 * per_language * len(counts)).collect()
-    sample.sort(key=lambda r: (r["y"], r["i"] is None, r["i"] or 0, r["t"]))
+    per_language = max(1, min(per_language, most_rows // len(counts)))
+    # a threshold keeps about per_language rows of each language, however many there are, and one at least
+    shares = [(r["y"], max(1.2 * per_language / r["n"], float(np.nextafter(r["least"], 2)))) for r in counts]
+    shares = docs.sparkSession.createDataFrame(shares, "y string, share double")
+    likely = rows.join(F.broadcast(shares), "y").where("spot < share").select("spot", "y", "t").distinct()
+    sample = likely.orderBy("spot", "y", "t").limit(2 * per_language * len(counts)).collect()
     kept: dict[str, list] = {}
     for r in sample:
         if len(own := kept.setdefault(r["y"], [])) < per_language:
@@ -135,7 +150,8 @@ def _languages(texts: list[str | None], model: Model | None) -> list[tuple[str,
         part = known[a : a + 64]
         s = np.clip((model.scores([texts[i] for i in part]) + 1) / 2, 0, 1)
         for i, b, row in zip(part, s.argmax(1), s, strict=True):
-            out[i] = (model.languages[b], float(row[b] / max(row.sum(), 1.0)))
+            two = np.sort(row)[-2:]
+            out[i] = (model.languages[b], float(row[b] / two.sum()) if len(two) > 1 and two.sum() > 0 else float(row[b]))
     return out
 
 
