@@ -6,30 +6,32 @@ aren't negative, so a long sentence can't talk an offending word down. The docum
 1 - product(1 - p). Weights are learned from document labels alone, by gradient steps on the log-loss of the
 noisy-or with a small L1 term, and the sentence scores then locate what offends.
 
-The fit uses a bounded sample (parameter ``most_rows``) of labelled rows, picked by a hash of the id, of at most
-``most_chars`` code points each; its vocabulary is the words of at least ``least_docs`` of these. Texts are
-scored whole.
+The fit uses a bounded sample of labelled rows, the first ``most_rows`` by a hash of the id, of at most ``most_chars``
+code points each, and of these as many as hold ``most_features`` features; only features of ``least_docs`` documents
+count. Words and stems are 64-bit hashes, made in the tasks: what comes to the driver are the sampled documents as
+numbers of their features, never texts. Weights that end at 0 are left out, no others. Texts are scored whole.
 
 Results for odd input: null and empty texts have no sentences and score 0; long texts are scored whole; repeated
 rows get the same result; rows without a label aren't learned from; without any label all scores are 0; an empty
-table gives an empty result. Extra columns are left out, so names can't clash.
+table gives an empty result, and a table without texts trains nothing. Extra columns are left out, so names can't clash.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvatlas.llm.langid import fold
-from kvatlas.llm.shared import table
+from kvatlas.llm.shared import dropped, stored, table
 
-MOST_ROWS, MOST_CHARS, LEAST_DOCS, STEPS, RATE, LASSO, FIRST_BIAS = 5000, 20_000, 4, 100, 0.1, 1e-5, -7.0
+MOST_ROWS, MOST_CHARS, MOST_FEATURES, LEAST_DOCS, STEPS, RATE, LASSO, FIRST_BIAS = 5000, 20_000, 4_000_000, 4, 100, 0.1, 1e-5, -7.0
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -46,43 +48,59 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def features(word: str) -> tuple[str, ...]:
-    """The word and its stems; a hyphen marks a stem."""
-    return (word, word[:4] + "-", word[:5] + "-") if len(word) > 4 else (word, word + "-")
+def features(word: str) -> tuple[int, ...]:
+    """Hashes of the word and of its stems; a hyphen marks a stem."""
+    names = (word, word[:4] + "-", word[:5] + "-") if len(word) > 4 else (word, word + "-")
+    return tuple(xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in names)
 
 
-class WordWeights(dict):
-    """word -> weight of its features, kept between texts; emptied when it holds ``limit`` words."""
+class Kept(dict):
+    """word -> ``of(word)``, kept between texts; emptied when it holds ``limit`` words."""
 
-    def __init__(self, weights: dict[str, float], limit: int = 300_000) -> None:
+    def __init__(self, of, limit: int = 200_000) -> None:
         super().__init__()
-        self.weights, self.limit = weights, limit
+        self.of, self.limit = of, limit
 
-    def __missing__(self, word: str) -> float:
+    def __missing__(self, word: str):
         if len(self) >= self.limit:
             self.clear()
-        value = self[word] = sum(self.weights.get(f, 0.0) for f in features(word))
+        value = self[word] = self.of(word)
         return value
 
 
+def words_of(text: str) -> Iterator[tuple[int, int, set[str]]]:
+    """Start, end and distinct words of each sentence."""
+    low = text.lower()
+    same = len(low) == len(text)
+    for a, b in sentences(text):
+        yield a, b, set(WORD.findall(low[a:b] if same else text[a:b].lower()))
+
+
+def bag(text: str, kept: Kept) -> tuple[list[int], list[int]]:
+    """The number of features of each sentence, and all these features, one behind the other."""
+    sizes, found = [], []
+    for _, _, words in words_of(text):
+        before = len(found)
+        for w in sorted(words):
+            found += kept[w]
+        sizes.append(len(found) - before)
+    return sizes, found
+
+
 class Model:
-    def __init__(self, weights: dict[str, float], bias: float) -> None:
-        self.weights, self.bias = weights, bias
-        self.words = WordWeights(weights)
+    """``codes``: ascending hashes of features; ``weights``: theirs."""
+
+    def __init__(self, codes: np.ndarray, weights: np.ndarray, bias: float) -> None:
+        self.codes, self.weights, self.bias = codes, weights, bias
+        own = dict(zip(codes.tolist(), weights.tolist(), strict=True))
+        self.words = Kept(lambda word: sum(own.get(f, 0.0) for f in features(word)))
 
     def __reduce__(self):
-        return Model, (self.weights, self.bias)
+        return Model, (self.codes, self.weights, self.bias)
 
     def sentence_scores(self, text: str) -> list[tuple[int, int, float]]:
         """Start, end and sum of weights of each sentence."""
-        out = []
-        low = text.lower()
-        same = len(low) == len(text)
-        for a, b in sentences(text):
-            own = WORD.findall(low[a:b] if same else text[a:b].lower())
-            z = sum(map(self.words.__getitem__, set(own)))
-            out.append((a, b, z))
-        return out
+        return [(a, b, sum(map(self.words.__getitem__, words))) for a, b, words in words_of(text)]
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """The noisy-or over sentences, and each sentence's start, end and score."""
@@ -94,20 +112,18 @@ class Model:
         return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())), [(a, b, float(q)) for (a, b, _), q in zip(spans, p, strict=True)]
 
 
-def fit(texts: list[str], labels: list[int], least_docs: int = LEAST_DOCS, steps: int = STEPS) -> Model:
-    """Noisy-or by gradient descent (Adam) over all the sample at once."""
-    split = [[set(WORD.findall(t[a:b].lower())) for a, b in sentences(t)] for t in texts]
-    split = [[[f for w in sorted(s) for f in features(w)] for s in own] for own in split]
-    count = Counter(w for own in split for w in set().union(*own))
-    words = sorted(w for w, n in count.items() if n >= least_docs)
-    index = {w: i for i, w in enumerate(words)}
-    bags = [(d, [[index[w] for w in s if w in index] for s in own]) for d, own in enumerate(split)]
-    doc_of = np.array([d for d, own in bags for _ in own], np.int64)
-    sent_of = np.array([k for k, s in enumerate(s for _, own in bags for s in own) for _ in s], np.int64)
-    word_of = np.array([w for _, own in bags for s in own for w in s], np.int64)
+def fit(codes: np.ndarray, labels: list[int], n_sentences: np.ndarray, sizes: np.ndarray, word_of: np.ndarray, steps: int = STEPS) -> Model:
+    """Noisy-or by gradient descent (Adam) over all the sample at once.
+
+    Documents have ``n_sentences`` each, sentences have ``sizes`` features each, ``word_of`` are their places in ``codes``.
+    """
+    words = codes
+    doc_of = np.repeat(np.arange(len(labels)), n_sentences)
+    sent_of = np.repeat(np.arange(len(sizes)), sizes)
+    word_of = word_of.astype(np.int64)
     y = np.array(labels, float)
     weight = np.full(len(y), 1.0 / len(y))
-    w, bias = np.zeros(len(words)), FIRST_BIAS
+    bias = FIRST_BIAS
     m, v = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
     # start from the words' smoothed log-odds, which the bags' gradient then sharpens
     in_doc = np.unique(doc_of[sent_of] * max(1, len(words)) + word_of) if len(word_of) else np.empty(0, np.int64)
@@ -126,22 +142,74 @@ def fit(texts: list[str], labels: list[int], least_docs: int = LEAST_DOCS, steps
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, bias = np.maximum(w - step[:-1], 0), bias - step[-1]  # words add evidence and never take it away
-    return Model({words[i]: float(x) for i, x in enumerate(w) if abs(x) > 0.05}, float(bias))
+    good = w > 0
+    return Model(codes[good], w[good], float(bias))
+
+
+def fit_bags(bags: list[tuple[list[int], list[int]]], labels: list[int], least_docs: int = LEAST_DOCS, steps: int = STEPS) -> Model:
+    """``fit`` from each document's ``bag``, of which features of ``least_docs`` documents count."""
+    codes, count = np.unique(np.concatenate([np.unique(np.array(f, np.int64)) for _, f in bags]), return_counts=True)
+    codes = codes[count >= least_docs]
+    own = [known(codes, np.array(s, np.int64), np.array(f, np.int64)) for s, f in bags]
+    return fit(codes, labels, np.array([len(s) for s, _ in own]), np.concatenate([s for s, _ in own]), np.concatenate([f for _, f in own]), steps)
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, most_rows: int = MOST_ROWS, most_chars: int = MOST_CHARS,
-          id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
+def known(codes: np.ndarray, sizes: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A bag's sizes and features, with only features of ``codes`` left and named by their places there."""
+    at = np.searchsorted(codes, found)
+    at[at == len(codes)] = 0
+    good = codes[at] == found if len(codes) else np.zeros(len(found), bool)
+    sentence = np.repeat(np.arange(len(sizes)), sizes)
+    return np.bincount(sentence[good], minlength=len(sizes)), at[good].astype(np.int32)
+
+
+def train(docs: DataFrame, labels: DataFrame, usable: Column, most_rows: int = MOST_ROWS, most_chars: int = MOST_CHARS, most_features: int = MOST_FEATURES,
+          least_docs: int = LEAST_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
     """Fit on a bounded sample of the labelled rows where ``usable`` holds (a condition on doc_id)."""
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(usable & F.col("y").isin(0, 1))
-    n = known.count()
-    if not n:
-        return None
-    spot = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    labelled = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(usable & F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
+    spot = F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)).alias("spot")
+    chosen = labelled.distinct().select("doc_id", "y", spot).orderBy("spot", "doc_id", "y").limit(most_rows)
     # the sample has most_rows rows at most, which is what bounds the broadcast
-    sample = known.where(spot < min(1.0, 1.1 * most_rows / n)).limit(most_rows)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).where(F.length("t").between(1, most_chars)).join(F.broadcast(sample), "doc_id")
-    rows = sorted(rows.limit(2 * most_rows).collect(), key=lambda r: (r["doc_id"], r["y"], r["t"]))
-    return fit([r["t"] for r in rows], [r["y"] for r in rows]) if rows else None
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text").between(1, most_chars)).join(F.broadcast(chosen), "doc_id")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = Kept(features)
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                own = [bag(t, kept) for t in part.column("text").to_pylist()]
+                columns = [part.column(c) for c in ("doc_id", "y", "spot", "second")]
+                columns += [pa.array([s for s, _ in own], pa.list_(pa.int32())), pa.array([f for _, f in own], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "y", "spot", "second", "sizes", "found"])
+
+    rows = texts.select("doc_id", "y", "spot", F.xxhash64("text").alias("second"), "text")
+    bags = stored(rows.mapInArrow(read, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, y int, spot long, second long, sizes array<int>, found array<long>"), "bags")
+    key = ["spot", "doc_id", "y", "second"]
+    order = bags.select(*key, F.size("found").alias("n")).distinct().orderBy(*key).limit(most_rows).collect()
+    ends = np.cumsum([r["n"] for r in order])
+    order = order[: max(1, int(np.searchsorted(ends, most_features, side="right")))]
+    if not order:
+        return None
+    last = order[-1]
+    ahead = F.struct(*key) <= F.struct(*[F.lit(last[c]).cast(bags.schema[c].dataType) for c in key])
+    sample = bags.where(ahead).dropDuplicates(key)
+    counts = sample.select(F.explode(F.array_distinct("found")).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    codes = np.sort(counts.where(F.col("n") >= least_docs).select("code").toArrow().column("code").to_numpy())
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [known(codes, np.array(s, np.int64), np.array(f, np.int64)) for s, f in zip(batch.column("sizes").to_pylist(), batch.column("found").to_pylist(), strict=True)]
+            columns = [batch.column(c) for c in ("spot", "id", "y", "second")]
+            columns += [pa.array([x[k].astype(np.int32) for x in own], pa.list_(pa.int32())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, ["spot", "id", "y", "second", "sizes", "found"])
+
+    numbered = sample.select("spot", F.col("doc_id").cast("string").alias("id"), "y", "second", "sizes", "found")
+    got = numbered.mapInArrow(number, "spot long, id string, y int, second long, sizes array<int>, found array<int>").toArrow()
+    dropped(bags)
+    got = got.sort_by([(c, "ascending") for c in ("spot", "id", "y", "second")])
+    sizes, found = (got.column(c).combine_chunks() for c in ("sizes", "found"))
+    n_sentences = np.diff(sizes.offsets.to_numpy())
+    return fit(codes, got.column("y").to_pylist(), n_sentences, sizes.flatten().to_numpy(), found.flatten().to_numpy())
 
 
 def scored(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

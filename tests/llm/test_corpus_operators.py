@@ -54,7 +54,25 @@ def test_exact_groups(docs):
     assert got == want
     kept = exact_dedup.exact_dedup(docs)
     assert kept.columns == docs.columns and kept.count() == len(groups)
-    assert exact_dedup.exact_groups(docs.limit(0)).count() == 0
+    assert exact_dedup.exact_groups(docs.limit(0)).count() == 0 and exact_dedup.exact_dedup(docs.limit(0)).count() == 0
+
+
+def test_exact_keeps_the_longest_of_rows_that_share_an_id(spark):
+    for rows in ([(1, "ab"), (1, "a   b")], [(1, "a   b"), (1, "ab")], [(None, "ab"), (None, "a   b"), (None, "a   b")]):
+        df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, _sha string, best string")
+        for n in (1, 4):
+            assert [r["text"] for r in exact_dedup.exact_dedup(df.repartition(n)).collect()] == ["a   b"]
+
+
+def test_exact_hot_group_and_long_text(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT", 3)
+    long = "ab c" * 700_000
+    rows = [(i, " hot text" + " " * (i % 3)) for i in range(4000)] + [(9000, long), (9001, long + "\n"), (9002, None), (9003, "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(df).collect()}
+    assert len(got) == len(rows) and all(got[i] == (2, 4000, i == 2) for i in range(4000))
+    assert got[9000] == (9001, 2, False) and got[9001] == (9001, 2, True) and got[9002] == (9002, 1, True) and got[9003] == (9003, 1, True)
+    assert sorted(r["doc_id"] for r in exact_dedup.exact_dedup(df).select("doc_id").collect()) == [2, 9001, 9002, 9003]
 
 
 def water_fill(sizes, weights):
@@ -96,47 +114,100 @@ def test_mixing(docs):
 
 
 def test_packing(docs):
-    rows = packing.packed(docs, lengths=(32, 64, 256), shard_docs=40).collect()
-    size = Counter()
-    for r in rows:
-        size[r["doc_id"]] += r["n_tokens"]
+    lengths = (32, 64, 256)
+    rows = packing.packed(docs, lengths=lengths, shard_docs=40).collect()
     want = Counter()
     for i, t, *_ in corpus():
-        want[i] += len((t or "").split()) + 1
-    assert size == want  # nothing is dropped
-    bins = {}
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) + 1
+        want[i] += n
+    got, bins = Counter(), {}
     for r in rows:
+        got[r["doc_id"]] += r["n_tokens"]
         bins.setdefault(r["bin_id"], []).append(r)
+    assert got == want
     for own in bins.values():
         own.sort(key=lambda r: r["bin_offset"])
-        assert [r["bin_offset"] for r in own] == np.cumsum([0] + [r["n_tokens"] for r in own[:-1]]).tolist()
         used = sum(r["n_tokens"] for r in own)
-        assert {r["bin_used"] for r in own} == {used} and {r["bin_length"] for r in own} == {min(c for c in (32, 64, 256) if c >= used)}
+        assert {r["bin_used"] for r in own} == {used} and {r["bin_length"] for r in own} == {min(c for c in lengths if c >= used)}
+        assert [r["bin_offset"] for r in own] == [sum(x["n_tokens"] for x in own[:k]) for k in range(len(own))]
+    pieces = [(r["doc_id"], r["piece"]) for r in rows if r["doc_id"] == 6]  # 4,001 tokens
+    assert sorted(p for _, p in pieces) == list(range(16))
     assert packing.packed(docs.limit(0)).count() == 0
 
 
+def cheapest(sizes, lengths, open_cost):
+    """The least cost of any packing, over all ways to part the sizes into bins."""
+
+    def go(rest, bins):
+        if not rest:
+            return sum(min(c for c in lengths if c >= b) + open_cost for b in bins)
+        out = go(rest[1:], bins + [rest[0]])
+        for k in range(len(bins)):
+            if bins[k] + rest[0] <= lengths[-1]:
+                out = min(out, go(rest[1:], bins[:k] + [bins[k] + rest[0]] + bins[k + 1 :]))
+        return out
+
+    return go(list(sizes), [])
+
+
 def test_best_fit_by_brute_force():
+    """The same rule by plain searches over all bins and all sizes to come."""
     rng = random.Random(3)
     for _ in range(50):
         sizes = sorted((rng.randint(1, 60) for _ in range(40)), reverse=True)
-        bins, cost = packing.pack(sizes, (16, 32, 64), 4, 16)
-        room, contents = [], []  # the same rule by a plain search over all bins
-        rest = sum(sizes)
-        for i, s in enumerate(sizes):
-            fits = [(r, b) for b, r in enumerate(room) if r >= s]
-            if fits:
-                b = min(fits)[1]
-            else:
-                length = min((c for c in (16, 32, 64) if c >= s), key=lambda c: ((c + 4) / min(c, rest), c))
-                room.append(length)
-                contents.append([])
-                b = len(room) - 1
-            room[b] -= s
-            contents[b].append(i)
-            rest -= s
-        assert contents == bins
-        assert cost == sum(min(c for c in (16, 32, 64) if c >= sum(sizes[i] for i in own)) + 4 for own in bins)
-
+        down = lambda used: min(c for c in (16, 32, 64) if c >= used) + 4
+        for may in ((64,), (32, 64), (16, 32, 64)):
+            cost, bins = packing.Shard(sizes, (16, 32, 64), 4).pack(may)
+            room, contents = [], []
+            for i, s in enumerate(sizes):
+                fits = [(r, b) for b, r in enumerate(room) if r >= s]
+                if fits:
+                    b = min(fits)[1]
+                else:
+                    trial = []
+                    for length in [c for c in may if c >= s]:
+                        held = s
+                        for later in sizes[i + 1 :]:
+                            held += later if held + later <= length else 0
+                        trial.append((down(held) / held, length))
+                    room.append(min(trial)[1])
+                    contents.append([])
+                    b = len(room) - 1
+                room[b] -= s
+                contents[b].append(i)
+            assert contents == bins and cost == sum(down(sum(sizes[i] for i in own)) for own in bins)
+
+
+def test_packing_optimises_lengths_jointly():
+    better = optimal = 0
+    for seed in range(150):
+        rng = random.Random(seed)
+        lengths, open_cost = rng.choice([(4, 7, 12), (3, 10), (5, 6, 9, 16)]), rng.randint(0, 3)
+        sizes = sorted([rng.randint(1, lengths[-1]) for _ in range(rng.randint(1, 7))], reverse=True)
+        shard = packing.Shard(sizes, lengths, open_cost)
+        cost, bins = shard.best()
+        assert sorted(m for b in bins for m in b) == list(range(len(sizes)))
+        used = [sum(sizes[m] for m in b) for b in bins]
+        assert cost == sum(min(c for c in lengths if c >= u) + open_cost for u in used)
+        single = min(shard.pack((c,))[0] for c in lengths if c >= sizes[0])
+        least = cheapest(sizes, lengths, open_cost)
+        assert least <= cost <= single and cost <= 1.35 * least
+        better += cost < single
+        optimal += cost == least
+    assert better >= 1 and optimal >= 120
+    # planted: fours fill bins of four, tens those of ten; one length alone can't do as well
+    shard = packing.Shard([10] * 6 + [4] * 10, (4, 10), 1)
+    assert shard.best()[0] == 6 * 11 + 10 * 5 < shard.pack((10,))[0]
+
+
+def test_packing_spreads_equal_rows(spark):
+    rows = [(None, "a b c")] * 3000 + [(7, "a b")] * 1500 + [(8, "w " * 30_000), (8, "w " * 30_000)]
+    got = packing.packed(spark.createDataFrame(rows, "doc_id long, text string"), shard_docs=100)
+    shards = got.where("bin_id not like 'full-%'").selectExpr("split(bin_id, '-')[0] as shard").groupBy("shard").count().collect()
+    assert max(r["count"] for r in shards) < 200 and sum(r["count"] for r in shards) == 4502
+    own = got.where("doc_id = 8").collect()
+    assert Counter((r["piece"], r["n_tokens"]) for r in own) == Counter({(0, 8192): 2, (1, 8192): 2, (2, 8192): 2, (3, 30_001 - 3 * 8192): 2})
+    assert len({r["bin_id"] for r in own if r["piece"] < 3}) == 6
 
 def brute_components(rows, k, num, den):
     words = WordHashes()

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kvatlas.llm import chat, jpeg, langid, media, pii, tokens, toxicity
 
@@ -122,7 +123,7 @@ def test_words_encode_like_whole_texts():
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    whole, by_word, rng = Tokenizer.from_file(path), tokens.word_encoder(path), random.Random(3)
+    whole, by_word, rng = Tokenizer.from_file(path), tokens.encoder(path).arrays, random.Random(3)
     letters = list("aZ'sdtÉé́İßΣς  \x1c\x85​<|endoftext|>09٣.,-_ \n\t\x0b") + ["<|endoftext|>", "<|ENDOFTEXT|>", "'ll", "é"]
     texts = ["".join(rng.choices(letters, k=rng.randint(0, 14))) for _ in range(5000)]
     for t, ids in zip(texts, by_word(texts), strict=True):
@@ -132,9 +133,12 @@ def test_words_encode_like_whole_texts():
 def test_chunks_move_with_their_text():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 49_000, 20_000).astype(np.uint32), rng.integers(0, 49_000, 777).astype(np.uint32)
-    pieces = lambda x: {x[s:e].tobytes() for s, e in zip([0, *tokens.cuts(x)[:-1]], tokens.cuts(x), strict=True)}
+    pieces = lambda x: {x[s:e].tobytes() for s, e in zip([0, *tokens.cuts(x)[0][:-1]], tokens.cuts(x)[0], strict=True)}
     both = pieces(a) & pieces(np.concatenate((b, a)))
-    assert len(both) > 0.9 * len(pieces(a)) and tokens.cuts(a)[-1] == len(a)
+    assert len(both) > 0.9 * len(pieces(a)) and tokens.cuts(a)[0][-1] == len(a)
+    # texts side by side are cut as each is alone
+    one = tokens.cuts(np.concatenate((b, a, b[:5])), np.array([0, 777, 20_777, 20_782]))
+    assert [[c - o for c in own] for own, o in zip(one, (0, 777, 20_777), strict=True)] == [tokens.cuts(b)[0], tokens.cuts(a)[0], [5]]
 
 
 def test_store_reconstructs(spark, odd):
@@ -143,7 +147,7 @@ def test_store_reconstructs(spark, odd):
     from kvatlas.llm.shared import scratch
 
     path = scratch(spark, "test")
-    encode = tokens.word_encoder(public_tokenizers.path("word_bpe_49k.json"))
+    encode = tokens.encoder(public_tokenizers.path("word_bpe_49k.json")).arrays
     tokens.write_store(odd, path, public_tokenizers.path("word_bpe_49k.json"))
     sums = tokens.document_sums(spark, path).collect()
     assert len(sums) == len(ODD) and all(r["verified"] for r in sums)
@@ -165,7 +169,17 @@ def test_crc_of_parts():
     rng = random.Random(4)
     for _ in range(50):
         a, b = rng.randbytes(rng.randint(0, 300)), rng.randbytes(rng.randint(0, 300))
-        assert tokens._times(tokens.crc_shift(len(b)), zlib.crc32(a)) ^ zlib.crc32(b) == zlib.crc32(a + b)
+        moved = tokens.crc_moved(np.array([zlib.crc32(a)]), np.array([len(b)]))
+        assert int(moved[0]) ^ zlib.crc32(b) == zlib.crc32(a + b)
+
+
+def test_known_words_are_forgotten_when_too_many(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(tokens, "WORDS_KEPT", 3)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    small, texts = tokens.Encoder(path), ["one two three four, 12 x", None, "five two. one", "été a-b"]
+    assert [x.tolist() for t in texts for x in small.arrays([t])] == [x.tolist() for x in tokens.encoder(path).arrays(texts)]
 
 
 WORDS = {"xx": "alpha bravo charlie delta echo", "yy": "uno dos tres cuatro cinco seis"}
@@ -199,6 +213,44 @@ def test_language_kernel_by_brute_force():
         assert np.allclose(model.scores([t])[0], want, atol=1e-4)
 
 
+def test_language_model_equals_nystrom_ridge():
+    """The folded weights against kernels from plain sets, and the ridge solution written out."""
+    texts, labels = [t for _, t, _ in sample(60)], [y for _, _, y in sample(60)]
+    sets = []
+    for t in texts:
+        b = t.lower().encode()
+        sets.append({b[i : i + n] for n in (1, 2, 3) for i in range(len(b) - n + 1)})
+    kernel = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    seen, turn = {}, []
+    for y in labels:
+        seen[y] = seen.get(y, 0) + 1
+        turn.append(seen[y])
+    z = sorted(range(60), key=lambda i: (turn[i], i))[:16]
+    values, vectors = np.linalg.eigh(kernel[np.ix_(z, z)])
+    good = values > 1e-6 * values[-1]
+    x = kernel[:, z] @ (vectors[:, good] / np.sqrt(values[good]))
+    names = sorted(set(labels))
+    y = np.array([[1.0 if a == b else -1.0 for b in names] for a in labels])
+    weight = np.array([60 / len(names) / labels.count(a) for a in labels])
+    xm, ym = np.average(x, 0, weight), np.average(y, 0, weight)
+    w = np.linalg.solve((x - xm).T @ ((x - xm) * weight[:, None]) + langid.RIDGE * 60 * np.eye(x.shape[1]) * 0.1, (x - xm).T @ ((y - ym) * weight[:, None]))
+    want = (x - xm) @ w + ym
+    assert np.allclose(langid.fit(texts, labels, landmarks=16).scores(texts), want, atol=1e-3)
+
+
+def test_language_has_no_cap_on_languages(spark):
+    rng, rows = random.Random(2), []
+    for k in range(230):
+        own = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(5)]
+        rows += [(8 * k + j, " ".join(rng.choices(own, k=12)), f"l{k}") for j in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, ~langid.fold("doc_id", 4, 2))
+    assert len(model.languages) == 230
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predicted(docs, model).collect()}
+    held = [(i, y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sum(got[i] == y for i, y in held) > 0.95 * len(held)
+
+
 def test_language_odd_rows(spark, odd):
     rows = {r["doc_id"]: r for r in langid.predicted(odd, langid.fit(["ab cd", "uv xy"], ["a", "b"])).collect()}
     assert {rows[i]["lang_pred"] for i in (0, 1, 2, 6)} == {"und"} and rows[4]["lang_pred"] in ("a", "b")
@@ -207,6 +259,13 @@ def test_language_odd_rows(spark, odd):
     assert {r["lang_pred"] for r in langid.predicted(unlabelled, None).collect()} == {"und"}
     kept = langid.accepted(odd, langid.fit(["ab cd", "uv xy"], ["a", "b"]), 0.0)
     assert kept.columns == odd.columns and kept.count() == len(ODD) - 4
+    model, none = langid.fit(["ab cd", "uv xy"], ["a", "b"]), odd.limit(0)
+    assert langid.predicted(none, model).count() == 0 and langid.accepted(none, model, 0.5).count() == 0
+    # hot ids and repeated rows don't fill the sample
+    hot = spark.createDataFrame([(None, "same text", "a")] * 3000 + [(i, f"uvw {i}", "b") for i in range(50)], "doc_id long, text string, lang string")
+    assert langid.train(hot, F.lit(True), per_language=20).languages == ["a", "b"]
+    long = spark.createDataFrame([(1, "ab cd " * 400_000)], "doc_id long, text string")
+    assert langid.predicted(long, model).head()["lang_pred"] == "a"
 
 
 def test_toxicity_learns_from_document_labels():
@@ -220,7 +279,8 @@ def test_toxicity_learns_from_document_labels():
             own[rng.randrange(6)] += rng.choice([" vilestuff", " vilething", " grossword"])
         docs.append(". ".join(own) + ".")
         labels.append(int(i % 4 == 0))
-    model = toxicity.fit(docs[:300], labels[:300])
+    kept = toxicity.Kept(toxicity.features)
+    model = toxicity.fit_bags([toxicity.bag(t, kept) for t in docs[:300]], labels[:300])
     for t, y in zip(docs[300:], labels[300:], strict=True):
         score, spans = model.score(t)
         assert (score >= 0.7) == bool(y)
@@ -231,10 +291,30 @@ def test_toxicity_learns_from_document_labels():
 
 
 def test_toxicity_odd_rows(odd):
-    model = toxicity.Model({"same": 20.0}, -7.0)
+    model = toxicity.Model(np.array([toxicity.features("same")[0]]), np.array([20.0]), -7.0)
     rows = [(r["doc_id"], r["score"]) for r in toxicity.scored(odd, model).collect()]
     assert len(rows) == len(ODD) and all(0 <= s <= 1 for _, s in rows) and sum(s > 0.7 for _, s in rows) == 2
-    assert toxicity.scored(odd, None).count() == len(ODD)
+    assert toxicity.scored(odd, None).count() == len(ODD) and toxicity.scored(odd.limit(0), model).count() == 0
+
+
+def test_toxicity_training_in_tasks_equals_training_at_hand(spark):
+    rng, rows = random.Random(3), []
+    for i in range(120):
+        text = ". ".join(" ".join(rng.choices(["alpha", "bravo", "charlie", "delta"], k=6)) for _ in range(3))
+        rows.append((i, text + " vilest" * (i % 3 == 0), int(i % 3 == 0)))
+    rows += [rows[0], rows[0], (None, "no id", 1), (500, None, 1), (501, "", 0), (502, "w " * 20_000, 1)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(7, None), (8, 5), (999, 1)], "doc_id long, toxic int")
+    every = F.lit(True)
+    model, again = toxicity.train(docs, labels, every), toxicity.train(docs.repartition(7), labels.repartition(3), every)
+    assert np.array_equal(model.codes, again.codes) and np.array_equal(model.weights, again.weights) and model.bias == again.bias
+    kept = toxicity.Kept(toxicity.features)
+    here = toxicity.fit_bags([toxicity.bag(t, kept) for _, t, _ in rows[:120]], [y for _, _, y in rows[:120]])
+    assert np.array_equal(model.codes, here.codes) and np.allclose(model.weights, here.weights, atol=1e-6)
+    assert all((model.score(t)[0] >= 0.7) == bool(y) for _, t, y in rows[:120])
+    # bounds: rows, features; nothing to learn from
+    assert toxicity.train(docs, labels, every, most_rows=60) is not None and toxicity.train(docs, labels, every, most_features=300) is not None
+    assert toxicity.train(docs, labels, F.lit(False)) is None and toxicity.train(docs.limit(0), labels, every) is None and toxicity.train(docs, labels.limit(0), every) is None
 
 
 def test_chat_recovers_roles():
