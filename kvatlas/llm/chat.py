@@ -2,9 +2,15 @@
 
 A transcript is a sequence of lines. States are (role, opening line) and (role, later line) for each role; what
 is seen of a line are its speaker marker (none, one of a role's, an unknown name, a dash), whether it ends in a
-question mark, and its length. Viterbi's best path gives the roles; a turn begins at each opening line, its
-marker is cut off, and turns are rendered as ``<|role|>`` blocks. Start, transition and emission probabilities
-are smoothed counts over a bounded sample of transcripts with known roles (parameter ``most_pages``).
+question mark, its length, and whether the line before it is blank. Viterbi's best path gives the roles; a turn begins
+at each opening line, its marker is cut off, blank lines at its end go, and turns are rendered as ``<|role|>`` blocks,
+in which ``<|`` of a text is escaped (``escaped``), so no text can pose as a marker. Start, transition and emission
+probabilities are smoothed counts over all conversations that aren't held out, counted in the tasks; a step from one
+unit to the next isn't counted.
+
+Transcripts come in eight styles, by a hash of the conversation's id: five name the speakers' roles (but one turn in
+eight has a dash only), one has people's names, one has dashes only, and one has no markers, only blank lines
+between turns. Roles of the latter three must come from order and lines.
 
 The table of conversations is turned into transcripts first, and equal rows are merged before they meet. Units of
 work are pages of ``PAGE`` turns; a page of more than ``MOST_ROWS`` rows is cut into parts of ``PAGE`` rows by rank, so
@@ -30,9 +36,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kvatlas.llm.langid import fold
 from kvatlas.llm.shared import stored, table
 
-ROLES, PAGE, MOST_PAGES = ("system", "user", "assistant"), 64, 1000
+ROLES, PAGE = ("system", "user", "assistant"), 64
 MOST_ROWS, BLOCK = 16 * PAGE, 4096  # rows of an undivided page; units whose matrices are combined at once
 #: Names that mark a speaker, by role.
 NAMES = {
@@ -41,45 +48,54 @@ NAMES = {
     "assistant": ("assistant", "ai", "a", "answer", "bot", "agent", "model"),
 }
 ROLE_OF = {name: role for role, names in NAMES.items() for name in names}
-#: How transcripts mark speakers: (system, user, assistant).
+#: How transcripts mark speakers: (system, user, assistant), and what stands behind a turn.
 STYLES = (
-    ("System: ", "User: ", "Assistant: "),
-    ("### Instructions: ", "### Human: ", "### AI: "),
-    ("Note: ", "Q: ", "A: "),
-    ("[system] ", "[user] ", "[assistant] "),
-    ("<|system|> ", "<|user|> ", "<|assistant|> "),
+    ("System: ", "User: ", "Assistant: ", ""),
+    ("### Instructions: ", "### Human: ", "### AI: ", ""),
+    ("Note: ", "Q: ", "A: ", ""),
+    ("[system] ", "[user] ", "[assistant] ", ""),
+    ("<|system|> ", "<|user|> ", "<|assistant|> ", ""),
+    ("Setting: ", "Robin: ", "Kim: ", ""),
+    ("- ", "- ", "- ", ""),
+    ("", "", "", "\n"),
 )
+NAMED, PEOPLE = 5, 5  # the first five styles name roles; people's names are dealt to roles by conversation
 MARKER = re.compile(r"\s*(?:#{1,6}\s+|\*\*|\[|<\|?)?(\w{1,14})(?:\]|\|?>)?(?::\*\*|:|(?<=[\]>]))\s?")
 DASH = re.compile(r"\s*[-*>]\s+")
 NONE, UNKNOWN, DASHED = len(ROLES), len(ROLES) + 1, len(ROLES) + 2
 
 
-def observe(line: str) -> tuple[int, int, int, int]:
-    """Marker, question, length class, and where the text behind the marker starts."""
-    kind, start = NONE, 0
-    if m := MARKER.match(line):
-        name = m.group(1).lower()
-        kind, start = (ROLES.index(ROLE_OF[name]) if name in ROLE_OF else UNKNOWN), m.end()
-    elif m := DASH.match(line):
-        kind, start = DASHED, m.end()
-    n = len(line)
-    return kind, int(line.rstrip().endswith("?")), int(n > 60) + int(n > 200), start
+def observe(lines: list[str]) -> list[tuple[int, int, int, int, int]]:
+    """Marker, question, length class, whether a blank line comes before (so it does before the first line, that of a
+    unit too), and where the text behind the marker starts, of each line."""
+    out, gap = [], 1
+    for line in lines:
+        kind, start = NONE, 0
+        if m := MARKER.match(line):
+            name = m.group(1).lower()
+            kind, start = (ROLES.index(ROLE_OF[name]) if name in ROLE_OF else UNKNOWN), m.end()
+        elif m := DASH.match(line):
+            kind, start = DASHED, m.end()
+        n, bare = len(line), line.rstrip()
+        out.append((kind, int(bare.endswith("?")), int(bool(bare)) + int(n > 60) + int(n > 200), gap, start))
+        gap = int(not bare)
+    return out
 
 
 class Model:
-    """Log probabilities: start (S), step (S x S), marker (S x 6), question (S x 2), length (S x 3).
+    """Log probabilities: start (S), step (S x S), and of each feature (S x 6, 2, 4 and 2).
 
     State 2 r opens a turn of role r, state 2 r + 1 goes on with it.
     """
 
-    def __init__(self, start, step, marker, question, length) -> None:
-        self.start, self.step, self.marker, self.question, self.length = start, step, marker, question, length
+    def __init__(self, start, step, *features) -> None:
+        self.start, self.step, self.features = start, step, features
 
-    def emit(self, seen: list[tuple[int, int, int, int]]) -> np.ndarray:
-        kind, asks, size = (np.array(x) for x in list(zip(*seen, strict=True))[:3])
-        return self.marker[:, kind] + self.question[:, asks] + self.length[:, size]
+    def emit(self, seen: list[tuple[int, int, int, int, int]]) -> np.ndarray:
+        values = np.array(seen).T
+        return sum(f[:, v] for f, v in zip(self.features, values, strict=False))
 
-    def path(self, seen: list[tuple[int, int, int, int]], first: int | None = None, after: int | None = None) -> list[int]:
+    def path(self, seen: list[tuple[int, int, int, int, int]], first: int | None = None, after: int | None = None) -> list[int]:
         """Viterbi's best states; ties go to the lower state.
 
         ``first`` is the first line's state where it is known, ``after`` that of the line behind the last.
@@ -95,7 +111,7 @@ class Model:
             out.append(int(b[out[-1]]))
         return out[::-1]
 
-    def span(self, seen: list[tuple[int, int, int, int]]) -> np.ndarray:
+    def span(self, seen: list[tuple[int, int, int, int, int]]) -> np.ndarray:
         """S x (S + 1) best scores from each state of the first line: to each state behind the last line, and to the end."""
         emit = self.emit(seen)
         best = np.where(np.eye(len(self.start), dtype=bool), emit[:, 0], -np.inf)
@@ -129,48 +145,63 @@ def firsts(spans: list[np.ndarray], first: int | None, rest: np.ndarray | None,
     return out
 
 
-def fit(pages: list[list[tuple[str, list[str]]]]) -> Model:
-    """From pages of (role, lines): smoothed counts."""
-    s = 2 * len(ROLES)
-    start, step = np.ones(s), np.full((s, s), 0.5)
-    marker, question, length = np.full((s, len(ROLES) + 3), 0.5), np.ones((s, 2)), np.ones((s, 3))
-    for page in pages:
-        before = None
-        for role, lines in page:
-            for i, line in enumerate(lines):
-                state = 2 * ROLES.index(role) + (i > 0)
-                kind, asks, size, _ = observe(line)
-                if before is None:
-                    start[state] += 1
-                else:
-                    step[before, state] += 1
-                marker[state, kind] += 1
-                question[state, asks] += 1
-                length[state, size] += 1
-                before = state
-    for r in range(len(ROLES)):  # a turn goes on with its own role only
-        step[:, 2 * r + 1] *= [float(k // 2 == r) for k in range(s)]
+SHAPES = ((2 * len(ROLES),), (2 * len(ROLES),) * 2, *((2 * len(ROLES), n) for n in (len(ROLES) + 3, 2, 4, 2)))
+
+
+def counted(page: list[tuple[str, list[str]]], counts: list[np.ndarray], opens: bool = True) -> None:
+    """Add a page of (role, lines) to counts of SHAPES. ``opens``: its first line opens a conversation."""
+    seen = observe([x for _, lines in page for x in lines])
+    states = [2 * ROLES.index(role) + (i > 0) for role, lines in page for i in range(len(lines))]
+    if states and opens:
+        counts[0][states[0]] += 1
+    np.add.at(counts[1], (states[:-1], states[1:]), 1)
+    for k, values in enumerate(list(zip(*seen, strict=True))[:4]):
+        np.add.at(counts[2 + k], (states, list(values)), 1)
+
+
+def model_of(counts: list[np.ndarray]) -> Model:
+    """Smoothed counts as a model: a turn goes on with its own role only."""
+    start, step = counts[0] + 1.0, counts[1] + 0.5
+    features = [counts[2] + 0.5, *(c + 1.0 for c in counts[3:])]
+    for r in range(len(ROLES)):
+        step[:, 2 * r + 1] *= [float(k // 2 == r) for k in range(len(start))]
         start[2 * r + 1] = 0
     with np.errstate(divide="ignore"):
-        logs = [np.log(x / x.sum(-1, keepdims=True)) for x in (start, step, marker, question, length)]
-    return Model(*logs)
+        return Model(*[np.log(x / x.sum(-1, keepdims=True)) for x in (start, step, *features)])
+
+
+def fit(pages: list[list[tuple[str, list[str]]]]) -> Model:
+    """From whole conversations of (role, lines)."""
+    counts = [np.zeros(s) for s in SHAPES]
+    for page in pages:
+        counted(page, counts)
+    return model_of(counts)
 
 
-def parse(transcript: str, model: Model) -> list[tuple[str, str]]:
-    """(role, text) of each turn."""
+def parse(transcript: str, model: Model, seen: list[tuple[int, int, int, int, int]] | None = None) -> list[tuple[str, str]]:
+    """(role, text) of each turn. ``seen`` is what is seen of the lines, if not that of one unit."""
     lines = transcript.split("\n")
-    seen = [observe(x) for x in lines]
+    seen = seen or observe(lines)
     turns: list[tuple[str, list[str]]] = []
-    for line, (_, _, _, start), state in zip(lines, seen, model.path(seen), strict=True):
+    for line, what, state in zip(lines, seen, model.path(seen), strict=True):
         if state % 2 == 0 or not turns:
-            turns.append((ROLES[state // 2], [line[start:]]))
+            turns.append((ROLES[state // 2], [line[what[-1] :]]))
         else:
             turns[-1][1].append(line)
-    return [(role, "\n".join(text)) for role, text in turns]
+    return [(role, "\n".join(text).rstrip("\n")) for role, text in turns]
+
+
+def escaped(text: str) -> str:
+    """``<|`` as ``<\\|``, and ``<\\`` as ``<\\\\``: no text holds a marker, and texts can be told apart."""
+    return text.replace("<\\", "<\\\\").replace("<|", "<\\|")
+
+
+def unescaped(text: str) -> str:
+    return text.replace("<\\|", "<|").replace("<\\\\", "<\\")
 
 
 def render(turns: list[tuple[str, str]]) -> str:
-    return "".join(f"<|{role}|>\n{text}\n<|end|>\n" for role, text in turns)
+    return "".join(f"<|{role}|>\n{escaped(text)}\n<|end|>\n" for role, text in turns)
 
 
 def piece(transcript: str, model: Model, first: int | None = None, after: int | None = None) -> tuple[list[str], str]:
@@ -179,15 +210,26 @@ def piece(transcript: str, model: Model, first: int | None = None, after: int |
     A unit may go on with the turn before it, and the unit after it with its last turn.
     """
     lines = transcript.split("\n")
-    seen = [observe(x) for x in lines]
-    roles, out = [], []
-    for i, (line, (_, _, _, start), state) in enumerate(zip(lines, seen, model.path(seen, first, after), strict=True)):
+    seen = observe(lines)
+    roles: list[str] = []
+    out: list[str] = []
+
+    def end() -> None:
+        while out and out[-1] == "\n":  # blank lines at the end of a turn
+            out.pop()
+        out.append("<|end|>\n")
+
+    for i, (line, what, state) in enumerate(zip(lines, seen, model.path(seen, first, after), strict=True)):
         if state % 2 == 0:
+            if i:
+                end()
             roles.append(ROLES[state // 2])
-            out.append(("<|end|>\n" if i else "") + f"<|{roles[-1]}|>\n{line[start:]}\n")
+            out.append(f"<|{roles[-1]}|>\n{escaped(line[what[-1] :])}\n")
         else:
-            out.append(line + "\n")
-    return roles, "".join(out) + ("<|end|>\n" if after is None or after % 2 == 0 else "")
+            out.append(escaped(line) + "\n")
+    if after is None or after % 2 == 0:
+        end()
+    return roles, "".join(out)
 
 
 def ranked(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -203,18 +245,20 @@ def ranked(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 
 
 def transcripts(conversations: DataFrame) -> DataFrame:
-    """conv_id, page, part, turns: array of (turn, role, line with marker), in order.
-
-    A conversation has one style of markers, by a hash of its id; one turn in eight has a dash only.
-    """
+    """conv_id, page, part, style, turns: array of (turn, role, line with marker), in order."""
     rows = conversations.select("conv_id", "turn", "role", "text").distinct()  # merged in the tasks first
-    style = F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES))).cast("int")
+    style = F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES))).cast("int").alias("style")
     marks = F.array(*[F.array(*[F.lit(m) for m in s]) for s in STYLES])
-    which = F.when(F.col("role") == "system", 0).when(F.col("role") == "assistant", 2).otherwise(1)
-    mark = F.when(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(8)) == 0, F.lit("- ")).otherwise(F.element_at(F.element_at(marks, style + 1), which + 1))
+    role = F.when(F.col("role") == "system", 0).when(F.col("role") == "assistant", 2).otherwise(1)
+    swapped = (F.col("style") == PEOPLE) & (F.pmod(F.xxhash64("conv_id", F.lit(5)), F.lit(2)) == 1)
+    which = F.when(swapped & (role > 0), 3 - role).otherwise(role)
+    lost = (F.col("style") < NAMED) & (F.pmod(F.xxhash64("conv_id", "turn"), F.lit(8)) == 0)
+    own = F.element_at(marks, F.col("style") + 1)
+    mark = F.when(lost, F.lit("- ")).otherwise(F.element_at(own, which + 1))
+    rows = rows.withColumn("style", style)
     page = F.coalesce(F.floor(F.col("turn") / PAGE), F.lit(0)).cast("long").alias("page")
-    line = F.concat(mark, F.coalesce("text", F.lit(""))).alias("line")
-    rows = rows.select("conv_id", page, "turn", "role", line)
+    line = F.concat(mark, F.coalesce("text", F.lit("")), F.element_at(own, 4)).alias("line")
+    rows = rows.select("conv_id", page, "style", "turn", "role", line)
     hot = rows.groupBy("conv_id", "page").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_ROWS).select(F.col("conv_id").alias("hot_id"), F.col("page").alias("hot_page"))
     hot = stored(hot, "hot")
     own = F.col("conv_id").eqNullSafe(F.col("hot_id")) & (F.col("page") == F.col("hot_page"))
@@ -224,16 +268,25 @@ def transcripts(conversations: DataFrame) -> DataFrame:
         small = parts.join(F.broadcast(hot), own, "left_anti")
         parts = small.unionByName(large.withColumn("part", F.floor(F.col("rank") / PAGE)).drop("rank"))
     turns = F.sort_array(F.collect_list(F.struct("turn", "role", "line"))).alias("turns")
-    return parts.groupBy("conv_id", "page", "part").agg(turns)
+    return parts.groupBy("conv_id", "page", "part", "style").agg(turns)
+
 
+def train(pages: DataFrame) -> Model:
+    """From all ``pages``: each task counts, Spark adds up, and the counts (under 100) come to the driver."""
+    sizes = [int(np.prod(x)) for x in SHAPES]
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = [np.zeros(x) for x in SHAPES]
+        for batch in batches:
+            for page, part, turns in zip(batch["page"], batch["part"], batch["turns"], strict=True):
+                counted([(t["role"], t["line"].split("\n")) for t in turns if t["role"] in ROLES], counts, page == 0 and part == 0)
+        flat = np.concatenate([c.ravel() for c in counts])
+        yield pd.DataFrame({"k": np.arange(len(flat)), "n": flat})[flat > 0]
 
-def train(pages: DataFrame, most_pages: int = MOST_PAGES) -> Model:
-    """Fit on about ``most_pages`` pages, picked by a hash of the conversation's id."""
-    n = pages.count()
-    spot = F.pmod(F.xxhash64("conv_id", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = pages.where(spot < min(1.0, 1.1 * most_pages / max(1, n))).limit(most_pages).collect()
-    rows.sort(key=lambda r: (r["conv_id"] is None, r["conv_id"] or 0, r["page"], r["part"]))
-    return fit([[(t["role"], t["line"].split("\n")) for t in r["turns"] if t["role"] in ROLES] for r in rows])
+    rows = pages.select("page", "part", "turns").mapInPandas(count, "k int, n double").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    flat = np.zeros(sum(sizes))
+    flat[[r["k"] for r in rows]] = [r["n"] for r in rows]
+    return model_of([x.reshape(shape) for x, shape in zip(np.split(flat, np.cumsum(sizes)[:-1]), SHAPES, strict=True)])
 
 
 def boundaries(units: DataFrame, model: Model) -> DataFrame:
@@ -247,7 +300,7 @@ def boundaries(units: DataFrame, model: Model) -> DataFrame:
 
     def span(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            spans = [model.span([observe(x) for x in t.split("\n")]).tobytes() for t in b["transcript"]]
+            spans = [model.span(observe(t.split("\n"))).tobytes() for t in b["transcript"]]
             yield b[["conv", "page", "part", "unit"]].assign(span=spans)
 
     rows = own.select(conv, "page", "part", "unit", "transcript").mapInPandas(span, "conv string, page long, part long, unit long, span binary")
@@ -296,10 +349,11 @@ def formatted(units: DataFrame, model: Model) -> DataFrame:
                     "roles": [",".join(x) for x, _ in found],
                     "rendered": [x for _, x in found],
                     "true_roles": batch["true_roles"],
+                    "style": batch["style"],
                 }
             )
 
-    return units.mapInPandas(read, "conv_id long, page long, part long, n_turns int, roles string, rendered string, true_roles string")
+    return units.mapInPandas(read, "conv_id long, page long, part long, n_turns int, roles string, rendered string, true_roles string, style int")
 
 
 def decoded(pages: DataFrame, model: Model) -> DataFrame:
@@ -309,6 +363,7 @@ def decoded(pages: DataFrame, model: Model) -> DataFrame:
         "conv_id",
         "page",
         "part",
+        "style",
         F.array_join(F.transform("turns", lambda t: t["line"]), "\n").alias("transcript"),
         F.array_join(F.transform("turns", lambda t: F.coalesce(t["role"], F.lit("user"))), ",").alias("true_roles"),
     )
@@ -318,7 +373,8 @@ def decoded(pages: DataFrame, model: Model) -> DataFrame:
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = stored(transcripts(table(spark, sf_dir, "conversations")), "pages")
-    rows = decoded(pages, train(pages))
+    rows = decoded(pages, train(pages.where(~fold("conv_id", 4, 2))))
+    right = (F.col("roles") == F.col("true_roles")).alias("roles_right")
     return rows.select(
-        "conv_id", "page", "part", "n_turns", "roles", (F.col("roles") == F.col("true_roles")).alias("roles_right"), "rendered", F.sha2("rendered", 256).alias("sha256")
+        "conv_id", "page", "part", "style", fold("conv_id", 4, 2).alias("held_out"), "n_turns", "roles", right, "rendered", F.sha2("rendered", 256).alias("sha256")
     )

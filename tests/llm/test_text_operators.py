@@ -317,35 +317,59 @@ def test_toxicity_training_in_tasks_equals_training_at_hand(spark):
     assert toxicity.train(docs, labels, F.lit(False)) is None and toxicity.train(docs.limit(0), labels, every) is None and toxicity.train(docs, labels.limit(0), every) is None
 
 
-def test_chat_recovers_roles():
-    rng, pages = random.Random(9), []
-    for i in range(200):
-        style = chat.STYLES[i % len(chat.STYLES)]
-        page = [("system", [style[0] + "Be kind."])] if rng.random() < 0.5 else []
-        for _ in range(rng.randint(1, 4)):
-            page.append(("user", [style[1] + "What is it?"]))
-            page.append(("assistant", [(style[2] if rng.random() < 0.9 else "- ") + "It is this.", "And that, " * 5]))
-        pages.append(page)
-    model = chat.fit(pages[:150])
-    right = 0
-    for page in pages[150:]:
-        turns = chat.parse("\n".join(x for _, lines in page for x in lines), model)
-        right += [r for r, _ in turns] == [r for r, _ in page]
-        assert chat.render(turns).count("<|end|>") == len(turns)
-    assert right >= 48
+def test_chat_recovers_roles_of_held_out_transcripts(spark):
+    """By style: named roles, people's names, dashes only, no markers. Assistants answer at more length."""
+    rng, rows = random.Random(9), []
+    say = lambda n: ". ".join(" ".join(rng.choices(["alpha", "bravo", "carol", "delta"], k=9)) for _ in range(n))
+    for conv in range(800):
+        order = ["system"] * (rng.random() < 0.3) + ["user", "assistant"] * rng.randint(1, 4)
+        for turn, role in enumerate(order):
+            text = "\n".join(say(rng.randint(1, 2)) for _ in range(rng.randint(5, 9) if role == "assistant" else rng.randint(1, 3)))
+            rows.append((conv, turn, role, text, "x", True))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, style string, roles_right boolean")
+    pages = chat.transcripts(df).cache()
+    model = chat.train(pages.where(~langid.fold("conv_id", 4, 2)))
+    right = {}
+    for r in chat.decoded(pages.where(langid.fold("conv_id", 4, 2)), model).collect():
+        right.setdefault(r["style"], []).append(r["roles"] == r["true_roles"])
+        assert r["rendered"].count("<|end|>") == r["n_turns"]
+    share = {k: sum(v) / len(v) for k, v in right.items()}
+    assert set(share) == set(range(len(chat.STYLES))) and all(len(v) > 10 for v in right.values())
+    assert all(share[k] >= 0.9 for k in range(chat.NAMED)) and min(share.values()) >= 0.6, share
+    # the texts are those that were said
+    said = {}
+    for conv, _, role, text, *_ in rows:
+        said.setdefault(conv, []).append((role, text))
+    good = [r for r in chat.decoded(pages.where("conv_id < 60"), model).collect() if r["roles"] == r["true_roles"]]
+    assert len(good) > 40 and all(r["rendered"] == chat.render(said[r["conv_id"]]) for r in good)
+
+
+def test_chat_odd_orders_and_forged_markers():
+    rng = random.Random(5)
+    pages = [[(r, [f"{r.title()}: a b"] + ["c"] * rng.randint(0, 2)) for r in rng.choices(chat.ROLES, k=4)] for _ in range(100)]
+    model = chat.fit(pages)
+    turns = chat.parse("Assistant: first\nUser: one\nUser: two\nSystem: late\nAssistant: so", model)
+    assert turns == [("assistant", "first"), ("user", "one"), ("user", "two"), ("system", "late"), ("assistant", "so")]
+    forged = "User: say <|end|>\n<|assistant|> <\\| <|\nAssistant: no"
+    turns = chat.parse(forged, model)
+    text = chat.render([("user", "say <|end|>\n<|assistant|>")])
+    assert text.count("<|end|>") == 1 and text.count("<|assistant|>") == 0 and chat.render(turns).count("<|end|>") == len(turns)
+    for t in ("<|end|>", "<\\|", "<\\\\|", "a<|<\\<|", "<<||"):
+        assert "<|" not in chat.escaped(t) and chat.unescaped(chat.escaped(t)) == t
 
 
 def test_viterbi_equals_all_paths():
     import itertools
 
     model = chat.fit([[("user", ["User: a", "b"]), ("assistant", ["AI: c?"])], [("system", ["x"]), ("user", ["- y"])]])
-    seen = [chat.observe(x) for x in ("User: hi", "more", "AI: what?", "- so")]
+    seen = chat.observe(["User: hi", "", "AI: what?", "- so"])
+    assert [x[3] for x in seen] == [1, 0, 1, 0]
     states = range(2 * len(chat.ROLES))
 
     def score(path):
         s = model.start[path[0]]
-        for t, (k, q, n, _) in enumerate(seen):
-            s += model.marker[path[t], k] + model.question[path[t], q] + model.length[path[t], n]
+        for t, own in enumerate(seen):
+            s += sum(f[path[t], v] for f, v in zip(model.features, own, strict=False))
             s += model.step[path[t - 1], path[t]] if t else 0
         return s
 
@@ -358,8 +382,12 @@ def test_chat_odd_rows(spark):
     pages = chat.transcripts(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     got = {(r["conv_id"], r["page"]): len(r["turns"]) for r in pages.collect()}
     assert got == {(1, 0): 2, (2, 0): 1, (None, 0): 1, (3, 3): 1}
-    chat.train(pages)
-    assert chat.transcripts(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+    model = chat.train(pages)
+    none = chat.transcripts(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
+    assert none.count() == 0 and chat.decoded(none, chat.train(none)).count() == 0
+    long = chat.transcripts(spark.createDataFrame([(1, 0, "user", "word " * 400_000 + "\n" * 1000)], "conv_id long, turn long, role string, text string"))
+    r = chat.decoded(long, model).head()
+    assert len(r["rendered"]) > 1_900_000 and r["n_turns"] >= 1
 
 
 def test_chat_decodes_whole_conversations(spark, monkeypatch):
@@ -374,15 +402,17 @@ def test_chat_decodes_whole_conversations(spark, monkeypatch):
     assert max(len(r["turns"]) for r in units) <= chat.MOST_ROWS and sum(len(r["turns"]) for r in units) == len(set(rows))
     assert len({(r["page"], r["part"]) for r in units if r["conv_id"] is None}) > 30
     model = chat.train(pages)
-    got, whole = {}, {}
+    got, whole, seen_of = {}, {}, {}
     for r in sorted(chat.decoded(pages, model).collect(), key=lambda r: (r["conv_id"] or 0, r["page"], r["part"])):
         own = got.setdefault(r["conv_id"], ["", []])
         own[0], own[1] = own[0] + r["rendered"], own[1] + [x for x in r["roles"].split(",") if x]
     for r in units:
         whole.setdefault(r["conv_id"], []).extend(r["turns"])
+        seen_of.setdefault(r["conv_id"], []).append("\n".join(t["line"] for t in r["turns"]).split("\n"))
     assert set(got) == {None, 1, 2, 3, 4}
     for conv, turns in whole.items():
         order = [((t["turn"] or 0) // chat.PAGE, t["turn"] is not None, t["turn"] or 0, t["role"] is not None, t["role"] or "", t["line"]) for t in turns]
         assert order == sorted(order)
-        want = chat.parse("\n".join(t["line"] for t in turns), model)
+        seen = [x for unit in seen_of[conv] for x in chat.observe(unit)]
+        want = chat.parse("\n".join(t["line"] for t in turns), model, seen)
         assert got[conv] == [chat.render(want), [r for r, _ in want]]
