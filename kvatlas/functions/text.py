@@ -25,8 +25,9 @@ def clean(raw: Column) -> Column:
 
 
 def title_key(title: Column) -> Column:
-    """A title as it is compared: url-decoded (``+`` stays), blanks for underscores, lower case."""
-    return F.lower(strip(F.replace(F.url_decode(F.replace(title, F.lit("+"), F.lit("%2B"))), F.lit("_"), F.lit(" "))))
+    """A title as it is compared: url-decoded (``+`` and a ``%`` that escapes nothing stay), blanks for underscores, lower case."""
+    escaped = F.regexp_replace(F.replace(title, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.lower(strip(F.replace(F.coalesce(F.try_url_decode(escaped), title), F.lit("_"), F.lit(" "))))
 
 
 def page_type(title: Column) -> Column:

@@ -52,17 +52,83 @@ def same(a: Column, b: Column) -> Column:
     )
 
 
-def canonical(v: Column) -> Column:
-    """Text that is equal for values that group together; integers stay apart from decimals (520, 520.0)."""
-    whole = F.schema_of_variant(v).rlike("^DECIMAL") & F.to_json(v).rlike(r"^-?[0-9]+$")
-    return F.when(whole, F.concat(F.to_json(v), F.lit(".0"))).otherwise(F.to_json(v))
+def float_text(x: Column) -> Column:
+    """A double as Python and JSON write it: 0.0001, 1e-05, 520.0, 1e+16. The digits are those of the JVM (shortest since Java 19)."""
+    java, size = x.cast("string"), F.abs(x)
+    plain = F.regexp_replace(F.regexp_replace(x.cast("decimal(38,21)").cast("string"), "0+$", ""), r"\.$", ".0")
+    short = F.regexp_replace(java, r"\.0E", "E")
+    power = F.regexp_extract(short, r"E(-?)(\d+)$", 2)
+    sign = F.when(F.contains(short, F.lit("E-")), "-").otherwise("+")
+    scientific = F.concat(F.regexp_extract(short, "^[^E]+", 0), F.lit("e"), sign, F.when(F.length(power) < 2, F.lit("0")).otherwise(""), power)
+    return (
+        F.when(x.isNull() | F.isnan(x), java)
+        .when(size == float("inf"), F.when(x > 0, "Infinity").otherwise("-Infinity"))
+        .when((size == 0) | ((size >= 1e-3) & (size < 1e7)), java)
+        .when((size >= 1e-4) & (size < 1e16), plain)
+        .otherwise(scientific)
+    )
+
+
+def _elements(v: Column) -> Column:
+    """The elements of a list, else null."""
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+def canonical(v: Column, depth: int = 2) -> Column:
+    """Text that is equal for values that group together; integers stay apart from decimals (520, 520.0).
+
+    Decimals count by their value (1e-05 is 0.00001), in lists too, down to lists in lists.
+    """
+    own = F.when(F.schema_of_variant(v).rlike("^(DECIMAL|DOUBLE|FLOAT)"), float_text(F.try_variant_get(v, "$", "double")))
+    if depth:
+        inside = F.transform(_elements(v), lambda x: canonical(x, depth - 1))
+        own = own.when(F.schema_of_variant(v).startswith("ARRAY"), F.concat(F.lit("["), F.array_join(inside, ","), F.lit("]")))
+    return own.otherwise(F.to_json(v))
+
+
+def typed(v: Column, depth: int = 2) -> Column:
+    """Text that is the same for equal values and for no others: numbers and booleans by value, apart from strings.
+
+    Numbers are compared as doubles, in lists too, down to lists in lists; maps by their JSON text.
+    """
+    own = F.when(kind(v) == "number", F.concat(F.lit("n"), (number(v) + F.lit(0.0)).cast("string"))).when(kind(v) == "string", F.concat(F.lit("s"), F.to_json(v)))
+    if depth:
+        inside = F.transform(_elements(v), lambda x: typed(x, depth - 1))
+        own = own.when(F.schema_of_variant(v).startswith("ARRAY"), F.concat(F.lit("["), F.array_join(inside, ","), F.lit("]")))
+    return own.otherwise(F.coalesce(F.to_json(v), F.lit("null")))
+
+
+def shown(v: Column, depth: int = 2) -> Column:
+    """A value as Python's ``str`` shows it: True, 1e-05, [1, 2]; strings bare, but quoted in lists."""
+
+    def inner(x: Column, deep: int) -> Column:
+        schema = F.schema_of_variant(x)
+        own = (
+            F.when(schema == "BOOLEAN", F.when(F.try_variant_get(x, "$", "boolean"), "True").otherwise("False"))
+            .when(schema.rlike("^(DECIMAL|DOUBLE|FLOAT)"), float_text(F.try_variant_get(x, "$", "double")))
+            .when(schema == "VOID", "None")
+        )
+        if deep:
+            quoted = lambda y: F.when(F.schema_of_variant(y) == "STRING", F.concat(F.lit("'"), F.try_variant_get(y, "$", "string"), F.lit("'"))).otherwise(inner(y, deep - 1))
+            own = own.when(schema.startswith("ARRAY"), F.concat(F.lit("["), F.array_join(F.transform(_elements(x), quoted), ", "), F.lit("]")))
+        return own.otherwise(F.to_json(x))
+
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(inner(v, depth))
 
 
 def member(v: Column, literal) -> Column:
-    """Whether a value equals the literal, or is a list with it, or a list of lists with it."""
-    items, nested = F.try_variant_get(v, "$", "array<variant>"), "array<variant>"
-    inner = lambda x: F.exists(F.coalesce(F.try_variant_get(x, "$", nested), F.array().cast(nested)), lambda y: equals(y, literal))
-    return equals(v, literal) | F.coalesce(F.exists(items, lambda x: equals(x, literal) | inner(x)), F.lit(False))
+    """Whether a value equals the literal; a number or boolean also equals a list with it, or a list of lists with it."""
+    if not isinstance(literal, (bool, int, float)):
+        return equals(v, literal)
+    inner = lambda x: F.exists(F.coalesce(_elements(x), F.array().cast("array<variant>")), lambda y: equals(y, literal))
+    return equals(v, literal) | F.coalesce(F.exists(_elements(v), lambda x: equals(x, literal) | inner(x)), F.lit(False))
+
+
+def at_key(v: Column, key: str) -> Column:
+    """The value under a key of an object; keys that a path can't name go through a map."""
+    if not set(key) & set("'\"[]\\"):
+        return F.try_variant_get(v, f"$['{key}']", "variant")
+    return F.try_element_at(F.try_variant_get(v, "$", "map<string,variant>"), F.lit(key))
 
 
 def filter_literal(s: str):
@@ -90,38 +156,49 @@ def edit_literal(s: str):
         return int(x) if x.is_integer() else x
     except (ValueError, OverflowError):
         low = s.lower()
-        return True if low in (".true.", "t", ".t.", "true") else False if low in (".false.", "f", ".f.", "false") else s
+        return True if low in (".true.", "t", "true") else False if low in (".false.", "f", "false") else s
 
 
-def edit_json(s: Column) -> Column:
-    """JSON of a value in a configuration's text, by the rules of ``edit_literal``."""
+def edit_json(s: Column, plain: bool = False) -> Column:
+    """JSON of a value in a configuration's text, by the rules of ``edit_literal``; ``plain``: true and false only."""
+    yes, no = (["true"], ["false"]) if plain else ([".true.", "t", "true"], [".false.", "f", "false"])
     x, low = F.try_cast(s, "double") if hasattr(F, "try_cast") else s.try_cast("double"), F.lower(s)
     whole = (x == F.floor(x)) & (F.abs(x) < 1e15)
     return (
         F.when(whole, x.cast("long").cast("string"))
         .when(x.isNotNull() & ~F.isnan(x), F.to_json(F.struct(x.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(x.alias("v")))) - 6))
-        .when(low.isin(".true.", "t", ".t.", "true"), "true")
-        .when(low.isin(".false.", "f", ".f.", "false"), "false")
+        .when(low.isin(*yes), "true")
+        .when(low.isin(*no), "false")
         .otherwise(F.concat(F.lit('"'), F.regexp_replace(s, r'(["\\])', r"\\$1"), F.lit('"')))
     )
 
 
 def parse_config_text(s: Column) -> Column:
-    """Key to JSON text, from lines ``key = value``; ``;`` parts lines, ``#`` and ``!`` start comments.
+    """Key to JSON text, from lines ``key = value``; ``;`` parts lines, ``#`` starts a comment.
 
-    A line with more than one ``=`` makes the whole text unreadable: null.
+    A line with more than one ``=``, in its comment too, makes the whole text unreadable: null. Lines that begin with
+    ``#`` are comments as a whole.
     """
-    lines = F.transform(F.split(F.replace(s, F.lit(";"), F.lit("\n")), "\n"), lambda x: F.trim(F.regexp_replace(x, r"[#!].*$", "")))
-    pairs = F.filter(lines, lambda x: F.contains(x, F.lit("=")))
     trimmed = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
-    entries = F.transform(
-        pairs,
-        lambda x: F.struct(trimmed(F.split(x, "=")[0]).alias("key"), edit_json(trimmed(F.element_at(F.split(x, "="), 2))).alias("value")),
-    )
+    lines = F.transform(F.split(F.replace(s, F.lit(";"), F.lit("\n")), "\n"), trimmed)
+    pairs = F.filter(lines, lambda x: F.contains(x, F.lit("=")) & ~F.startswith(x, F.lit("#")))
+    value = lambda x: trimmed(F.regexp_replace(F.element_at(F.split(x, "="), 2), "(?s)#.*$", ""))
+    entries = F.transform(pairs, lambda x: F.struct(trimmed(F.split(x, "=")[0]).alias("key"), edit_json(value(x)).alias("value")))
     broken = F.exists(pairs, lambda x: F.size(F.split(x, "=")) > 2)
     return F.when(~broken, F.map_from_entries(entries))
 
 
+def edit_tokens(tokens: Column) -> Column:
+    """Key to JSON text, from an array of ``key=value``; a token without ``=`` means true, and later ones win."""
+    pairs = F.transform(
+        tokens,
+        lambda x: F.struct(
+            F.split(x, "=")[0].alias("key"), F.when(F.contains(x, F.lit("=")), edit_json(F.element_at(F.split(x, "="), 2), plain=True)).otherwise("true").alias("value")
+        ),
+    )
+    return F.map_from_entries(pairs)
+
+
 def config_text(m: Column) -> Column:
     """Lines ``key = value`` of a map of strings."""
     return F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit(" = "), e["value"])), "\n")

@@ -93,6 +93,37 @@ def cooccurrence_pair(kv: DataFrame, a: str, b: str) -> DataFrame:
     return sums.select("*", share("count_a"), share("count_b"), share("both"))
 
 
+def pair_answer(kv: DataFrame, a: str, b: str, related: DataFrame | None = None, k: int = 5) -> DataFrame:
+    """One row: ``cooccurrence_pair``, ``wiki_related``, and top_a_values, top_b_values, top_pairs (value, count).
+
+    ``related`` has title, related (an array); either key may name the other.
+    """
+    counts = kv.where(F.col("tag").isin(a, b)).groupBy("tag", "value").agg(F.count(F.lit(1)).alias("c"))
+    listed = lambda order, value, n: F.transform(F.sort_array(F.collect_list(F.struct(order, value, n))), lambda x: F.struct(x[value].alias("value"), x[n].alias("count")))
+    best = top(counts, "tag", [F.desc("c"), F.asc("value")], k).groupBy("tag").agg(listed("rn", "value", "c").alias("best"))
+    values_ = best.agg(*[F.coalesce(F.max(F.when(F.col("tag") == t, F.col("best"))), F.array()).alias(n) for t, n in ((a, "top_a_values"), (b, "top_b_values"))])
+    pairs = value_pairs(kv, a, b, k).select((-F.col("n")).alias("less"), F.concat_ws("=", "value_a", "value_b").alias("pair"), "n")
+    pairs = pairs.agg(F.coalesce(listed("less", "pair", "n"), F.array()).alias("top_pairs"))
+    edge = F.lit(False).alias("wiki_related")
+    known = kv.limit(0).agg(edge)
+    if related is not None:
+        names = lambda x, y: (F.col("title") == x) & F.array_contains("related", F.lit(y))
+        known = related.agg(F.coalesce(F.max(names(a, b) | names(b, a)), F.lit(False)).alias("wiki_related"))
+    out = cooccurrence_pair(kv, a, b)
+    for one in (known, values_, pairs):
+        out = out.crossJoin(F.broadcast(one))  # one row each
+    return out
+
+
+def preview(matches: DataFrame, order: str, most: int = 100, few: int = 3) -> DataFrame:
+    """``matches`` with ``note``: all of them if they are ``most`` at the most, else the first ``few`` (the feature here)."""
+    total = matches.agg(F.count(F.lit(1)).alias("_total"))
+    first = matches.orderBy(order).limit(most).withColumn("_rn", F.row_number().over(Window.orderBy(order)))
+    rows = first.crossJoin(F.broadcast(total)).where((F.col("_total") <= most) | (F.col("_rn") <= few))
+    note = F.when(F.col("_total") > most, F.concat(F.lit(f"Showing {few} of "), F.col("_total").cast("string"), F.lit(" matches.")))
+    return rows.withColumn("note", note).drop("_total", "_rn")
+
+
 def value_pairs(kv: DataFrame, a: str, b: str, k: int = 5) -> DataFrame:
     """The commonest pairs of values of two tags in one configuration."""
     own = kv.where(F.col("tag").isin(a, b)).groupBy("config_id").agg(*[F.min(F.when(F.col("tag") == t, F.col("value"))).alias(n) for t, n in ((a, "value_a"), (b, "value_b"))])
@@ -104,15 +135,15 @@ def matching(configs: DataFrame, conditions: dict[str, str], any_match: bool = F
     """Configurations (a variant column) that meet all, or any, of ``key = literal``; a missing key never does."""
     if not conditions:
         return configs
-    tests = [values.equals(F.try_variant_get(F.col(config), f"$['{key}']", "variant"), values.filter_literal(s)) for key, s in conditions.items()]
+    tests = [values.equals(values.at_key(F.col(config), key), values.filter_literal(s)) for key, s in conditions.items()]
     return configs.where(reduce((lambda x, y: x | y) if any_match else (lambda x, y: x & y), tests))
 
 
 def by_example(configs: DataFrame, pairs: list[tuple[str, str]], match_all: bool = True, config: str = "config") -> DataFrame:
-    """Like ``matching``, but lists hold what they contain, and each pair of the list counts."""
+    """Like ``matching``, but lists hold the numbers that they contain, and each pair of the list counts."""
     if not pairs:
         return configs
-    hits = sum((values.member(F.try_variant_get(F.col(config), f"$['{key}']", "variant"), values.example_literal(s)).cast("int") for key, s in pairs), F.lit(0))
+    hits = sum((values.member(values.at_key(F.col(config), key), values.example_literal(s)).cast("int") for key, s in pairs), F.lit(0))
     return configs.where(hits == len(pairs) if match_all else hits > 0)
 
 
@@ -152,20 +183,30 @@ def example_config(analysis: DataFrame, min_frequency: int = 1) -> DataFrame:
     )
 
 
-def difference(left: DataFrame, right: DataFrame) -> DataFrame:
-    """tag, value_1, value_2, state ('common', 'only_1', 'only_2', 'different') of two configurations' rows."""
-    both = left.select("tag", F.col("value").alias("value_1")).join(right.select("tag", F.col("value").alias("value_2")), "tag", "full")
-    state = F.when(F.col("value_2").isNull(), "only_1").when(F.col("value_1").isNull(), "only_2").when(F.col("value_1") == F.col("value_2"), "common")
-    return both.withColumn("state", state.otherwise("different"))
+def _key(df: DataFrame, value: str = "value") -> Column:
+    """What values of ``df`` are compared by: variants by typed equality (1 = 1.0 = true), other columns as they are."""
+    return values.typed(F.col(value)) if dict(df.dtypes)[value] == "variant" else F.col(value)
+
+
+def difference(left: DataFrame, right: DataFrame, on: tuple[str, ...] = ("tag",)) -> DataFrame:
+    """``on``, value_1, value_2, state ('common', 'only_1', 'only_2', 'different') of two configurations' rows.
+
+    ``on`` may have columns that tell pairs of configurations apart, so many are compared at once.
+    """
+    one = left.select(*on, F.col("value").alias("value_1"), _key(left).alias("_1"), F.lit(True).alias("_in_1"))
+    two = right.select(*on, F.col("value").alias("value_2"), _key(right).alias("_2"), F.lit(True).alias("_in_2"))
+    state = F.when(F.col("_in_2").isNull(), "only_1").when(F.col("_in_1").isNull(), "only_2").when(F.col("_1").eqNullSafe(F.col("_2")), "common")
+    return one.join(two, list(on), "full").select(*on, "value_1", "value_2", state.otherwise("different").alias("state"))
 
 
 def deduplicated(kv: DataFrame) -> DataFrame:
-    """config_id, first_id, copies: configurations with the same keys and values, whatever their order.
+    """config_id, first_id, copies: configurations with the same keys and equal values, whatever their order.
 
-    Grouping compares the whole sorted configuration; ids travel back by its digest.
+    Grouping compares the whole sorted configuration, keys and values apart; ids travel back by its digest.
     """
-    own = F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "tag", "value"))), "\n")
-    per_config = kv.groupBy("config_id").agg(own.alias("body")).withColumn("digest", F.sha2("body", 256))
+    own = F.to_json(F.sort_array(F.collect_list(F.struct("tag", "key"))))
+    per_config = kv.select("config_id", "tag", F.coalesce(_key(kv), F.lit("null")).alias("key")).groupBy("config_id").agg(own.alias("body"))
+    per_config = per_config.withColumn("digest", F.sha2("body", 256))
     groups = per_config.groupBy("digest", "body").agg(F.min("config_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     return per_config.select("config_id", "digest").join(groups.drop("body"), "digest").select("config_id", "first_id", "copies")
 
@@ -204,9 +245,17 @@ def missing_tags(kv: DataFrame, known: DataFrame, skipped: DataFrame | None = No
     )
 
 
+def appended(index: DataFrame, generated: DataFrame) -> DataFrame:
+    """An index of keys (title) with the generated entries behind it; columns that one side lacks are null."""
+    new = generated.join(index.select("title"), "title", "left_anti")
+    return index.unionByName(new, allowMissingColumns=True)
+
+
 def not_allowed(kv: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Rows whose tag has allowed values (tag, allowed array) and whose value isn't one of them."""
-    return kv.join(allowed, "tag").where(~F.array_contains("allowed", F.col("value")))
+    """Rows whose tag has allowed values (tag, allowed array) and whose value equals none of them."""
+    if dict(kv.dtypes)["value"] != "variant":
+        return kv.join(allowed, "tag").where(~F.array_contains("allowed", F.col("value")))
+    return kv.join(allowed, "tag").where(~F.array_contains(F.transform("allowed", lambda x: values.typed(x)), values.typed(F.col("value"))))
 
 
 def required_but_absent(kv: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -215,14 +264,22 @@ def required_but_absent(kv: DataFrame, allowed: DataFrame) -> DataFrame:
 
 
 def list_values(kv: DataFrame) -> DataFrame:
-    """config_id, tag, value with lists taken apart: their elements, and the numbers of lists inside them.
+    """config_id, tag, value with lists taken apart: their elements, or the numbers in a list of lists.
 
-    A list inside a list without numbers stands as its JSON text. ``kv`` has variants in ``value``.
+    A list of lists (one that begins with a list) without numbers stands as its JSON text, once. ``kv`` has variants in
+    ``value``.
     """
-    items = F.coalesce(F.try_variant_get("value", "$", "array<variant>"), F.array("value"))
-    rows = kv.select("config_id", "tag", F.explode(items).alias("item"))
-    numbers = F.filter(F.coalesce(F.try_variant_get("item", "$", "array<variant>"), F.array().cast("array<variant>")), lambda x: values.kind(x) == "number")
-    own = F.when(F.size(numbers) > 0, F.transform(numbers, values.canonical)).otherwise(F.array(values.canonical(F.col("item"))))
+    many = "array<variant>"
+    rows = kv.select("config_id", "tag", "value", F.try_variant_get("value", "$", many).alias("items"))
+    nested = F.try_variant_get(F.get("items", F.lit(0)), "$", many).isNotNull()
+    leaves = F.flatten(F.transform("items", lambda x: F.coalesce(F.try_variant_get(x, "$", many), F.array(x))))
+    rows = rows.withColumn("numbers", F.when(nested, F.filter(leaves, lambda x: values.kind(x) == "number")))
+    whole = F.array(values.canonical(F.col("value")))
+    own = (
+        F.when(F.size("numbers") > 0, F.transform("numbers", lambda x: values.canonical(x)))
+        .when(F.col("numbers").isNotNull() | F.col("items").isNull(), whole)
+        .otherwise(F.transform("items", lambda x: values.canonical(x)))
+    )
     return rows.select("config_id", "tag", F.explode(own).alias("value"))
 
 

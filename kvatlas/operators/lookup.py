@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kvatlas.functions import text as T
@@ -53,41 +51,88 @@ def resolve(names: DataFrame, index: DataFrame, aliases: DataFrame, files: DataF
     if fuzzy:
         close = close_titles(open_.select("name"), titles)
         found = found.union(close.select("name", F.lit(4), F.lit(FUZZY), "title"))
-    part = open_.join(titles, F.contains(F.col("title"), F.col("up")) & (F.col("up") != ""))
+    part = containing(open_.select("name", "up"), titles)
     found = found.union(part.select("name", F.lit(5), F.lit(SUBSTRING), "title"))
     least = found.groupBy("name").agg(F.min("rank").alias("rank"))
     return found.join(least, ["name", "rank"]).select("name", "stage", "title").distinct()
 
 
-def close_titles(names: DataFrame, titles: DataFrame, k: int = 3, cutoff: float = 0.5) -> DataFrame:
+def _grams(s: Column, n: Column | int) -> Column:
+    """The distinct runs of ``n`` characters."""
+    n = F.lit(n) if isinstance(n, int) else n
+    starts = F.when(F.length(s) >= n, F.sequence(F.lit(1), F.length(s) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(s, i, n)))
+
+
+def containing(names: DataFrame, titles: DataFrame) -> DataFrame:
+    """name, title: the titles that contain a name's ``up``, which isn't empty.
+
+    A name meets the titles that have the rarest of its runs of three characters (of all, if it is shorter), and
+    only these are searched for it.
+    """
+    of_titles = titles.where("title is not null").select("title", F.explode(F.array_union(F.array_union(_grams(F.col("title"), 3), _grams(F.col("title"), 2)), _grams(F.col("title"), 1))).alias("gram"))
+    frequent = of_titles.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    own = names.where("up <> ''").select("name", "up", F.explode(_grams(F.col("up"), F.least(F.length("up"), F.lit(3)))).alias("gram"))
+    rarest = own.join(frequent, "gram", "left").groupBy("name", "up").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m"))
+    rarest = rarest.where("m.n > 0").select("name", "up", F.col("m.gram").alias("gram"))  # a run that no title has: no match
+    return rarest.join(of_titles, "gram").where(F.contains("title", F.col("up"))).select("name", "title")
+
+
+def close_titles(names: DataFrame, titles: DataFrame, k: int = 3, cutoff: float = 0.5, block: int = 256, titles_block: int = 20_000) -> DataFrame:
     """name, title, ratio: the k closest titles by Ratcliff-Obershelp matching, ties to the greater title.
 
-    Titles are compared where they lie: every task keeps its own k best for each name, and the rest is a window
-    over k rows a task. ``names`` is a table of questions, one batch of which goes to each task.
+    ``names`` is a table of questions. Names and titles are dealt into blocks by a hash, each pair of blocks meets in
+    one task, which keeps the k best for each of its names; the rest is a window over these.
     """
-    asked = [r["name"] for r in names.select("name").distinct().collect()]  # the questions, not the index
+    from kvatlas.operators.configs import top
+
+    asked, known = names.select("name").where("name is not null").distinct(), titles.select("title").where("title is not null").distinct()
+    n, m = max(1, -(-asked.count() // block)), max(1, -(-known.count() // titles_block))
+    dealt = lambda c, parts: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = asked.select("name", dealt("name", n).alias("i"), every(m).alias("j"))
+    right = known.select("title", dealt("title", m).alias("j"), every(n).alias("i"))
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def best(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         from difflib import SequenceMatcher
         from heapq import nlargest
 
-        kept: dict[str, list[tuple[float, str]]] = {n: [] for n in asked}
-        for batch in batches:
-            for n in asked:
-                matcher = SequenceMatcher()
-                matcher.set_seq2(n.strip().upper())
-                found = []
-                for title in batch["title"]:
-                    matcher.set_seq1(title)
-                    if matcher.real_quick_ratio() >= cutoff and matcher.quick_ratio() >= cutoff and (r := matcher.ratio()) >= cutoff:
-                        found.append((r, title))
-                kept[n] = nlargest(k, kept[n] + found)
-        yield pd.DataFrame([(n, t, r) for n, own in kept.items() for r, t in own], columns=["name", "title", "ratio"])
+        out, candidates = [], others["title"].tolist()
+        for name in own["name"]:
+            matcher = SequenceMatcher()
+            matcher.set_seq2(name.strip().upper())
+            found = []
+            for title in candidates:
+                matcher.set_seq1(title)
+                if matcher.real_quick_ratio() >= cutoff and matcher.quick_ratio() >= cutoff and (r := matcher.ratio()) >= cutoff:
+                    found.append((r, title))
+            out += [(name, t, r) for r, t in nlargest(k, found)]
+        return pd.DataFrame(out, columns=["name", "title", "ratio"])
+
+    pairs = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, "name string, title string, ratio double")
+    return top(pairs, "name", [F.desc("ratio"), F.desc("title")], k).drop("rn")
 
-    from kvatlas.operators.configs import top
 
-    found = titles.select("title").where("title is not null").mapInPandas(best, "name string, title string, ratio double")
-    return top(found, "name", [F.desc("ratio"), F.desc("title")], k).drop("rn")
+def entry_or_hint(names: DataFrame, index: DataFrame, upper: bool = True) -> DataFrame:
+    """name, outcome ('entry', 'several', 'missing'), titles: what a lookup by name answers.
+
+    The title that equals the name, else the only one that contains it, is the entry; several are suggestions in
+    order. With ``upper``, names are keys in capitals; without, they are page titles: equal as they are written, or
+    contained in any case, and even a single containing page is a hint ('several').
+    """
+    given = names.where("name is not null").select("name").distinct()
+    titles = index.select("title").distinct()
+    key = F.upper("name") if upper else F.col("name")
+    exact = given.join(titles.withColumn("_key", F.upper("title") if upper else F.col("title")), key == F.col("_key")).groupBy("name").agg(F.min("title").alias("title"))
+    rest = given.join(exact.select("name"), "name", "left_anti")
+    folded = titles.select(F.col("title").alias("shown"), (F.col("title") if upper else F.lower("title")).alias("title"))
+    part = containing(rest.select("name", (F.upper("name") if upper else F.lower("name")).alias("up")), folded.select("title").distinct())
+    part = part.join(folded, "title").groupBy("name").agg(F.sort_array(F.collect_set("shown")).alias("titles"))
+    lone = (F.size("titles") == 1) & F.lit(upper)
+    found = exact.select("name", F.lit("entry").alias("outcome"), F.array("title").alias("titles"))
+    found = found.union(part.select("name", F.when(lone, "entry").otherwise("several"), "titles"))
+    missing = given.join(found.select("name"), "name", "left_anti")
+    return found.union(missing.select("name", F.lit("missing"), F.array().cast("array<string>")))
 
 
 def find(titles: DataFrame, name: str) -> DataFrame:

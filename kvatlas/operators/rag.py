@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEPARATORS = ("\n\n", "\n", " ", "")
@@ -23,28 +24,29 @@ def split_text(text: str, size: int, overlap: int, separators: tuple[str, ...] =
     mark = next((s for s in separators if s == "" or s in text), "")
     finer = separators[separators.index(mark) + 1 :]
     out: list[str] = []
-    held: list[str] = []
+    held: deque[str] = deque()
+    size_held = 0  # of the pieces held, with a mark behind each
 
     def close() -> None:
         joined = mark.join(held).strip()
         if joined:
             out.append(joined)
 
-    def length(parts: list[str]) -> int:
-        return sum(map(len, parts)) + len(mark) * max(0, len(parts) - 1)
-
-    for piece in text.split(mark) if mark else list(text):
-        if len(piece) > size:
+    for piece in text.split(mark) if mark else text:
+        n = len(piece)
+        if n > size:
             if held:
                 close()
-                held = []
+                held.clear()
+                size_held = 0
             out += split_text(piece, size, overlap, finer) if finer else [piece]
             continue
-        if held and length(held) + len(mark) + len(piece) > size:
+        if held and size_held + n > size:
             close()
-            while held and (length(held) > overlap or length(held) + len(mark) + len(piece) > size):
-                held.pop(0)
+            while held and (size_held - len(mark) > overlap or size_held + n > size):
+                size_held -= len(held.popleft()) + len(mark)
         held.append(piece)
+        size_held += n + len(mark)
     if held:
         close()
     return out
@@ -104,52 +106,39 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 4096, keys: tuple[str, ...] = ("vec_id",), carried: tuple[str, ...] = ()) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 4096, keys: tuple[str, ...] = ("vec_id",), carried: tuple[str, ...] = (), vectors_block: int = 16_384) -> DataFrame:
     """query_id, ``keys``, ``carried``, distance, rn: the k nearest vectors of each query, by squared distance.
 
     Ties go to the smaller ``keys``, which are numbers; ``carried`` are columns of the vectors that come along.
 
-    Queries are cut into blocks by a hash; every task of vectors meets one block at a time, computes distances
-    as matrix products, and keeps its k best for each query, so no pair beyond these is ever a row.
+    Queries and vectors are dealt into blocks by a hash. Each pair of blocks meets in one task, which computes distances
+    as matrix products and keeps its k best for each query, so no pair beyond these is ever a row. A vector travels once
+    for each block of queries.
     """
     from kvatlas.operators.configs import top
 
-    blocks = max(1, -(-queries.count() // block))
-    parts = []
-    for b in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "embedding").toPandas()
-        if len(own):
-            parts.append(_nearest_block(own, vectors, k, keys, carried))
-    if not parts:
-        return queries.sparkSession.createDataFrame([], f"{_fields(vectors, keys, carried)}, rn int")
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.union(p)
+    n, m = max(1, -(-queries.count() // block)), max(1, -(-vectors.count() // vectors_block))
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int").alias("_i"), every(m).alias("_j"))
+    right = vectors.select(*keys, *carried, "embedding", F.pmod(F.xxhash64(*keys), F.lit(m)).cast("int").alias("_j"), every(n).alias("_i"))
+    names = ["query_id", *keys, *carried, "distance"]
+
+    def best(own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(rows):
+            return pd.DataFrame(columns=names)
+        q, v = (np.stack(x["embedding"].to_numpy()).astype(np.float64) for x in (own, rows))
+        ids, vec = own["query_id"].to_numpy(), [rows[c].to_numpy() for c in keys]
+        step, out = max(1, (1 << 21) // len(v)), []  # queries at a time, so that the matrix of distances stays small
+        for at in range(0, len(q), step):
+            own_at, pick, distance = _k_best(q[at : at + step], v, vec, k)
+            out.append(rows[[*keys, *carried]].iloc[pick].reset_index(drop=True).assign(query_id=ids[at + own_at], distance=distance))
+        return pd.concat(out)[names]
+
+    fields = ", ".join(["query_id long", *(f"{c} {t}" for c, t in vectors.select(*keys, *carried).dtypes), "distance double"])
+    both = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(best, fields)
     return top(both, "query_id", [F.asc("distance"), *map(F.asc, keys)], k)
 
 
-def _fields(vectors: DataFrame, keys: tuple[str, ...], carried: tuple[str, ...]) -> str:
-    return ", ".join(["query_id long", *(f"{c} {t}" for c, t in vectors.select(*keys, *carried).dtypes), "distance double"])
-
-
-def _nearest_block(own: pd.DataFrame, vectors: DataFrame, k: int, keys: tuple[str, ...], carried: tuple[str, ...]) -> DataFrame:
-    ids, q = own["query_id"].to_numpy(), np.stack(own["embedding"].to_numpy()).astype(np.float64)
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            if not len(rows):
-                continue
-            v = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
-            vec = [rows[c].to_numpy() for c in keys]
-            step = max(1, (1 << 21) // len(v))  # queries at a time, so that the matrix of distances stays small
-            for at in range(0, len(q), step):
-                own_at, pick, distance = _k_best(q[at : at + step], v, vec, k)
-                out = rows[[*keys, *carried]].iloc[pick].reset_index(drop=True)
-                yield out.assign(query_id=ids[at + own_at], distance=distance)
-
-    return vectors.select(*keys, *carried, "embedding").mapInPandas(best, _fields(vectors, keys, carried))
-
-
 def _k_best(q: np.ndarray, v: np.ndarray, vec: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of q, rows of v, rounded squared distances: for each q its k smallest by (rounded distance, vec).
 
@@ -183,5 +172,22 @@ def recall(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     return rows.select("query_id", "found", "wanted", F.round(F.col("found") / F.col("wanted"), 6).alias("recall"))
 
 
-def ranked_chunks(scores: DataFrame, by: str, order: list[Column]) -> DataFrame:
-    return scores.withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+def write_chunks(spark: SparkSession, pages: DataFrame, path: str, make: Callable[[], Callable[[list[str]], np.ndarray]], size: int = 1000, overlap: int = 200) -> None:
+    """A store of chunks of the usable pages (page_idx, title, url, content): each with its page's entry and its vector."""
+    own = usable(pages)
+    cut = chunks(own, size, overlap, text_col="content", id_col="page_idx").withColumnRenamed("doc_id", "page_idx")
+    rows = embedded(cut, make, "chunk", ["page_idx", "chunk_idx", "start_index", "chunk"]).join(own.select("page_idx", "title", "url"), "page_idx")
+    rows.write.mode("overwrite").parquet(path)
+
+
+def retrieved(spark: SparkSession, path: str, questions: DataFrame, make: Callable[[], Callable[[list[str]], np.ndarray]], k: int = 5) -> DataFrame:
+    """query_id, question, page_idx, chunk_idx, title, url, chunk, distance, rn from a store; ``questions``: query_id, question."""
+    asked = embedded(questions, make, "question", ["query_id"])
+    hits = nearest(asked, spark.read.parquet(path), k, keys=("page_idx", "chunk_idx"), carried=("title", "url", "chunk"))
+    return hits.join(questions, "query_id")
+
+
+def write_results(hits: DataFrame, path: str) -> None:
+    """One JSON line a question: its hits in order."""
+    own = F.transform(F.sort_array(F.collect_list(F.struct("rn", "title", "url", "distance", "chunk"))), lambda x: x.dropFields("rn"))
+    hits.groupBy("query_id", "question").agg(own.alias("results")).write.mode("overwrite").json(path)

@@ -7,6 +7,7 @@ JSON text: a boolean, or a number.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +16,21 @@ FLAGS = ("soc", "nosym", "hyperfine", "pbe", "pbesol", "scan", "hse0", "pbe0", "
 FEATURES = (*FLAGS, "spin", "nelect")
 
 
-def features(config: Column) -> dict[str, Column]:
-    """Each feature as a column."""
-    value = lambda key: F.try_element_at(config, F.lit(key))
+#: Keys that the features are derived from.
+READ = ("LSORBIT", "ISYM", "LHYPERFINE", "GGA", "METAGGA", "LHFCALC", "HFSCREEN", "IBRION", "ISIF", "ISPIN", "NUPDOWN", "NELECT")
+
+
+def featured(df: DataFrame, config: str = "config") -> DataFrame:
+    """``df`` with a column ``_f_<name>`` for each feature.
+
+    Values are taken from the map once, into columns of their own, which go again.
+    """
+    keyed = df.select("*", *[F.try_element_at(config, F.lit(k)).alias(f"_k_{k}") for k in READ])
+    return keyed.select("*", *[c.alias(f"_f_{n}") for n, c in features(lambda key: F.col(f"_k_{key}")).items()]).drop(*[f"_k_{k}" for k in READ])
+
+
+def features(value: Callable[[str], Column]) -> dict[str, Column]:
+    """Each feature as a column; ``value`` gives a key's JSON text."""
     number = lambda key: F.when(value(key) == "true", 1.0).when(value(key) == "false", 0.0).otherwise(value(key).try_cast("double"))
     holds = lambda test: F.coalesce(test, F.lit(False))
     quoted = lambda key, s: holds(value(key) == f'"{s}"')
@@ -41,32 +54,32 @@ def features(config: Column) -> dict[str, Column]:
     }
 
 
-def active(config: Column) -> Column:
-    """Names of the features that differ from their defaults; numbers follow ``spin`` and ``nelect``."""
-    f = features(config)
+def active(df: DataFrame, config: str = "config") -> DataFrame:
+    """``df`` with ``features``: names of those that differ from their defaults; numbers follow ``spin`` and ``nelect``."""
+    f = {n: F.col(f"_f_{n}") for n in FEATURES}
     spin = F.when(f["spin"] == "true", "spin").when(f["spin"] != "false", F.concat(F.lit("spin="), f["spin"]))
     named = [F.when(f[n], n) for n in FLAGS] + [spin, F.when(f["nelect"].isNotNull(), F.concat(F.lit("nelect="), f["nelect"]))]
-    return F.array_compact(F.array(*named))
+    return featured(df, config).withColumn("features", F.array_compact(F.array(*named))).drop(*[f"_f_{n}" for n in FEATURES])
 
 
 def edited(df: DataFrame, wanted: dict[str, bool | int | float], config: str = "config") -> DataFrame:
     """``df`` with ``edited``: the configuration with the wanted features; unknown ones are ignored, others stay.
 
     Rules apply in order, later ones winning, and a key that no feature claims is taken out: GGA, LHFCALC, and
-    IBRION with NSW.
+    IBRION with NSW. Whether a key is set, and to what, are columns of their own.
     """
-    named = features(F.col(config))
-    rows = df.withColumn("_now", F.struct(*[c.alias(n) for n, c in named.items()]))
-    now = {n: F.col(f"_now.{n}") for n in FEATURES}
+    rows = featured(df, config)
+    now = {n: F.col(f"_f_{n}") for n in FEATURES}
     new = now | {n: F.lit(json.dumps(wanted[n])) if n in ("spin", "nelect") else F.lit(bool(wanted[n])) for n in wanted if n in FEATURES}
     changed = {n: ~new[n].eqNullSafe(now[n]) for n in FEATURES}
-    patch: dict[str, Column] = {}
+    isset: dict[str, Column] = {}
+    to: dict[str, Column] = {}
 
     def put(when: Column, **keys) -> None:
         for key, text in keys.items():
-            to = text if isinstance(text, Column) else F.lit(text)
-            before = patch.get(key, F.struct(F.lit(False).alias("set"), F.lit(None).cast("string").alias("to")))
-            patch[key] = F.when(when, F.struct(F.lit(True).alias("set"), to.cast("string").alias("to"))).otherwise(before)
+            value = (text if isinstance(text, Column) else F.lit(text)).cast("string")
+            isset[key] = isset[key] | when if key in isset else when
+            to[key] = F.when(when, value).otherwise(to[key]) if key in to else F.when(when, value)
 
     put(changed["soc"], LSORBIT=new["soc"].cast("string"))
     put(changed["nosym"], ISYM=F.when(new["nosym"], "-1"))
@@ -88,12 +101,12 @@ def edited(df: DataFrame, wanted: dict[str, bool | int | float], config: str = "
     put(new["relax3"] & changed["relax3"], IBRION="2", ISIF="3", NSW="25")
     put(~new["phonon"] & ~new["relax2"] & ~new["relax3"], IBRION=None, NSW=None)
 
-    entries = [F.struct(F.lit(k).alias("key"), p["set"].alias("set"), p["to"].alias("value")) for k, p in patch.items()]
-    rows = rows.withColumn("_patch", F.filter(F.array(*entries), lambda e: e["set"]))
-    touched = F.transform("_patch", lambda e: e["key"])
+    rows = rows.select("*", *[c.alias(f"_set_{k}") for k, c in isset.items()], *[c.alias(f"_to_{k}") for k, c in to.items()])
+    touched = F.array_compact(F.array(*[F.when(F.col(f"_set_{k}"), k) for k in isset]))
     kept = F.filter(F.map_entries(config), lambda e: ~F.array_contains(touched, e["key"]))
-    put_in = F.transform(F.filter("_patch", lambda e: e["value"].isNotNull()), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
-    return rows.withColumn("edited", F.map_from_entries(F.concat(kept, put_in))).drop("_now", "_patch")
+    put_in = F.array_compact(F.array(*[F.when(F.col(f"_set_{k}") & F.col(f"_to_{k}").isNotNull(), F.struct(F.lit(k).alias("key"), F.col(f"_to_{k}").alias("value"))) for k in isset]))
+    added = [f"_f_{n}" for n in FEATURES] + [f"_{x}_{k}" for k in isset for x in ("set", "to")]
+    return rows.withColumn("edited", F.map_from_entries(F.concat(kept, put_in))).drop(*added)
 
 
 def changes(before: Column, after: Column) -> Column:

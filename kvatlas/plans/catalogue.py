@@ -16,7 +16,7 @@ from kvatlas.operators import rag as G
 from kvatlas.operators import rules as R
 from kvatlas.operators import search as S
 from kvatlas.plans.views import KV, config_kv, event_configs, injected, key_content, order_configs, table
-from kvatlas.sources.files import from_html, page_links
+from kvatlas.sources.files import fetch_meta, from_html, page_links, scratch
 from kvatlas.streaming.counts import windowed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,11 +103,20 @@ def config_filter_any(spark, folder):
     return C.matching(event_configs(spark, folder), {"k": "5.0", "type": "click"}, any_match=True).select("event_id")
 
 
-@query("select l_orderkey from lineitem group by 1 having list_contains(list(l_linenumber), 3) and list_contains(list(l_returnflag), 'R')")
+@query("""select l_orderkey from lineitem group by 1 having list_contains(list(l_linenumber), 3) and list_contains(list(l_quantity::int), 17) and min(l_returnflag) = 'A'""")
 def config_list_member(spark, folder):
-    lines = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("n"), F.collect_list("l_returnflag").alias("flags"))
-    rows = lines.select("l_orderkey", F.parse_json(F.to_json(F.struct("n", "flags"))).alias("config"))
-    return C.by_example(rows, [("n", "3"), ("flags", "R")]).select("l_orderkey")
+    """Numbers are looked up in lists, and in lists of lists; a string must be equal as a whole."""
+    lines = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(
+        F.collect_list("l_linenumber").alias("n"), F.collect_list(F.array(F.col("l_quantity").cast("int"))).alias("q"), F.min("l_returnflag").alias("flag"), F.collect_list("l_returnflag").alias("flags")
+    )
+    rows = lines.select("l_orderkey", F.parse_json(F.to_json(F.struct("n", "q", "flag", "flags"))).alias("config"))
+    return C.by_example(rows, [("n", "3"), ("q", "17"), ("flag", "A")]).select("l_orderkey")
+
+
+@query("""with m as (select event_id, count(*) over () n, row_number() over (order by event_id) rn from events where event_type = 'click')
+select event_id, case when n > 100 then 'Showing 3 of ' || n || ' matches.' end note from m where n <= 100 or rn <= 3""")
+def config_preview(spark, folder):
+    return C.preview(C.matching(event_configs(spark, folder), {"type": "click"}).select("event_id"), "event_id")
 
 
 ANALYSIS = f"""with {KV}, tot as (select count(*) n from orders), v as (select tag, value, count(*) n, false absent from kv group by 1, 2),
@@ -150,14 +159,13 @@ def example_lines(spark, folder):
     return C.example_lines(example).select("tag", "commented", "line")
 
 
-@query(f"""with {KV}, a as (select tag, min(value) v from kv where config_id % 2 = 0 group by 1), b as (select tag, max(value) v from kv where config_id % 3 = 1 and tag <> 'Brand#7' group by 1)
-select tag, a.v value_1, b.v value_2, case when b.v is null then 'only_1' when a.v is null then 'only_2' when a.v = b.v then 'common' else 'different' end state
-from a full join b using (tag)""")
+@query(f"""with {KV}, a as (select config_id // 2 pair, tag, value from kv where config_id % 2 = 0), b as (select config_id // 2 pair, tag, value from kv where config_id % 2 = 1)
+select pair, tag, a.value value_1, b.value value_2, case when b.value is null then 'only_1' when a.value is null then 'only_2' when a.value = b.value then 'common' else 'different' end state
+from a full join b using (pair, tag)""")
 def config_diff(spark, folder):
-    kv = config_kv(spark, folder)
-    left = kv.where("config_id % 2 = 0").groupBy("tag").agg(F.min("value").alias("value"))
-    right = kv.where("config_id % 3 = 1 and tag <> 'Brand#7'").groupBy("tag").agg(F.max("value").alias("value"))
-    return C.difference(left, right)
+    """Each configuration of an even number against the next one."""
+    kv = config_kv(spark, folder).withColumn("pair", F.floor(F.col("config_id") / 2))
+    return C.difference(kv.where("config_id % 2 = 0"), kv.where("config_id % 2 = 1"), on=("pair", "tag"))
 
 
 @query(f"""with {KV}, b as (select config_id, string_agg(tag || '=' || value, chr(10) order by tag, value) body from kv group by 1)
@@ -166,11 +174,10 @@ def config_dedupe(spark, folder):
     return C.deduplicated(config_kv(spark, folder))
 
 
-@query("select distinct p_brand tag from part except select p_brand from part where p_size < 3")
+@query("select distinct p_brand || ' ' || p_type tag from part except select p_brand || ' ' || p_type from part where p_size = 7")
 def missing_keys(spark, folder):
-    parts = table(spark, folder, "part")
-    known = parts.where("p_size < 3").select(F.col("p_brand").alias("tag"))
-    return C.required_but_absent(known, parts.select(F.col("p_brand").alias("tag")).distinct())
+    parts = table(spark, folder, "part").select(F.concat_ws(" ", "p_brand", "p_type").alias("tag"), "p_size")
+    return C.required_but_absent(parts.where("p_size = 7"), parts.select("tag").distinct())
 
 
 @query(f"""with {KV}, known as (select distinct 'Brand#' || n_nationkey title from nation where n_nationkey % 2 = 0),
@@ -188,6 +195,38 @@ def missing_tags(spark, folder):
     return C.missing_tags(config_kv(spark, folder), known)
 
 
+@query(f"""with {KV}, known as (select distinct 'Brand#' || n_nationkey title from nation where n_nationkey % 2 = 0),
+want as (select title, true enforced from (select 'ENMAX' title union select 'ENMIN' union select 'EXX' union select p_brand from part where p_size = 1 union select upper(n_name) from nation where regexp_matches(upper(n_name), '^[A-Z][A-Z0-9_]*$'))
+  where title not in (select title from known)),
+n as (select tag title, count(*) n from kv where tag not in (select title from known) group by 1)
+select title, 'indexed' origin, 0::bigint n from known union all
+select title, case when enforced then 'enforced' else 'frequent' end, coalesce(n.n, 0) from want full join n using (title) where enforced or n.n >= 50""")
+def extended_index(spark, folder):
+    """An index of keys with what is generated for those it lacks: enforced ones, skipped pages, and frequent ones."""
+    known = table(spark, folder, "nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit("Brand#"), "n_nationkey").alias("title"))
+    skipped = table(spark, folder, "nation").select(F.upper("n_name").alias("title")).union(table(spark, folder, "part").where("p_size = 1").select("p_brand"))
+    made = C.missing_tags(config_kv(spark, folder), known, skipped, identifiers_only=False)
+    kind = F.when(F.col("title").isin(*C.ALWAYS_GENERATED) | F.col("skipped").isNotNull(), "enforced").otherwise("frequent")
+    made = made.join(skipped.distinct().withColumn("skipped", F.lit(True)), "title", "left").select("title", kind.alias("origin"), "n")
+    return C.appended(known.select("title", F.lit("indexed").alias("origin")).distinct(), made).withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+@query(f"""{PAIRS}, c as (select config_id, max((tag = 'Brand#1')::int) a, max((tag = 'Brand#2')::int) b from kv group by 1),
+s as (select count(*) total, sum(a)::bigint count_a, sum(b)::bigint count_b, sum(a * b)::bigint ab from c),
+t as (select tag, value, count(*) c, row_number() over (partition by tag order by count(*) desc, value) rn from kv where tag in ('Brand#1', 'Brand#2') group by 1, 2),
+v as (select x.value a, y.value b, count(*) n from kv x join kv y using (config_id) where x.tag = 'Brand#1' and y.tag = 'Brand#2' group by 1, 2)
+select total, count_a, count_b, ab "both", round(count_a * 100e0 / total, 1) count_a_percent, round(count_b * 100e0 / total, 1) count_b_percent, round(ab * 100e0 / total, 1) both_percent,
+  exists (select 1 from part p where p_brand in ('Brand#1', 'Brand#2') and p_size = 2) wiki_related,
+  (select string_agg(value || ':' || c, ',' order by rn) from t where tag = 'Brand#1' and rn <= 5) a_values, (select string_agg(value || ':' || c, ',' order by rn) from t where tag = 'Brand#2' and rn <= 5) b_values,
+  (select string_agg(a || '=' || b || ':' || n, ',' order by n desc, a || '=' || b) from (select * from v order by n desc, a, b limit 5)) pairs from s""")
+def pair_answer(spark, folder):
+    other = F.when(F.col("p_brand") == "Brand#1", "Brand#2").otherwise("Brand#1")
+    related = table(spark, folder, "part").where("p_size = 2").select(F.col("p_brand").alias("title"), F.array(other).alias("related"))
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["value"], F.lit(":"), x["count"].cast("string"))), ",")
+    rows = C.pair_answer(config_kv(spark, folder), "Brand#1", "Brand#2", related)
+    return rows.select(*rows.columns[:-3], text("top_a_values").alias("a_values"), text("top_b_values").alias("b_values"), text("top_pairs").alias("pairs"))
+
+
 @query(f"with {KV} select config_id, tag, value from kv where tag in ('Brand#1', 'Brand#2') and value not in ('PROMO', 'SMALL')")
 def not_allowed(spark, folder):
     allowed = table(spark, folder, "part").where("p_brand in ('Brand#1', 'Brand#2')").select(F.col("p_brand").alias("tag")).distinct()
@@ -196,16 +235,31 @@ def not_allowed(spark, folder):
 
 @query("""select o_orderkey, o_orderkey % 2 = 0 and o_orderkey % 3 > 0 readable,
   case when o_orderkey % 2 = 0 and o_orderkey % 3 > 0 then o_orderkey::varchar end a, case when o_orderkey % 2 = 0 and o_orderkey % 3 > 0 then 'true' end b,
-  case when o_orderkey % 2 = 0 and o_orderkey % 3 > 0 then '"' || o_orderpriority || '"' end c from orders""")
+  case when o_orderkey % 2 = 0 and o_orderkey % 3 > 0 then '"' || o_orderpriority || ' ! no comment"' end c from orders""")
 def config_texts(spark, folder):
     key = F.col("o_orderkey").cast("string")
     broken = F.when((F.col("o_orderkey") % 2 == 0) & (F.col("o_orderkey") % 3 > 0), "").otherwise("D = x = y\n")
-    raw = F.concat(F.lit("# top\n  A = "), key, F.lit(".0 # n; B=.TRUE.\n"), broken, F.lit("C = "), "o_orderpriority", F.lit(" ! note\n"))
+    raw = F.concat(F.lit("# top\n  A = "), key, F.lit(".0 # n; B=.TRUE.\n"), broken, F.lit("C = "), "o_orderpriority", F.lit(" ! no comment # note\n"))
     m = values.parse_config_text(F.replace(raw, F.lit("; B"), F.lit("\nB")))
     at = lambda k: F.try_element_at("m", F.lit(k))
     return table(spark, folder, "orders").select("o_orderkey", m.alias("m")).select("o_orderkey", F.col("m").isNotNull().alias("readable"), at("A").alias("a"), at("B").alias("b"), at("C").alias("c"))
 
 
+@query("""select o_orderkey, o_orderkey::varchar n, 'true' bare, case when o_orderkey % 2 = 0 then 'true' else 'false' end flag, '"' || o_orderpriority || '"' word from orders""")
+def edit_tokens(spark, folder):
+    flag = F.when(F.col("o_orderkey") % 2 == 0, "flag=TRUE").otherwise("flag=False")
+    tokens = F.array(F.concat(F.lit("n="), F.col("o_orderkey").cast("string"), F.lit(".0")), F.lit("bare"), flag, F.concat(F.lit("word="), "o_orderpriority"))
+    rows = table(spark, folder, "orders").select("o_orderkey", values.edit_tokens(tokens).alias("m"))
+    return rows.select("o_orderkey", *[F.try_element_at("m", F.lit(k)).alias(k) for k in ("n", "bare", "flag", "word")])
+
+
+@query(f"""with {KV} select config_id, md5(string_agg(tag || ' = ' || value, chr(10) order by tag)) digest from kv group by 1""")
+def saved_texts(spark, folder):
+    own = F.map_from_entries(F.sort_array(F.collect_list(F.struct("tag", "value"))))
+    rows = config_kv(spark, folder).groupBy("config_id").agg(own.alias("m"))
+    return rows.select("config_id", F.md5(values.config_text(F.col("m"))).alias("digest"))
+
+
 # --- rules, on orders as configurations
 
 _PICK = lambda n, *o: "[" + ", ".join("null" if x is None else f"'{x}'" for x in o) + f"][1 + (o_orderkey // {n}) % {len(o)}]"
@@ -222,7 +276,7 @@ f as (select *, coalesce(soc = 'true', false) f_soc, coalesce(isym in ('0', '-1'
   case when f_pbesol then 'pbesol' end, case when f_hse0 then 'hse0' end, case when f_pbe0 then 'pbe0' end, case when f_phonon then 'phonon' end, case when f_relax2 then 'relax2' end,
   case when f_relax3 then 'relax3' end, case when f_spin = 'true' then 'spin' when f_spin <> 'false' then 'spin=' || f_spin end], lambda x: x is not null), ' ') features from f""")
 def derived_features(spark, folder):
-    return order_configs(spark, folder).select("o_orderkey", F.array_join(R.active(F.col("config")), " ").alias("features"))
+    return R.active(order_configs(spark, folder)).select("o_orderkey", F.array_join("features", " ").alias("features"))
 
 
 @query(f"""with {ORDER_CONFIGS}, e as (select o_orderkey, encut, isym, 'true' soc2,
@@ -319,6 +373,17 @@ def page_texts(spark, folder):
     return from_html(table(spark, folder, "pages"))
 
 
+@query("""with h as (select page_id, regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g'), '^\\s+|\\s+$', '', 'g') title from pages)
+select count(*) page_count, md5(string_agg(title, '' order by page_id)) page_titles_md5, '2024-01-01' last_modified from h""")
+def crawl_meta(spark, folder):
+    return fetch_meta(from_html(table(spark, folder, "pages")), "2024-01-01").select("page_count", "page_titles_md5", "last_modified")
+
+
+@query("""select 'KEY' || p_partkey title, unnest(['ISMEAR', 'SIGMA']) related, unnest([0, 1]) pos from part where p_partkey % 5 <> 4""")
+def related_graph(spark, folder):
+    return P.related_edges(P.key_pages(key_content(spark, folder))).select("title", "related", "pos")
+
+
 @query("""with l as (select distinct lower(url) u from pages where page_id % 10 <> 0), r as (select distinct lower(url) u from pages where page_id % 10 <> 1)
 (select 'new' "change", u title from (select u from r except select u from l) order by u limit 20) union all (select 'removed', u from (select u from l except select u from r) order by u limit 20)""")
 def title_diff(spark, folder):
@@ -352,8 +417,45 @@ def resolve_names(spark, folder):
 
 @query()
 def fuzzy_resolve(spark, folder):
-    names = spark.createDataFrame([("blue widgit",), ("smal rng",), ("qqqq",)], "name string")
-    return L.resolve(names, table(spark, folder, "part").select(F.upper("p_name").alias("title")), spark.createDataFrame([], "alias string, target string"), fuzzy=True)
+    """Names of parts with their second letter lost, and of nations, by all stages; tests compare with plain matching."""
+    parts = table(spark, folder, "part")
+    names = parts.select(F.concat(F.substring("p_name", 1, 1), F.substring("p_name", 3, 1000)).alias("name")).union(table(spark, folder, "nation").select("n_name")).distinct()
+    files = table(spark, folder, "nation").where("n_regionkey = 1").select(F.upper("n_name").alias("title"))
+    return L.resolve(names, parts.select(F.upper("p_name").alias("title")), spark.createDataFrame([], "alias string, target string"), files, fuzzy=True)
+
+
+LOOKUP = """names as (select distinct n_name as name from nation union select p_brand from part union select 'brand#1' union select 'rand#25' union select 'Widget' union select p_name from part where p_size = 3)"""
+
+
+@query(f"""with {LOOKUP}, t as (select distinct p_brand title from part), e as (select name, min(title) title from names join t on upper(name) = upper(title) group by 1),
+c as (select name, string_agg(title, ',' order by title) titles, count(*) n from names join t on contains(title, upper(name)) where name not in (select name from e) group by 1)
+select name, case when e.title is not null then 'entry' when c.n = 1 then 'entry' when c.n > 1 then 'several' else 'missing' end outcome, coalesce(e.title, c.titles, '') titles
+from names left join e using (name) left join c using (name)""")
+def key_lookup(spark, folder):
+    return L.entry_or_hint(_lookup_names(spark, folder), table(spark, folder, "part").select(F.col("p_brand").alias("title"))).withColumn("titles", F.array_join("titles", ","))
+
+
+@query(f"""with {LOOKUP}, t as (select distinct p_name title from part), e as (select name from names join t on name = title),
+c as (select name, string_agg(title, ',' order by title) titles from names join t on contains(lower(title), lower(name)) where name not in (select name from e) group by 1)
+select name, case when e.name is not null then 'entry' when c.titles is not null then 'several' else 'missing' end outcome, coalesce(e.name, c.titles, '') titles
+from names left join e using (name) left join c using (name)""")
+def page_lookup(spark, folder):
+    return L.entry_or_hint(_lookup_names(spark, folder), table(spark, folder, "part").select(F.col("p_name").alias("title")), upper=False).withColumn("titles", F.array_join("titles", ","))
+
+
+def _lookup_names(spark, folder):
+    parts = table(spark, folder, "part")
+    typed = spark.createDataFrame([("brand#1",), ("rand#25",), ("Widget",)], "name string")
+    return table(spark, folder, "nation").select(F.col("n_name").alias("name")).union(parts.select("p_brand")).union(typed).union(parts.where("p_size = 3").select("p_name"))
+
+
+@query("""with b as (select distinct lower(p_brand) alias, p_type target from part where p_size = 1), u as (select lower(trim(p_brand)) alias, max(p_type) own from part where p_size = 2 group by 1),
+m as (select alias, min(target) target from b group by 1) select alias, coalesce(own, target) target from m full join u using (alias)""")
+def alias_overlay(spark, folder):
+    parts = table(spark, folder, "part")
+    built_in = parts.where("p_size = 1").groupBy(F.lower("p_brand").alias("alias")).agg(F.min("p_type").alias("target"))
+    user = parts.where("p_size = 2").groupBy(F.concat(F.lit(" "), F.upper("p_brand"), F.lit("\t")).alias("alias")).agg(F.max("p_type").alias("target"))
+    return L.overlaid_aliases(built_in, user)
 
 
 @query("select distinct p_name title from part where contains(lower(p_name), 'widget')")
@@ -406,6 +508,14 @@ def bm25(spark, folder):
     return S.bm25(_docs(spark, folder), QUESTION)
 
 
+@query(f"with {BM25} select doc_id, score from bm")
+def bm25_index(spark, folder):
+    """The same from an inverted index, written first and read by its terms."""
+    path = scratch(spark, "index")
+    S.write_index(_docs(spark, folder), path)
+    return S.bm25_indexed(spark, path, QUESTION)
+
+
 @query()
 def tiered_search(spark, folder):
     tags = table(spark, folder, "part").select(F.upper("p_name").alias("title"), F.col("p_type").alias("description")).distinct()
@@ -510,15 +620,27 @@ def recall_at_10(spark, folder):
     return G.recall(_nearest(spark, folder, 10), queries.join(v.select("vec_id", "label"), "label").select("query_id", "vec_id"), 10)
 
 
-@query(f"""with {NEAREST} select query_id, md5('Answer from the context only.' || chr(10) || chr(10) || 'Context:' || chr(10) || string_agg(coalesce(substr(text, 1, 1000), ''), chr(10) || chr(10) order by rn)
-  || chr(10) || chr(10) || 'Question: Q' || query_id || chr(10) || 'Answer:') digest from r join documents on doc_id = vec_id where rn <= 5 group by 1""")
+@query(f"""with {NEAREST}, h as (select query_id, rn, coalesce(text, '') t from r join documents on doc_id = vec_id where rn <= 5),
+c as (select query_id, rn, t, unnest(range(0, greatest(length(t), 1), 800)) s from h)
+select query_id, md5('Answer from the context only.' || chr(10) || chr(10) || 'Context:' || chr(10) || string_agg(substr(t, s + 1, 1000), chr(10) || chr(10) order by rn, s)
+  || chr(10) || chr(10) || 'Question: Q' || query_id || chr(10) || 'Answer:') digest from c group by 1""")
 def prompt_context(spark, folder):
+    """Prompts from all chunks of each hit."""
     hits = _nearest(spark, folder, 5).join(_docs(spark, folder).withColumnRenamed("doc_id", "vec_id"), "vec_id")
-    chunk = F.coalesce(T.fixed_chunks(F.coalesce("text", F.lit("")))[0]["chunk"], F.lit(""))
-    rows = hits.select("query_id", F.concat(F.lit("Q"), "query_id").alias("question"), "rn", chunk.alias("chunk"))
+    chunks = F.array_join(F.transform(T.fixed_chunks(F.coalesce("text", F.lit(""))), lambda c: c["chunk"]), "\n\n")
+    rows = hits.select("query_id", F.concat(F.lit("Q"), "query_id").alias("question"), "rn", chunks.alias("chunk"))
     return G.prompts(rows).select("query_id", F.md5("prompt").alias("digest"))
 
 
+@query()
+def chunk_store(spark, folder):
+    """Pages into a written store of chunks with vectors, and the nearest chunks to each benchmark item, read from it."""
+    path = scratch(spark, "chunks")
+    G.write_chunks(spark, from_html(table(spark, folder, "pages")), path, G.hashing_embedder)
+    questions = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("question"))
+    return G.retrieved(spark, path, questions, G.hashing_embedder).select("query_id", "rn", "page_idx", "chunk_idx", "title", "url", "distance")
+
+
 @query()
 def chunk_prompts(spark, folder):
     """Prompts from the nearest chunks of whole texts, wherever in a text they stand; questions are benchmark items."""

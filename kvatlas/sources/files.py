@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +28,7 @@ def configs(spark: SparkSession, path: str, key: str = "config") -> DataFrame:
 
 def config_files(spark: SparkSession, root: str, name: str) -> DataFrame:
     """path, config (key to JSON text) of all files called ``name`` (a glob) under ``root``; unreadable ones go."""
-    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root)
+    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root, wholetext=True)
     rows = texts.select(F.col("_metadata.file_path").alias("path"), values.parse_config_text(F.col("value")).alias("config"))
     return rows.where("config is not null")
 
@@ -36,13 +40,22 @@ def config_keys(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 def structure_symbols(spark: SparkSession, path: str) -> DataFrame:
     """path, symbols: the element symbols on line six of structure files."""
-    texts = spark.read.option("wholetext", True).text(path)
+    texts = spark.read.text(path, wholetext=True)
     line = F.trim(F.get(F.split("value", "\n"), F.lit(5)))
     return texts.select(F.col("_metadata.file_path").alias("path"), F.split(line, r"\s+").alias("symbols"))
 
 
+def version_of(spark: SparkSession, path: str) -> str | None:
+    """The version of a JSON file, or None for a bare list; another one than this engine's is warned of."""
+    row = spark.read.schema("_version string").option("multiLine", True).json(path).where("_version is not null").select("_version").first()
+    if row and row[0] != model.FORMAT_VERSION:
+        warnings.warn(f"{path} has format {row[0]}, not {model.FORMAT_VERSION}", stacklevel=2)
+    return row[0] if row else None
+
+
 def envelope(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows under ``data`` of a versioned JSON file, or of a bare list."""
+    """Rows under ``data`` of a versioned JSON file, or of a bare list; another version than this engine's is warned of."""
+    version_of(spark, path)
     wrapped = spark.read.schema(f"_version string, data array<struct<{_fields(schema)}>>").option("multiLine", True).json(path)
     if wrapped.where("data is not null").isEmpty():
         return spark.read.schema(schema).option("multiLine", True).json(path)
@@ -55,6 +68,17 @@ def _fields(ddl: str) -> str:
     return ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in StructType.fromDDL(ddl).fields)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share (spark.checkpoint.dir); without it, local sessions only get one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='kvatlas-')}"
+        spark.sparkContext.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/kvatlas/{name}-{uuid.uuid4().hex}"
+
+
 def write(df: DataFrame, path: str) -> None:
     """A table in a folder; the version of its format is a column of its own small table beside it."""
     df.write.mode("overwrite").parquet(f"{path}/data")

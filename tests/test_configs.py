@@ -48,6 +48,54 @@ def test_list_membership(configs):
     assert len(ids(C.by_example(configs, []))) == len(CONFIGS)
 
 
+def variants(spark, texts):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "config_id long, j string")
+    return rows.select("config_id", F.lit("T").alias("tag"), F.parse_json("j").alias("value"))
+
+
+def test_a_string_is_no_member_of_a_list(spark):
+    df = variants(spark, ['["a", "b"]', '"a"', "[true, 2]", "[[1, 5], 7]"])
+    hits = lambda x: [r[0] for r in df.select(values.member(F.col("value"), x)).collect()]
+    assert hits("a") == [False, True, False, False] and hits(1) == [False, False, True, True]
+    assert hits(7.0) == [False, False, False, True] and hits(True) == [False, False, True, True]
+
+
+def test_keys_that_a_path_cannot_name(spark):
+    keys = ["it's", 'say "x"', "a[0]", "a.b"]
+    df = spark.createDataFrame([(0, json.dumps({k: i for i, k in enumerate(keys)}))], "config_id long, j string").withColumn("config", F.parse_json("j"))
+    for i, k in enumerate(keys):
+        assert ids(C.matching(df, {k: str(i)})) == [0] and ids(C.by_example(df, [(k, str(i + 1))])) == []
+
+
+def test_canonical_text_of_decimals(spark):
+    numbers = [1e-05, 0.00001, 0.0001, 0.00012, 0.001, 1.5e-7, 520.0, 1234567.25, 12345678.5, 1e7, 1e15, 123456789012345.6, 1e16, 1.5e30, -2e-9, 0.0, 0.1 + 0.2, 1e100]
+    texts = [json.dumps(x) for x in numbers] + ["0.00001", "520", "2.50", "[1e-05, 0.00001, 3]"]
+    got = [r[0] for r in variants(spark, texts).select(values.canonical(F.col("value"))).collect()]
+    assert got == [repr(x) for x in numbers] + ["1e-05", "520", "2.5", "[1e-05,1e-05,3]"]
+
+
+def test_values_as_python_shows_them(spark):
+    things = [True, False, None, 1, 1e-05, 520.0, "text", [1, 2.5], ["a", True], [[1], ["x"]], []]
+    got = [r[0] for r in variants(spark, [json.dumps(x) for x in things]).select(values.shown(F.col("value"))).collect()]
+    assert got == [str(x) for x in things]
+
+
+def test_typed_text_follows_equality(spark):
+    things = [1, 1.0, True, "1", [1, 2], [1.0, 2], [2, 1], 0, -0.0, False, "true", None, {"a": 1}, [[1], [2]], [[True], [2.0]], "n1.0"]
+    got = [r[0] for r in variants(spark, [json.dumps(x) for x in things]).select(values.typed(F.col("value"))).collect()]
+    for a, x in zip(got, things, strict=True):
+        for b, y in zip(got, things, strict=True):
+            assert (a == b) == (x == y), (x, y)
+
+
+def test_list_values(spark):
+    df = variants(spark, ['[["a"], [1, 2]]', '[["a"], ["b"]]', "[1, 1.0, true]", "[]", '"x"', '["p", "q"]', "[[0.5], [true]]"])
+    got = {}
+    for r in C.list_values(df).collect():
+        got.setdefault(r["config_id"], []).append(r["value"])
+    assert got == {0: ["1", "2"], 1: ['[["a"],["b"]]'], 2: ["1", "1.0", "true"], 4: ['"x"'], 5: ['"p"', '"q"'], 6: ["0.5", "true"]}
+
+
 def test_same_compares_columns(spark):
     rows = [("1", "1.0", True), ("true", "1", True), ('"1"', "1", False), ("[1,2]", "[1,2]", True), ("[1,2]", "[2,1]", False), ('"a"', '"a"', True)]
     df = spark.createDataFrame(rows, "a string, b string, want boolean").select(values.same(F.parse_json("a"), F.parse_json("b")).alias("got"), "want")
@@ -74,6 +122,44 @@ def test_deduplicated_ignores_order(configs):
     assert got[0] == (0, 2) and got[6] == (0, 2) and got[1] == (1, 1)
 
 
+def test_deduplicated_keeps_keys_and_values_apart(spark):
+    rows = [(0, "a", "1\nb=2"), (1, "a", "1"), (1, "b", "2"), (2, "a=b", "c"), (3, "a", "b=c")]
+    got = C.deduplicated(spark.createDataFrame(rows, "config_id long, tag string, value string")).collect()
+    assert sorted((r["config_id"], r["first_id"], r["copies"]) for r in got) == [(i, i, 1) for i in range(4)]
+
+
+def test_dedupe_difference_and_allowed_values_are_typed(spark, configs):
+    kv = C.exploded(configs).select("config_id", "tag", "value")
+    got = {r["config_id"]: (r["first_id"], r["copies"]) for r in C.deduplicated(kv).collect()}
+    assert got[0] == (0, 2) and got[6] == (0, 2) and got[2] == (2, 1)
+    rows = [(0, "A", "1"), (0, "B", "[1, 2]"), (1, "B", "[1.0, 2.0]"), (1, "A", "true"), (2, "A", '"1"'), (2, "B", "[2, 1]")]
+    kv = spark.createDataFrame(rows, "config_id long, tag string, j string").select("config_id", "tag", F.parse_json("j").alias("value"))
+    got = {r["config_id"]: (r["first_id"], r["copies"]) for r in C.deduplicated(kv).collect()}
+    assert got == {0: (0, 2), 1: (0, 2), 2: (2, 1)}
+    states = {r["tag"]: r["state"] for r in C.difference(kv.where("config_id = 0"), kv.where("config_id = 1")).collect()}
+    assert states == {"A": "common", "B": "common"}
+    states = {r["tag"]: r["state"] for r in C.difference(kv.where("config_id = 0"), kv.where("config_id = 2 and tag = 'A'")).collect()}
+    assert states == {"A": "different", "B": "only_1"}
+    allowed = spark.range(1).select(F.lit("A").alias("tag"), F.array(F.parse_json(F.lit("1.0")), F.parse_json(F.lit('"x"'))).alias("allowed"))
+    assert ids(C.not_allowed(kv, allowed)) == [2]
+
+
+def test_pair_answer(configs, spark):
+    kv = C.exploded(configs).select("config_id", "tag", F.col("value_json").alias("value"))
+    related = spark.createDataFrame([("ISMEAR", ["SIGMA", "ENCUT"]), ("ALGO", [])], "title string, related array<string>")
+    (r,) = C.pair_answer(kv, "ENCUT", "ISMEAR", related).collect()
+    assert r["both"] == 3 and r["wiki_related"] and [(x["value"], x["count"]) for x in r["top_a_values"]] == [("520", 2), ('"520"', 1), ("520.0", 1)]
+    assert [(x["value"], x["count"]) for x in r["top_pairs"]] == [("520=0", 2), ("520.0=0", 1)] and r["top_b_values"][0]["count"] == 3
+    (r,) = C.pair_answer(kv, "ENCUT", "NONE").collect()
+    assert (r["count_b"], r["both"], r["wiki_related"], r["top_b_values"], r["top_pairs"]) == (0, 0, False, [], [])
+
+
+def test_preview(spark):
+    assert C.preview(spark.range(100), "id").where("note is null").count() == 100
+    rows = C.preview(spark.range(101), "id").collect()
+    assert [r["id"] for r in rows] == [0, 1, 2] and {r["note"] for r in rows} == {"Showing 3 of 101 matches."}
+
+
 def test_cooccurrence_is_symmetric_without_diagonal(configs):
     kv = C.exploded(configs).select("config_id", "tag", F.col("value_json").alias("value"))
     got = {(r["a"], r["b"]): r["n"] for r in C.cooccurrence(kv).collect()}
@@ -104,10 +190,16 @@ def test_literals():
 
 
 def test_config_text(spark):
-    texts = ["A = 1 ; B = .TRUE.\n# c = 3\nD = x y # n\n", "A = B = C", "", "E = 1e-5\nF = 2.50"]
+    texts = ["A = 1 ; B = .TRUE.\n# c = 3\nD = x y # n\n", "A = B = C", "", "E = 1e-5\nF = 2.50", "SYSTEM = hi! there\n  G\t= .t.", "A = 1 # B = 2", "#A = 1 = 2\nH = f"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(values.parse_config_text(F.col("t"))).collect()]
     assert got[0] == {"A": "1", "B": "true", "D": '"x y"'} and got[1] is None and got[2] == {}
     assert float(got[3]["E"]) == 1e-5 and float(got[3]["F"]) == 2.5
+    assert got[4] == {"SYSTEM": '"hi! there"', "G": '".t."'} and got[5] is None and got[6] == {"H": "false"}
+
+
+def test_edit_tokens(spark):
+    df = spark.createDataFrame([(["soc", "nelect=7.0", "spin=TRUE", "pbe=t", "soc=false"],)], "t array<string>")
+    assert df.select(values.edit_tokens(F.col("t")).alias("m")).head()["m"] == {"soc": "false", "nelect": "7", "spin": "true", "pbe": '"t"'}
 
 
 def edit(spark, config, **wanted):
@@ -135,4 +227,4 @@ def test_changes_report_removed_keys(spark):
 
 def test_active_features(spark):
     df = spark.createDataFrame([({"IBRION": "2", "ISPIN": "2", "NUPDOWN": "0.5", "NELECT": "9"},)], "config map<string,string>")
-    assert df.select(R.active(F.col("config")).alias("f")).collect()[0]["f"] == ["relax2", "spin=0.5", "nelect=9"]
+    assert R.active(df).head()["features"] == ["relax2", "spin=0.5", "nelect=9"]

@@ -105,6 +105,87 @@ def test_tiers(spark):
     assert tier("waves", hits=hits, type_="none") == []
 
 
+def test_substring_stage_finds_what_a_plain_search_finds(spark):
+    import random
+
+    rng = random.Random(7)
+    titles = ["".join(rng.choices("ABC_", k=rng.randint(1, 9))) for _ in range(150)] + [None, ""]
+    names = ["".join(rng.choices("ABC_", k=rng.randint(0, 4))) for _ in range(80)] + ["Z", "AZB"]
+    got = L.containing(spark.createDataFrame([(n, n) for n in set(names)], "name string, up string"), spark.createDataFrame([(x,) for x in titles], "title string").distinct())
+    want = {(n, x) for n in set(names) if n for x in set(titles) if x and n in x}
+    assert {(r["name"], r["title"]) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_close_titles_equal_plain_matching(spark):
+    import difflib
+    import random
+
+    rng = random.Random(8)
+    titles = sorted({"".join(rng.choices("ABCDE", k=rng.randint(3, 8))) for _ in range(60)})
+    names = sorted({"".join(rng.choices("abcde", k=rng.randint(3, 8))) for _ in range(25)})
+    df = lambda c, rows: spark.createDataFrame([(x,) for x in rows], f"{c} string")
+    got: dict = {}
+    for r in L.close_titles(df("name", names), df("title", titles), block=7, titles_block=20).collect():
+        got.setdefault(r["name"], []).append((r["ratio"], r["title"]))
+    for n in names:
+        want = difflib.get_close_matches(n.upper(), titles, 3, 0.5)
+        assert [x for _, x in sorted(got.get(n, []), reverse=True)] == want
+
+
+def test_entry_or_hint(spark):
+    index = spark.createDataFrame([("ENCUT",), ("ENCUTGW",), ("SIGMA",), ("Mixed Page",)], "title string")
+    names = spark.createDataFrame([(n,) for n in ("encut", "CUTG", "ENC", "nope", "Mixed Page", "page", None)], "name string")
+    got = {r["name"]: (r["outcome"], r["titles"]) for r in L.entry_or_hint(names, index).collect()}
+    assert got["encut"] == ("entry", ["ENCUT"]) and got["CUTG"] == ("entry", ["ENCUTGW"]) and got["ENC"] == ("several", ["ENCUT", "ENCUTGW"])
+    assert got["nope"] == ("missing", []) and got["page"] == ("missing", []) and None not in got
+    got = {r["name"]: (r["outcome"], r["titles"]) for r in L.entry_or_hint(names, index, upper=False).collect()}
+    assert got["Mixed Page"] == ("entry", ["Mixed Page"]) and got["page"] == ("several", ["Mixed Page"]) and got["encut"] == ("several", ["ENCUT", "ENCUTGW"])
+
+
+def test_title_keys(spark):
+    rows = [("A%20b_C", "a b c"), ("100% x", "100% x"), ("a+b", "a+b"), (" Caf%C3%A9 ", "café"), ("%zz%41", "%zza"), ("%ff", "\ufffd"), (None, None)]
+    got = [r[0] for r in spark.createDataFrame([(a,) for a, _ in rows], "t string").select(T.title_key(F.col("t"))).collect()]
+    assert got == [b for _, b in rows]
+
+
+def test_chunk_store_and_results(spark, tmp_path):
+    import json
+
+    rows = [(i, f"T{i}", f"u{i}", f"page {i} " + f"word{i} " * 300) for i in range(5)] + [(9, "Old", "u9", "Redirect to: T1 word1"), (10, "None", "u10", None)]
+    pages = spark.createDataFrame(rows, "page_idx long, title string, url string, content string")
+    G.write_chunks(spark, pages, str(tmp_path / "store"), G.hashing_embedder)
+    assert {r["title"] for r in spark.read.parquet(str(tmp_path / "store")).select("title").distinct().collect()} == {f"T{i}" for i in range(5)}
+    hits = G.retrieved(spark, str(tmp_path / "store"), spark.createDataFrame([(1, "word3 word3"), (2, "word0")], "query_id long, question string"), G.hashing_embedder, k=2)
+    assert {(r["query_id"], r["title"]) for r in hits.where("rn = 1").collect()} == {(1, "T3"), (2, "T0")}
+    G.write_results(hits, str(tmp_path / "out"))
+    lines = [json.loads(x) for f in (tmp_path / "out").glob("*.json") for x in f.read_text().splitlines()]
+    assert sorted(x["query_id"] for x in lines) == [1, 2] and all(len(x["results"]) == 2 for x in lines)
+
+
+def test_written_index_answers_like_the_corpus(spark, tmp_path):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["the cat", "the dog and the cat", "", None, "a bird"])], "doc_id long, text string")
+    S.write_index(docs, str(tmp_path / "index"))
+    rows = lambda df: sorted((r["doc_id"], r["score"]) for r in df.collect())
+    for q in ("cat", "the bird", "nothing"):
+        assert rows(S.bm25_indexed(spark, str(tmp_path / "index"), q)) == rows(S.bm25(docs, q))
+
+
+def test_change_of_titles(spark):
+    df = lambda *x: spark.createDataFrame([(t,) for t in x], "title string")
+    assert not P.has_changed(df("A b", "C"), df("A_b", "C"), "1", "1")
+    assert P.has_changed(df("A b", "C"), df("A_b"), "1", "1") and P.has_changed(df("A"), df("A"), "1", "2")
+
+
+def test_structures_samples_and_written_texts(spark, tmp_path):
+    (tmp_path / "P").write_text("title\n1.0\na\nb\nc\n Zn  O \n2 2\n")
+    assert files.structure_symbols(spark, str(tmp_path / "P")).head()["symbols"] == ["Zn", "O"]
+    rows = files.sample_rows(spark.range(500), 1.0, 40).collect()
+    assert sorted(r["number"] for r in rows) == list(range(1, 41))
+    df = spark.createDataFrame([({"A": "1", "B": "x"},)], "config map<string,string>")
+    files.write_config_texts(df, str(tmp_path / "out"))
+    assert "A = 1\nB = x" in "".join(f.read_text() for f in (tmp_path / "out").glob("*.txt"))
+
+
 def test_recursive_chunks():
     text = "\n\n".join(f"Paragraph {i} " + "word " * 60 for i in range(8))
     parts = G.split_text(text, 400, 80)
@@ -168,11 +249,18 @@ def test_files(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "CFG").write_text("A = 1\n")
     (tmp_path / "CFG").write_text("B = x = y\n")
-    (tmp_path / "CFG2").write_text("C = 2\n")
+    (tmp_path / "CFG2").write_text("C = 2\nD = 3\n")
     assert [r["config"] for r in files.config_files(spark, str(tmp_path), "CFG").collect()] == [{"A": "1"}]
-    assert sorted(r["tag"] for r in files.config_keys(spark, str(tmp_path), "CFG*").collect()) == ["A", "C"]
+    assert files.config_files(spark, str(tmp_path), "CFG2").head()["config"] == {"C": "2", "D": "3"}
+    assert sorted(r["tag"] for r in files.config_keys(spark, str(tmp_path), "CFG*").collect()) == ["A", "C", "D"]
     (tmp_path / "e.json").write_text('{"_version": "0.2.0", "data": [{"alias": "a", "target": "b"}]}')
     assert files.envelope(spark, str(tmp_path / "e.json"), "alias string, target string").collect()[0]["target"] == "b"
+    (tmp_path / "old.json").write_text('{"_version": "0.1.0", "data": [{"alias": "a", "target": "c"}]}')
+    with pytest.warns(UserWarning, match="0.1.0"):
+        assert files.envelope(spark, str(tmp_path / "old.json"), "alias string, target string").collect()[0]["target"] == "c"
+    (tmp_path / "bare.json").write_text('[{"alias": "a", "target": "d"}]')
+    assert files.version_of(spark, str(tmp_path / "bare.json")) is None
+    assert files.envelope(spark, str(tmp_path / "bare.json"), "alias string, target string").collect()[0]["target"] == "d"
     df = spark.range(3)
     files.write(df, str(tmp_path / "t"))
     assert files.read(spark, str(tmp_path / "t")).count() == 3
