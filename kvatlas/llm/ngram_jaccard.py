@@ -14,11 +14,17 @@ Global order: word shingles ordered by a 64-bit hash. The order is cut into frag
    the first of them, and a family.
 4. Pairs are verified exactly: shingle sets are cut into ``parts`` fragments, partial overlaps are counted
    fragment by fragment, and summed for each pair.
-5. Links form components. In families that aren't one component yet, documents of different components are
-   compared block by block, again summing partial overlaps over fragments; a pair of blocks returns only as
-   many links as join its components. A family that its first documents hold together costs nothing here.
-
-So all pairs of a large group are never emitted, and no link between different components is lost.
+5. Links form components. Where a large signature's documents lie in several components, each signature's
+   documents are verified against one more of them, by turns, for ``rounds`` rounds of linear work.
+6. In families (of signatures with common documents) that are still split, a shingle counts only if several
+   components have it, and a document stays only if enough of its shingles count to link it to another component;
+   families of which that leaves one component or none are done. What is left is compared block by block, again
+   summing partial overlaps over fragments; a pair of blocks returns only as many links as join its components.
+
+So all pairs of a large group are never emitted, and no link between different components is lost. Steps 1 to 5 and
+the sieve of step 6 are linear. Only documents that pass the sieve, yet can't be joined by the rounds, are compared
+in pairs, inside tasks: for these the number of compared pairs of one family may grow with the square of their
+number. Blocks are bounded by documents and by shingles.
 
 Results for odd input: without words (null, empty, blank) a set is empty and linked with nothing; with fewer
 words than ``k`` the whole sequence is one shingle; long texts are used whole; repeated rows and ties are one
@@ -41,7 +47,9 @@ from kvatlas.llm.shared import dropped, stored, table
 from kvatlas.llm.shingles import WordHashes, mix, set_digest, shingle_set
 
 K, NUMERATOR, DENOMINATOR = 5, 80, 100
-SMALL, PARTS, BLOCK = 16, 4, 512
+SMALL, PARTS, BLOCK, BLOCK_SHINGLES, ROUNDS = 16, 4, 512, 1_000_000, 3
+#: Rows of one key beyond which its rows are spread over tasks; keys beyond it are broadcast (at most 1 in HOT rows).
+HOT = 65_536
 _TOP = np.uint64(1 << 63)
 
 
@@ -170,22 +178,43 @@ def _agreeing(batches: Iterator[pd.DataFrame], small: int) -> Iterator[pd.DataFr
         yield frame(np.full(len(held_sig), 2), held_sig, held_id)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, k: int, parts: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n, part, shingles: the sets of the documents of ``wanted``, cut into ``parts`` fragments."""
+def _sets(docs: DataFrame, wanted: DataFrame, repeated: DataFrame, k: int, parts: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, t (which of its texts), n, part, shingles: the sets of the documents of ``wanted``, cut into ``parts`` fragments.
+
+    Ids of ``repeated`` have several rows; of those that agree in the text one counts.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc, t, text in zip(batch["doc_id"], batch["t"], batch["text"], strict=True):
                 s = shingle_set(text, k, words)
                 cut = np.searchsorted((s >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1))
                 whole = _signed(s)
-                rows += [(doc, len(s), p, whole[cut[p] : cut[p + 1]]) for p in range(parts) if not p or cut[p] < cut[p + 1]]
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "part", "shingles"])
+                rows += [(doc, t, len(s), p, whole[cut[p] : cut[p + 1]]) for p in range(parts) if not p or cut[p] < cut[p + 1]]
+            yield pd.DataFrame(rows, columns=["doc_id", "t", "n", "part", "shingles"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).join(wanted, "doc_id", "left_semi")
+    if not repeated.isEmpty():
+        rows = rows.join(repeated, "doc_id", "left_anti").union(rows.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "t"]))
+    return stored(rows.mapInPandas(read, "doc_id long, t long, n long, part int, shingles array<long>"), "sets")
+
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id", "left_semi")
-    return stored(rows.mapInPandas(read, "doc_id long, n long, part int, shingles array<long>"), "sets")
+def _at_key(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each key and its number of rows in ``m``; hot keys stay where they are."""
+    hot = F.broadcast(table.where(F.col("m") > HOT).drop("m"))
+    cold = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col("m") <= HOT).drop("m"), key)
+    return cold.unionByName(rows.join(hot, key))
+
+
+def _salted(pairs: DataFrame, sets: DataFrame, side: str, other: str, columns: list) -> DataFrame:
+    """``pairs`` joined with the sets of ``side``; a document of very many pairs is spread by a hash of the other one."""
+    hot = stored(pairs.groupBy(side).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > HOT).select(side, F.ceil(F.col("m") / HOT).cast("int").alias("salts")), "hot")
+    rows = pairs.join(F.broadcast(hot), side, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(other), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
+    own = sets.select(F.col("doc_id").alias(side), *columns).join(F.broadcast(hot), side, "left")
+    own = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return rows.join(own, [side, "salt"] + (["part"] if "part" in pairs.columns else [])).drop("salt")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
@@ -194,24 +223,62 @@ def _verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: in
     The first fragment goes alone. A pair whose overlap there can't be made up for by the sizes of the rest is
     done with, so whole sets travel for pairs that are likely links only.
     """
-    left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), "part", F.col("shingles").alias("s_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), "part", F.col("shingles").alias("s_b"))
+    of = lambda x: ["part", F.col("t").alias(f"t_{x}"), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"s_{x}")]
     enough = lambda i: i * denominator >= (F.col("n_a") + F.col("n_b") - i) * numerator
-    first = pairs.join(left.where("part = 0").drop("part"), "a").join(right.where("part = 0").drop("part"), "b")
+    start = sets.where("part = 0")
+    first = _salted(_salted(pairs, start, "a", "b", of("a")[1:]), start, "b", "a", of("b")[1:])
     rest = F.least(F.col("n_a") - F.size("s_a"), F.col("n_b") - F.size("s_b"))
-    hopeful = stored(first.where(enough(F.size(F.array_intersect("s_a", "s_b")) + rest)).select("a", "b"), "hopeful")
-    partial = hopeful.join(left, "a").join(right, ["b", "part"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("s_a", "s_b")).alias("overlap"))
-    return partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("i")).where(enough(F.col("i"))).select("a", "b")
-
-
-def _family_links(families: DataFrame, sets: DataFrame, numerator: int, denominator: int, block: int) -> DataFrame:
-    """Links that join components of one family. ``families``: family, doc_id, component, size (of the family)."""
-    blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
-    rows = families.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    hopeful = stored(first.where(enough(F.size(F.array_intersect("s_a", "s_b")) + rest)).select("a", "b").distinct(), "hopeful")
+    both = _salted(_salted(hopeful, sets, "a", "b", of("a")), sets, "b", "a", of("b"))
+    texts = ["a", "b", "t_a", "t_b", "n_a", "n_b"]
+    partial = both.select(*texts, F.size(F.array_intersect("s_a", "s_b")).alias("overlap"))
+    return partial.groupBy(*texts).agg(F.sum("overlap").alias("i")).where(enough(F.col("i"))).select("a", "b").distinct()
+
+
+def _merged(components_: DataFrame, links: DataFrame) -> DataFrame:
+    """doc_id, component with components joined by links between them."""
+    joined = components(links).select(F.col("node").alias("component"), F.col("component").alias("final"))
+    return components_.join(joined, "component", "left").select("doc_id", F.coalesce("final", "component").alias("component"))
+
+
+def _another_round(members: DataFrame, of_doc: DataFrame, sets: DataFrame, turn: int, numerator: int, denominator: int) -> DataFrame | None:
+    """``of_doc`` (doc_id, component) after each split signature's documents have met one of them; None if none is split."""
+    rows = stored(members.join(of_doc, "doc_id"), "round")
+    pick = F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id", "component")).alias("pick")
+    groups = rows.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), pick, F.count(F.lit(1)).alias("m"))
+    split = groups.where("lo <> hi").select("signature", F.col("pick.doc_id").alias("pivot"), F.col("pick.component").alias("own"), "m")
+    split = stored(split, "split")
+    if split.isEmpty():
+        return None
+    pairs = _at_key(rows, split, "signature").where("component <> own")
+    pairs = stored(pairs.select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct(), "pairs")
+    links = _verified(pairs, sets, numerator, denominator)
+    ends = links.join(of_doc.select(F.col("doc_id").alias("a"), F.col("component").alias("c_a")), "a").join(of_doc.select(F.col("doc_id").alias("b"), F.col("component").alias("c_b")), "b")
+    return stored(_merged(of_doc, ends.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))), "of_doc")
+
+
+def _sieved(families: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """family, doc_id, component, n, shingles: of families that may still join, the documents that may, with those of
+    their shingles that several components of the family have."""
+    rows = families.join(sets.select("doc_id", "t", "n", F.explode("shingles").alias("shingle")), "doc_id")
+    rows = stored(rows, "exploded")
+    common = rows.groupBy("family", "shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("family", "shingle", "m")
+    key = F.xxhash64("family", "shingle").alias("key")
+    common = stored(common.groupBy(key).agg(F.max("m").alias("m")), "common")  # a clash of keys keeps a shingle more
+    kept = _at_key(rows.withColumn("key", key), common, "key").groupBy("family", "doc_id", "t", "component", "n").agg(F.collect_list("shingle").alias("shingles"))
+    kept = stored(kept.where(F.size("shingles") * denominator >= F.col("n") * numerator), "kept")
+    dropped(rows)
+    left = kept.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.sum(F.size("shingles")).alias("total"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return kept.join(stored(left.where("lo <> hi").drop("lo", "hi"), "left"), "family")
+
+
+def _family_links(rows: DataFrame, numerator: int, denominator: int, block: int, block_shingles: int) -> DataFrame:
+    """Links that join components of one family. ``rows``: those of ``_sieved``, with size and total (shingles) of the family."""
+    blocks = F.ceil(F.greatest(F.col("size") / F.lit(block), F.col("total") / F.lit(block_shingles))).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "component"
+        "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "component", "n", "shingles"
     )
-    whole = sets.groupBy("doc_id", "n").agg(F.flatten(F.collect_list("shingles")).alias("shingles"))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         n, own = group["n"].to_numpy(), group["component"].to_numpy()
@@ -245,7 +312,7 @@ def _family_links(families: DataFrame, sets: DataFrame, numerator: int, denomina
                 out.append((x, y))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return dealt.join(whole, "doc_id").groupBy("family", "i", "j").applyInPandas(compare, "a long, b long")
+    return dealt.groupBy("family", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def jaccard_components(
@@ -258,6 +325,8 @@ def jaccard_components(
     small: int = SMALL,
     parts: int = PARTS,
     block: int = BLOCK,
+    block_shingles: int = BLOCK_SHINGLES,
+    rounds: int = ROUNDS,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each input row; linked: |intersection| * denominator >= |union| * numerator."""
     levels = Levels(numerator, denominator)
@@ -278,8 +347,8 @@ def jaccard_components(
     dropped(whole)  # the signatures are the largest table here
 
     members = stored(agreeing.where("kind = 2").select(F.col("a").alias("signature"), F.col("b").alias("doc_id")).distinct(), "members")
-    several = stored(members.groupBy("signature").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("signature"), "several")
-    members = stored(members.join(several, "signature"), "members")
+    several = stored(members.groupBy("signature").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "several")
+    members = stored(_at_key(members, several, "signature"), "members")
 
     # pairs of small runs, with the fragments in which they agree at even and odd levels
     counted = agreeing.where("kind < 2").groupBy("a", "b").agg(F.sum(1 - F.col("kind")).alias("even"), F.sum("kind").alias("odd"))
@@ -305,28 +374,32 @@ def jaccard_components(
     shared = F.when(odd == 1, F.col("odd")).otherwise(F.col("even"))
     enough = (shared >= F.when(own, F.col("need_own")).otherwise(F.col("need_below"))) | (F.col("texts") > 1)
     members = stored(members.join(facts.withColumnRenamed("first", "doc_id"), "doc_id").where(enough).select("signature", "doc_id"), "members")
-    heads = stored(members.groupBy("signature").agg(F.min("doc_id").alias("head")), "heads")
-    stars = members.join(heads, "signature").where("head <> doc_id").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
+    heads = stored(members.groupBy("signature").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("m")), "heads")
+    stars = _at_key(members, heads, "signature").where("head <> doc_id").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
     stars = stored(stars, "stars")
 
     pairs = stored(likely.union(stars).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = _sets(docs, stored(wanted, "wanted"), k, parts, id_col, text_col)
+    repeated = stored(known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("doc_id"), "repeated")
+    sets = _sets(docs, stored(wanted, "wanted"), repeated, k, parts, id_col, text_col)
     linked = components(_verified(pairs, sets, numerator, denominator))
 
-    families = components(stars).withColumnRenamed("component", "family").withColumnRenamed("node", "doc_id")
-    families = families.join(linked.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(
-        "family", "doc_id", F.coalesce("component", "doc_id").alias("component")
-    )
-    families = stored(families, "families")
-    split = families.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    split = stored(split.where("lo <> hi").select("family", "size"), "split")
-    joined = components(_family_links(families.join(split, "family"), sets, numerator, denominator, block))
-
-    of_doc = linked.join(joined.select(F.col("node").alias("component"), F.col("component").alias("final")), "component", "left")
-    of_doc = of_doc.select("node", F.coalesce("final", "component").alias("component"))
-    alone = joined.join(linked.select("node"), "node", "left_anti")  # joined by the family step only
-    of_doc = of_doc.union(alone.select("node", "component"))
+    family = components(stars).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    nodes = family.select("doc_id").union(linked.select(F.col("node").alias("doc_id"))).distinct()
+    of_doc = nodes.join(linked.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
+    of_doc = stored(of_doc, "of_doc")
+    for turn in range(rounds):
+        after = _another_round(members, of_doc, sets, turn, numerator, denominator)
+        if after is None:
+            break
+        of_doc = after
+    families = stored(family.join(of_doc, "doc_id"), "families")
+    split = families.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"))
+    split = stored(split.where("lo <> hi").select("family", "m"), "split")
+    if not split.isEmpty():
+        sieved = _sieved(_at_key(families, split, "family"), sets, numerator, denominator)
+        of_doc = _merged(of_doc, _family_links(sieved, numerator, denominator, block, block_shingles))
+    of_doc = of_doc.withColumnRenamed("doc_id", "node")
     of_class = classes.select("d1", "d2", "first").join(of_doc.withColumnRenamed("node", "first"), "first", "left")
     of_class = stored(of_class.select("d1", "d2", F.coalesce("component", "first").alias("component_id")), "of_class")
     rows = read.select("doc_id", "n", "d1", "d2")

@@ -237,6 +237,30 @@ def test_jaccard_components(docs, k, num, small, block):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute_components(corpus(), k, num, 100)
 
 
+def chained(n=60):
+    """Documents around a common half: walks of small steps, so families are large and their ends far apart."""
+    rng = random.Random(12)
+    common = [f"c{i}" for i in range(60)]
+    rows, i = [], 0
+    for walk in range(6):
+        own = [f"w{walk}x{j}" for j in range(rng.choice([20, 60, 90]))]
+        for _ in range(n // 6):
+            own[rng.randrange(len(own))] = f"n{rng.randint(0, 40)}"
+            rows.append((i, " ".join(common + own), "en", "s", 0, "clash", 7))
+            i += 1
+    rng.shuffle(rows)
+    return rows + rows[:5] + rows[:2]
+
+
+@pytest.mark.parametrize("rounds, block, shingles, hot, k, num", [(0, 8, 10**6, 65536, 1, 80), (3, 7, 500, 3, 3, 85)])
+def test_jaccard_families(spark, monkeypatch, rounds, block, shingles, hot, k, num):
+    monkeypatch.setattr(ngram_jaccard, "HOT", hot)
+    rows = chained()
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = ngram_jaccard.jaccard_components(df, k=k, numerator=num, small=2, block=block, block_shingles=shingles, rounds=rounds)
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute_components(rows, k, num, 100)
+
+
 def test_jaccard_empty_and_dedup(docs):
     assert ngram_jaccard.jaccard_components(docs.limit(0)).count() == 0
     kept = ngram_jaccard.near_dedup(docs)
