@@ -4,6 +4,10 @@ The decoder takes baseline (SOF0) Huffman images of one to four components with
 restart intervals. All segments between restart markers of images with equal tables advance together, one
 symbol a step, so the work is done on arrays although Huffman codes are sequential.
 
+Both work on pieces of about PIECE bytes, of whole segments, beside which an image needs about seven times its
+payload while it is decoded (coefficients of two bytes among it) and four while it is encoded. An image of one segment,
+without restart markers, is one piece.
+
 The encoder stores bytes as the quantised coefficients of a grey image, 64 to an 8 x 8 block. A byte becomes
 a coefficient other than 0, small for frequent bytes: (rank // 2 + 1), with a minus sign for odd ranks.
 """
@@ -11,12 +15,13 @@ a coefficient other than 0, small for frequent bytes: (rank // 2 + 1), with a mi
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 
 #: Blocks between restart markers; blocks to a row; most blocks along a side (of at most 65,535 pixels).
-RESTART_BLOCKS, BLOCKS_WIDE, MOST_BLOCKS = 8, 8, 8191
+RESTART_BLOCKS, BLOCKS_WIDE, MOST_BLOCKS, PIECE = 8, 8, 8191, 1 << 21
 #: Bytes in falling frequency in European text; the others follow by value.
 FREQUENT = b" etaonirshdlucmfpgwybv.k,EATIN\nxqzjOSRH\xc3\xa9"
 
@@ -93,11 +98,39 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
         heads.append(_header(wide, high, len(p)))
         padded.append(p + b" " * ((wide * high - blocks) * 64))
         n_blocks.append(wide * high)
-    v = VALUE[np.frombuffer(b"".join(padded), np.uint8)].reshape(-1, 64)
+    blocks = np.frombuffer(b"".join(padded), np.uint8).reshape(-1, 64)
     n_blocks = np.array(n_blocks)
     first = np.concatenate(([0], np.cumsum(n_blocks)))
-    in_image = np.arange(len(v)) - np.repeat(first[:-1], n_blocks)
+    in_image = np.arange(len(blocks)) - np.repeat(first[:-1], n_blocks)
     opens = in_image % RESTART_BLOCKS == 0
+    segments: list[bytes] = []
+    for lo, hi in _pieces(np.append(np.flatnonzero(opens), len(blocks)), PIECE // 64):
+        segments += _coded(blocks[lo:hi], opens[lo:hi])
+    out, s = [], 0
+    for head, n in zip(heads, n_blocks.tolist(), strict=True):
+        parts = [head]
+        for k in range(-(-n // RESTART_BLOCKS)):
+            if k:
+                parts.append(bytes([0xFF, 0xD0 + (k - 1) % 8]))
+            parts.append(segments[s])
+            s += 1
+        parts.append(b"\xff\xd9")
+        out.append(b"".join(parts))
+    return out
+
+
+def _pieces(bounds: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of whole segments, which ``bounds`` part, of about ``most`` in all, one segment at least."""
+    at = 0
+    while at < len(bounds) - 1:
+        stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + most, side="right")) - 1)
+        yield int(bounds[at]), int(bounds[stop])
+        at = stop
+
+
+def _coded(blocks: np.ndarray, opens: np.ndarray) -> list[bytes]:
+    """The entropy-coded segments of blocks of bytes; one begins at each block that ``opens``, the first one among them."""
+    v = VALUE[blocks]
     dc = v[:, 0] - np.where(opens, 0, np.concatenate(([0], v[:-1, 0])))
     all_v = v.copy()
     all_v[:, 0] = dc
@@ -124,17 +157,8 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
     ff = np.flatnonzero(data == 0xFF)
     data = np.insert(data, ff + 1, 0)
     seg_end = seg_end + np.searchsorted(ff, seg_end)
-    raw, out, at, s = data.tobytes(), [], 0, 0
-    for head, n in zip(heads, n_blocks, strict=True):
-        parts = [head]
-        for k in range(-(-int(n) // RESTART_BLOCKS)):
-            if k:
-                parts.append(bytes([0xFF, 0xD0 + (k - 1) % 8]))
-            parts.append(raw[at : (at := int(seg_end[s]))])
-            s += 1
-        parts.append(b"\xff\xd9")
-        out.append(b"".join(parts))
-    return out
+    raw, ends = data.tobytes(), seg_end.tolist()
+    return [raw[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 @dataclass
@@ -165,7 +189,11 @@ class Image:
 
 
 def parse(data: bytes) -> Image:
-    """Read the markers up to the end of the first scan; ValueError for what isn't a baseline image."""
+    """Read the markers up to the end of the scan that holds the first component, the luminance.
+
+    If that scan doesn't hold all components, the image is read as one of those that it holds. ValueError for what
+    isn't a baseline image.
+    """
     if data[:2] != b"\xff\xd8":
         raise ValueError("no start-of-image marker")
     image, at = Image(), 2
@@ -200,15 +228,18 @@ def parse(data: bytes) -> Image:
         elif marker == 0xDD:
             (image.restart,) = struct.unpack(">H", body)
         elif marker == 0xDA:
-            for k in range(body[0]):
-                c, t = body[1 + 2 * k : 3 + 2 * k]
-                image.components[c].dc, image.components[c].ac = t >> 4, t & 15
-            if body[0] != len(image.components):
-                raise ValueError("the first scan doesn't hold all components")
+            own = {body[1 + 2 * k]: body[2 + 2 * k] for k in range(body[0])}
             end = at
             while (end := data.find(b"\xff", end)) >= 0 and (data[end + 1 : end + 2] == b"\x00" or 0xD0 <= data[end + 1] <= 0xD7):
                 end += 2
-            image.scan = data[at : end if end >= 0 else len(data)]
+            end = end if end >= 0 else len(data)
+            if next(iter(image.components)) not in own:
+                at = end
+                continue
+            image.components = {c: x for c, x in image.components.items() if c in own}
+            for c, x in image.components.items():
+                x.dc, x.ac = own[c] >> 4, own[c] & 15
+            image.scan = data[at:end]
             return image
     raise ValueError("no scan")
 
@@ -254,10 +285,6 @@ def decode(images: list[Image]) -> list[dict[int, np.ndarray]]:
 
 def _decode_alike(images: list[Image], shape: tuple, restart: int, huffman: dict, out: list[dict[int, np.ndarray]]) -> None:
     data, starts, ends, per_scan = _segments([m.scan for m in images])
-    window = np.zeros(len(data), np.uint32)
-    padded = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint32)
-    for k in range(4):
-        window |= padded[k : len(data) + k] << np.uint32(24 - 8 * k)
     mcus = np.array([w * h for w, h in (m.mcus() for m in images)])
     if len(shape) == 1:  # a scan of one component goes block by block
         (c, _, _, dc, ac), mcus = shape[0], np.array([-(-m.width // 8) * -(-m.height // 8) for m in images])
@@ -267,20 +294,33 @@ def _decode_alike(images: list[Image], shape: tuple, restart: int, huffman: dict
     want = -(-mcus // restart) if restart else np.ones(len(images), np.int64)
     if (want != per_scan).any():
         raise ValueError("restart markers don't fit the image's size")
-    # MCUs in each segment; longer segments first, so that those still open are a prefix
+    # MCUs in each segment
     seg_image = np.repeat(np.arange(len(images)), per_scan)
     nth = np.arange(len(seg_image)) - np.repeat(np.concatenate(([0], np.cumsum(per_scan)[:-1])), per_scan)
     todo = np.minimum(restart, mcus[seg_image] - nth * restart) if restart else mcus[seg_image]
-    order = np.argsort(-todo, kind="stable")
-    position = starts[order] * 8
-    todo = todo[order]
     base = np.concatenate(([0], np.cumsum(mcus)))
-    row = base[seg_image[order]] + nth[order] * restart
+    row = base[seg_image] + nth * restart
     per_mcu = {c: sum(p[0] == c for p in pattern) for c, *_ in pattern}
-    result = {c: np.zeros((int(base[-1]) * n, 64), np.int32) for c, n in per_mcu.items()}
+    result = {c: np.zeros((int(base[-1]) * n, 64), np.int16) for c, n in per_mcu.items()}
     tables = {k: _lookup(t) for k, t in huffman.items()}
-    before = {c: np.zeros(len(todo), np.int64) for c in per_mcu}
+    bounds = np.append(starts, len(data))
+    for lo, hi in _pieces(bounds, PIECE):
+        own = slice(*np.searchsorted(starts, (lo, hi)))
+        _advance(data[lo : hi + 8], starts[own] - lo, ends[own] - lo, todo[own], row[own], pattern, per_mcu, tables, result)
+    for i, o in enumerate(out):
+        for c, n in per_mcu.items():
+            o[c] = result[c][base[i] * n : base[i + 1] * n]
 
+
+def _advance(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, todo: np.ndarray, row: np.ndarray, pattern: list, per_mcu: dict, tables: dict, result: dict) -> None:
+    """Decode segments in lockstep: ``todo`` MCUs each, into ``result`` from the MCU ``row`` on."""
+    window = np.zeros(len(data), np.uint32)
+    padded = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint32)
+    for k in range(4):
+        window |= padded[k : len(data) + k] << np.uint32(24 - 8 * k)
+    order = np.argsort(-todo, kind="stable")  # longer segments first, so that those still open are a prefix
+    position, todo, row = starts[order] * 8, todo[order], row[order]
+    before = {c: np.zeros(len(todo), np.int64) for c in per_mcu}
     one, last_bit = np.uint32(1), np.uint32(31)
 
     def symbol(pos: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -332,9 +372,6 @@ def _decode_alike(images: list[Image], shape: tuple, restart: int, huffman: dict
                     live, k, p, r = live[on], k[on], p[on], r[on]
     if (position > ends[order] * 8).any():
         raise ValueError("a scan ends early")
-    for i, o in enumerate(out):
-        for c, n in per_mcu.items():
-            o[c] = result[c][base[i] * n : base[i + 1] * n]
 
 
 def thumbnail(image: Image, coefficients: dict[int, np.ndarray]) -> np.ndarray:
@@ -342,7 +379,7 @@ def thumbnail(image: Image, coefficients: dict[int, np.ndarray]) -> np.ndarray:
     c, part = next(iter(image.components.items()))
     q = image.quants[part.quant]
     step = q[0] if len(q) == 64 else q[0] << 8 | q[1]
-    pixels = np.clip(coefficients[c][:, 0] * step // 8 + 128, 0, 255).astype(np.uint8)
+    pixels = np.clip(coefficients[c][:, 0].astype(np.int32) * step // 8 + 128, 0, 255).astype(np.uint8)
     if len(image.components) == 1:
         return pixels.reshape(-(-image.height // 8), -(-image.width // 8))
     wide, high = image.mcus()

@@ -1,7 +1,8 @@
 """Media columns: baseline JPEG images in a binary column, their dimensions and thumbnail hashes.
 
 ``store_texts`` writes one image for each text to the shared folder; ``media_features`` decodes any column
-of baseline images. Bytes are decoded in slices of bounded size, so memory doesn't grow with a task's rows.
+of baseline images. Bytes are decoded in slices of bounded size, so memory doesn't grow with a task's rows; a single
+large text needs about seven times its own size (see jpeg).
 
 Results for odd input: a null text is stored as an empty one, and an empty one as one block of 64 zero
 bytes; long texts only make tall images; repeated rows are stored once each; an empty table gives an empty

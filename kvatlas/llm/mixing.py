@@ -13,8 +13,9 @@ rows, not documents, meet in a single window.
 
 Results for odd input: null or blank text has size 0 and may be taken, adding no words; a null source is a
 source of its own, last in order; a source of size 0 has target 0 and takes nothing; rows that agree in id
-and size tie, and which of them is repeated doesn't show; an empty table gives an empty result. Extra
-columns never clash: the operator projects first, and its own columns start with an underscore.
+and size tie, and which of them is repeated doesn't show; long texts count whole; an empty table gives an empty result.
+Extra columns never clash: the operator projects first, or takes names longer than all there are. One row for each
+source meets in one task.
 """
 
 from __future__ import annotations
@@ -76,9 +77,15 @@ def copies(
     most: int = MOST,
     buckets: int = BUCKETS,
     seed: int = SEED,
+    with_text: bool = False,
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies: one row for each input row."""
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"))
+    """doc_id, source, size, source_size, target, copies: one row for each input row.
+
+    ``with_text`` adds ``t``, a hash of the text, which then also orders rows that tie.
+    """
+    texts = [F.xxhash64(text_col).alias("t")] if with_text else []
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), *texts)
+    tie = ["t"] if with_text else []
     # size classes: eight to an octave; small sizes have one each
     size_class = F.floor(F.log2(F.col("size") + 1) * 8).cast("int")
     rows = sized.withColumn("size_class", size_class).withColumn("bucket", (_hash31(F.col("doc_id")) % buckets).cast("int"))
@@ -94,7 +101,7 @@ def copies(
         .join(per_source, F.col("source").eqNullSafe(F.col("t_source")))
         .select(*[F.col(c).alias(f"g_{c}") for c in group], "start", "source_size", "target")
     )
-    within = Window.partitionBy(*group).orderBy("size", F.col("doc_id").isNull(), "doc_id")
+    within = Window.partitionBy(*group).orderBy("size", F.col("doc_id").isNull(), "doc_id", *tie)
     ranked = rows.withColumn("rank", F.row_number().over(within))
     same = F.col("source").eqNullSafe(F.col("g_source")) & (F.col("size_class") == F.col("g_size_class")) & (F.col("bucket") == F.col("g_bucket"))
     offset = _hash31(F.lit(str(seed)), F.col("source").isNull(), F.col("source")).cast("double") / F.lit(float(1 << 31))
@@ -105,26 +112,35 @@ def copies(
         ranked.join(starts, same)
         .withColumn("rate", rate)
         .withColumn("offset", offset)
-        .select("doc_id", "source", "size", "source_size", "target", (crossed(place) - crossed(place - 1)).cast("long").alias("copies"))
+        .select("doc_id", "source", "size", *tie, "source_size", "target", (crossed(place) - crossed(place - 1)).cast("long").alias("copies"))
     )
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it."""
-    names = docs.columns
-    taken = copies(docs, id_col, **settings).where("copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies")
-    )
-    # rows that agree in id, source and size share the copies of all of them
-    taken = taken.groupBy("_id", "_source", "_size").agg(F.sum("_copies").alias("_copies"))
-    source, text = settings.get("source_col", "source"), settings.get("text_col", "text")
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    order = Window.partitionBy(id_col, source, "_words").orderBy(F.xxhash64(text))
-    joined = docs.withColumn("_words", word_count(text)).join(taken, same)
-    # a repeated row takes its turn: the first gets the odd copy
-    n = F.count(F.lit(1)).over(Window.partitionBy(id_col, source, "_words"))
-    own = F.floor((F.col("_copies") + n - F.row_number().over(order)) / n).cast("int")
-    return joined.withColumn("_own", own).where("_own > 0").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_own")))).select(*names)
+    """``docs`` with each row as often as the mix takes it.
+
+    Identical rows are counted first, in their tasks too, so that they never meet as rows; they share the copies of all
+    of them. Rows that agree in id, source and text, but not in other columns, share theirs in the order of a hash.
+    Columns must be of types that can be grouped by (no maps, no variants).
+    """
+    names, source, text = docs.columns, settings.get("source_col", "source"), settings.get("text_col", "text")
+    own = {k: f"_{k}{'_' * max(map(len, names))}" for k in ("no_id", "id", "no_source", "source", "size", "t", "n", "all", "copies", "before", "again")}
+    key = [own[k] for k in ("no_id", "id", "no_source", "source", "size", "t")]
+
+    def keys(doc_id: Column, of_source: Column, size: Column, t: Column) -> list[Column]:
+        plain = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+        return [c.alias(k) for c, k in zip((doc_id.isNull(), plain(doc_id), of_source.isNull(), plain(of_source), size, t), key, strict=True)]
+
+    taken = copies(docs, id_col, **settings, with_text=True).select(*keys(*map(F.col, ("doc_id", "source", "size", "t"))), "copies")
+    taken = taken.groupBy(*key).agg(F.count(F.lit(1)).alias(own["all"]), F.sum("copies").alias(own["copies"])).where(F.col(own["copies"]) > 0)
+    rows = docs.groupBy(*names).agg(F.count(F.lit(1)).alias(own["n"]))
+    rows = rows.select("*", *keys(F.col(id_col), F.col(source), word_count(text), F.xxhash64(text))).join(taken, key)
+    order = Window.partitionBy(*key).orderBy(F.xxhash64(*names)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    share = lambda n: F.floor(F.col(own["copies"]) * n / F.col(own["all"]))
+    rows = rows.withColumn(own["before"], F.sum(own["n"]).over(order) - F.col(own["n"]))
+    rows = rows.withColumn(own["again"], (share(F.col(own["before"]) + F.col(own["n"])) - share(F.col(own["before"]))).cast("int"))
+    rows = rows.where(F.col(own["again"]) > 0).select(*names, F.explode(F.sequence(F.lit(1), F.col(own["again"]))).alias(own["again"]))
+    return rows.select(*names)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -412,8 +412,9 @@ def jaccard_components(
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
     """``docs`` with one document of each component: its smallest id. Rows without id stay."""
-    keep = jaccard_components(docs, id_col=id_col, **settings).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(stored(keep, "keep"), F.col(id_col) == F.col("_keep"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    own = "_" * (1 + max(map(len, docs.columns)))  # a name that the input doesn't have
+    keep = jaccard_components(docs, id_col=id_col, **settings).where("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(stored(keep, "keep"), F.col(id_col) == F.col(own), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,4 +178,4 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     as_text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("found", lambda s: s["kind"].isin(*BASE))
-    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(as_text(base), 256).alias("base_sha256"), as_text(F.col("found")).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in BASE + EXTRA], F.sha2(as_text(base), 256).alias("base_sha256"), as_text(F.col("found")).alias("spans"))

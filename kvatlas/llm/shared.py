@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's checkpoint folder, set here only where it is unset."""
+    """The folder all executors share: the session's checkpoint folder. Only a local session gets one where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='kvatlas-')}"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -39,11 +42,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def dropped(df: DataFrame) -> None:
-    """Delete a table that ``stored`` wrote and that nothing reads any more."""
+    """Delete a table that ``stored`` wrote and that nothing reads any more; other tables are left alone."""
     spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/kvatlas/" in file:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file)
+    plain = lambda x: re.sub(r"^(\w+):/+", r"\1:/", x if re.match(r"\w+:/", x) else f"file:{x}")
+    own = plain(f"{shared_dir(spark)}/kvatlas/")
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if plain(folder).startswith(own):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

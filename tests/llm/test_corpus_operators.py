@@ -110,7 +110,25 @@ def test_mixing(docs):
     assert again == sorted((r["doc_id"] or -1, r["copies"]) for r in rows)
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in rows)
-    assert mixing.copies(docs.limit(0)).count() == 0
+    assert mixing.copies(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_mix_repeated_rows_and_rows_without_id(spark):
+    rows = [(None, "a b c", "s1", "x")] * 300 + [(None, "d e f", "s1", f"y{i}") for i in range(40)] + [(7, "g h", "s2", "z")] * 9 + [(8, "g h", "s2", "z"), (9, None, None, "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _size string")
+    taken, had = Counter(), Counter(rows)
+    for r in mixing.mix(df.repartition(5)).collect():
+        taken[r["doc_id"], r["text"], r["source"], r["_size"]] += 1
+    assert all(taken[r] <= 2 * had[r] for r in taken) and set(taken) <= set(had)
+    want = Counter()
+    for r in mixing.copies(df).collect():
+        want[r["source"]] += r["copies"]
+    got = Counter()
+    for r, n in taken.items():
+        got[r[2]] += n
+    assert got == +want
+    again = Counter(tuple(r) for r in mixing.mix(df).collect())
+    assert again == taken
 
 
 def test_packing(docs):
@@ -329,5 +347,46 @@ def test_pipeline_stages(spark, docs):
     assert second.count() == len({norm(t) for i, t, *_ in corpus() if i in want})
     rows = [(r["doc_id"], r["text"]) for r in second.collect()]
     assert {r["doc_id"] for r in third.collect()} - {None} == {c for (_, _, c) in brute_components(rows, 5, 80, 100) if c is not None}
+    none = df.limit(0)
+    assert all(f(spark, none, "").count() == 0 for _, f in corpus_pipeline.STAGES if f is not stages["near"])
     last = stages["pack"](spark, fourth, "")
     assert Counter(r["doc_id"] for r in last.where("piece = 0").collect()) == Counter(r["doc_id"] for r in fourth.collect())
+
+
+def test_pipeline_run(spark, tmp_path):
+    """The whole run against its parts by brute force, with odd rows, a text of megabytes, and clashing columns."""
+    import corpus_pipeline
+    from kvatlas.llm import langid
+
+    rng, rows = random.Random(5), []
+    say = lambda lang, n: " ".join(rng.choices({"en": "the and of house river stone".split(), "de": "der und von haus fluss stein".split()}[lang], k=n))
+    for i in range(80):
+        lang = rng.choice(["en", "de"])
+        rows.append((i, say(lang, 40), lang, rng.choice(["s1", "s2", None]), i))
+    rows += [(100, rows[0][1], "en", "s1", 0), (101, rows[1][1].replace(" ", "  "), "en", "s1", 0), (102, None, "en", "s1", 0), (103, "123 !!", "en", "s1", 0)]
+    rows += [(104, rows[2][1] + " extra", "en", "s2", 0), (None, say("en", 50), None, "s1", 0), (105, say("de", 300_000), "de", "s3", 0), rows[3], rows[3]]
+    df = spark.createDataFrame([(*r, "c", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _keep string, size int")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    kept = [r for r in rows if r[1] and re.search("[a-z]", r[1])]
+    best: dict = {}
+    for r in kept:
+        k = norm(r[1])
+        rank = (-len(r[1]), r[0] is None, r[0] or 0)
+        if k not in best or rank < best[k][0]:
+            best[k] = (rank, r)
+    unique = [r for _, r in best.values()]
+    firsts = {c for _, _, c in brute_components(unique, 5, 80, 100) if c is not None}
+    near = [r for r in unique if r[0] is None or r[0] in firsts]
+    copies = Counter()
+    mixed = spark.createDataFrame(near, "doc_id long, text string, lang string, source string, n_chars long")
+    for r in mixing.copies(mixed).collect():
+        copies[r["doc_id"]] += r["copies"]
+    want = Counter()
+    for r in near:
+        n = len(r[1].split()) + 1
+        for k in range(-(-n // 8192)):
+            want[r[0], k, min(8192, n - 8192 * k)] += copies[r[0]]
+    assert Counter((r["doc_id"], r["piece"], r["n_tokens"]) for r in got) == +want
+    assert langid.UNKNOWN == "und" and len(near) < len(rows) - 5

@@ -105,6 +105,36 @@ def test_jpeg_colour_with_subsampling_and_no_restart():
     assert thumb.shape == (4, 4) and thumb[0, 0] == min(255, max(0, want[1][0][0] * 4 // 8 + 128)) and thumb[1, 0] == min(255, max(0, want[1][2][0] * 4 // 8 + 128))
 
 
+def test_jpeg_of_one_scan_for_each_component():
+    rng = random.Random(11)
+    payloads = [rng.randbytes(64 * 64) for _ in range(3)]  # 8 x 8 blocks each
+    grey = [jpeg.parse(x) for x in jpeg.encode_payloads(payloads)]
+    whole, seg = jpeg.encode_payloads(payloads[:1])[0], jpeg._segment
+    sof = seg(0xC0, bytes([8, 0, 64, 0, 64, 3, 1, 0x11, 0, 2, 0x11, 0, 3, 0x11, 0]))
+    head = whole[: whole.index(b"\xff\xc0")] + sof + whole[whole.index(b"\xff\xc4") : whole.index(b"\xff\xda")]
+    scans = b"".join(seg(0xDA, bytes([1, c, 0, 0, 63, 0])) + grey[c - 1].scan for c in (2, 1, 3))
+    image = jpeg.parse(head + scans + b"\xff\xd9")
+    (got,) = jpeg.decode([image])
+    assert list(got) == [1] and jpeg.BYTE[got[1].ravel() + 256].tobytes() == payloads[0]
+    assert jpeg.thumbnail(image, got).tolist() == jpeg.thumbnail(grey[0], jpeg.decode(grey[:1])[0]).tolist()
+
+
+def test_jpeg_pieces(monkeypatch):
+    rng = random.Random(12)
+    payloads = [bytes(rng.choices(b"plain text \xff\x00\n", k=64 * n)) for n in (1, 7, 8, 9, 300, 64, 65)]
+    images = jpeg.encode_payloads(payloads)
+    monkeypatch.setattr(jpeg, "PIECE", 1500)
+    assert jpeg.encode_payloads(payloads) == images
+    parsed = [jpeg.parse(x) for x in images]
+    for p, m, c in zip(payloads, parsed, jpeg.decode(parsed), strict=True):
+        assert jpeg.BYTE[c[1].ravel() + 256].tobytes()[: len(p)] == p
+    big = b"a long text " * 500_000 + bytes(-12 * 500_000 % 64)
+    monkeypatch.setattr(jpeg, "PIECE", 1 << 21)
+    (image,) = jpeg.encode_payloads([big])
+    (c,) = jpeg.decode([jpeg.parse(image)])
+    assert jpeg.BYTE[c[1].ravel() + 256].tobytes()[: len(big)] == big
+
+
 def test_media_odd_rows(spark, odd):
     rows = media.media_features(media.store_texts(odd)).collect()
     assert len(rows) == len(ODD) and all(r["error"] is None for r in rows)
