@@ -368,7 +368,11 @@ def page_titles(spark, folder):
     return from_html(table(spark, folder, "pages")).select(F.col("page_idx").alias("page_id"), "title")
 
 
-@query()
+@query(r"""with h as (select page_id, url, regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g') h1,
+  regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', '', 'g') body from pages),
+t as (select page_id, url, h1, array_to_string(list_filter(list_transform(string_split_regex(body, '<[^>]+>'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), '\n') t from h)
+select page_id page_idx, regexp_replace(h1, '^\s+|\s+$', '', 'g') title, url,
+  replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') "content" from t""")
 def page_texts(spark, folder):
     return from_html(table(spark, folder, "pages"))
 
