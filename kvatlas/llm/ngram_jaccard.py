@@ -14,8 +14,9 @@ Global order: word shingles ordered by a 64-bit hash. The order is cut into frag
    the first of them, and a family.
 4. Pairs are verified exactly: shingle sets are cut into ``parts`` fragments, partial overlaps are counted
    fragment by fragment, and summed for each pair.
-5. Links form components. Where a large signature's documents lie in several components, each signature's
-   documents are verified against one more of them, by turns, for ``rounds`` rounds of linear work.
+5. Links form components. Where a large signature's documents lie in several components, one more of them is drawn, and
+   each document is verified against one that was drawn from another component, for up to ``rounds`` rounds, while they
+   help; a round verifies no more pairs than there are documents.
 6. In families (of signatures with common documents) that are still split, a shingle counts only if several
    components have it, and a document stays only if enough of its shingles count to link it to another component;
    families of which that leaves one component or none are done. What is left is compared block by block, again
@@ -202,19 +203,25 @@ def _sets(docs: DataFrame, wanted: DataFrame, repeated: DataFrame, k: int, parts
 
 
 def _at_key(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """``rows`` joined with ``table``, which has one row for each key and its number of rows in ``m``; hot keys stay where they are."""
+    """``rows`` joined with ``table``, which has one row for each key and its number of rows in ``m``; rows of hot keys stay where they are."""
+    most = table.agg(F.max("m")).head()[0] or 0
+    if most <= HOT:
+        return rows.join(table.drop("m"), key)
     hot = F.broadcast(table.where(F.col("m") > HOT).drop("m"))
     cold = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col("m") <= HOT).drop("m"), key)
     return cold.unionByName(rows.join(hot, key))
 
 
-def _salted(pairs: DataFrame, sets: DataFrame, side: str, other: str, columns: list) -> DataFrame:
-    """``pairs`` joined with the sets of ``side``; a document of very many pairs is spread by a hash of the other one."""
-    hot = stored(pairs.groupBy(side).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > HOT).select(side, F.ceil(F.col("m") / HOT).cast("int").alias("salts")), "hot")
-    rows = pairs.join(F.broadcast(hot), side, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(other), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
-    own = sets.select(F.col("doc_id").alias(side), *columns).join(F.broadcast(hot), side, "left")
-    own = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-    return rows.join(own, [side, "salt"] + (["part"] if "part" in pairs.columns else [])).drop("salt")
+def _with_sets(pairs: DataFrame, sets: DataFrame, hot: DataFrame | None, side: str, other: str, columns: list) -> DataFrame:
+    """``pairs`` joined with the sets of ``side``; a document of very many pairs (``hot``: doc_id, salts) is spread by a hash of the other one."""
+    key = [side] + (["part"] if "part" in pairs.columns else [])
+    own = sets.select(F.col("doc_id").alias(side), *columns)
+    if hot is None:
+        return pairs.join(own, key)
+    hot = F.broadcast(hot.withColumnRenamed("doc_id", side))
+    rows = pairs.join(hot, side, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(other), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
+    own = own.join(hot, side, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return rows.join(own, [*key, "salt"]).drop("salt")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
@@ -225,11 +232,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: in
     """
     of = lambda x: ["part", F.col("t").alias(f"t_{x}"), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"s_{x}")]
     enough = lambda i: i * denominator >= (F.col("n_a") + F.col("n_b") - i) * numerator
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"))
+    hot = stored(ends.where(F.col("m") > HOT).select("doc_id", F.ceil(F.col("m") / HOT).cast("int").alias("salts")), "hot")
+    hot = None if hot.isEmpty() else hot
     start = sets.where("part = 0")
-    first = _salted(_salted(pairs, start, "a", "b", of("a")[1:]), start, "b", "a", of("b")[1:])
+    first = _with_sets(_with_sets(pairs, start, hot, "a", "b", of("a")[1:]), start, hot, "b", "a", of("b")[1:])
     rest = F.least(F.col("n_a") - F.size("s_a"), F.col("n_b") - F.size("s_b"))
     hopeful = stored(first.where(enough(F.size(F.array_intersect("s_a", "s_b")) + rest)).select("a", "b").distinct(), "hopeful")
-    both = _salted(_salted(hopeful, sets, "a", "b", of("a")), sets, "b", "a", of("b"))
+    both = _with_sets(_with_sets(hopeful, sets, hot, "a", "b", of("a")), sets, hot, "b", "a", of("b"))
     texts = ["a", "b", "t_a", "t_b", "n_a", "n_b"]
     partial = both.select(*texts, F.size(F.array_intersect("s_a", "s_b")).alias("overlap"))
     return partial.groupBy(*texts).agg(F.sum("overlap").alias("i")).where(enough(F.col("i"))).select("a", "b").distinct()
@@ -242,7 +252,7 @@ def _merged(components_: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _another_round(members: DataFrame, of_doc: DataFrame, sets: DataFrame, turn: int, numerator: int, denominator: int) -> DataFrame | None:
-    """``of_doc`` (doc_id, component) after each split signature's documents have met one of them; None if none is split."""
+    """``of_doc`` (doc_id, component) after documents of split signatures have met one of another component; None if that changes nothing."""
     rows = stored(members.join(of_doc, "doc_id"), "round")
     pick = F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id", "component")).alias("pick")
     groups = rows.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), pick, F.count(F.lit(1)).alias("m"))
@@ -250,9 +260,12 @@ def _another_round(members: DataFrame, of_doc: DataFrame, sets: DataFrame, turn:
     split = stored(split, "split")
     if split.isEmpty():
         return None
-    pairs = _at_key(rows, split, "signature").where("component <> own")
-    pairs = stored(pairs.select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct(), "pairs")
-    links = _verified(pairs, sets, numerator, denominator)
+    # of all signatures, a document meets one pivot a round
+    met = _at_key(rows, split, "signature").where("component <> own").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("pivot", F.lit(turn)).alias("h"), "pivot")).alias("p"))
+    pairs = stored(met.select(F.least("p.pivot", "doc_id").alias("a"), F.greatest("p.pivot", "doc_id").alias("b")).distinct(), "pairs")
+    links = stored(_verified(pairs, sets, numerator, denominator), "links")
+    if links.isEmpty():
+        return None
     ends = links.join(of_doc.select(F.col("doc_id").alias("a"), F.col("component").alias("c_a")), "a").join(of_doc.select(F.col("doc_id").alias("b"), F.col("component").alias("c_b")), "b")
     return stored(_merged(of_doc, ends.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))), "of_doc")
 
