@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from kvatlas.functions import text as T
 
 #: Pages that describe files, not keys.
-FILE_PAGES = """ABCAR ABNCAR BSEFATBAND CHG CHGCAR CONTCAR DOSCAR DYNMATFULL EIGENVAL ELFCAR FFCAR FFNCAR GAMMA HESSEMAT
-HILLSPOT HISCAR IBZKPT ICONST INCAR IRCCAR KPOINTS KPOINTS_ELPH KPOINTS_OPT LOCPOT ML_AB ML_ABN ML_EATOM ML_FF ML_FFN
-ML_HEAT ML_HIS ML_LOGFILE ML_REG MP2 NICS NMRCURBX OSZICAR OUTCAR PARCHG PCDAT PENALTYPOT POSCAR POSNICS POT POTCAR
-PROCAR PROCAR_OPT PROJCAR PROOUT QPOINTS REGCAR REPORT STOPCAR TAUCAR TMPCAR UIJKL VIJKL WANPROJ WAVECAR WAVEDER
-XDATCAR""".split()
+FILE_PAGES = (
+    "ABCAR", "ABNCAR", "BSEFATBAND", "CHG", "CHGCAR", "CONTCAR", "DOSCAR", "DYNMATFULL", "EIGENVAL", "ELFCAR",
+    "FFCAR", "FFNCAR", "GAMMA", "HESSEMAT", "HILLSPOT", "HISCAR", "IBZKPT", "ICONST", "INCAR", "IRCCAR", "KPOINTS",
+    "KPOINTS_ELPH", "KPOINTS_OPT", "LOCPOT", "ML_AB", "ML_ABN", "ML_EATOM", "ML_FF", "ML_FFN", "ML_HEAT", "ML_HIS",
+    "ML_LOGFILE", "ML_REG", "MP2", "NICS", "NMRCURBX", "OSZICAR", "OUTCAR", "PARCHG", "PCDAT", "PENALTYPOT", "POSCAR",
+    "POSNICS", "POT", "POTCAR", "PROCAR", "PROCAR_OPT", "PROJCAR", "PROOUT", "QPOINTS", "REGCAR", "REPORT", "STOPCAR",
+    "TAUCAR", "TMPCAR", "UIJKL", "VIJKL", "WANPROJ", "WAVECAR", "WAVEDER", "XDATCAR",
+)
 #: What ends a description, and what ends the list of related keys.
 DESCRIPTION_ENDS = ("output", "recommendation", "related", "examples", "references", "retrieved", "learn", "subcategor")
 RELATED_ENDS = ("Examples", "References", "Retrieved")
@@ -69,7 +72,7 @@ def key_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def other_pages(pages: DataFrame, file_pages: list[str] = FILE_PAGES, least: int = 50, summary: int = 1000) -> DataFrame:
+def other_pages(pages: DataFrame, file_pages: tuple[str, ...] = FILE_PAGES, least: int = 50, summary: int = 1000) -> DataFrame:
     """NON_TAG rows of the pages that don't define a key and hold ``least`` characters at least."""
     is_file = F.col("title").isin(*file_pages)
     rows = pages.where((~F.col("title").rlike(T.IDENTIFIER) | is_file) & (F.length("content") >= least))
