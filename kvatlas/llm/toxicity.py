@@ -18,6 +18,7 @@ table gives an empty result, and a table without texts trains nothing. Extra col
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -99,8 +100,8 @@ class Model:
         return Model, (self.codes, self.weights, self.bias)
 
     def sentence_scores(self, text: str) -> list[tuple[int, int, float]]:
-        """Start, end and sum of weights of each sentence."""
-        return [(a, b, sum(map(self.words.__getitem__, words))) for a, b, words in words_of(text)]
+        """Start, end and sum of weights of each sentence; the sum doesn't depend on the words' order."""
+        return [(a, b, math.fsum(map(self.words.__getitem__, words))) for a, b, words in words_of(text)]
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """The noisy-or over sentences, and each sentence's start, end and score."""
