@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from kvatlas.llm.chat import op10_chat
 from kvatlas.llm.exact_dedup import OP9_SQL, op9_exact_dedup
+from kvatlas.llm.fim import OP11_SQL, op11_infill
 from kvatlas.llm.langid import op3_langid
 from kvatlas.llm.media import op1_media
 from kvatlas.llm.mixing import OP4_SQL, op4_mixing
@@ -24,8 +25,10 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_chat": op10_chat,
+    "op11_infill": op11_infill,
 }
 ORACLE_SQL = {
     "op4_mixing": OP4_SQL,
     "op9_exact_dedup": OP9_SQL,
+    "op11_infill": OP11_SQL,
 }
