@@ -13,6 +13,7 @@ from kvatlas.llm.packing import op5_packing
 from kvatlas.llm.pii import op7_pii
 from kvatlas.llm.tokens import op2_tokens
 from kvatlas.llm.toxicity import op8_toxicity
+from kvatlas.llm.trie import OP12_SQL, op12_trie
 
 QUERIES = {
     "op1_media": op1_media,
@@ -26,9 +27,11 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_chat": op10_chat,
     "op11_infill": op11_infill,
+    "op12_trie": op12_trie,
 }
 ORACLE_SQL = {
     "op4_mixing": OP4_SQL,
     "op9_exact_dedup": OP9_SQL,
     "op11_infill": OP11_SQL,
+    "op12_trie": OP12_SQL,
 }
