@@ -11,6 +11,7 @@ from kvatlas.llm.mixing import OP4_SQL, op4_mixing
 from kvatlas.llm.ngram_jaccard import op6_ngram_jaccard
 from kvatlas.llm.packing import op5_packing
 from kvatlas.llm.pii import op7_pii
+from kvatlas.llm.quality import op13_quality
 from kvatlas.llm.tokens import op2_tokens
 from kvatlas.llm.toxicity import op8_toxicity
 from kvatlas.llm.trie import OP12_SQL, op12_trie
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_chat": op10_chat,
     "op11_infill": op11_infill,
     "op12_trie": op12_trie,
+    "op13_quality": op13_quality,
 }
 ORACLE_SQL = {
     "op4_mixing": OP4_SQL,
