@@ -5,8 +5,8 @@ is seen of a line are its speaker marker (none, one of a role's, an unknown name
 question mark, its length, and whether the line before it is blank. Viterbi's best path gives the roles; a turn begins
 at each opening line, its marker is cut off, blank lines at its end go, and turns are rendered as ``<|role|>`` blocks,
 in which ``<|`` of a text is escaped (``escaped``), so no text can pose as a marker. Start, transition and emission
-probabilities are smoothed counts over all conversations that aren't held out, counted in the tasks; a step from one
-unit to the next isn't counted.
+probabilities are smoothed counts over all conversations that aren't held out, counted in the tasks; what a unit's first
+line follows comes from the unit before it, so neither counts nor paths depend on where units are cut.
 
 Transcripts come in eight styles, by a hash of the conversation's id: five name the speakers' roles (but one turn in
 eight has a dash only), one has people's names, one has dashes only, and one has no markers, only blank lines
@@ -14,13 +14,13 @@ between turns. Roles of the latter three must come from order and lines.
 
 The table of conversations is turned into transcripts first, and equal rows are merged before they meet. Units of
 work are pages of ``PAGE`` turns; a page of more than ``MOST_ROWS`` rows is cut into parts of ``PAGE`` rows by rank, so
-rows that turns don't tell apart are bounded work too. Decoding is exact for the whole conversation: each unit gives
+rows that turns don't tell apart are bounded work too (a unit's size is that of its rows' texts). Decoding is exact for the whole conversation: each unit gives
 the best scores from a state of its first line to a state of the next unit's (max-plus matrices), these are combined
 in order, and units are decoded between the states so found. The renderings of a conversation's units, in order of
 page and part, join to the rendering of the whole.
 
 Results for odd input: a null text is an empty line; a null role is ``user`` when a transcript is written and
-isn't learned from; repeated rows count once; turns that tie are ordered by role and text; rows without turn
+isn't learned from (where a whole unit has no known role, neither is the step behind it); repeated rows count once; turns that tie are ordered by role and text; rows without turn
 are on page 0; a long text is lines like any other; an empty table gives an empty result. Extra columns are
 left out, so names can't clash.
 """
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kvatlas.llm.langid import fold
@@ -65,10 +65,14 @@ DASH = re.compile(r"\s*[-*>]\s+")
 NONE, UNKNOWN, DASHED = len(ROLES), len(ROLES) + 1, len(ROLES) + 2
 
 
-def observe(lines: list[str]) -> list[tuple[int, int, int, int, int]]:
-    """Marker, question, length class, whether a blank line comes before (so it does before the first line, that of a
-    unit too), and where the text behind the marker starts, of each line."""
-    out, gap = [], 1
+#: What Python takes for white space, as a regular expression's line.
+BLANK_LINE = r"^[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]*$"
+
+
+def observe(lines: list[str], gap: int = 1) -> list[tuple[int, int, int, int, int]]:
+    """Marker, question, length class, whether a blank line comes before (``gap``: before the first line; so it does at
+    a conversation's start), and where the text behind the marker starts, of each line."""
+    out = []
     for line in lines:
         kind, start = NONE, 0
         if m := MARKER.match(line):
@@ -148,12 +152,14 @@ def firsts(spans: list[np.ndarray], first: int | None, rest: np.ndarray | None,
 SHAPES = ((2 * len(ROLES),), (2 * len(ROLES),) * 2, *((2 * len(ROLES), n) for n in (len(ROLES) + 3, 2, 4, 2)))
 
 
-def counted(page: list[tuple[str, list[str]]], counts: list[np.ndarray], opens: bool = True) -> None:
-    """Add a page of (role, lines) to counts of SHAPES. ``opens``: its first line opens a conversation."""
-    seen = observe([x for _, lines in page for x in lines])
+def counted(page: list[tuple[str, list[str]]], counts: list[np.ndarray], opens: bool = True, gap: int = 1, before: int | None = None) -> None:
+    """Add a page of (role, lines) to counts of SHAPES. ``opens``: its first line opens a conversation; else ``before`` is the state before it."""
+    seen = observe([x for _, lines in page for x in lines], gap)
     states = [2 * ROLES.index(role) + (i > 0) for role, lines in page for i in range(len(lines))]
     if states and opens:
         counts[0][states[0]] += 1
+    elif states and before is not None:
+        counts[1][before, states[0]] += 1
     np.add.at(counts[1], (states[:-1], states[1:]), 1)
     for k, values in enumerate(list(zip(*seen, strict=True))[:4]):
         np.add.at(counts[2 + k], (states, list(values)), 1)
@@ -204,13 +210,13 @@ def render(turns: list[tuple[str, str]]) -> str:
     return "".join(f"<|{role}|>\n{escaped(text)}\n<|end|>\n" for role, text in turns)
 
 
-def piece(transcript: str, model: Model, first: int | None = None, after: int | None = None) -> tuple[list[str], str]:
+def piece(transcript: str, model: Model, first: int | None = None, after: int | None = None, gap: int = 1) -> tuple[list[str], str]:
     """Roles of the turns that begin in a unit, and its part of the rendering.
 
     A unit may go on with the turn before it, and the unit after it with its last turn.
     """
     lines = transcript.split("\n")
-    seen = observe(lines)
+    seen = observe(lines, gap)
     roles: list[str] = []
     out: list[str] = []
 
@@ -271,6 +277,58 @@ def transcripts(conversations: DataFrame) -> DataFrame:
     return parts.groupBy("conv_id", "page", "part", "style").agg(turns)
 
 
+def conv_key() -> Column:
+    return F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("conv")
+
+
+def neighbours(units: DataFrame, columns: list[str]) -> DataFrame:
+    """conv, page, part, goes_on (a unit follows), follows, and ``columns`` of the unit before, for conversations of several units."""
+    rows = units.select("conv", "page", "part", *columns)
+    several = stored(rows.groupBy("conv").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "several")
+    if several.isEmpty():
+        return rows.limit(0).withColumn("goes_on", F.lit(False)).withColumn("follows", F.lit(False))
+    own = ranked(rows.join(several.select("conv"), "conv", "left_semi"), ["conv"], ["page", "part"])
+    before = own.select("conv", (F.col("rank") + 1).alias("rank"), *columns)
+    after = own.select("conv", (F.col("rank") - 1).alias("rank"), F.lit(True).alias("goes_on"))
+    found = own.drop(*columns).join(before, ["conv", "rank"], "left").join(after, ["conv", "rank"], "left")
+    return found.select("conv", "page", "part", *columns, F.coalesce("goes_on", F.lit(False)).alias("goes_on"), (F.col("rank") > 0).alias("follows"))
+
+
+def _last_blank(lines: Column) -> Column:
+    return F.element_at(lines, -1).rlike(BLANK_LINE).cast("int")
+
+
+def known_before(pages: DataFrame) -> DataFrame:
+    """``pages`` with ``opens``, and of the last line with a known role in the unit before: ``gap`` (it is blank) and ``before`` (its state)."""
+    role = F.element_at(F.create_map(*[F.lit(x) for i, r in enumerate(ROLES) for x in (r, 2 * i)]), F.col("known.role"))
+    rows = pages.select(conv_key(), "page", "part", F.try_element_at(F.filter("turns", lambda t: t["role"].isin(*ROLES)), F.lit(-1)).alias("known"))
+    lines = F.split("known.line", "\n")
+    rows = rows.select("conv", "page", "part", _last_blank(lines).alias("gap"), (role + (F.size(lines) > 1).cast("int")).alias("before"))
+    found = pages.withColumn("conv", conv_key()).join(neighbours(rows, ["gap", "before"]), ["conv", "page", "part"], "left")
+    return found.select("turns", (~F.coalesce("follows", F.lit(False))).alias("opens"), "gap", "before")
+
+
+def units_of(pages: DataFrame) -> DataFrame:
+    """unit, conv_id, page, part, style, transcript, true_roles, gap (the line before is blank).
+
+    Blank lines at a unit's end go to the next unit, which can tell whether they end a turn; a unit of nothing else keeps its own.
+    """
+    rows = pages.select(
+        conv_key(), "conv_id", "page", "part", "style",
+        F.array_join(F.transform("turns", lambda t: t["line"]), "\n").alias("transcript"),
+        F.array_join(F.transform("turns", lambda t: F.coalesce(t["role"], F.lit("user"))), ",").alias("true_roles"),
+    )
+    bare = F.when(F.col("transcript").rlike(r"[^\n]"), F.regexp_replace("transcript", r"\n+\z", "")).otherwise(F.col("transcript"))
+    rows = rows.withColumn("bare", bare)
+    ends = rows.select("conv", "page", "part", _last_blank(F.split("bare", "\n")).alias("gap"), (F.length("transcript") - F.length("bare")).alias("moved"))
+    rows = rows.join(neighbours(ends, ["gap", "moved"]), ["conv", "page", "part"], "left")
+    own = F.when(F.coalesce("goes_on", F.lit(False)), F.col("bare")).otherwise(F.col("transcript"))
+    return rows.select(
+        F.monotonically_increasing_id().alias("unit"), "conv_id", "page", "part", "style",
+        F.concat(F.repeat(F.lit("\n"), F.coalesce("moved", F.lit(0))), own).alias("transcript"), "true_roles", F.coalesce("gap", F.lit(1)).alias("gap"),
+    )
+
+
 def train(pages: DataFrame) -> Model:
     """From all ``pages``: each task counts, Spark adds up, and the counts (under 100) come to the driver."""
     sizes = [int(np.prod(x)) for x in SHAPES]
@@ -278,12 +336,13 @@ def train(pages: DataFrame) -> Model:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = [np.zeros(x) for x in SHAPES]
         for batch in batches:
-            for page, part, turns in zip(batch["page"], batch["part"], batch["turns"], strict=True):
-                counted([(t["role"], t["line"].split("\n")) for t in turns if t["role"] in ROLES], counts, page == 0 and part == 0)
+            for opens, gap, before, turns in zip(batch["opens"], batch["gap"], batch["before"], batch["turns"], strict=True):
+                own = [(t["role"], t["line"].split("\n")) for t in turns if t["role"] in ROLES]
+                counted(own, counts, opens, 1 if pd.isna(gap) else int(gap), None if pd.isna(before) else int(before))
         flat = np.concatenate([c.ravel() for c in counts])
         yield pd.DataFrame({"k": np.arange(len(flat)), "n": flat})[flat > 0]
 
-    rows = pages.select("page", "part", "turns").mapInPandas(count, "k int, n double").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    rows = known_before(pages).mapInPandas(count, "k int, n double").groupBy("k").agg(F.sum("n").alias("n")).collect()
     flat = np.zeros(sum(sizes))
     flat[[r["k"] for r in rows]] = [r["n"] for r in rows]
     return model_of([x.reshape(shape) for x, shape in zip(np.split(flat, np.cumsum(sizes)[:-1]), SHAPES, strict=True)])
@@ -296,14 +355,13 @@ def boundaries(units: DataFrame, model: Model) -> DataFrame:
     if count.isEmpty():
         return units.sparkSession.createDataFrame([], "unit long, first int, after int")
     own = units.join(count, F.col("conv_id").eqNullSafe(F.col("long_id")), "left_semi")
-    conv = F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("conv")
 
     def span(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            spans = [model.span(observe(t.split("\n"))).tobytes() for t in b["transcript"]]
+            spans = [model.span(observe(t.split("\n"), g)).tobytes() for t, g in zip(b["transcript"], b["gap"], strict=True)]
             yield b[["conv", "page", "part", "unit"]].assign(span=spans)
 
-    rows = own.select(conv, "page", "part", "unit", "transcript").mapInPandas(span, "conv string, page long, part long, unit long, span binary")
+    rows = own.select(conv_key(), "page", "part", "unit", "transcript", "gap").mapInPandas(span, "conv string, page long, part long, unit long, span binary")
     spans = stored(ranked(rows, ["conv"], ["page", "part"]).withColumn("block", F.floor(F.col("rank") / BLOCK)), "spans")
     shape = (len(model.start), len(model.start) + 1)
     read = lambda x: [np.frombuffer(b).reshape(shape) for b in x]
@@ -339,7 +397,7 @@ def formatted(units: DataFrame, model: Model) -> DataFrame:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [piece(t, model, state(f), state(a)) for t, f, a in zip(batch["transcript"], batch["first"], batch["after"], strict=True)]
+            found = [piece(t, model, state(f), state(a), g) for t, f, a, g in zip(batch["transcript"], batch["first"], batch["after"], batch["gap"], strict=True)]
             yield pd.DataFrame(
                 {
                     "conv_id": batch["conv_id"].astype("Int64"),
@@ -358,16 +416,7 @@ def formatted(units: DataFrame, model: Model) -> DataFrame:
 
 def decoded(pages: DataFrame, model: Model) -> DataFrame:
     """``formatted`` of what ``transcripts`` gives, with whole conversations' best paths."""
-    units = pages.select(
-        F.monotonically_increasing_id().alias("unit"),
-        "conv_id",
-        "page",
-        "part",
-        "style",
-        F.array_join(F.transform("turns", lambda t: t["line"]), "\n").alias("transcript"),
-        F.array_join(F.transform("turns", lambda t: F.coalesce(t["role"], F.lit("user"))), ",").alias("true_roles"),
-    )
-    units = stored(units, "units")
+    units = stored(units_of(pages), "units")
     return formatted(units.join(boundaries(units, model), "unit", "left"), model)
 
 
