@@ -1,6 +1,6 @@
 """A corpus from ``documents`` to packed sequences; each stage works on all that the one before it kept.
 
-1. language ID: documents without letters go, and those that no language claims (score under LEAST_SCORE);
+1. language ID: documents without letters go, and those that no language claims (fewer known grams than langid.LEAST_KNOWN);
 2. exact dedup: one document of each group of equal texts stays;
 3. n-gram Jaccard join: one document of each group linked at 0.8 over five-word shingles stays;
 4. mixing: each document stays as often as its source's target asks for;
@@ -25,11 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from kvatlas.llm import exact_dedup, langid, mixing, ngram_jaccard, packing
 from kvatlas.llm.shared import dropped, stored, table
 
-LEAST_SCORE = 0.5
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.accepted(docs, langid.train(docs, ~langid.fold("doc_id", 4, 2)), LEAST_SCORE)
+    return langid.accepted(docs, langid.train(docs, ~langid.fold("doc_id", 4, 2)))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
