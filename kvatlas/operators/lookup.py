@@ -71,8 +71,9 @@ def containing(names: DataFrame, titles: DataFrame) -> DataFrame:
     only these are searched for it.
     """
     of_titles = titles.where("title is not null").select("title", F.explode(F.array_union(F.array_union(_grams(F.col("title"), 3), _grams(F.col("title"), 2)), _grams(F.col("title"), 1))).alias("gram"))
-    frequent = of_titles.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     own = names.where("up <> ''").select("name", "up", F.explode(_grams(F.col("up"), F.least(F.length("up"), F.lit(3)))).alias("gram"))
+    of_titles = of_titles.join(own.select("gram").distinct(), "gram", "left_semi")  # only runs that some name has
+    frequent = of_titles.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = own.join(frequent, "gram", "left").groupBy("name", "up").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m"))
     rarest = rarest.where("m.n > 0").select("name", "up", F.col("m.gram").alias("gram"))  # a run that no title has: no match
     return rarest.join(of_titles, "gram").where(F.contains("title", F.col("up"))).select("name", "title")

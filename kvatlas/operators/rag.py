@@ -106,10 +106,13 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 4096, keys: tuple[str, ...] = ("vec_id",), carried: tuple[str, ...] = (), vectors_block: int = 16_384) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 4096, keys: tuple[str, ...] = ("vec_id",), carried: tuple[str, ...] = (), vectors_block: int = 16_384,
+            by_dot: bool = False) -> DataFrame:
     """query_id, ``keys``, ``carried``, distance, rn: the k nearest vectors of each query, by squared distance.
 
-    Ties go to the smaller ``keys``, which are numbers; ``carried`` are columns of the vectors that come along.
+    Ties go to the smaller ``keys``, which are numbers; ``carried`` are columns of the vectors that come along. ``by_dot``: the
+    distance is the dot product with its sign turned. A vector that is null, or has a null in it, is near to nothing, and
+    vectors meet those of their own length only.
 
     Queries and vectors are dealt into blocks by a hash. Each pair of blocks meets in one task, which computes distances
     as matrix products and keeps its k best for each query, so no pair beyond these is ever a row. A vector travels once
@@ -117,10 +120,12 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 409
     """
     from kvatlas.operators.configs import top
 
+    whole = lambda df: df.where(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())).withColumn("_n", F.size("embedding"))
+    queries, vectors = whole(queries), whole(vectors)
     n, m = max(1, -(-queries.count() // block)), max(1, -(-vectors.count() // vectors_block))
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    left = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int").alias("_i"), every(m).alias("_j"))
-    right = vectors.select(*keys, *carried, "embedding", F.pmod(F.xxhash64(*keys), F.lit(m)).cast("int").alias("_j"), every(n).alias("_i"))
+    left = queries.select("query_id", F.col("embedding").alias("embedding"), "_n", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int").alias("_i"), every(m).alias("_j"))
+    right = vectors.select(*keys, *carried, "embedding", "_n", F.pmod(F.xxhash64(*keys), F.lit(m)).cast("int").alias("_j"), every(n).alias("_i"))
     names = ["query_id", *keys, *carried, "distance"]
 
     def best(own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
@@ -130,27 +135,28 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 409
         ids, vec = own["query_id"].to_numpy(), [rows[c].to_numpy() for c in keys]
         step, out = max(1, (1 << 21) // len(v)), []  # queries at a time, so that the matrix of distances stays small
         for at in range(0, len(q), step):
-            own_at, pick, distance = _k_best(q[at : at + step], v, vec, k)
+            own_at, pick, distance = _k_best(q[at : at + step], v, vec, k, by_dot)
             out.append(rows[[*keys, *carried]].iloc[pick].reset_index(drop=True).assign(query_id=ids[at + own_at], distance=distance))
         return pd.concat(out)[names]
 
     fields = ", ".join(["query_id long", *(f"{c} {t}" for c, t in vectors.select(*keys, *carried).dtypes), "distance double"])
-    both = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(best, fields)
+    both = left.groupBy("_i", "_j", "_n").cogroup(right.groupBy("_i", "_j", "_n")).applyInPandas(best, fields)
     return top(both, "query_id", [F.asc("distance"), *map(F.asc, keys)], k)
 
 
-def _k_best(q: np.ndarray, v: np.ndarray, vec: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _k_best(q: np.ndarray, v: np.ndarray, vec: list[np.ndarray], k: int, by_dot: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of q, rows of v, rounded squared distances: for each q its k smallest by (rounded distance, vec).
 
     Distances by matrix products cancel; so every vector that they can't tell from the k-th is computed exactly.
     """
     qq, vv, n, dim = (q * q).sum(1), (v * v).sum(1), min(k, len(v)), q.shape[1]
-    d = qq[:, None] + vv[None, :] - 2 * q @ v.T
+    d = -q @ v.T if by_dot else qq[:, None] + vv[None, :] - 2 * q @ v.T
     error = 4 * (dim + 4) * np.finfo(np.float64).eps * (qq + vv.max())
     limit = np.partition(d, n - 1, axis=1)[:, n - 1] + 2 * error + 2e-6  # equal once rounded: at most 1e-6 apart
     own, pick = np.nonzero(~(d > limit[:, None]))  # keeps what can't be compared
     step = max(1, (1 << 21) // dim)
-    exact = np.concatenate([((q[own[i : i + step]] - v[pick[i : i + step]]) ** 2).sum(-1) for i in range(0, len(own), step)]).round(6)
+    exactly = (lambda a, b: -(a * b).sum(-1)) if by_dot else lambda a, b: ((a - b) ** 2).sum(-1)
+    exact = np.concatenate([exactly(q[own[i : i + step]], v[pick[i : i + step]]) for i in range(0, len(own), step)]).round(6)
     order = np.lexsort((*(x[pick] for x in reversed(vec)), exact, own))
     own, pick, exact = own[order], pick[order], exact[order]
     first = np.arange(len(own)) - np.searchsorted(own, own) < k

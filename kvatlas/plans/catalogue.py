@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kvatlas.functions import text as T
 from kvatlas.functions import values
 from kvatlas.operators import configs as C
+from kvatlas.operators import fulltext as X
 from kvatlas.operators import lookup as L
 from kvatlas.operators import pages as P
 from kvatlas.operators import rag as G
@@ -583,6 +584,81 @@ def search_docs(spark, folder):
     return S.search_docs(tags, pages, C.partners(C.cooccurrence(config_kv(spark, folder)))).drop("title")
 
 
+# --- search for tables of questions
+
+QUESTIONS = ('"of the" +with -idiot', "the OR \"und der\"", '+"in the" AND of NOT by', "\"by the\" 'open \"quote", "nowhere:the", "que-la")
+ASKED = """asked as (select * from (values
+  (0, 0, 'optional', ['of', 'the']), (0, 0, 'required', ['with']), (0, 0, 'forbidden', ['idiot']), (1, 0, 'optional', ['the']), (1, 1, 'optional', ['und', 'der']),
+  (2, 0, 'required', ['in', 'the']), (2, 0, 'required', ['of']), (2, 0, 'forbidden', ['by']), (5, 0, 'optional', ['que', 'la'])) x(query_id, alt, occurs, terms))"""
+PLACES = """tok as (select doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+'), lambda t: length(t) <= 40) t from documents),
+a as (select count(*) n, avg(len(t)) avgdl from tok),
+p as (select doc_id, len(t) dl, unnest(t) term, unnest(range(len(t))) place from tok)"""
+
+
+@query(f"""with {ASKED}, {PLACES}, w as (select distinct terms from asked), o as (select terms, unnest(terms) term, unnest(range(len(terms))) o from w),
+df as (select term, count(distinct doc_id) df from p join (select distinct term from o) using (term) group by 1),
+idf as (select terms, sum(ln(1 + (n - df + 0.5) / (df + 0.5))) idf from o join df using (term) cross join a group by 1),
+s as (select terms, doc_id, dl, place - o from o join p using (term) group by 1, 2, 3, 4 having count(*) = len(terms)),
+h as (select terms, doc_id, idf * count(*) * 2.2 / (count(*) + 1.2 * (0.25 + 0.75 * dl / avgdl)) part from s join idf using (terms) cross join a group by terms, doc_id, dl, idf, avgdl),
+need as (select query_id, alt, count(*) filter (where occurs = 'required') needed from asked group by 1, 2),
+m as (select query_id, alt, doc_id, needed, count(*) filter (where occurs = 'required') r, count(*) filter (where occurs = 'optional') o, count(*) filter (where occurs = 'forbidden') f,
+  sum(part) filter (where occurs <> 'forbidden') score from asked join need using (query_id, alt) join h using (terms) group by 1, 2, 3, 4)
+select query_id, doc_id, round(sum(score), 6) score from m where f = 0 and r = needed and r + o > 0 group by 1, 2""")
+def phrase_search(spark, folder):
+    """Phrases, required and forbidden words, alternatives, and questions that can't be read; from a written positional index."""
+    path = scratch(spark, "positions")
+    X.write_positions(_docs(spark, folder), path)
+    asked = X.parsed(spark.createDataFrame(list(enumerate(QUESTIONS)), "query_id int, question string"))
+    return X.search(asked, X.opened(spark, f"{path}/positions"), X.opened(spark, f"{path}/sizes"))
+
+
+BATCH = f"""{PLACES}, tf as (select doc_id, dl, term, count(*) tf from p group by 1, 2, 3), df as (select term, count(*) df from tf group by 1),
+qt as (select distinct item_id query_id, unnest(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+'), lambda t: length(t) <= 40)) term from benchmark),
+bm as (select query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) score
+  from qt join tf using (term) join df using (term) cross join a group by 1, 2),
+qv as (select item_id query_id, embedding e from benchmark join embeddings on vec_id = item_id),
+dn as (select query_id, vec_id doc_id, label, round(list_inner_product(embedding::double[], e::double[]), 6) score from qv cross join embeddings),
+sg as (select query_id, doc_id, 1.0::double w, row_number() over (partition by query_id order by score desc, doc_id) - 1 r from bm
+  union all select query_id, doc_id, 1.0, row_number() over (partition by query_id order by score desc, doc_id) - 1 from dn
+  union all select query_id, doc_id, 1.5, row_number() over (partition by query_id order by score desc, doc_id) - 1 from dn where label < 5),
+fs as (select query_id, doc_id, round(sum(w / (60 + r)), 6) score from sg where r < 5 group by 1, 2),
+hy as (select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) - 1 rank from fs) where rank < 10)"""
+
+
+@query(f"with {BATCH} select query_id, doc_id, score, rank from hy")
+def hybrid_batch(spark, folder):
+    """Every benchmark item as a question: words, vectors, boosted vectors, fused by rank."""
+    items = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    docs, vectors = _docs(spark, folder), _vectors(spark, folder)
+    embedded = items.join(vectors.select(F.col("doc_id").alias("query_id"), "embedding"), "query_id").select("query_id", "embedding")
+    return X.hybrid(X.bag(items), X.positions(docs), X.sizes(docs), embedded, vectors, F.col("label") < 5)
+
+
+@query(f"""with {BATCH}, it as (select item_id query_id, case when item_id % 4 = 1 then (select min(p_name) from part) when item_id % 2 = 1 then split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3) else text end q from benchmark),
+tags as (select distinct upper(p_name) title, p_type description from part),
+direct as (select query_id, 1 t, 'exact' tier, title, 'tag' "type", 100e0 score from it join tags on upper(trim(q)) = title group by all),
+found as (select query_id, 2 t, 'hybrid' tier, 'Doc ' || doc_id title, lang "type", score from hy join documents using (doc_id) where query_id % 2 = 0 and lang = 'en'),
+rest as (select query_id, lower(trim(q)) kw, regexp_extract_all(lower(trim(q)), '[a-z]+') w from it where query_id not in (select query_id from direct union select query_id from found)),
+texts as (select 'Doc ' || doc_id title, lang "type", lower(coalesce(text, '')) s from documents where lang = 'en'),
+kws as (select query_id, 3 t, 'keyword' tier, title, "type", 25e0 score from rest join texts on contains(s, kw) or (len(w) > 1 and list_aggregate([contains(s, x)::int for x in w], 'min') = 1) where kw <> ''),
+u as (select * from direct union all select * from found union all select * from kws),
+r as (select *, row_number() over (partition by query_id order by t, score desc, title) - 1 rank, min(t) over (partition by query_id) first from u)
+select query_id, tier, title, "type", score, rank from r where t = first and rank < 20""")
+def tiered_batch(spark, folder):
+    """Names, hybrid questions and keywords at once; each is answered by the first tier that finds anything."""
+    item, text = F.col("item_id"), F.col("text")
+    parts = table(spark, folder, "part")
+    least = parts.agg(F.min("p_name").alias("least"))
+    words = F.concat(F.split_part(text, F.lit(" "), F.lit(2)), F.lit(" "), F.split_part(text, F.lit(" "), F.lit(3)))
+    items = table(spark, folder, "benchmark").crossJoin(F.broadcast(least))  # one row
+    items = items.select(item.alias("query_id"), F.when(item % 4 == 1, F.col("least")).when(item % 2 == 1, words).otherwise(text).alias("question"))
+    docs = table(spark, folder, "documents")
+    pages = docs.select(F.concat(F.lit("Doc "), "doc_id").alias("title"), F.col("lang").alias("type"), F.col("text").alias("summary"), F.lit(False).alias("is_file_page"))
+    tags = parts.select(F.upper("p_name").alias("title"), F.col("p_type").alias("description")).distinct()
+    found = hybrid_batch(spark, folder).where("query_id % 2 = 0").join(docs.select("doc_id", F.concat(F.lit("Doc "), "doc_id").alias("title"), F.col("lang").alias("type")), "doc_id")
+    return X.tiered(items, tags, pages, spark.createDataFrame([], "alias string, target string"), found, type_="en")
+
+
 # --- retrieval
 
 @query("""with d as (select doc_id, coalesce(text, '') t from documents), s as (select doc_id, t, unnest(range(0, greatest(length(t), 1), 800)) start_index from d)

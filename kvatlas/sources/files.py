@@ -79,6 +79,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/kvatlas/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The table, written to the shared folder once and read from there: for what several parts of a plan use."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write(df: DataFrame, path: str) -> None:
     """A table in a folder; the version of its format is a column of its own small table beside it."""
     df.write.mode("overwrite").parquet(f"{path}/data")
