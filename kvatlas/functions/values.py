@@ -1,12 +1,16 @@
 """Values of configurations: typed equality, canonical text, literals, and the text format of a configuration.
 
-Equality is that of numbers (1 = 1.0 = true), of strings ("520" isn't 520), and of whole lists and maps.
+Equality is that of numbers (1 = 1.0 = true, exactly: 2^53 + 1 isn't 2^53), of strings ("520" isn't 520), and of whole lists and
+maps, whatever they hold. Strings, whole numbers and booleans are dealt with by built-in functions; decimals and
+nested values of any depth in Arrow batches. A whole number of more than 38 digits is a double in a variant.
 """
 
 from __future__ import annotations
 
+import decimal
 import json
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,21 +39,18 @@ def equals(v: Column, literal) -> Column:
     """Typed equality with a Python value; false, never null, where the value is missing."""
     if isinstance(literal, (bool, int, float)):
         same = number(v) == F.lit(float(literal))
+        if isinstance(literal, int) and abs(literal) < 10**38:  # doubles can't tell large whole numbers apart
+            same &= F.coalesce(F.try_variant_get(v, "$", "decimal(38,0)") == F.lit(decimal.Decimal(literal)).cast("decimal(38,0)"), F.lit(True))
     elif isinstance(literal, str):
         same = text(v) == F.lit(literal)
     else:
-        same = (kind(v) == "nested") & (F.to_json(v) == F.to_json(F.parse_json(F.lit(json.dumps(literal, sort_keys=True)))))
+        same = typed(v) == F.lit(encoded(literal))
     return F.coalesce(same, F.lit(False))
 
 
 def same(a: Column, b: Column) -> Column:
     """Typed equality of two values; two nulls are equal."""
-    return (
-        F.when(kind(a) != kind(b), False)
-        .when(kind(a) == "number", number(a) == number(b))
-        .when(kind(a) == "string", text(a) == text(b))
-        .otherwise(F.coalesce(F.to_json(a), F.lit("null")) == F.coalesce(F.to_json(b), F.lit("null")))
-    )
+    return typed(a).eqNullSafe(typed(b))
 
 
 def float_text(x: Column) -> Column:
@@ -74,46 +75,66 @@ def _elements(v: Column) -> Column:
     return F.try_variant_get(v, "$", "array<variant>")
 
 
-def canonical(v: Column, depth: int = 2) -> Column:
-    """Text that is equal for values that group together; integers stay apart from decimals (520, 520.0).
+def _plain(v):
+    """A value as Python's JSON reader gives it: a number with a point or exponent is a float."""
+    if isinstance(v, decimal.Decimal):
+        return int(v) if v.as_tuple().exponent >= 0 else float(v)
+    if isinstance(v, list):
+        return [_plain(x) for x in v]
+    return {k: _plain(x) for k, x in v.items()} if isinstance(v, dict) else v
 
-    Decimals count by their value (1e-05 is 0.00001), in lists too, down to lists in lists.
-    """
-    own = F.when(F.schema_of_variant(v).rlike("^(DECIMAL|DOUBLE|FLOAT)"), float_text(F.try_variant_get(v, "$", "double")))
-    if depth:
-        inside = F.transform(_elements(v), lambda x: canonical(x, depth - 1))
-        own = own.when(F.schema_of_variant(v).startswith("ARRAY"), F.concat(F.lit("["), F.array_join(inside, ","), F.lit("]")))
-    return own.otherwise(F.to_json(v))
+
+def encoded(v) -> str:
+    """Text that is the same for two values that Python calls equal, and for no others."""
+    if v is None:
+        return "null"
+    if isinstance(v, str):
+        return "s" + json.dumps(v, ensure_ascii=False)
+    if isinstance(v, list):
+        return f"[{','.join(map(encoded, v))}]"
+    if isinstance(v, dict):
+        return f"{{{','.join(f'{json.dumps(k, ensure_ascii=False)}:{encoded(v[k])}' for k in sorted(v))}}}"
+    return f"n{int(v)}" if isinstance(v, int) or v.is_integer() else f"n{v!r}"
+
+
+def _in_batches(write):
+    """A function of a variant column, from one of a Python value to text."""
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        with decimal.localcontext(prec=60):
+            return values.map(lambda v: None if v is None else write(_plain(v.toPython())))
+
+    return run
 
 
-def typed(v: Column, depth: int = 2) -> Column:
-    """Text that is the same for equal values and for no others: numbers and booleans by value, apart from strings.
+def _fast(v: Column) -> Column:
+    """Whether a value is a string, a whole number or a boolean."""
+    return F.schema_of_variant(v).isin("STRING", "BIGINT", "BOOLEAN")
 
-    Numbers are compared as doubles, in lists too, down to lists in lists; maps by their JSON text.
+
+def canonical(v: Column) -> Column:
+    """Text that is equal for values that group together; integers stay apart from decimals (520, 520.0) at any depth.
+
+    Decimals count by their value (1e-05 is 0.00001); keys of maps are in order.
     """
-    own = F.when(kind(v) == "number", F.concat(F.lit("n"), (number(v) + F.lit(0.0)).cast("string"))).when(kind(v) == "string", F.concat(F.lit("s"), F.to_json(v)))
-    if depth:
-        inside = F.transform(_elements(v), lambda x: typed(x, depth - 1))
-        own = own.when(F.schema_of_variant(v).startswith("ARRAY"), F.concat(F.lit("["), F.array_join(inside, ","), F.lit("]")))
-    return own.otherwise(F.coalesce(F.to_json(v), F.lit("null")))
+    write = lambda x: json.dumps(x, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+    return F.when(_fast(v), F.to_json(v)).otherwise(_in_batches(write)(F.when(~_fast(v), v)))
 
 
-def shown(v: Column, depth: int = 2) -> Column:
-    """A value as Python's ``str`` shows it: True, 1e-05, [1, 2]; strings bare, but quoted in lists."""
+def typed(v: Column) -> Column:
+    """Text that is the same for equal values and for no others: numbers and booleans by value, apart from strings; a missing value is null's."""
+    schema = F.schema_of_variant(v)
+    own = F.when(schema == "STRING", F.concat(F.lit("s"), F.to_json(v)))
+    own = own.when(schema == "BIGINT", F.concat(F.lit("n"), F.to_json(v))).when(schema == "BOOLEAN", F.when(F.to_json(v) == "true", "n1").otherwise("n0"))
+    return own.otherwise(F.coalesce(_in_batches(encoded)(F.when(~_fast(v), v)), F.lit("null")))
 
-    def inner(x: Column, deep: int) -> Column:
-        schema = F.schema_of_variant(x)
-        own = (
-            F.when(schema == "BOOLEAN", F.when(F.try_variant_get(x, "$", "boolean"), "True").otherwise("False"))
-            .when(schema.rlike("^(DECIMAL|DOUBLE|FLOAT)"), float_text(F.try_variant_get(x, "$", "double")))
-            .when(schema == "VOID", "None")
-        )
-        if deep:
-            quoted = lambda y: F.when(F.schema_of_variant(y) == "STRING", F.concat(F.lit("'"), F.try_variant_get(y, "$", "string"), F.lit("'"))).otherwise(inner(y, deep - 1))
-            own = own.when(schema.startswith("ARRAY"), F.concat(F.lit("["), F.array_join(F.transform(_elements(x), quoted), ", "), F.lit("]")))
-        return own.otherwise(F.to_json(x))
 
-    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(inner(v, depth))
+def shown(v: Column) -> Column:
+    """A value as Python's ``str`` shows it: True, 1e-05, [1, 2]; strings bare, but quoted in lists and maps."""
+    schema = F.schema_of_variant(v)
+    own = F.when(schema == "STRING", F.try_variant_get(v, "$", "string")).when(schema == "BIGINT", F.to_json(v)).when(schema == "BOOLEAN", F.initcap(F.to_json(v)))
+    return own.otherwise(_in_batches(str)(F.when(~_fast(v), v)))
 
 
 def member(v: Column, literal) -> Column:
@@ -159,17 +180,28 @@ def edit_literal(s: str):
         return True if low in (".true.", "t", "true") else False if low in (".false.", "f", "false") else s
 
 
+#: What Python reads as a number: digits may be parted by single underscores.
+_DIGITS = r"[0-9]+(?:_[0-9]+)*"
+NUMBER = rf"^[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
+NO_NUMBER = r"(?i)^[+-]?(?:inf|infinity|nan)$"
+
+
 def edit_json(s: Column, plain: bool = False) -> Column:
-    """JSON of a value in a configuration's text, by the rules of ``edit_literal``; ``plain``: true and false only."""
+    """JSON of a value in a configuration's text, by the rules of ``edit_literal``; ``plain``: true and false only.
+
+    Infinity and NaN are written as Python's JSON writer does. Whole numbers beyond 64 bits keep 17 digits.
+    """
     yes, no = (["true"], ["false"]) if plain else ([".true.", "t", "true"], [".false.", "f", "false"])
-    x, low = F.try_cast(s, "double") if hasattr(F, "try_cast") else s.try_cast("double"), F.lower(s)
-    whole = (x == F.floor(x)) & (F.abs(x) < 1e15)
+    x, low = F.when(s.rlike(NUMBER), F.replace(s, F.lit("_"), F.lit(""))).try_cast("double"), F.lower(s)
+    quoted = F.to_json(F.struct(s.alias("v")))
     return (
-        F.when(whole, x.cast("long").cast("string"))
-        .when(x.isNotNull() & ~F.isnan(x), F.to_json(F.struct(x.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(x.alias("v")))) - 6))
+        F.when((x == F.floor(x)) & (F.abs(x) < 9e18), x.cast("long").cast("string"))
+        .when((F.abs(x) < 1e38), F.when(x == F.floor(x), x.cast("decimal(38,0)").cast("string")).otherwise(float_text(x)))
+        .when(x.isNotNull(), float_text(x))
+        .when(s.rlike(NO_NUMBER), F.when(F.contains(low, F.lit("nan")), "NaN").when(F.startswith(low, F.lit("-")), "-Infinity").otherwise("Infinity"))
         .when(low.isin(*yes), "true")
         .when(low.isin(*no), "false")
-        .otherwise(F.concat(F.lit('"'), F.regexp_replace(s, r'(["\\])', r"\\$1"), F.lit('"')))
+        .otherwise(quoted.substr(F.lit(6), F.length(quoted) - 6))
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvatlas.functions import values
+from kvatlas.sources.files import kept
 
 #: Keys that make up a context, and keys that are always generated.
 CONTEXT_KEYS = ("ENCUT", "PREC", "ISMEAR", "SIGMA", "ISPIN", "GGA", "IBRION", "NSW", "EDIFF", "LREAL", "ALGO", "LORBIT", "ISIF")
@@ -18,20 +19,28 @@ ALWAYS_GENERATED = ("ENMAX", "ENMIN", "EXX")
 
 
 def exploded(configs: DataFrame) -> DataFrame:
-    """CONFIG_KV from config_id and ``config_json``, a JSON object; keys keep their order in it."""
-    entries = F.map_entries(F.from_json("config_json", "map<string,variant>"))
-    rows = configs.select("config_id", F.posexplode(entries).alias("pos", "e"))
-    return rows.select("config_id", "pos", F.col("e.key").alias("tag"), F.col("e.value").alias("value"), values.canonical(F.col("e.value")).alias("value_json"))
+    """CONFIG_KV from config_id and ``config_json``, a JSON object; keys keep their order in it.
+
+    A repeated key is one, at its first place and with its last value.
+    """
+    rows = configs.select("config_id", F.map_entries(F.from_json("config_json", "map<string,variant>")).alias("e"))
+    rows = rows.withColumn("keys", F.transform("e", lambda x: x["key"]))
+    entry = lambda pos, x: F.struct(pos.cast("int").alias("pos"), x["key"].alias("tag"), x["value"].alias("value"))
+    last = lambda x, i: i == F.size("keys") - F.array_position(F.reverse("keys"), x["key"])
+    single = F.transform(F.filter("e", last), lambda x: entry(F.array_position("keys", x["key"]) - 1, x))
+    own = F.when(F.size(F.array_distinct("keys")) == F.size("keys"), F.transform("e", lambda x, i: entry(i, x))).otherwise(single)
+    return rows.select("config_id", F.inline(own)).withColumn("value_json", values.canonical(F.col("value")))
 
 
-def top(counts: DataFrame, by: str | list[str], order: list[Column], k: int) -> DataFrame:
-    """The first k rows of each group, with ``rn`` from 1."""
+def top(counts: DataFrame, by: str | list[str], order: list[Column], k: int | None) -> DataFrame:
+    """The first k rows of each group, with ``rn`` from 1; all of them without k (0 or None)."""
     w = Window.partitionBy(by).orderBy(*order)
-    return counts.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+    rows = counts.withColumn("rn", F.row_number().over(w))
+    return rows.where(F.col("rn") <= k) if k else rows
 
 
-def tag_stats(kv: DataFrame, configs: DataFrame | None = None, k: int = 5) -> DataFrame:
-    """tag, cnt, total_configs, freq (percent), rn, value, c: the k commonest values of each tag.
+def tag_stats(kv: DataFrame, configs: DataFrame | None = None, k: int | None = 5) -> DataFrame:
+    """tag, cnt, total_configs, freq (percent), rn, value, c: the k commonest values of each tag, or all (k is 0 or None).
 
     ``configs`` has all configurations, those without keys too; without it, those of ``kv`` count.
     """
@@ -208,22 +217,35 @@ def deduplicated(kv: DataFrame) -> DataFrame:
     per_config = kv.select("config_id", "tag", F.coalesce(_key(kv), F.lit("null")).alias("key")).groupBy("config_id").agg(own.alias("body"))
     per_config = per_config.withColumn("digest", F.sha2("body", 256))
     groups = per_config.groupBy("digest", "body").agg(F.min("config_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    return per_config.select("config_id", "digest").join(groups.drop("body"), "digest").select("config_id", "first_id", "copies")
+    rows, groups = kept(per_config.select("config_id", "digest"), "digests"), kept(groups.drop("body"), "groups")
+    return looked_up(rows, groups, "digest", "copies").select("config_id", "first_id", "copies")
+
+
+def looked_up(rows: DataFrame, found: DataFrame, key: str, weight: str, hot: int = 1000) -> DataFrame:
+    """``rows`` with their row of ``found`` (one a key), whose ``weight`` says how many rows have the key.
+
+    Keys of more than one in ``hot`` of all rows come by a broadcast, of ``hot`` rows at most, so none of them is one task's.
+    """
+    most = max((found.agg(F.sum(weight)).head()[0] or 0) // hot, 1000)
+    heavy = found.where(F.col(weight) > most)
+    light = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(found.where(F.col(weight) <= most), key)
+    return rows.join(F.broadcast(heavy), key).unionByName(light)
 
 
 def missing_tags(kv: DataFrame, known: DataFrame, skipped: DataFrame | None = None, min_count: int = 50, identifiers_only: bool = True,
-                 always: tuple[str, ...] = ALWAYS_GENERATED, k: int = 3) -> DataFrame:
+                 always: tuple[str, ...] = ALWAYS_GENERATED, k: int = 3, configs: DataFrame | None = None) -> DataFrame:
     """title, n, value, description, auto_generated: entries for tags of the corpus that ``known`` (title) lacks.
 
     The enforced ones come whatever their count, once each; the rest needs ``min_count`` configurations.
-    ``identifiers_only`` leaves out skipped titles that aren't identifiers.
+    ``identifiers_only`` leaves out skipped titles that aren't identifiers. ``configs`` has all configurations, those without
+    keys too; without it, those of ``kv`` count.
     """
     spark = kv.sparkSession
     enforced = spark.createDataFrame([(t,) for t in always], "title string")
     if skipped is not None:
         enforced = enforced.union(skipped.select("title").where(F.col("title").rlike(r"^[A-Z][A-Z0-9_]*$") | F.lit(not identifiers_only)))
     enforced = enforced.distinct().join(known.select("title"), "title", "left_anti")
-    total = kv.agg(F.countDistinct("config_id").alias("total"))
+    total = configs.agg(F.count(F.lit(1)).alias("total")) if configs is not None else kv.agg(F.countDistinct("config_id").alias("total"))
     lacking = kv.select(F.col("tag").alias("title"), "value").join(known.select("title"), "title", "left_anti")
     counts = lacking.groupBy("title", "value").agg(F.count(F.lit(1)).alias("c"))
     best = top(counts, "title", [F.desc("c"), F.asc("value")], k).groupBy("title").agg(F.sort_array(F.collect_list(F.struct("rn", "value", "c"))).alias("best"))
@@ -255,7 +277,10 @@ def not_allowed(kv: DataFrame, allowed: DataFrame) -> DataFrame:
     """Rows whose tag has allowed values (tag, allowed array) and whose value equals none of them."""
     if dict(kv.dtypes)["value"] != "variant":
         return kv.join(allowed, "tag").where(~F.array_contains("allowed", F.col("value")))
-    return kv.join(allowed, "tag").where(~F.array_contains(F.transform("allowed", lambda x: values.typed(x)), values.typed(F.col("value"))))
+    keys = allowed.select("tag", "allowed", F.explode_outer("allowed").alias("one")).select("tag", F.struct("allowed").alias("own"), values.typed(F.col("one")).alias("key"))
+    keys = keys.groupBy("tag").agg(F.first("own").alias("own"), F.collect_set("key").alias("keys"))
+    rows = kv.join(keys, "tag").withColumn("key", values.typed(F.col("value"))).where(~F.array_contains("keys", F.col("key")))
+    return rows.select(*kv.columns, F.col("own.allowed").alias("allowed"))
 
 
 def required_but_absent(kv: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -274,13 +299,8 @@ def list_values(kv: DataFrame) -> DataFrame:
     nested = F.try_variant_get(F.get("items", F.lit(0)), "$", many).isNotNull()
     leaves = F.flatten(F.transform("items", lambda x: F.coalesce(F.try_variant_get(x, "$", many), F.array(x))))
     rows = rows.withColumn("numbers", F.when(nested, F.filter(leaves, lambda x: values.kind(x) == "number")))
-    whole = F.array(values.canonical(F.col("value")))
-    own = (
-        F.when(F.size("numbers") > 0, F.transform("numbers", lambda x: values.canonical(x)))
-        .when(F.col("numbers").isNotNull() | F.col("items").isNull(), whole)
-        .otherwise(F.transform("items", lambda x: values.canonical(x)))
-    )
-    return rows.select("config_id", "tag", F.explode(own).alias("value"))
+    own = F.when(F.size("numbers") > 0, F.col("numbers")).when(F.col("numbers").isNotNull() | F.col("items").isNull(), F.array("value")).otherwise(F.col("items"))
+    return rows.select("config_id", "tag", F.explode(own).alias("value")).withColumn("value", values.canonical(F.col("value")))
 
 
 def analysis_summary(analysis: DataFrame) -> DataFrame:

@@ -254,6 +254,25 @@ def edit_tokens(spark, folder):
     return rows.select("o_orderkey", *[F.try_element_at("m", F.lit(k)).alias(k) for k in ("n", "bare", "flag", "word")])
 
 
+@query("""select o_orderkey, case o_orderkey % 7 when 0 then '"' || o_orderkey || 'd"' when 1 then '1' || o_orderkey when 2 then case when o_orderkey % 2 = 0 then 'Infinity' else '-Infinity' end
+  when 3 then '"a\\t' || o_orderkey || '"' when 4 then o_orderkey || '.5' when 5 then '1000' else '"0x' || o_orderkey || '"' end as json from orders""")
+def edit_values(spark, folder):
+    """What is a number in a configuration's text, and what isn't."""
+    key = F.col("o_orderkey").cast("string")
+    forms = [F.concat(key, F.lit("d")), F.concat(F.lit("1_"), key), F.when(F.col("o_orderkey") % 2 == 0, "inf").otherwise("-Infinity"), F.concat(F.lit("a\t"), key), F.concat(key, F.lit(".50")), F.lit("+1E3"), F.concat(F.lit("0x"), key)]
+    return table(spark, folder, "orders").select("o_orderkey", values.edit_json(F.element_at(F.array(*forms), (F.col("o_orderkey") % 7 + 1).cast("int"))).alias("json"))
+
+
+@query("""select o_orderkey config_id, min(o_orderkey) over (partition by o_custkey % 50, o_orderkey % 5 = 4) first_id, count(*) over (partition by o_custkey % 50, o_orderkey % 5 = 4) copies from orders""")
+def deep_dedupe(spark, folder):
+    """Configurations that are written differently and are equal: orders of keys, repeated keys, true and 1, 1 and 1.0, at any depth."""
+    k = (F.col("o_custkey") % 50).cast("string")
+    forms = ['{"x":[[[{"y":[K,true]}]]],"n":9007199254740993}', '{"n":9007199254740993,"x":[[[{"y":[K.0,1]}]]]}', '{"n":0,"x":[[[{"y":[K,1.0]}]]],"n":9007199254740993}', '{"x":[[[{"y":[Ke0,1]}]]],"n":9007199254740993}',
+             '{"x":[[[{"y":[K,true]}]]],"n":9007199254740992}']
+    text = F.replace(F.element_at(F.array(*map(F.lit, forms)), (F.col("o_orderkey") % 5 + 1).cast("int")), F.lit("K"), k)
+    return C.deduplicated(C.exploded(table(spark, folder, "orders").select(F.col("o_orderkey").alias("config_id"), text.alias("config_json"))))
+
+
 @query(f"""with {KV} select config_id, md5(string_agg(tag || ' = ' || value, chr(10) order by tag)) digest from kv group by 1""")
 def saved_texts(spark, folder):
     own = F.map_from_entries(F.sort_array(F.collect_list(F.struct("tag", "value"))))

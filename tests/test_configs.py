@@ -1,6 +1,7 @@
 """Hand-written configurations: typed equality, statistics, edits and differences."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -228,3 +229,58 @@ def test_changes_report_removed_keys(spark):
 def test_active_features(spark):
     df = spark.createDataFrame([({"IBRION": "2", "ISPIN": "2", "NUPDOWN": "0.5", "NELECT": "9"},)], "config map<string,string>")
     assert R.active(df).head()["features"] == ["relax2", "spin=0.5", "nelect=9"]
+
+
+def thing(rng, depth=0):
+    kinds = [lambda: rng.choice([0, 1, -1, 2**53, 2**53 + 1, 10**20, 7]), lambda: rng.choice([0.0, 1.0, 2.0**53, 1e20, 0.1, 1e-5, 1e300, -0.5]), lambda: rng.choice([True, False, None]), lambda: rng.choice(["", "1", "true", "é\t", "null"])]
+    if depth < 5:
+        kinds += [lambda: [thing(rng, depth + 1) for _ in range(rng.randint(0, 2))], lambda: {rng.choice("ab"): thing(rng, depth + 1) for _ in range(rng.randint(0, 2))}] * 2
+    return rng.choice(kinds)()
+
+
+def other(x, rng):
+    """An equal value in other words, or nearly so."""
+    if isinstance(x, list):
+        return [other(y, rng) for y in x]
+    if isinstance(x, dict):
+        return {k: other(x[k], rng) for k in reversed(x)}
+    forms = {0: [0, False, 0.0], 1: [1, True, 1.0], 2**53: [2**53, 2.0**53, 2**53 + 1]}
+    return rng.choice(forms.get(x, [x])) if isinstance(x, (int, float)) else x
+
+
+def test_equality_is_that_of_python(spark):
+    rng = random.Random(3)
+    pairs = [(a, other(a, rng) if rng.random() < 0.7 else thing(rng)) for a in (thing(rng) for _ in range(10_000))]
+    df = spark.createDataFrame([(i, json.dumps(a), json.dumps(b)) for i, (a, b) in enumerate(pairs)], "i int, a string, b string").repartition(4)
+    got = df.select("i", values.same(F.parse_json("a"), F.parse_json("b")).alias("same"), values.canonical(F.parse_json("a")).alias("text"), values.shown(F.parse_json("a")).alias("shown")).collect()
+    equal = 0
+    for r in got:
+        a, b = pairs[r["i"]]
+        assert r["same"] == (a == b), (a, b)
+        equal += a == b
+        assert json.loads(r["text"] or "null") == a and (a is None or r["shown"] == str(json.loads(json.dumps(a, sort_keys=True)))), (a, r)
+    assert 1000 < equal < 9000
+    one = variants(spark, ["[[[1]]]", "[[[true]]]", "[[[1.0]]]", '{"x":1}', '{"x":1.0}', '{"x":1e-5}', '{"x":0.00001}']).select(values.typed(F.col("value")), values.canonical(F.col("value"))).collect()
+    assert len({r[0] for r in one[:3]}) == 1 and len({r[0] for r in one[3:5]}) == 1 and one[5] == one[6] and len({r[1] for r in one[:5]}) == 5
+    big = variants(spark, ["9007199254740993", "9007199254740992", "9007199254740992.0", "true", "[1,{\"a\":2.0}]"])
+    hits = lambda x: [r[0] for r in big.select(values.equals(F.col("value"), x)).collect()]
+    assert hits(2**53) == [False, True, True, False, False] and hits(2**53 + 1) == [True] + [False] * 4 and hits(1.0) == [False] * 3 + [True, False] and hits([True, {"a": 2}]) == [False] * 4 + [True]
+
+
+def test_repeated_keys_count_once(spark):
+    kv = C.exploded(spark.createDataFrame([(1, '{"a":1,"b":2,"a":3}'), (2, '{"a":3}'), (3, "{}")], "config_id long, config_json string"))
+    assert sorted((r["config_id"], r["pos"], r["tag"], r["value_json"]) for r in kv.collect()) == [(1, 0, "a", "3"), (1, 1, "b", "2"), (2, 0, "a", "3")]
+    configs = spark.createDataFrame([(i,) for i in (1, 2, 3)], "config_id long")
+    stats = {r["tag"]: r for r in C.tag_stats(kv.drop("value").withColumnRenamed("value_json", "value"), configs).collect()}
+    assert stats["a"]["freq"] == 66.7 and stats["b"]["total_configs"] == 3
+    made = C.missing_tags(kv.drop("value").withColumnRenamed("value_json", "value"), spark.createDataFrame([("b",)], "title string"), min_count=1, always=(), configs=configs).collect()
+    assert [(r["title"], r["n"]) for r in made] == [("a", 2)] and "2 of 3 configurations (66.7%)" in made[0]["description"]
+    many = spark.createDataFrame([(i, "t", str(i % 7)) for i in range(20)], "config_id long, tag string, value string")
+    assert [C.tag_stats(many, k=k).count() for k in (0, None, 3)] == [7, 7, 3]
+
+
+def test_numbers_of_a_configurations_text(spark):
+    texts = ["5d", "1.5f", "inf", "-Infinity", "nan", "1_000", "1__0", "_1", ".5", "5.", ".", "+7", "1e3", "1E400", "0x10", "a\tb", 'q"\\', "12345678901234567", "1e20", "2.50", "1e-7", "T", ".FALSE.", "", "１"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(values.edit_json(F.col("t"))).collect()]
+    for text, own in zip(texts[:-1], got[:-1], strict=True):
+        assert json.dumps(values.edit_literal(text)) == own or float(own) == values.edit_literal(text), (text, own)
