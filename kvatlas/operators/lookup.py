@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,41 +80,92 @@ def containing(names: DataFrame, titles: DataFrame) -> DataFrame:
     return rarest.join(of_titles, "gram").where(F.contains("title", F.col("up"))).select("name", "title")
 
 
+def _length_class(n: Column) -> Column:
+    """Lengths that differ by less than half share a class."""
+    return F.floor(F.log2(F.greatest(n, F.lit(1)) + 0.0) * 2).cast("int")
+
+
+def _bounds(own: list[str], others: list[str]) -> np.ndarray:
+    """For each pair, an upper bound of the ratio: twice the letters in common, by how often they occur, over both lengths."""
+    place = {c: i for i, c in enumerate(sorted(set("".join(own))))}
+    counts = [np.zeros((len(x), len(place)), np.int32) for x in (own, others)]
+    for matrix, texts in zip(counts, (own, others), strict=True):
+        letters = [[place[c] for c in t if c in place] for t in texts]
+        np.add.at(matrix, (np.repeat(np.arange(len(texts)), [len(x) for x in letters]), [c for x in letters for c in x]), 1)
+    size = np.array([len(t) for t in others])
+    out = np.empty((len(own), len(others)))
+    for i, row in enumerate(counts[0]):
+        at = np.flatnonzero(row)
+        both = len(own[i]) + size
+        out[i] = np.where(both > 0, 2.0 * np.minimum(counts[1][:, at], row[at]).sum(1) / np.maximum(both, 1), 1.0)
+    return out
+
+
+def matched_blocks(names: DataFrame, titles: DataFrame, k: int, cutoff: float, block: int, titles_block: int) -> DataFrame:
+    """name, title, ratio of each block's k best, and for each name and block a row without title that counts ``verified`` titles.
+
+    A ratio of ``cutoff`` needs lengths and letters in common: titles are kept by classes of lengths, and a name meets the
+    classes that its length allows. There, all titles are bounded by counts of letters at once, and matched in descending order of the bound
+    until it is below the k-th best match.
+    """
+    asked = names.select("name").where("name is not null").distinct().withColumn("size", F.length(F.upper(T.strip(F.col("name")))))
+    known = titles.select("title").where("title is not null").distinct().withColumn("size", F.length("title"))
+    known = known.withColumn("class", F.when(F.col("size") == 0, -1).otherwise(_length_class(F.col("size"))))
+    sizes = known.groupBy("class").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.count(F.lit(1)).alias("n")).collect()  # a row a class: under 70
+    if not sizes:
+        return names.sparkSession.createDataFrame([], "name string, title string, ratio double, verified long")
+    classes = names.sparkSession.createDataFrame([(r["class"], r["least"], r["most"], -(-r["n"] // titles_block)) for r in sizes], "class int, least int, most int, parts int")
+    n = max(1, -(-asked.count() // block))
+    low, high = F.col("size") * (cutoff / (2 - cutoff)) - 1e-9, F.col("size") * ((2 - cutoff) / cutoff) + 1e-9
+    dealt = lambda c, parts: F.pmod(F.xxhash64(c), parts).cast("int")
+    left = asked.join(F.broadcast(classes), (F.col("most") >= low) & (F.col("least") <= high))
+    left = left.select("name", dealt("name", F.lit(n)).alias("i"), "class", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
+    right = known.join(F.broadcast(classes.select("class", "parts")), "class").select("title", "class", dealt("title", F.col("parts")).alias("j"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
+
+    def best(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        from difflib import SequenceMatcher
+
+        out, candidates, keys = [], others["title"].tolist(), [name.strip().upper() for name in own["name"]]
+        if not keys or not candidates:
+            return pd.DataFrame(columns=["name", "title", "ratio", "verified"])
+        bounds = _bounds(keys, candidates)
+        for name, key, bound in zip(own["name"], keys, bounds, strict=True):
+            matcher, found, verified = SequenceMatcher(), [], 0
+            matcher.set_seq2(key)
+            at = np.flatnonzero(bound >= cutoff)
+            for i in at[np.argsort(-bound[at], kind="stable")].tolist():
+                if len(found) == k and bound[i] < found[-1][0]:
+                    break
+                matcher.set_seq1(candidates[i])
+                verified += 1
+                if (r := matcher.ratio()) >= cutoff:
+                    found = sorted([*found, (r, candidates[i])], reverse=True)[:k]
+            out += [(name, t, r, None) for r, t in found] + [(name, None, None, verified)]
+        return pd.DataFrame(out, columns=["name", "title", "ratio", "verified"]).astype({"verified": "Int64"})
+
+    key = ["class", "i", "j"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(best, "name string, title string, ratio double, verified long")
+
+
 def close_titles(names: DataFrame, titles: DataFrame, k: int = 3, cutoff: float = 0.5, block: int = 256, titles_block: int = 20_000) -> DataFrame:
     """name, title, ratio: the k closest titles by Ratcliff-Obershelp matching, ties to the greater title.
 
-    ``names`` is a table of questions. Names and titles are dealt into blocks by a hash, each pair of blocks meets in
-    one task, which keeps the k best for each of its names; the rest is a window over these.
+    ``names`` is a table of questions; see ``matched_blocks``. The rest is a window over each block's k best.
     """
     from kvatlas.operators.configs import top
 
-    asked, known = names.select("name").where("name is not null").distinct(), titles.select("title").where("title is not null").distinct()
-    n, m = max(1, -(-asked.count() // block)), max(1, -(-known.count() // titles_block))
-    dealt = lambda c, parts: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
-    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    left = asked.select("name", dealt("name", n).alias("i"), every(m).alias("j"))
-    right = known.select("title", dealt("title", m).alias("j"), every(n).alias("i"))
-
-    def best(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        from difflib import SequenceMatcher
-        from heapq import nlargest
-
-        out, candidates = [], others["title"].tolist()
-        for name in own["name"]:
-            matcher = SequenceMatcher()
-            matcher.set_seq2(name.strip().upper())
-            found = []
-            for title in candidates:
-                matcher.set_seq1(title)
-                if matcher.real_quick_ratio() >= cutoff and matcher.quick_ratio() >= cutoff and (r := matcher.ratio()) >= cutoff:
-                    found.append((r, title))
-            out += [(name, t, r) for r, t in nlargest(k, found)]
-        return pd.DataFrame(out, columns=["name", "title", "ratio"])
-
-    pairs = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, "name string, title string, ratio double")
+    pairs = matched_blocks(names, titles, k, cutoff, block, titles_block).where("title is not null").drop("verified")
     return top(pairs, "name", [F.desc("ratio"), F.desc("title")], k).drop("rn")
 
 
+def close_work(names: DataFrame, titles: DataFrame, k: int = 3, cutoff: float = 0.5, block: int = 256, titles_block: int = 20_000) -> DataFrame:
+    """One row: names, titles, pairs of them, and how many pairs ``close_titles`` matches in full (verified)."""
+    sums = matched_blocks(names, titles, k, cutoff, block, titles_block).agg(F.coalesce(F.sum("verified"), F.lit(0)).alias("verified"))
+    count = lambda df, c: df.agg(F.countDistinct(c).alias(f"{c}s"))
+    both = count(names, "name").crossJoin(F.broadcast(count(titles, "title"))).crossJoin(F.broadcast(sums))  # one row each
+    return both.select("names", "titles", (F.col("names") * F.col("titles")).alias("pairs"), "verified")
+
+
 def entry_or_hint(names: DataFrame, index: DataFrame, upper: bool = True) -> DataFrame:
     """name, outcome ('entry', 'several', 'missing'), titles: what a lookup by name answers.
 

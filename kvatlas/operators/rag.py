@@ -118,14 +118,19 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 409
     as matrix products and keeps its k best for each query, so no pair beyond these is ever a row. A vector travels once
     for each block of queries.
     """
-    from kvatlas.operators.configs import top
-
     whole = lambda df: df.where(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())).withColumn("_n", F.size("embedding"))
     queries, vectors = whole(queries), whole(vectors)
     n, m = max(1, -(-queries.count() // block)), max(1, -(-vectors.count() // vectors_block))
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     left = queries.select("query_id", F.col("embedding").alias("embedding"), "_n", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int").alias("_i"), every(m).alias("_j"))
     right = vectors.select(*keys, *carried, "embedding", "_n", F.pmod(F.xxhash64(*keys), F.lit(m)).cast("int").alias("_j"), every(n).alias("_i"))
+    return nearest_in_blocks(left, right, ["_i", "_j", "_n"], k, keys, carried, by_dot)
+
+
+def nearest_in_blocks(left: DataFrame, right: DataFrame, blocks: list[str], k: int, keys: tuple[str, ...], carried: tuple[str, ...] = (), by_dot: bool = False) -> DataFrame:
+    """query_id, ``keys``, ``carried``, distance, rn: the k nearest rows of ``right`` to each of ``left`` among those that share a block."""
+    from kvatlas.operators.configs import top
+
     names = ["query_id", *keys, *carried, "distance"]
 
     def best(own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
@@ -139,8 +144,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 409
             out.append(rows[[*keys, *carried]].iloc[pick].reset_index(drop=True).assign(query_id=ids[at + own_at], distance=distance))
         return pd.concat(out)[names]
 
-    fields = ", ".join(["query_id long", *(f"{c} {t}" for c, t in vectors.select(*keys, *carried).dtypes), "distance double"])
-    both = left.groupBy("_i", "_j", "_n").cogroup(right.groupBy("_i", "_j", "_n")).applyInPandas(best, fields)
+    fields = ", ".join(["query_id long", *(f"{c} {t}" for c, t in right.select(*keys, *carried).dtypes), "distance double"])
+    both = left.groupBy(*blocks).cogroup(right.groupBy(*blocks)).applyInPandas(best, fields)
     return top(both, "query_id", [F.asc("distance"), *map(F.asc, keys)], k)
 
 

@@ -16,6 +16,7 @@ from kvatlas.operators import pages as P
 from kvatlas.operators import rag as G
 from kvatlas.operators import rules as R
 from kvatlas.operators import search as S
+from kvatlas.operators import vectors as V
 from kvatlas.plans.views import KV, config_kv, event_configs, injected, key_content, order_configs, table
 from kvatlas.sources.files import fetch_meta, from_html, page_links, scratch
 from kvatlas.streaming.counts import windowed
@@ -540,6 +541,14 @@ def bm25_index(spark, folder):
     return S.bm25_indexed(spark, path, QUESTION)
 
 
+@query()
+def fuzzy_work(spark, folder):
+    """How many pairs of names and titles the fuzzy stage matches in full, of all pairs; tests hold it against plain matching."""
+    parts = table(spark, folder, "part")
+    names = parts.select(F.concat(F.substring("p_name", 1, 1), F.substring("p_name", 3, 1000)).alias("name")).union(table(spark, folder, "nation").select("n_name"))
+    return L.close_work(names, parts.select(F.explode(F.array(*[F.upper(c) for c in ("p_name", "p_brand", "p_type")])).alias("title")))
+
+
 @query()
 def tiered_search(spark, folder):
     tags = table(spark, folder, "part").select(F.upper("p_name").alias("title"), F.col("p_type").alias("description")).distinct()
@@ -711,6 +720,23 @@ def l2_topk_batch(spark, folder):
     return _nearest(spark, folder, 5)
 
 
+@query(f"with {NEAREST} select query_id, vec_id, distance, rn from r where rn <= 5")
+def vector_index_topk(spark, folder):
+    """From a written index, with all its lists probed: what the exact way gives."""
+    path, v = scratch(spark, "vectors"), table(spark, folder, "embeddings")
+    V.write_index(v, path)
+    return V.probed(v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), path, 5, probes=V.MOST_LISTS)
+
+
+@query()
+def vector_index_recall(spark, folder):
+    """Recall at 10 of the index as written, with the probes that it measured, against exact neighbours."""
+    path, v = scratch(spark, "vectors"), table(spark, folder, "embeddings")
+    V.write_index(v, path)
+    queries = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return G.recall(V.probed(queries, path, 10), _nearest(spark, folder, 10).select("query_id", "vec_id"), 10)
+
+
 @query(f"""with {NEAREST}, w as (select q.vec_id query_id, v.vec_id from embeddings q join embeddings v using (label) where q.vec_id % 20 = 0)
 select query_id, (count(*) filter (where rn <= 10))::bigint "found", count(*) wanted, round((count(*) filter (where rn <= 10)) / count(*)::double, 6) recall from w join r using (query_id, vec_id) group by 1""")
 def recall_at_10(spark, folder):

@@ -121,15 +121,20 @@ def test_close_titles_equal_plain_matching(spark):
     import random
 
     rng = random.Random(8)
-    titles = sorted({"".join(rng.choices("ABCDE", k=rng.randint(3, 8))) for _ in range(60)})
-    names = sorted({"".join(rng.choices("abcde", k=rng.randint(3, 8))) for _ in range(25)})
-    df = lambda c, rows: spark.createDataFrame([(x,) for x in rows], f"{c} string")
-    got: dict = {}
-    for r in L.close_titles(df("name", names), df("title", titles), block=7, titles_block=20).collect():
-        got.setdefault(r["name"], []).append((r["ratio"], r["title"]))
-    for n in names:
-        want = difflib.get_close_matches(n.upper(), titles, 3, 0.5)
-        assert [x for _, x in sorted(got.get(n, []), reverse=True)] == want
+    word = lambda letters, n: "".join(rng.choices(letters, k=n))
+    titles = sorted({word("ABCDE", rng.randint(3, 8)) for _ in range(60)} | {word("ABCDEFGHIJ_É", rng.randint(1, 40)) for _ in range(200)} | {word("AB", 230), ""})
+    names = sorted({word("abcde", rng.randint(3, 8)) for _ in range(25)} | {word("abcdefghij_é", rng.randint(1, 30)) for _ in range(40)} | {"", "  ", "zzz", word("ab", 220)})
+    df = lambda c, rows: spark.createDataFrame([(x,) for x in [*rows, None]], f"{c} string")
+    for k, cutoff in ((3, 0.5), (1, 0.8)):
+        got: dict = {}
+        for r in L.close_titles(df("name", names), df("title", titles), k, cutoff, block=7, titles_block=20).collect():
+            got.setdefault(r["name"], []).append((r["ratio"], r["title"]))
+        for n in names:
+            want = difflib.get_close_matches(n.strip().upper(), titles, k, cutoff)
+            assert [x for _, x in sorted(got.get(n, []), reverse=True)] == want, n
+    work = L.close_work(df("name", names), df("title", titles)).head()
+    assert work["names"] == len(names) and work["pairs"] == len(names) * len(titles) and 0 < work["verified"] < work["pairs"] / 4
+    assert L.close_titles(df("name", names), df("title", titles).limit(0)).count() == 0
 
 
 def test_entry_or_hint(spark):
@@ -205,6 +210,35 @@ def test_nearest_equals_brute_force(spark):
         assert got[q] == np.argsort(((v - v[q]) ** 2).sum(1), kind="stable")[:3].tolist()
 
 
+def test_vector_index(spark, tmp_path):
+    """Recall of 0.9 at the measured probes, exact with all of them, rows that can't be compared, hot lists in parts."""
+    import random
+
+    from kvatlas.operators import vectors as V
+
+    rng = random.Random(3)
+    centres = [[rng.gauss(0, 3) for _ in range(8)] for _ in range(12)]
+    rows = [(i, [rng.gauss(c, 1) for c in centres[min(i % 20, 11)]]) for i in range(3000)]
+    odd = [(3000, None), (3001, [1.0, None] + [0.0] * 6), (3002, [1.0]), (3003, rows[0][1]), (3004, rows[0][1])]
+    v = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").repartition(5)
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    path = str(tmp_path / "index")
+    V.write_index(v, path)
+    exact = {(r["query_id"], r["rn"]): (r["vec_id"], r["distance"]) for r in G.nearest(q, v.where("vec_id <> 3002"), 10).collect()}
+    rows_of = lambda df: {(r["query_id"], r["rn"]): (r["vec_id"], r["distance"]) for r in df.collect()}
+    assert rows_of(V.probed(q, path, 10, probes=10**6)) == exact and exact[0, 2][0] == 3003
+    found = {(q_, x[0]) for (q_, _), x in rows_of(V.probed(q, path, 10)).items()}
+    probes = spark.read.parquet(f"{path}/probes").head()["probes"]
+    assert len(found & {(q_, x[0]) for (q_, _), x in exact.items()}) >= 0.9 * len(exact) and 1 <= probes < 40
+    assert spark.read.parquet(f"{path}/lists").count() == 3002
+    none = str(tmp_path / "none")
+    V.write_index(v.limit(0), none)
+    assert V.probed(q, none, 10).count() == 0
+    same = str(tmp_path / "same")
+    V.write_index(spark.createDataFrame([(i, [1.0, 2.0]) for i in range(50)], v.schema), same, lists=5)
+    assert [r["vec_id"] for r in V.probed(q.limit(0).union(spark.createDataFrame([(1, [1.0, 2.0])], q.schema)), same, 3).collect()] == [0, 1, 2]
+
+
 def test_nearest_keeps_the_smallest_ids_of_equal_vectors(spark):
     import numpy as np
 
