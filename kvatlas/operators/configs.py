@@ -45,7 +45,11 @@ def tag_stats(kv: DataFrame, configs: DataFrame | None = None, k: int | None = 5
     ``configs`` has all configurations, those without keys too; without it, those of ``kv`` count.
     """
     total = configs.agg(F.count(F.lit(1)).alias("total_configs")) if configs is not None else kv.agg(F.countDistinct("config_id").alias("total_configs"))
-    counts = kv.groupBy("tag", "value").agg(F.count(F.lit(1)).alias("c"))
+    return stats_of_counts(kv.groupBy("tag", "value").agg(F.count(F.lit(1)).alias("c")), total, k)
+
+
+def stats_of_counts(counts: DataFrame, total: DataFrame, k: int | None = 5) -> DataFrame:
+    """``tag_stats`` from tag, value, c and one row ``total_configs``."""
     of_tag = counts.groupBy("tag").agg(F.sum("c").alias("cnt"))  # from the counts: no second pass over the rows
     return (
         top(counts, "tag", [F.desc("c"), F.asc("value")], k)
@@ -63,9 +67,17 @@ def nested_stats(stats: DataFrame) -> DataFrame:
 
 def contexts(kv: DataFrame, keys: tuple[str, ...] = CONTEXT_KEYS, k: int = 5) -> DataFrame:
     """tag, total, rn, context (sorted ``key=value``, comma-joined), n: typical surroundings of each tag."""
+    return contexts_of_counts(context_counts(kv, keys), k)
+
+
+def context_counts(kv: DataFrame, keys: tuple[str, ...] = CONTEXT_KEYS) -> DataFrame:
+    """tag, context, n."""
     own = F.sort_array(F.collect_list(F.when(F.col("tag").isin(*keys), F.concat_ws("=", "tag", "value"))))
     per_config = kv.groupBy("config_id").agg(F.array_join(own, ",").alias("context"), F.collect_list("tag").alias("tags"))
-    counts = per_config.select(F.explode("tags").alias("tag"), "context").groupBy("tag", "context").agg(F.count(F.lit(1)).alias("n"))
+    return per_config.select(F.explode("tags").alias("tag"), "context").groupBy("tag", "context").agg(F.count(F.lit(1)).alias("n"))
+
+
+def contexts_of_counts(counts: DataFrame, k: int = 5) -> DataFrame:
     totals = counts.groupBy("tag").agg(F.sum("n").alias("total"))
     return top(counts, "tag", [F.desc("n"), F.asc("context")], k).join(totals, "tag").select("tag", "total", "rn", "context", "n")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +17,12 @@ from kvatlas.operators import pages as P
 from kvatlas.operators import rag as G
 from kvatlas.operators import rules as R
 from kvatlas.operators import search as S
+from kvatlas.operators import segments as I
 from kvatlas.operators import vectors as V
 from kvatlas.plans.views import KV, config_kv, event_configs, injected, key_content, order_configs, table
-from kvatlas.sources.files import fetch_meta, from_html, page_links, scratch
+from kvatlas.sources.crawl import walk
+from kvatlas.sources.files import fetch_meta, from_html, page_links, scratch, validated
+from kvatlas.streaming import changes, incremental
 from kvatlas.streaming.counts import windowed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -640,6 +644,19 @@ def phrase_search(spark, folder):
     return X.search(asked, X.opened(spark, f"{path}/positions"), X.opened(spark, f"{path}/sizes"))
 
 
+@query(SQL["phrase_search"])
+def segment_search(spark, folder):
+    """The same from an index that was built in three batches, with documents replaced, batches repeated, and segments merged."""
+    path, docs = scratch(spark, "segments"), _docs(spark, folder)
+    old = docs.where("doc_id % 3 = 0").withColumn("text", F.concat(F.lit("the of with "), "text"))
+    I.append(old, path, "one")
+    I.append(docs.where("doc_id % 3 = 1"), path, "two")
+    I.append(docs.where("doc_id % 3 = 1"), path, "two")
+    I.merge(spark, path)
+    I.append(docs.where("doc_id % 3 <> 1"), path, "three")
+    return X.search(X.parsed(spark.createDataFrame(list(enumerate(QUESTIONS)), "query_id int, question string")), *I.live(spark, path))
+
+
 BATCH = f"""{PLACES}, tf as (select doc_id, dl, term, count(*) tf from p group by 1, 2, 3), df as (select term, count(*) df from tf group by 1),
 qt as (select distinct item_id query_id, unnest(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+'), lambda t: length(t) <= 40)) term from benchmark),
 bm as (select query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) score
@@ -776,6 +793,61 @@ def chunk_prompts(spark, folder):
     return G.prompts(hits.join(questions, "query_id"))
 
 
+# --- sources and streams
+
+@query("""with o as (select o_orderkey k, o_orderpriority p, case o_orderkey % 6 when 0 then 'title' when 1 then 'schema' when 2 then 'schema' when 3 then 'title,n' else '' end errors from orders)
+select case when errors <> 'schema' then k end k, errors, case when errors = 'schema' then case when k % 6 = 1 then '{"k":' || k || ',"title":"' || p || '","n":"many"}' else '{"k":' || k || ',"title":' end end record from o""")
+def validated_rows(spark, folder):
+    """Good rows and bad ones, of a file with each kind of fault, read in one pass."""
+    o, key = table(spark, folder, "orders"), F.col("o_orderkey").cast("string")
+    title = lambda end: F.concat(F.lit('{"k":'), key, F.lit(',"title":"'), "o_orderpriority", F.lit(end))
+    bare = lambda end: F.concat(F.lit('{"k":'), key, F.lit(end))
+    forms = F.array(bare(',"title":"","n":1}'), title('","n":"many"}'), bare(',"title":'), bare(',"n":-1}'), title('","n":7,"more":[]}'), title('"}'))
+    path = scratch(spark, "lines")
+    o.select(F.element_at(forms, (F.col("o_orderkey") % 6 + 1).cast("int")).alias("value")).write.text(path)
+    good, bad = validated(spark, path, "k long, title string, n long", {"title": F.col("title") != "", "n": F.col("n").isNull() | (F.col("n") > 0)})
+    rows = good.select("k", F.lit("").alias("errors"), F.lit(None).cast("string").alias("record"))
+    return rows.unionByName(bad.select(F.when(F.col("record").isNull(), F.col("k")).alias("k"), F.array_join("errors", ",").alias("errors"), "record"))
+
+
+@query("""with recursive n as (select count(*) n from customer), l as (select c_custkey src, (c_custkey * 7 + 3) % n dst from customer cross join n union select c_custkey, (c_custkey * 3 + c_nationkey) % n from customer cross join n),
+w as (select 1::bigint node, 0 d union select dst, d + 1 from w join l on src = node where d < 60)
+select node, min(d)::int round from w group by 1""")
+def link_walk(spark, folder):
+    """All that can be reached from one node of a graph with cycles, and in which round."""
+    c = table(spark, folder, "customer")
+    n = c.agg(F.count(F.lit(1)).alias("n"))
+    links = c.crossJoin(F.broadcast(n)).select(F.col("c_custkey").alias("src"), F.posexplode(F.array((F.col("c_custkey") * 7 + 3) % F.col("n"), (F.col("c_custkey") * 3 + F.col("c_nationkey")) % F.col("n"))).alias("pos", "dst"))
+    return walk(links, spark.createDataFrame([(1, 0)], "node long, pos int")).select("node", "round")
+
+
+@query(STATS)
+def incremental_stats(spark, folder):
+    """``tag_stats`` from counts of three batches, one of them repeated, and of a base."""
+    path, kv = scratch(spark, "counts"), config_kv(spark, folder)
+    body = F.to_json(F.map_from_entries(F.collect_list(F.struct("tag", "value"))))
+    rows = kv.groupBy("config_id").agg(body.alias("config_json"))
+    update = incremental.updates(path)
+    for batch in (0, 1, 0, 2):
+        update(rows.where(F.col("config_id") % 3 == batch), batch)
+        if batch == 1:
+            incremental.compact(spark, path)
+    stats = incremental.tag_stats(incremental.state(spark, path))
+    return stats.withColumn("value", F.get_json_object(F.concat(F.lit('{"v":'), "value", F.lit("}")), "$.v"))
+
+
+@query("""with e as (select user_id::varchar title, ts t, event_type digest from events where user_id is not null and ts is not null),
+b as (select *, lag(t) over w t_before, lag(digest) over w before, lead(t) over w t_after from e window w as (partition by title order by t, digest)),
+u as (select max(t) until from e)
+select title, case when t_before is null or t - t_before > interval 3 day then 'new' else 'changed' end change, t "at" from b where t_before is null or t - t_before > interval 3 day or digest <> before
+union all select title, 'removed', t + interval 3 day from b cross join u where case when t_after is null then t + interval 3 day < until else t_after - t > interval 3 day end""")
+def page_changes(spark, folder):
+    """New, changed and removed things from a table of sights; tests hold the stream against it."""
+    seen = table(spark, folder, "events").select(F.col("user_id").cast("string").alias("title"), F.col("ts").alias("at"), F.col("event_type").alias("digest"))
+    until = seen.agg(F.max("at")).head()[0]
+    return changes.observed_changes(seen, timedelta(days=3), until)
+
+
 # --- extension
 
 @query("select date_trunc('hour', ts) start, event_type, count(*) n, round(sum(value), 4) total from events group by 1, 2")

@@ -6,8 +6,9 @@ import tempfile
 import uuid
 import warnings
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from kvatlas import model
 from kvatlas.functions import values
@@ -62,9 +63,34 @@ def envelope(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return wrapped.select(F.explode("data").alias("d")).select("d.*")
 
 
-def _fields(ddl: str) -> str:
-    from pyspark.sql.types import StructType
+def checked(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """``rows`` with ``errors``: the names of the rules that don't hold (a rule that is null doesn't), in order."""
+    failed = [F.when(F.coalesce(rule, F.lit(False)), None).otherwise(F.lit(name)) for name, rule in rules.items()]
+    return rows.withColumn("errors", F.array_compact(F.array(*failed)))
+
+
+def validated(spark: SparkSession, path: str, schema: str, rules: dict[str, Column], mode: str = "quarantine", lines: bool = True) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """Rows of JSON (lines, or whole files) against a schema and rules for its fields, in one pass over the input.
 
+    ``quarantine``: two tables of one written one, the good rows, and the bad ones with ``errors`` and, where the text
+    isn't of the schema (error ``schema``), ``record``, the text. ``fail``: the good rows; the first bad one stops the job that reads them.
+    """
+    names = StructType.fromDDL(schema).fieldNames()
+    reader = spark.read.schema(f"{schema}, record string").option("columnNameOfCorruptRecord", "record").option("multiLine", not lines)
+    rows = checked(reader.json(path), {"schema": F.col("record").isNull(), **rules})
+    # what isn't of the schema isn't judged by rules
+    rows = rows.withColumn("errors", F.when(F.col("record").isNotNull(), F.array(F.lit("schema"))).otherwise(F.col("errors")))
+    if mode == "fail":
+        text = F.concat(F.lit("bad row: "), F.array_join("errors", ", "), F.lit(": "), F.coalesce("record", F.to_json(F.struct(*names))))
+        good = F.when(F.size("errors") == 0, F.lit(True)).otherwise(F.raise_error(text).cast("boolean"))
+        return rows.where(good).select(*names)
+    if mode != "quarantine":
+        raise ValueError(f"mode {mode!r} is neither quarantine nor fail")
+    rows = kept(rows, "validated")
+    return rows.where(F.size("errors") == 0).select(*names), rows.where(F.size("errors") > 0).select(*names, "errors", "record")
+
+
+def _fields(ddl: str) -> str:
     return ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in StructType.fromDDL(ddl).fields)
 
 

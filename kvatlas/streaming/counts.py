@@ -11,8 +11,3 @@ def windowed(events: DataFrame, window: str = "1 hour", late: str = "10 minutes"
     rows = events.withWatermark("ts", late) if events.isStreaming else events
     out = rows.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return out.select(F.col("w.start").alias("start"), "event_type", "n", "total")
-
-
-def merged_stats(stats: DataFrame, batch: DataFrame) -> DataFrame:
-    """tag, value, c: counts of a table and of one more batch; what ``foreachBatch`` writes back."""
-    return stats.select("tag", "value", "c").unionByName(batch.groupBy("tag", "value").agg(F.count(F.lit(1)).alias("c"))).groupBy("tag", "value").agg(F.sum("c").alias("c"))

@@ -133,3 +133,38 @@ def test_tiers_of_many_questions(spark):
         for q, text in enumerate(questions):
             own = None if found is None else found.where(F.col("query_id") == q).drop("query_id")
             assert sorted(got.get(q, [])) == single(text, own, type_=type_), (text, type_)
+
+
+def test_segments_answer_like_a_rebuilt_index(spark, texts, tmp_path):
+    from kvatlas.operators import segments as G
+
+    path = str(tmp_path / "segments")
+    assert G.live(spark, path) == (None, None)
+    schema = "doc_id long, text string, title string"
+    df = lambda rows: spark.createDataFrame([(d["doc_id"], d["text"], d["title"]) for d in rows], schema)
+    asked = X.parsed(spark.createDataFrame(list(enumerate(QUESTIONS)), "query_id int, question string"))
+
+    def answers_of(index, corpus):
+        return {(r["query_id"], r["doc_id"]): r["score"] for r in X.search(asked, index, corpus).collect()}
+
+    moved = [{**d, "text": f"cat {d['text']} the of"} for d in texts[10:30]]
+    now = {d["doc_id"]: d for d in texts[:40]}
+    G.append(df(texts[:40]), path, "one")
+    G.append(df(moved), path, "two", spark.createDataFrame([(0,), (999,)], "doc_id long"))
+    G.append(df(moved), path, "two")  # again
+    now |= {d["doc_id"]: d for d in moved}
+    del now[0]
+    G.append(df(texts[40:]), path, "three", spark.createDataFrame([(11,), (45,)], "doc_id long"))
+    now |= {d["doc_id"]: d for d in texts[40:]}
+    del now[11]
+    want = answers_of(X.positions(df(now.values())), X.sizes(df(now.values())))
+    index, corpus = G.live(spark, path)
+    assert answers_of(index, corpus) == want and want and corpus.head()["n"] == len(now)
+    G.merge(spark, path)
+    assert answers_of(index, corpus) == want  # the version before
+    assert answers_of(*G.live(spark, path)) == want
+    G.append(df(texts[:1]), path, "three")  # a batch that the merged segment has
+    G.append(df(texts[:1]), path, "four", spark.createDataFrame([(12,)], "doc_id long"))
+    now[0] = texts[0]
+    del now[12]
+    assert answers_of(*G.live(spark, path)) == answers_of(X.positions(df(now.values())), X.sizes(df(now.values())))
