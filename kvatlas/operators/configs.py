@@ -330,7 +330,24 @@ def analysis_summary(analysis: DataFrame) -> DataFrame:
 
 
 def example_lines(example: DataFrame, width: int = 12) -> DataFrame:
-    """tag, commented, line: the text of an example configuration; commented lines belong after the others."""
+    """tag, commented, occurrences, line: the text of an example configuration, in the order of ``example_text`` once sorted so."""
     tail = F.when(F.col("alternatives") != "", F.concat(F.lit("  # "), "alternatives")).otherwise("")
     head = F.when(F.col("commented"), "# ").otherwise("")
     return example.select("tag", "commented", "occurrences", F.concat(head, F.rpad("tag", width, " "), F.lit(" = "), "value", tail).alias("line"))
+
+
+def example_text(lines: DataFrame) -> DataFrame:
+    """number, line of an example configuration's text: lines by falling occurrences, then an empty line and the commented ones.
+
+    ``lines`` is what ``example_lines`` gives, one row a key; ties go by key.
+    """
+    order = Window.orderBy("commented", F.desc("occurrences"), "tag")
+    rows = lines.withColumn("number", F.row_number().over(order))
+    plain = lines.agg(F.sum((~F.col("commented")).cast("int")).alias("plain"), F.sum(F.col("commented").cast("int")).alias("others"))
+    rows = rows.crossJoin(F.broadcast(plain)).select((F.col("number") + F.col("commented").cast("int")).alias("number"), "line")
+    return rows.unionByName(plain.where("others > 0").select((F.col("plain") + 1).cast("int").alias("number"), F.lit("").alias("line")))
+
+
+def write_example(lines: DataFrame, path: str) -> None:
+    """The text as one file, in order."""
+    example_text(lines).coalesce(1).sortWithinPartitions("number").select("line").write.mode("overwrite").text(path)

@@ -188,6 +188,14 @@ def entry_or_hint(names: DataFrame, index: DataFrame, upper: bool = True) -> Dat
     return found.union(missing.select("name", F.lit("missing"), F.array().cast("array<string>")))
 
 
+def related_of(names: DataFrame, tags: DataFrame) -> DataFrame:
+    """name, outcome, titles, related: the related keys of each name's entry (``tags``: title, related), null unless there is one."""
+    found = entry_or_hint(names, tags)
+    own = tags.groupBy(F.col("title").alias("_title")).agg(F.min("related").alias("related"))
+    only = F.when(F.col("outcome") == "entry", F.get("titles", F.lit(0)))
+    return found.withColumn("_only", only).join(own, F.col("_only") == F.col("_title"), "left").select("name", "outcome", "titles", "related")
+
+
 def find(titles: DataFrame, name: str) -> DataFrame:
     """Titles equal to the name in any case, else all that contain it."""
     exact = titles.where(F.lower("title") == name.lower()).select("title", F.lit(0).alias("rank"))

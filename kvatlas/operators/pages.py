@@ -74,8 +74,9 @@ def key_pages(pages: DataFrame) -> DataFrame:
 
 def other_pages(pages: DataFrame, file_pages: tuple[str, ...] = FILE_PAGES, least: int = 50, summary: int = 1000) -> DataFrame:
     """NON_TAG rows of the pages that don't define a key and hold ``least`` characters at least."""
-    is_file = F.col("title").isin(*file_pages)
-    rows = pages.where((~F.col("title").rlike(T.IDENTIFIER) | is_file) & (F.length("content") >= least))
+    title = F.coalesce("title", F.lit(""))  # a page without title isn't dropped
+    is_file = title.isin(*file_pages)
+    rows = pages.withColumn("title", title).where((~title.rlike(T.IDENTIFIER) | is_file) & (F.length("content") >= least))
     return rows.select(
         "page_idx",
         "title",

@@ -59,11 +59,11 @@ def chunks(docs: DataFrame, size: int = 1000, overlap: int = 200, text_col: str
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                at = 0
+                least = 0  # a chunk begins where the one before it ends, less the overlap, or later
                 for i, chunk in enumerate(split_text(text or "", size, overlap)):
-                    at = max(0, (text or "").find(chunk, max(0, at)))
+                    at = (text or "").find(chunk, max(0, least))
                     rows.append((doc, i, at, chunk))
-                    at += max(1, len(chunk) - overlap)
+                    least = at + len(chunk) - overlap
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_idx", "start_index", "chunk"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(cut, "doc_id long, chunk_idx int, start_index int, chunk string")

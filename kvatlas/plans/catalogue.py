@@ -165,6 +165,16 @@ def example_lines(spark, folder):
     return C.example_lines(example).select("tag", "commented", "line")
 
 
+@query(f"""{ANALYSIS}, r as (select *, row_number() over (partition by tag order by n desc, absent, value) rn, row_number() over (partition by tag, absent order by n desc, value) rv from an),
+e as (select tag, min(case when not absent and rv = 1 then value end) v, sum(n) o, bool_or(absent and rn = 1) commented,
+  coalesce(string_agg(case when not absent and rv > 1 then value || ' (' || n || 'x)' end, ', ' order by rv), '') alt from r group by 1),
+t as (select row_number() over (order by commented, o desc, tag) + commented::int "number", case when commented then '# ' else '' end || rpad(tag, 12, ' ') || ' = ' || v || case when alt <> '' then '  # ' || alt else '' end line from e)
+select "number"::int "number", line from t union all select (count(*) filter (where not commented) + 1)::int, '' from e having count(*) filter (where commented) > 0""")
+def example_text(spark, folder):
+    """The lines in their order, with the empty one between the two kinds."""
+    return C.example_text(C.example_lines(C.example_config(C.parameter_values(config_kv(spark, folder), table(spark, folder, "orders")))))
+
+
 @query(f"""with {KV}, a as (select config_id // 2 pair, tag, value from kv where config_id % 2 = 0), b as (select config_id // 2 pair, tag, value from kv where config_id % 2 = 1)
 select pair, tag, a.value value_1, b.value value_2, case when b.value is null then 'only_1' when a.value is null then 'only_2' when a.value = b.value then 'common' else 'different' end state
 from a full join b using (pair, tag)""")
@@ -413,12 +423,13 @@ def related_graph(spark, folder):
     return P.related_edges(P.key_pages(key_content(spark, folder))).select("title", "related", "pos")
 
 
-@query("""with l as (select distinct lower(url) u from pages where page_id % 10 <> 0), r as (select distinct lower(url) u from pages where page_id % 10 <> 1)
+@query("""with l as (select distinct lower(url) u from pages), r as (select distinct lower(url) || case when page_id % 10 = 1 then '-new' else '' end u from pages)
 (select 'new' "change", u title from (select u from r except select u from l) order by u limit 20) union all (select 'removed', u from (select u from l except select u from r) order by u limit 20)""")
 def title_diff(spark, folder):
     pages = table(spark, folder, "pages")
-    urls = pages.select("page_id", F.lower(F.col("url")).alias("title"))
-    return P.title_changes(urls.where("page_id % 10 <> 0"), urls.where("page_id % 10 <> 1"))
+    url = F.lower("url")
+    moved = F.when(F.col("page_id") % 10 == 1, F.concat(url, F.lit("-new"))).otherwise(url)
+    return P.title_changes(pages.select(url.alias("title")), pages.select(moved.alias("title")))
 
 
 @query("select max(ts) fetched, (select max(o_orderdate) from orders) processed, max(ts) > (select max(o_orderdate) from orders) stale from events")
@@ -453,7 +464,7 @@ def fuzzy_resolve(spark, folder):
     return L.resolve(names, parts.select(F.upper("p_name").alias("title")), spark.createDataFrame([], "alias string, target string"), files, fuzzy=True)
 
 
-LOOKUP = """names as (select distinct n_name as name from nation union select p_brand from part union select 'brand#1' union select 'rand#25' union select 'Widget' union select p_name from part where p_size = 3)"""
+LOOKUP = """names as (select distinct n_name as name from nation union select p_brand from part union select 'brand#1' union select 'rand#25' union select 'Widget' union select p_name from part)"""
 
 
 @query(f"""with {LOOKUP}, t as (select distinct p_brand title from part), e as (select name, min(title) title from names join t on upper(name) = upper(title) group by 1),
@@ -472,18 +483,31 @@ def page_lookup(spark, folder):
     return L.entry_or_hint(_lookup_names(spark, folder), table(spark, folder, "part").select(F.col("p_name").alias("title")), upper=False).withColumn("titles", F.array_join("titles", ","))
 
 
+@query("""with t as (select 'KEY' || p_partkey title from part where p_partkey % 5 <> 4), n as (select distinct 'ey' || p_partkey || case when p_partkey % 3 = 0 then '1' else '' end as name from part union select distinct 'key' || p_partkey from part),
+e as (select name, title from n join t on upper(name) = title), c as (select name, string_agg(title, ',' order by title) titles, count(*) k from n join t on contains(title, upper(name)) where name not in (select name from e) group by 1)
+select name, case when e.title is not null or k = 1 then 'entry' when k > 1 then 'several' else 'missing' end outcome, coalesce(e.title, titles, '') titles, case when e.title is not null or k = 1 then 'ISMEAR,SIGMA' end related
+from n left join e using (name) left join c using (name)""")
+def related_lookup(spark, folder):
+    """Related keys by a key's name, or by a part of it that only one key has."""
+    n = F.col("p_partkey").cast("string")
+    parts = table(spark, folder, "part")
+    names = parts.select(F.concat(F.lit("ey"), n, F.when(F.col("p_partkey") % 3 == 0, "1").otherwise("")).alias("name")).union(parts.select(F.concat(F.lit("key"), n)))
+    rows = L.related_of(names, P.key_pages(key_content(spark, folder)))
+    return rows.withColumn("titles", F.array_join("titles", ",")).withColumn("related", F.array_join("related", ","))
+
+
 def _lookup_names(spark, folder):
     parts = table(spark, folder, "part")
     typed = spark.createDataFrame([("brand#1",), ("rand#25",), ("Widget",)], "name string")
-    return table(spark, folder, "nation").select(F.col("n_name").alias("name")).union(parts.select("p_brand")).union(typed).union(parts.where("p_size = 3").select("p_name"))
+    return table(spark, folder, "nation").select(F.col("n_name").alias("name")).union(parts.select("p_brand")).union(typed).union(parts.select("p_name"))
 
 
-@query("""with b as (select distinct lower(p_brand) alias, p_type target from part where p_size = 1), u as (select lower(trim(p_brand)) alias, max(p_type) own from part where p_size = 2 group by 1),
-m as (select alias, min(target) target from b group by 1) select alias, coalesce(own, target) target from m full join u using (alias)""")
+@query("""with m as (select unnest([lower(p_brand), lower(p_type)]) alias, min(p_name) target from part group by 1), u as (select lower(trim(p_type)) alias, max(p_name) own from part group by 1)
+select alias, coalesce(own, target) target from m full join u using (alias)""")
 def alias_overlay(spark, folder):
     parts = table(spark, folder, "part")
-    built_in = parts.where("p_size = 1").groupBy(F.lower("p_brand").alias("alias")).agg(F.min("p_type").alias("target"))
-    user = parts.where("p_size = 2").groupBy(F.concat(F.lit(" "), F.upper("p_brand"), F.lit("\t")).alias("alias")).agg(F.max("p_type").alias("target"))
+    built_in = parts.select(F.explode(F.array(F.lower("p_brand"), F.lower("p_type"))).alias("alias"), "p_name").groupBy("alias").agg(F.min("p_name").alias("target"))
+    user = parts.groupBy(F.concat(F.lit(" "), F.upper("p_type"), F.lit("\t")).alias("alias")).agg(F.max("p_name").alias("target"))
     return L.overlaid_aliases(built_in, user)
 
 

@@ -284,3 +284,12 @@ def test_numbers_of_a_configurations_text(spark):
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(values.edit_json(F.col("t"))).collect()]
     for text, own in zip(texts[:-1], got[:-1], strict=True):
         assert json.dumps(values.edit_literal(text)) == own or float(own) == values.edit_literal(text), (text, own)
+
+
+def test_example_text_in_order(spark, tmp_path):
+    rows = [("A", False, 5, "A = 1"), ("B", True, 9, "# B = 2"), ("C", False, 7, "C = 3"), ("D", False, 7, "D = 4"), ("E", True, 2, "# E = 5")]
+    df = spark.createDataFrame(rows, "tag string, commented boolean, occurrences long, line string").repartition(3)
+    C.write_example(df, str(tmp_path / "out"))
+    (file,) = (tmp_path / "out").glob("part-*")
+    assert file.read_text() == "C = 3\nD = 4\nA = 1\n\n# B = 2\n# E = 5\n"
+    assert [r["line"] for r in C.example_text(df.where("not commented")).orderBy("number").collect()] == ["C = 3", "D = 4", "A = 1"]

@@ -198,6 +198,55 @@ def test_recursive_chunks():
     assert G.split_text("x" * 950, 400, 80)[0] == "x" * 400 and G.split_text("", 400, 80) == []
 
 
+def plain_chunks(text, size, overlap, marks=("\n\n", "\n", " ", "")):
+    """Recursive splitting, by joining pieces anew for each question."""
+    mark = [m for m in marks if m in text][0]
+    rest = marks[marks.index(mark) + 1 :]
+    pieces = text.split(mark) if mark else list(text)
+    out, held = [], []
+    for piece in pieces:
+        if len(piece) > size:
+            out, held = out + [mark.join(held).strip()] * bool(held), []
+            out += plain_chunks(piece, size, overlap, rest) if rest else [piece]
+            continue
+        if held and len(mark.join([*held, piece])) > size:
+            out.append(mark.join(held).strip())
+            while held and (len(mark.join(held)) > overlap or len(mark.join([*held, piece])) > size):
+                held.pop(0)
+        held.append(piece)
+    out += [mark.join(held).strip()] * bool(held)
+    return [x for x in out if x]
+
+
+def test_recursive_chunks_equal_plain_ones(spark):
+    import random
+
+    rng = random.Random(12)
+    texts = ["".join(rng.choices(["a", "bc", "def", " ", " ", "\n", "\n\n", "x" * 30], k=rng.randint(0, 200))) for _ in range(150)] + [None, "", " \n\n "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for size, overlap in ((20, 5), (50, 49), (7, 0)):
+        got = {}
+        for r in G.chunks(docs, size, overlap).collect():
+            got.setdefault(r["doc_id"], []).append((r["chunk_idx"], r["start_index"], r["chunk"]))
+        for i, text in enumerate(texts):
+            own = sorted(got.get(i, []))
+            assert [c for _, _, c in own] == plain_chunks(text or "", size, overlap)
+            assert all(text[at : at + len(c)] == c for _, at, c in own) and [n for n, _, _ in own] == list(range(len(own)))
+            for (_, a, x), (_, b, y) in zip(own, own[1:], strict=False):
+                assert b == text.find(y, max(0, a + len(x) - overlap))
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "pages.json").write_text('[{"title": "A", "url": "u", "content": "x"}, {"title": "B"}, {"content": "y", "more": 1}]')
+    rows = files.pages(spark, str(tmp_path / "pages.json")).orderBy("page_idx").collect()
+    assert [(r["title"], r["url"], r["content"]) for r in rows] == [("A", "u", "x"), ("B", "", ""), ("", "", "y")]
+    (tmp_path / "configs.json").write_text('{"directory": "d", "config": {"B": 1.50, "A": [1, true]}}\n{"directory": "e", "config": null}\n')
+    rows = files.configs(spark, str(tmp_path / "configs.json")).orderBy("config_id").collect()
+    assert [r["directory"] for r in rows] == ["d", "e"] and rows[0]["config"].toPython()["A"] == [1, True] and rows[1]["config"] is None
+    df = spark.createDataFrame([(0, None, "u", "z" * 60)], "page_idx long, title string, url string, content string")
+    assert [r["title"] for r in P.other_pages(df).collect()] == [""]
+
+
 def test_nearest_equals_brute_force(spark):
     import numpy as np
 
