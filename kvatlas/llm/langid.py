@@ -10,7 +10,8 @@ model folds into one matrix (grams x languages) without loss; scoring is a produ
 it, over the root of each text's number of distinct grams. The score is the best language's share of the two best
 languages' values, so it doesn't depend on how many languages there are. Some language is always best; whether any of them
 claims a text is told by the share of its distinct grams that any landmark has (``known``). At sf0.1 the lowest share of 2,499
-held-out documents is 0.65, and texts in scripts that weren't learned have 0.03 to 0.07; ``LEAST_KNOWN`` lies between.
+held-out documents is 0.65, and texts in scripts that weren't learned have 0.03 to 0.07; ``LEAST_KNOWN`` lies between. Texts of fewer
+than ``LEAST_GRAMS`` distinct grams are too short to be judged so, and count as known.
 
 The sample (parameters): about ``per_language`` rows of each language, fewer if there are so many languages that these
 would be more than ``most_rows``, but one at least (of the ``most_rows`` commonest languages); picked by a hash of id and text, of at most ``most_chars`` code points
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from kvatlas.llm.shared import table
 
 PER_LANGUAGE, MOST_ROWS, MOST_CHARS, LANDMARKS, MOST_LANDMARKS, RIDGE = 300, 3000, 20_000, 160, 800, 1e-2
-LEAST_KNOWN = 0.5
+LEAST_KNOWN, LEAST_GRAMS = 0.5, 16
 UNKNOWN = "und"
 _LETTER = r"\p{L}"
 
@@ -74,7 +75,9 @@ class Model:
         presence = np.zeros((len(texts), len(columns)), np.float32)
         row = np.repeat(np.arange(len(texts)), [len(g) for g in sets])[here]
         presence[row, column] = 1
-        return presence @ self.weights[columns] / norm[:, None] + self.bias, np.bincount(row, minlength=len(texts)) / norm**2
+        size = norm**2
+        known = np.where(size < LEAST_GRAMS - 0.5, 1.0, np.bincount(row, minlength=len(texts)) / size)
+        return presence @ self.weights[columns] / norm[:, None] + self.bias, known
 
 
 def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE, most_landmarks: int = MOST_LANDMARKS) -> Model:

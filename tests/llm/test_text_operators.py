@@ -352,8 +352,9 @@ def test_texts_that_no_language_claims_go(spark):
     model = langid.train(docs, ~langid.fold("doc_id", 4, 2))
     strange = ["日本語の文章です。今日は天気がいいですね。", "Это русский текст.", "그것은 한국어 문장입니다", "zzzz qqqq xxxx", "12345", None, ""]
     rows = spark.createDataFrame([(1000 + i, t, "xx") for i, t in enumerate(strange)], docs.schema)
-    kept = {r["doc_id"] for r in langid.accepted(docs.unionByName(rows), model).collect()}
-    assert kept == {i for i, _, _ in sample(300)}
+    short = spark.createDataFrame([(2000, "é ü", "xx")], docs.schema)  # too short to tell
+    kept = {r["doc_id"] for r in langid.accepted(docs.unionByName(rows).unionByName(short), model).collect()}
+    assert kept == {2000, *(i for i, _, _ in sample(300))}
 
 
 def test_chat_recovers_roles_of_held_out_transcripts(spark):
