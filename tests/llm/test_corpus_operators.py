@@ -131,6 +131,33 @@ def test_mix_repeated_rows_and_rows_without_id(spark):
     assert again == taken
 
 
+def test_mixing_buckets_and_counted_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STEP", 7)
+    rows = [(None, "a b c", "s1")] * 300 + [(None, f"w{i} x", "s1") for i in range(50)] + [(i, "a " * (i % 9), "s2") for i in range(60)] + [(3, None, None)] * 15
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    result = lambda b: sorted(map(repr, mixing.copies(df, buckets=b).collect()))
+    assert len(result(1)) == len(rows) and result(1) == result(5) == result(100_000) == result(None)
+    of_source, taken = Counter(), Counter()
+    for r in mixing.placed(df).collect():
+        assert r["n"] in (1, 15, 300)
+        of_source[r["source"]] += r["n"]
+    assert of_source == Counter(r[2] for r in rows)
+    for r in mixing.copies(df).where("source = 's1'").collect():
+        taken[r["size"]] += r["copies"]
+    for size, n in ((3, 300), (2, 50)):  # each size class has its share to within a copy
+        rate = mixing.placed(df).where("source = 's1'").selectExpr("max(rate)").head()[0]
+        assert abs(taken[size] - n * rate) <= 1
+
+
+def test_exact_dedup_picks_alike_rows_the_same_way(spark):
+    rows = [(1, "a b", f"s{i % 40}", {"k": i}) for i in range(200)] + [(2, "c", "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra map<string,int>").select("doc_id", "text", "source", "extra")
+    first = {(r["doc_id"], r["source"]) for r in exact_dedup.exact_dedup(df).collect()}
+    assert len(first) == 2
+    for parts in (1, 3, 11):
+        assert {(r["doc_id"], r["source"]) for r in exact_dedup.exact_dedup(df.repartition(parts).orderBy("source")).collect()} == first
+
+
 def test_packing(docs):
     lengths = (32, 64, 256)
     rows = packing.packed(docs, lengths=lengths, shard_docs=40).collect()
