@@ -243,6 +243,28 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+class MerkleFold:
+    """The root that ``merkle`` gives, of leaves that come one by one; keeps one node a level."""
+
+    def __init__(self) -> None:
+        self.levels: list[bytes | None] = []
+
+    def add(self, node: bytes) -> None:
+        for i, left in enumerate(self.levels):
+            if left is None:
+                self.levels[i] = node
+                return
+            self.levels[i], node = None, _digest(b"\x01" + left + node)
+        self.levels.append(node)
+
+    def root(self) -> bytes:
+        right = None
+        for left in self.levels:
+            if left is not None:
+                right = left if right is None else _digest(b"\x01" + left + right)
+        return merkle([]) if right is None else right
+
+
 def _pack(ids: np.ndarray, squeeze: zstandard.ZstdCompressor) -> tuple[int, bytes]:
     width = 2 if int(ids.max()) < 1 << 16 else 4
     return width, squeeze.compress(ids.astype(f"<u{width}").tobytes())
@@ -309,16 +331,22 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
     ordered = recipes.repartitionByRange(F.col("doc_id").asc_nulls_first(), "key").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "key")
     ordered.select("doc_id", "n", "body", F.spark_partition_id().alias("shard")).mapInPandas(number, RECIPES_SCHEMA).write.parquet(f"{path}/recipes")
 
-    # a shard's documents are one task's rows here too; records are 16 bytes each
+    # a shard's documents are one task's rows here too; they pass in a stream
     def seal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        leaves: dict[int, list[bytes]] = {}
-        ids: dict[int, int] = {}
+        columns = ["shard", "n_docs", "n_ids", "root"]
+        shard, n_docs, n_ids, fold = None, 0, 0, MerkleFold()
         for batch in batches:
-            for shard, doc, n, root in zip(batch["shard"], batch["doc_id"], batch["n_tokens"], batch["root"], strict=True):
-                leaves.setdefault(shard, []).append(_record(doc, n, root))
-                ids[shard] = ids.get(shard, 0) + n
-        rows = [(s, len(x), ids[s], merkle(x)) for s, x in leaves.items()]
-        yield pd.DataFrame(rows, columns=["shard", "n_docs", "n_ids", "root"])
+            done = []
+            for own_shard, doc, n, root in zip(batch["shard"], batch["doc_id"], batch["n_tokens"], batch["root"], strict=True):
+                if own_shard != shard:
+                    if n_docs:
+                        done.append((shard, n_docs, n_ids, fold.root()))
+                    shard, n_docs, n_ids, fold = own_shard, 0, 0, MerkleFold()
+                fold.add(_record(doc, n, root))
+                n_docs, n_ids = n_docs + 1, n_ids + int(n)
+            yield pd.DataFrame(done, columns=columns)
+        if n_docs:
+            yield pd.DataFrame([(shard, n_docs, n_ids, fold.root())], columns=columns)
 
     own = spark.read.schema(RECIPES_SCHEMA).parquet(f"{path}/recipes").select("shard", "doc_id", "start_in_shard", "n_tokens", "root")
     own.repartition("shard").sortWithinPartitions("shard", "start_in_shard").mapInPandas(seal, MANIFESTS_SCHEMA).write.parquet(f"{path}/manifests")

@@ -21,6 +21,14 @@ def odd(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, media string, n_bytes int")
 
 
+def test_merkle_fold_equals_the_whole_tree():
+    for n in range(70):
+        leaves, fold = [bytes([i]) * 16 for i in range(n)], tokens.MerkleFold()
+        for leaf in leaves:
+            fold.add(leaf)
+        assert fold.root() == tokens.merkle(leaves) and sum(x is not None for x in fold.levels) <= 7
+
+
 def test_pii_equals_plain_patterns():
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     anchors, rng = pii.automaton(), random.Random(1)
