@@ -11,8 +11,8 @@ one row in ``HOT`` go back by a broadcast of at most ``HOT`` rows, and their own
 
 Results for odd input: null text counts as empty, and all texts that are empty after normalising form one
 group; a row without id ranks after those with ids; rows that agree in text, length and id tie, and each of
-them counts in ``group_size`` and is marked like the winner (``exact_dedup`` returns one of them, whichever original
-text it has: the texts then differ in white space only and are equally long); long texts are compared whole; an empty
+them counts in ``group_size`` and is marked like the winner (``exact_dedup`` returns the one with the least hash of
+its columns: the texts then differ in white space only and are equally long); long texts are compared whole; an empty
 table gives an empty result. Extra columns never clash: the input is projected first, or its columns are told apart
 by names that it doesn't have.
 """
@@ -80,10 +80,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of equal winning rows, one.
 
-    Rows are told apart by id, length and digests. Repeated rows are merged in their tasks before they meet, and
-    the join with the winners keeps that partitioning.
+    Rows are told apart by id, length and digests; of rows alike in these, the one with the least hash of all columns
+    that can be hashed stays, so reruns agree. Repeated rows are merged in their tasks before they meet, and the
+    join with the winners keeps that partitioning.
     """
     names = docs.columns
+    plain = [f.name for f in docs.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
     key = {
         "no_id": F.col(id_col).isNull(),
         "id": F.coalesce(F.col(id_col).cast("string"), F.lit("")),
@@ -91,7 +93,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "sha": F.sha2(normalised(F.col(text_col)), 256),
     }
     own = {k: f"_{k}{'_' * max(map(len, names), default=0)}" for k in key}  # longer than all names
-    rows = docs.select("*", *[c.alias(own[k]) for k, c in key.items()]).dropDuplicates(list(own.values()))
+    pick = f"_pick{'_' * max(map(len, names), default=0)}"
+    rows = docs.select("*", *[c.alias(own[k]) for k, c in key.items()]).groupBy(*own.values())
+    rows = rows.agg(F.min_by(F.struct(*names), F.xxhash64(*plain)).alias(pick)).select(*own.values(), f"{pick}.*")
     best = winners(_keyed(docs, id_col, text_col), salts).select(
         F.col("keep_id").isNull().alias(own["no_id"]), F.coalesce(F.col("keep_id").cast("string"), F.lit("")).alias(own["id"]), F.col("keep_chars").alias(own["chars"]), F.col("sha").alias(own["sha"])
     )
