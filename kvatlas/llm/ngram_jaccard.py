@@ -202,7 +202,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, repeated: DataFrame, k: int, parts
     return stored(rows.mapInPandas(read, "doc_id long, t long, n long, part int, shingles array<long>"), "sets")
 
 
-def _at_key(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+def _at_key(rows: DataFrame, table: DataFrame, key: str | list[str]) -> DataFrame:
     """``rows`` joined with ``table``, which has one row for each key and its number of rows in ``m``; rows of hot keys stay where they are."""
     most = table.agg(F.max("m")).head()[0] or 0
     if most <= HOT:
@@ -347,11 +347,11 @@ def jaccard_components(
     read = stored(whole.drop("signatures"), "facts")
     known = read.where("n > 0 and doc_id is not null")
     classes = stored(
-        known.groupBy("d1", "d2", "n").agg(*[F.max(c).alias(c) for c in ("level", "fragments", "empty", "need_own", "need_below")], F.min("doc_id").alias("first")),
+        known.groupBy("d1", "d2", "n").agg(*[F.max(c).alias(c) for c in ("level", "fragments", "empty", "need_own", "need_below")], F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("m")),
         "classes",
     )
     # copies: all but the first document of each class (an id that is first in some class stays)
-    of_class = known.select("doc_id", "d1", "d2").join(classes.select("d1", "d2", "first"), ["d1", "d2"])
+    of_class = _at_key(known.select("doc_id", "d1", "d2"), classes.select("d1", "d2", "first", "m"), ["d1", "d2"])
     copies = of_class.where("doc_id <> first").select("doc_id").distinct().join(classes.select(F.col("first").alias("doc_id")), "doc_id", "left_anti")
     emitted = whole.where("n > 0 and doc_id is not null").select("doc_id", "signatures").join(stored(copies, "copies"), "doc_id", "left_anti")
     emitted = emitted.select(F.explode("signatures").alias("signature"), "doc_id")
@@ -413,14 +413,11 @@ def jaccard_components(
         sieved = _sieved(_at_key(families, split, "family"), sets, numerator, denominator)
         of_doc = _merged(of_doc, _family_links(sieved, numerator, denominator, block, block_shingles))
     of_doc = of_doc.withColumnRenamed("doc_id", "node")
-    of_class = classes.select("d1", "d2", "first").join(of_doc.withColumnRenamed("node", "first"), "first", "left")
-    of_class = stored(of_class.select("d1", "d2", F.coalesce("component", "first").alias("component_id")), "of_class")
-    rows = read.select("doc_id", "n", "d1", "d2")
-    return rows.join(of_class, ["d1", "d2"], "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id"))).alias("component_id"),
-    )
+    of_class = classes.select("d1", "d2", "first", "m").join(of_doc.withColumnRenamed("node", "first"), "first", "left")
+    of_class = stored(of_class.select("d1", "d2", F.coalesce("component", "first").alias("component_id"), "m"), "of_class")
+    shown = ["doc_id", F.col("n").alias("n_shingles")]
+    alone = read.where("n = 0 or doc_id is null").select(*shown, F.col("doc_id").alias("component_id"))
+    return _at_key(known.select("doc_id", "n", "d1", "d2"), of_class, ["d1", "d2"]).select(*shown, "component_id").union(alone)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
