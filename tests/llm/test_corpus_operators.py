@@ -306,17 +306,6 @@ def test_jaccard_families(spark, monkeypatch, rounds, block, shingles, hot, k, n
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute_components(rows, k, num, 100)
 
 
-@pytest.mark.parametrize("hot", [3, 10**6])
-def test_jaccard_hot_classes(spark, monkeypatch, hot):
-    monkeypatch.setattr(ngram_jaccard, "HOT", hot)
-    same, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"w{i}" for i in range(41))
-    rows = [(i, same if i % 3 else other, "en", "a", 0) for i in range(5, 45)] + [(None, same, "en", "a", 0)] * 9 + [(i, t, "en", "a", 0) for i, t in ((1, None), (2, " "), (3, "lone"))]
-    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
-    got = sorted(map(tuple, ngram_jaccard.jaccard_components(df).collect()), key=repr)
-    want = [(r[0], (36 if r[1] == same else 37), 5 if r[0] else None) for r in rows[:49]] + [(1, 0, 1), (2, 0, 2), (3, 1, 3)]
-    assert got == sorted(want, key=repr)
-
-
 def test_jaccard_empty_and_dedup(docs):
     assert ngram_jaccard.jaccard_components(docs.limit(0)).count() == 0
     kept = ngram_jaccard.near_dedup(docs)
