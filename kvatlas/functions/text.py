@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ NOTES = {"Warning": "⚠️", "Tip": "💡", "Important": "❗", "Note": "📝",
 CONFIG_PREFIXES = ("ALGO", "NBANDS", "NOMEGA", "EDIFF", "ISMEAR", "SIGMA", "LHFCALC", "LOPTICS", "ENCUT", "PREC", "LMAX", "NMAX")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row, however often ``use`` refers to it, in lambdas too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(s: Column) -> Column:
     """Without white space of any kind at the ends."""
     return F.regexp_replace(s, r"^\s+|\s+$", "")
@@ -85,18 +92,19 @@ def reformat(raw: Column) -> Column:
         | bare(x).startswith("!")
         | bare(x).rlike("^(" + "|".join(CONFIG_PREFIXES) + ")")
     )
-    lines = F.split(s, "\n", -1)
-    flags = F.transform(lines, is_config)
-    fenced = F.transform(
-        lines,
-        lambda x, i: F.concat(
-            F.when(F.get(flags, i) & ((i == 0) | ~F.coalesce(F.get(flags, i - 1), F.lit(False))), F.lit("```\n")).otherwise(F.lit("")),
-            F.when(~F.get(flags, i) & (i > 0) & F.coalesce(F.get(flags, i - 1), F.lit(False)), F.lit("```\n")).otherwise(F.lit("")),
-            x,
-        ),
-    )
-    out = F.array_join(fenced, "\n")
-    out = F.when(F.element_at(flags, -1), F.concat(out, F.lit("\n```"))).otherwise(out)
+
+    def fenced(lines: Column, flags: Column) -> Column:
+        own = F.transform(
+            lines,
+            lambda x, i: F.concat(
+                F.when(F.get(flags, i) & ((i == 0) | ~F.coalesce(F.get(flags, i - 1), F.lit(False))), F.lit("```\n")).otherwise(F.lit("")),
+                F.when(~F.get(flags, i) & (i > 0) & F.coalesce(F.get(flags, i - 1), F.lit(False)), F.lit("```\n")).otherwise(F.lit("")),
+                x,
+            ),
+        )
+        return F.concat(F.array_join(own, "\n"), F.when(F.element_at(flags, -1), F.lit("\n```")).otherwise(F.lit("")))
+
+    out = bound(F.split(s, "\n", -1), lambda lines: bound(F.transform(lines, is_config), lambda flags: fenced(lines, flags)))
     out = F.regexp_replace(out, r"\n\s*\n\s*\n", "\n\n")
     return strip(F.replace(out, F.lit("\n```\n```"), F.lit("\n```\n")))
 
