@@ -35,40 +35,51 @@ def key_pages(pages: DataFrame) -> DataFrame:
     keys are read up to the examples, references or retrieval note.
     """
     lines = F.filter(F.transform(F.split(T.clean(F.coalesce("content", F.lit(""))), "\n"), T.strip), lambda x: x != "")
-    rows = pages.where(F.col("title").rlike(T.IDENTIFIER)).withColumn("lines", lines).where(F.size("lines") > 0)
+    rows = pages.where(F.col("title").rlike(T.IDENTIFIER))
+    # lines are split once a page: what is looked for in them gets them as a lambda's variable
+    own = F.inline(F.transform(F.filter(F.array(lines), _defines_key), _key_fields))
+    return rows.select("page_idx", "title", own, F.coalesce("url", F.lit("")).alias("url"))
+
+
+def _defines_key(lines: Column) -> Column:
     defines = lambda x: x.startswith("= ") | x.startswith("=.") | (x == F.concat(F.col("title"), F.lit("=")))
-    first_char = F.substring(F.col("lines")[0], 1, 1)
-    rows = rows.where(
-        (first_char == F.upper(first_char))
+    first_char = F.substring(F.get(lines, F.lit(0)), 1, 1)
+    return (
+        (F.size(lines) > 0)
+        & (first_char == F.upper(first_char))
         & (first_char != F.lower(first_char))
-        & F.exists(F.slice("lines", 1, 10), defines)
-        & F.exists("lines", lambda x: F.lower(x).rlike(r"(description|descprition|definition|default)\s*:"))
+        & F.exists(F.slice(lines, 1, 10), defines)
+        & F.exists(lines, lambda x: F.lower(x).rlike(r"(description|descprition|definition|default)\s*:"))
     )
-    value = F.get(F.filter("lines", lambda x: x.startswith("=") & (F.length(x) > 1)), F.lit(0))
-    after = lambda i: F.coalesce(F.get(F.col("lines"), i + 2), F.lit(""))
+
+
+def _key_fields(lines: Column) -> Column:
+    """value, default, description, related of a key's page."""
+    value = F.get(F.filter(lines, lambda x: x.startswith("=") & (F.length(x) > 1)), F.lit(0))
+    after = lambda i: F.coalesce(F.get(lines, i + 2), F.lit(""))
     defaults = F.array_compact(
-        F.transform("lines", lambda x, i: F.when(F.lower(x).startswith("default:") & after(i).startswith("="), T.strip(F.substring(after(i), 2, 1 << 30))))
+        F.transform(lines, lambda x, i: F.when(F.lower(x).startswith("default:") & after(i).startswith("="), T.strip(F.substring(after(i), 2, 1 << 30))))
     )
-    described = _first(F.col("lines"), lambda x, i: F.lower(x).rlike(r"^(description|descprition|definition)\s*:"))
     ends = lambda x: F.lower(x).rlike("^(" + "|".join(DESCRIPTION_ENDS) + ")")
-    end = _first(F.col("lines"), lambda x, i: (i > F.col("described")) & ends(x))
-    opening = T.strip(F.regexp_extract(F.get(F.col("lines"), F.col("described")), r"(?s)^[^:]*:(.*)$", 1))
-    size = F.coalesce(F.col("described_end"), F.size("lines")) - F.col("described") - 1
-    body = F.array_join(F.slice("lines", F.col("described") + 2, F.greatest(size, F.lit(0))), " ")
-    related_at = _first(F.col("lines"), lambda x, i: F.lower(x).startswith("related tags and articles"))
-    related_end = _first(F.col("lines"), lambda x, i: (i > F.col("related_at")) & x.rlike("^(" + "|".join(RELATED_ENDS) + ")"))
-    span = F.coalesce(F.col("related_end"), F.size("lines")) - F.col("related_at") - 1
-    listed = F.filter(F.slice("lines", F.col("related_at") + 2, F.greatest(span, F.lit(0))), lambda x: x.rlike(T.IDENTIFIER))
-    rows = rows.withColumn("described", described).withColumn("related_at", related_at)
-    rows = rows.withColumn("described_end", end).withColumn("related_end", related_end)
-    return rows.select(
-        "page_idx",
-        "title",
+
+    def description(at: Column) -> Column:
+        opening = T.strip(F.regexp_extract(F.get(lines, at), r"(?s)^[^:]*:(.*)$", 1))
+        end = _first(lines, lambda x, i: (i > at) & ends(x))
+        size = F.coalesce(end, F.size(lines)) - at - 1
+        body = F.array_join(F.slice(lines, at + 2, F.greatest(size, F.lit(0))), " ")
+        return F.when(at.isNotNull(), T.strip(F.concat_ws(" ", opening, body))).otherwise("")
+
+    def related(at: Column) -> Column:
+        end = _first(lines, lambda x, i: (i > at) & x.rlike("^(" + "|".join(RELATED_ENDS) + ")"))
+        span = F.coalesce(end, F.size(lines)) - at - 1
+        listed = F.filter(F.slice(lines, at + 2, F.greatest(span, F.lit(0))), lambda x: x.rlike(T.IDENTIFIER))
+        return F.when(at.isNotNull(), F.array_distinct(listed)).otherwise(F.array().cast("array<string>"))
+
+    return F.struct(
         F.coalesce(T.strip(F.substring(value, 2, 1 << 30)), F.lit("")).alias("value"),
         F.coalesce(F.try_element_at(defaults, F.lit(-1)), F.lit("")).alias("default"),
-        F.when(F.col("described").isNotNull(), T.strip(F.concat_ws(" ", opening, body))).otherwise("").alias("description"),
-        F.when(F.col("related_at").isNotNull(), F.array_distinct(listed)).otherwise(F.array().cast("array<string>")).alias("related"),
-        F.coalesce("url", F.lit("")).alias("url"),
+        T.bound(_first(lines, lambda x, i: F.lower(x).rlike(r"^(description|descprition|definition)\s*:")), description).alias("description"),
+        T.bound(_first(lines, lambda x, i: F.lower(x).startswith("related tags and articles")), related).alias("related"),
     )
 
 

@@ -67,8 +67,11 @@ def injected(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def key_content(spark: SparkSession, folder: str) -> DataFrame:
-    """Parts as pages that define keys; every fifth lacks the definition."""
-    p = table(spark, folder, "part")
+    """Parts as pages that define keys; every fifth lacks the definition.
+
+    A part is a few bytes, but its page takes long to parse, so parts are dealt to all cores: a file of them may be one task.
+    """
+    p = table(spark, folder, "part").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
     n = F.col("p_partkey").cast("string")
     definition = F.when(F.col("p_partkey") % 5 == 4, "no definition").otherwise(F.concat(F.lit("= "), "p_type"))
     content = F.concat(
