@@ -85,15 +85,12 @@ def contexts_of_counts(counts: DataFrame, k: int = 5) -> DataFrame:
 def cooccurrence(kv: DataFrame) -> DataFrame:
     """a, b, n for each two different tags of one configuration, in both orders.
 
-    The rows of a configuration meet once, each unordered pair is counted once, and counts are mirrored.
+    A configuration's tags meet in one row, so nothing is joined; each unordered pair is counted once, and counts are mirrored.
     """
-    tags = kv.select("config_id", "tag").distinct()
-    half = (
-        tags.alias("x")
-        .join(tags.alias("y"), (F.col("x.config_id") == F.col("y.config_id")) & (F.col("x.tag") < F.col("y.tag")))
-        .groupBy(F.col("x.tag").alias("a"), F.col("y.tag").alias("b"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    tags = kv.where("config_id is not null").groupBy("config_id").agg(F.sort_array(F.collect_set("tag")).alias("tags"))
+    half = tags.select("tags", F.posexplode("tags").alias("pos", "a"))
+    half = half.select("a", F.explode(F.slice("tags", F.col("pos") + 2, F.greatest(F.size("tags"), F.lit(1)))).alias("b"))
+    half = half.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
     return half.select(both.alias("p"), "n").select("p.a", "p.b", "n")
 

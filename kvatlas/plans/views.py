@@ -11,10 +11,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def config_kv(spark: SparkSession, folder: str) -> DataFrame:
-    """An order is a configuration, a brand a key, and the least type of its parts the value."""
+    """An order is a configuration, a brand a key, and the least type of its parts the value.
+
+    Parts grow with the lines, so they are never collected for a broadcast.
+    """
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey")
     parts = table(spark, folder, "part").select("p_partkey", "p_brand", "p_type")
-    rows = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    rows = lines.join(parts.hint("merge"), F.col("l_partkey") == F.col("p_partkey"))
     return rows.groupBy(F.col("l_orderkey").alias("config_id"), F.col("p_brand").alias("tag")).agg(F.min("p_type").alias("value"))
 
 

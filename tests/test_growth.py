@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from kvatlas.functions import text as T
+from kvatlas.operators import configs as C
 from kvatlas.operators import pages as P
 
 
@@ -23,3 +24,10 @@ def test_reformatting_splits_once(spark):
     df = spark.createDataFrame([("a\nENCUT = 1\nb",), (None,), ("",), ("x\nALGO = 2",)], "raw string").select(T.reformat(F.col("raw")).alias("t"))
     assert [r["t"] for r in df.collect()] == ["a\n```\nENCUT = 1\n```\nb", None, "", "x\n```\nALGO = 2\n```"]
     assert len(re.findall(r"\bsplit\(", plan(df))) == 1
+
+
+def test_pairs_of_tags_without_a_join(spark):
+    kv = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (1, None), (2, "a"), (2, "c"), (2, "b"), (3, "a"), (None, "a"), (None, "b")], "config_id long, tag string")
+    pairs = C.cooccurrence(kv)
+    assert {(r["a"], r["b"]): r["n"] for r in pairs.collect()} == {(x, y): n for a, b, n in (("a", "b", 2), ("a", "c", 1), ("b", "c", 1)) for x, y in ((a, b), (b, a))}
+    assert "Join" not in plan(pairs)
