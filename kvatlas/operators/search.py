@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +28,39 @@ def postings(docs: DataFrame, terms: list[str] | None = None) -> DataFrame:
     return own.select(F.explode("t").alias("term"), "doc_id", "dl").groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def counted(rows: DataFrame, names: list[str], places: bool = False, most: int = 1 << 20) -> DataFrame:
+    """``names``, dl, term, tf (and places, ascending) from ``names`` and ``t``, the tokens of a whole text: a row a term.
+
+    A text's tokens are in one row, so they are counted where they are and nothing is shuffled; ``most`` tokens at a time.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            ends = np.cumsum(whole.column("t").value_lengths().to_numpy(zero_copy_only=False)) if len(whole) else np.empty(0, int)
+            at = 0
+            while at < len(whole):
+                until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+                batch, at = whole.slice(at, until - at), until
+                size = batch.column("t").value_lengths().to_numpy(zero_copy_only=False)
+                flat = batch.column("t").flatten().dictionary_encode()
+                if not len(flat):
+                    continue
+                row = np.repeat(np.arange(len(batch)), size)
+                key = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(batch) + row  # like terms side by side
+                order = np.argsort(key, kind="stable")
+                first = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) > 0)))
+                tf, own = np.diff(np.append(first, len(key))), pa.array(row[order[first]])
+                columns = [*[batch.column(c).take(own) for c in names], pa.array(size[row[order[first]]], pa.int32()), flat.dictionary.take(flat.indices.take(pa.array(order[first]))), pa.array(tf, pa.int64())]
+                if places:
+                    place = (np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size))[order].astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(place)))
+                yield pa.RecordBatch.from_arrays(columns, [*names, "dl", "term", "tf", *["places"] * places])
+
+    kinds = dict(rows.dtypes)
+    fields = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "dl int, term string, tf long", *["places array<int>"] * places])
+    return rows.select(*names, "t").mapInArrow(count, fields)
+
+
 def lengths(docs: DataFrame) -> DataFrame:
     """One row: n documents, and their mean length."""
     return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.coalesce("text", F.lit(""))))).alias("avgdl"))
@@ -42,8 +78,9 @@ def bm25(docs: DataFrame | None, query: str, index: DataFrame | None = None, cor
 
 
 def write_index(docs: DataFrame, path: str) -> None:
-    """An inverted index: postings ordered by term, so a query's row groups are few, and the corpus's sizes."""
-    postings(docs).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    """An inverted index: postings ordered by term, so a query's row groups are few, and the corpus's sizes. An id is one document."""
+    own = counted(docs.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("t")), ["doc_id"]).select("term", "doc_id", "dl", "tf")
+    own.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
     lengths(docs).write.mode("overwrite").parquet(f"{path}/corpus")
 
 

@@ -2,11 +2,17 @@
 
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from kvatlas.functions import text as T
 from kvatlas.operators import configs as C
+from kvatlas.operators import fulltext as X
 from kvatlas.operators import pages as P
+from kvatlas.operators import rag as G
+from kvatlas.operators import search as S
+from kvatlas.operators import segments as I
+from kvatlas.operators import vectors as V
 
 
 def plan(df, kind="optimizedPlan"):
@@ -31,3 +37,47 @@ def test_pairs_of_tags_without_a_join(spark):
     pairs = C.cooccurrence(kv)
     assert {(r["a"], r["b"]): r["n"] for r in pairs.collect()} == {(x, y): n for a, b, n in (("a", "b", 2), ("a", "c", 1), ("b", "c", 1)) for x, y in ((a, b), (b, a))}
     assert "Join" not in plan(pairs)
+
+
+def test_index_without_a_shuffle(spark, tmp_path):
+    texts = ["the cat the", "", None, "cat, The dog", "x" * 41]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = X.positions(docs)
+    assert "Exchange" not in plan(own, "sparkPlan") and "Aggregate" not in plan(own)
+    got = sorted((r["term"], r["doc_id"], r["dl"], r["tf"], r["places"]) for r in own.collect())
+    assert got == [("cat", 0, 3, 1, [1]), ("cat", 3, 3, 1, [0]), ("dog", 3, 3, 1, [2]), ("the", 0, 3, 2, [0, 2]), ("the", 3, 3, 1, [1])]
+    assert sorted((r["term"], r["doc_id"], r["dl"], r["tf"]) for r in X.counts(docs).collect()) == [x[:4] for x in got]
+    rows = S.counted(docs.select("doc_id", S.tokens(F.coalesce("text", F.lit(""))).alias("t")), ["doc_id"], places=True, most=2)  # cut between documents
+    assert sorted((r["term"], r["doc_id"], r["dl"], r["tf"], r["places"]) for r in rows.collect()) == got
+
+
+def test_ranks_are_cut_before_they_are_shuffled(spark):
+    rows = spark.createDataFrame([(1, i, float(i % 7)) for i in range(40)], "query_id int, doc_id long, score double")
+    top = X.best(rows, 3)
+    assert [(r["doc_id"], r["rank"]) for r in top.orderBy("rank").collect()] == [(6, 0), (13, 1), (20, 2)]
+    assert "WindowGroupLimit" in plan(top)
+
+
+def test_chunks_come_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(G, "MOST_CHARS", 50)
+    docs = spark.createDataFrame([(i, "word " * 60) for i in range(5)] + [(9, None)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["chunk_idx"], r["start_index"], r["chunk"]) for r in G.chunks(docs, 100, 20).collect())
+    assert [x[3] for x in got if x[0] == 3] == G.split_text("word " * 60, 100, 20) and len({x[0] for x in got}) == 5
+
+
+def test_rows_become_lists_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(V, "MOST_LISTED", 6)
+    df = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(11)], "vec_id long, embedding array<double>")
+    sizes = V._listed(df.coalesce(1), np.array([[0.0, 0.0], [5.0, 0.0], [10.0, 0.0]]), 3, ["vec_id"])
+    got = {(r["vec_id"], r["place"]): r["list"] for r in sizes.collect()}
+    assert len(got) == 33 and [got[8, p] for p in range(3)] == [2, 1, 0] and [got[0, p] for p in range(3)] == [0, 1, 2]
+
+
+def test_segments_without_later_tombstones_are_not_joined(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"w{i} the") for i in range(6)], "doc_id long, text string")
+    I.append(docs.where("doc_id < 3"), str(tmp_path), "a")
+    I.append(docs.where("doc_id >= 3"), str(tmp_path), "b")
+    assert "Join" not in plan(I.live(spark, str(tmp_path))[0])
+    I.append(docs.where("doc_id = 1").withColumn("text", F.lit("new")), str(tmp_path), "c")
+    index, sizes = I.live(spark, str(tmp_path))
+    assert sorted(r["term"] for r in index.where("doc_id = 1").collect()) == ["new"] and sizes.head()["n"] == 6
