@@ -69,9 +69,17 @@ def append(docs: DataFrame, path: str, batch: str, deleted: DataFrame | None = N
 
 
 def _alive(spark: SparkSession, path: str, entries: list, part: str) -> DataFrame:
-    dead = _read(spark, path, entries, "dead").groupBy("doc_id").agg(F.max("place").alias("killed"))
-    rows = _read(spark, path, entries, part).join(dead, "doc_id", "left")
-    return rows.where(F.col("killed").isNull() | (F.col("place") >= F.col("killed"))).drop("killed", "place")
+    """Live rows of all segments. Only segments with tombstones after them are compared with these, so the others' rows stay where they are."""
+    out, dead = None, None
+    for e in reversed(entries):
+        rows = spark.read.parquet(f"{path}/{e['folder']}/{part}")
+        if dead is not None:
+            rows = rows.join(dead.distinct().withColumn("killed", F.lit(True)), "doc_id", "left").where("killed is null").drop("killed")
+        out = rows if out is None else rows.unionByName(out)
+        own = spark.read.parquet(f"{path}/{e['folder']}/dead").select("doc_id")
+        if not own.isEmpty():
+            dead = own if dead is None else dead.union(own)
+    return out
 
 
 def live(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | tuple[None, None]:
