@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_SAMPLE, MOST_LISTS, PART, STEPS = 20_000, 2_000, 16_384, 12
+MOST_LISTED = 16_384
 MOST_TRIED, LEAST_RECALL, TRIED_K = 200, 0.95, 10
 
 
@@ -58,14 +59,15 @@ def _listed(df: DataFrame, centroids: np.ndarray, n: int, names: list[str]) -> D
     """``names``, embedding, ``list`` and ``place`` (from 0): the n nearest centroids of each row, a row each."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            x = batch.column("embedding").flatten().to_numpy().reshape(len(batch), -1)
-            near = np.argsort(_squared(x, centroids), axis=1, kind="stable")[:, :n]
-            row = pa.array(np.repeat(np.arange(len(batch)), near.shape[1]))
-            place = np.tile(np.arange(near.shape[1], dtype=np.int32), len(batch))
-            yield pa.RecordBatch.from_arrays([*[c.take(row) for c in batch.columns], pa.array(near.ravel().astype(np.int32)), pa.array(place)], [*batch.schema.names, "list", "place"])
+        step = max(1, MOST_LISTED // max(1, min(n, len(centroids))))  # rows at a time: each becomes n of them
+        for whole in batches:
+            for at in range(0, len(whole), step):
+                batch = whole.slice(at, step)
+                x = batch.column("embedding").flatten().to_numpy().reshape(len(batch), -1)
+                near = np.argsort(_squared(x, centroids), axis=1, kind="stable")[:, :n]
+                row = pa.array(np.repeat(np.arange(len(batch)), near.shape[1]))
+                place = np.tile(np.arange(near.shape[1], dtype=np.int32), len(batch))
+                yield pa.RecordBatch.from_arrays([*[c.take(row) for c in batch.columns], pa.array(near.ravel().astype(np.int32)), pa.array(place)], [*batch.schema.names, "list", "place"])
 
     rows = _whole(df, centroids.shape[1]).select(*names, F.col("embedding").cast("array<double>").alias("embedding"))
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
