@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kvatlas.functions import text as T
+from kvatlas.sources.files import kept
 
 #: Abbreviations of keys; a user's table takes precedence.
 ALIASES = {
@@ -25,6 +26,8 @@ ALIASES = {
     "hubbard u": "LDAU",
     "molecular dynamics": "IBRION",
 }
+#: Names of up to so many characters are looked up as wholes; more names than that aren't sent to every task.
+WHOLE, MOST_SENT = 16, 100_000
 EXACT, ALIAS, FILE, FUZZY, SUBSTRING = "exact", "term_map", "file_page", "fuzzy", "substring"
 
 
@@ -58,26 +61,36 @@ def resolve(names: DataFrame, index: DataFrame, aliases: DataFrame, files: DataF
     return found.join(least, ["name", "rank"]).select("name", "stage", "title").distinct()
 
 
-def _grams(s: Column, n: Column | int) -> Column:
+def _grams(s: Column, n: int) -> Column:
     """The distinct runs of ``n`` characters."""
-    n = F.lit(n) if isinstance(n, int) else n
     starts = F.when(F.length(s) >= n, F.sequence(F.lit(1), F.length(s) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(s, i, n)))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(s, i, F.lit(n))))
 
 
 def containing(names: DataFrame, titles: DataFrame) -> DataFrame:
     """name, title: the titles that contain a name's ``up``, which isn't empty.
 
-    A name meets the titles that have the rarest of its runs of three characters (of all, if it is shorter), and
-    only these are searched for it.
+    Titles are cut into their runs of the names' lengths, and a name meets the runs that equal it, so no title is searched in vain.
+    A name of more than ``WHOLE`` characters meets the titles that have the rarest of its runs of ``WHOLE`` characters, and only
+    these are searched for it. Names are written first: with few of them, titles' runs needn't move.
     """
-    of_titles = titles.where("title is not null").select("title", F.explode(F.array_union(F.array_union(_grams(F.col("title"), 3), _grams(F.col("title"), 2)), _grams(F.col("title"), 1))).alias("gram"))
-    own = names.where("up <> ''").select("name", "up", F.explode(_grams(F.col("up"), F.least(F.length("up"), F.lit(3)))).alias("gram"))
-    of_titles = of_titles.join(own.select("gram").distinct(), "gram", "left_semi")  # only runs that some name has
-    frequent = of_titles.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rarest = own.join(frequent, "gram", "left").groupBy("name", "up").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m"))
-    rarest = rarest.where("m.n > 0").select("name", "up", F.col("m.gram").alias("gram"))  # a run that no title has: no match
-    return rarest.join(of_titles, "gram").where(F.contains("title", F.col("up"))).select("name", "title")
+    names = kept(names.where("up <> ''").select("name", "up").distinct(), "names")
+    titles = titles.where("title is not null").select("title")
+    sizes = names.groupBy(F.least(F.length("up"), F.lit(WHOLE + 1)).alias("size")).count().collect()  # WHOLE + 1 rows at most
+    if sum(r["count"] for r in sizes) > MOST_SENT:
+        names = names.hint("merge")
+    runs = lambda *n: titles.select("title", F.explode(F.flatten(F.array(*[_grams(F.col("title"), i) for i in n]))).alias("gram"))
+    found = names.select("name").crossJoin(titles).where(F.lit(False))
+    if whole := sorted(r["size"] for r in sizes if r["size"] <= WHOLE):
+        found = found.union(runs(*whole).join(names, F.col("gram") == F.col("up")).select("name", "title"))
+    if len(whole) < len(sizes):
+        own = names.where(F.length("up") > WHOLE).select("name", "up", F.explode(_grams(F.col("up"), WHOLE)).alias("gram"))
+        of_titles = runs(WHOLE).join(own.select("gram").distinct(), "gram", "left_semi")  # only runs that some name has
+        frequent = of_titles.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+        rarest = own.join(frequent, "gram", "left").groupBy("name", "up").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m"))
+        rarest = rarest.where("m.n > 0").select("name", "up", F.col("m.gram").alias("gram"))  # a run that no title has: no match
+        found = found.union(rarest.join(of_titles, "gram").where(F.contains("title", F.col("up"))).select("name", "title"))
+    return found
 
 
 def _length_class(n: Column) -> Column:
@@ -179,21 +192,27 @@ def entry_or_hint(names: DataFrame, index: DataFrame, upper: bool = True) -> Dat
     exact = given.join(titles.withColumn("_key", F.upper("title") if upper else F.col("title")), key == F.col("_key")).groupBy("name").agg(F.min("title").alias("title"))
     rest = given.join(exact.select("name"), "name", "left_anti")
     folded = titles.select(F.col("title").alias("shown"), (F.col("title") if upper else F.lower("title")).alias("title"))
-    part = containing(rest.select("name", (F.upper("name") if upper else F.lower("name")).alias("up")), folded.select("title").distinct())
-    part = part.join(folded, "title").groupBy("name").agg(F.sort_array(F.collect_set("shown")).alias("titles"))
+    folded = F.col("title") if upper else F.lower("title")
+    part = containing(rest.select("name", (F.upper("name") if upper else F.lower("name")).alias("up")), titles.select(folded.alias("title")).distinct())
+    if not upper:
+        part = part.withColumnRenamed("title", "_low").join(titles, F.col("_low") == folded)
+    part = part.groupBy("name").agg(F.sort_array(F.collect_set("title")).alias("titles"))
+    rows = given.join(exact, "name", "left").join(part, "name", "left")  # each name once, so what is found for it is computed once
     lone = (F.size("titles") == 1) & F.lit(upper)
-    found = exact.select("name", F.lit("entry").alias("outcome"), F.array("title").alias("titles"))
-    found = found.union(part.select("name", F.when(lone, "entry").otherwise("several"), "titles"))
-    missing = given.join(found.select("name"), "name", "left_anti")
-    return found.union(missing.select("name", F.lit("missing"), F.array().cast("array<string>")))
+    outcome = F.when(F.col("title").isNotNull() | lone, "entry").when(F.col("titles").isNotNull(), "several").otherwise("missing")
+    own = F.when(F.col("title").isNotNull(), F.array("title")).otherwise(F.coalesce("titles", F.array().cast("array<string>")))
+    return rows.select("name", outcome.alias("outcome"), own.alias("titles"))
 
 
 def related_of(names: DataFrame, tags: DataFrame) -> DataFrame:
-    """name, outcome, titles, related: the related keys of each name's entry (``tags``: title, related), null unless there is one."""
-    found = entry_or_hint(names, tags)
-    own = tags.groupBy(F.col("title").alias("_title")).agg(F.min("related").alias("related"))
+    """name, outcome, titles, related: the related keys of each name's entry (``tags``: title, related), null unless there is one.
+
+    Tags are written first, as parsing their pages takes longer than looking names up in them.
+    """
+    own = kept(tags.groupBy("title").agg(F.min("related").alias("related")), "tags")
+    found = entry_or_hint(names, own)
     only = F.when(F.col("outcome") == "entry", F.get("titles", F.lit(0)))
-    return found.withColumn("_only", only).join(own, F.col("_only") == F.col("_title"), "left").select("name", "outcome", "titles", "related")
+    return found.withColumn("_only", only).join(own, F.col("_only") == F.col("title"), "left").select("name", "outcome", "titles", "related")
 
 
 def find(titles: DataFrame, name: str) -> DataFrame:

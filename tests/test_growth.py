@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kvatlas.functions import text as T
 from kvatlas.operators import configs as C
 from kvatlas.operators import fulltext as X
+from kvatlas.operators import lookup as L
 from kvatlas.operators import pages as P
 from kvatlas.operators import rag as G
 from kvatlas.operators import search as S
@@ -81,3 +82,22 @@ def test_segments_without_later_tombstones_are_not_joined(spark, tmp_path):
     I.append(docs.where("doc_id = 1").withColumn("text", F.lit("new")), str(tmp_path), "c")
     index, sizes = I.live(spark, str(tmp_path))
     assert sorted(r["term"] for r in index.where("doc_id = 1").collect()) == ["new"] and sizes.head()["n"] == 6
+
+
+def test_names_meet_only_titles_that_contain_them(spark):
+    titles = [f"KEY{i}" for i in range(300)] + ["x" * 20 + "LONG NAME OF A KEY" + str(i) for i in range(3)] + ["", None, "É" * 17]
+    names = [f"EY{i}" for i in range(0, 400, 7)] + ["K", "0", "LONG NAME OF A KEY1", "x" * 17, "x" * 18 + "LONG", "É", "ÉÉ", "É" * 17, "É" * 18, "", None]
+    own = spark.createDataFrame([(n, n) for n in names], "name string, up string")
+    short = L.containing(own.where("length(up) <= 16"), spark.createDataFrame([(t,) for t in titles], "title string"))
+    assert "contains(" not in plan(short).lower()  # equal runs, not candidates to be searched
+    both = L.containing(own, spark.createDataFrame([(t,) for t in titles], "title string"))
+    assert sorted((r["name"], r["title"]) for r in both.collect()) == sorted((n, t) for n in names if n for t in titles if t and n in t)
+    assert L.containing(own.where("up = ''"), spark.createDataFrame([("a",)], "title string")).collect() == []
+
+
+def test_pages_of_related_keys_are_parsed_once(spark):
+    pages = spark.createDataFrame([(i, f"KEY{i}", "u", "Key\\n= 1\\nDescription: d\\nRelated tags and articles\\nISMEAR") for i in (1, 2, 12)], "page_idx long, title string, url string, content string")
+    rows = L.related_of(spark.createDataFrame([("key1",), ("ey2",), ("EY1",), ("none",), (None,)], "name string"), P.key_pages(pages))
+    got = {r["name"]: (r["outcome"], r["titles"], r["related"]) for r in rows.collect()}
+    assert got == {"key1": ("entry", ["KEY1"], ["ISMEAR"]), "ey2": ("entry", ["KEY2"], ["ISMEAR"]), "EY1": ("several", ["KEY1", "KEY12"], None), "none": ("missing", [], None)}
+    assert "split(" not in plan(rows)
