@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+PER_PART = 250_000
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def dealt_parts(df: DataFrame, per_part: int = PER_PART) -> int:
+    """Into how many parts a table is dealt, so that one has about ``per_part`` rows and a task's memory doesn't grow with the table."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // per_part))
+
+
 def config_kv(spark: SparkSession, folder: str) -> DataFrame:
     """An order is a configuration, a brand a key, and the least type of its parts the value.
 

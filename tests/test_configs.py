@@ -293,3 +293,14 @@ def test_example_text_in_order(spark, tmp_path):
     (file,) = (tmp_path / "out").glob("part-*")
     assert file.read_text() == "C = 3\nD = 4\nA = 1\n\n# B = 2\n# E = 5\n"
     assert [r["line"] for r in C.example_text(df.where("not commented")).orderBy("number").collect()] == ["C = 3", "D = 4", "A = 1"]
+
+
+def test_baskets_are_dealt_by_their_number(spark, monkeypatch):
+    from kvatlas.plans import catalogue, views
+
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setattr(catalogue, "dealt_parts", lambda df: views.dealt_parts(df, 500))
+    rows = catalogue.list_values(spark, folder)
+    lines = views.table(spark, folder, "lineitem")
+    assert views.dealt_parts(lines, 500) == -(-lines.count() // 500) > 4 and views.dealt_parts(lines) == 4
+    assert rows.rdd.getNumPartitions() == views.dealt_parts(lines, 500) and rows.agg(F.sum("n")).head()[0] == 2 * lines.count()
